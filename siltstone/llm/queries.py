@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siltstone.llm import decontaminate, langid
+from siltstone.llm import decontaminate, langid, ngram_join
 from siltstone.llm.work import Work
 
 
@@ -21,6 +21,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(hits)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), Work(spark, "op4"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -30,7 +34,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_decontaminate": op3_decontaminate, "op10_langid": op10_langid}
+    return {"op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
