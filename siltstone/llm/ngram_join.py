@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltstone.llm import tokens
 from siltstone.llm.graph import components
+from siltstone.llm.packed import pack, unpack
 from siltstone.llm.tokens import U
 from siltstone.llm.work import Work, partitions
 
@@ -48,17 +49,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int, k: int =
     return (both >> U(BITS)).astype(np.int64), both & U((1 << BITS) - 1)
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpack(raw: bytes, width: int) -> np.ndarray:
-    got = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    out = np.zeros((len(got), 8), np.uint8)
-    out[:, :width] = got
-    return out.reshape(-1).view(np.uint64)
-
-
 def shared_counts(docs: DataFrame, key: str, k: int = WORDS) -> DataFrame:
     """For each document that has any: how many of its n-grams in the first fragments another document has too.
 
@@ -106,7 +96,7 @@ def shared_counts(docs: DataFrame, key: str, k: int = WORDS) -> DataFrame:
                     out["fragment"].append(f)
                     out["docs"].append(keys[own].tobytes())
                     out["at"].append((place.astype(np.uint32) | (several[a:b].astype(np.uint32) << np.uint32(31))).tobytes() if len(own) > 0x7FFF else (place.astype(np.uint16) | (several[a:b].astype(np.uint16) << np.uint16(15))).tobytes())
-                    out["ids"].append(_pack(id_[a:b] - U(f * width), 6))
+                    out["ids"].append(pack(id_[a:b] - U(f * width), 6))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("fragment", pa.int32()), ("docs", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())]))
 
     def count(group: pa.Table) -> pa.Table:
@@ -120,7 +110,7 @@ def shared_counts(docs: DataFrame, key: str, k: int = WORDS) -> DataFrame:
                 docs_.append(own)
                 counts.append(np.frombuffer(a, np.int32))
                 continue
-            id_ = _unpack(x, 6)
+            id_ = unpack(x, 6)
             wide = len(a) == 4 * len(id_)
             at = np.frombuffer(a, np.uint32 if wide else np.uint16).astype(np.int64)
             top = 31 if wide else 15

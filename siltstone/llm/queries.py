@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siltstone.llm import decontaminate, langid, ngram_join
+from siltstone.llm import decontaminate, langid, ngram_join, substring_dedup
 from siltstone.llm.work import Work
 
 
@@ -25,6 +25,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), Work(spark, "op4"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.deduplicate(table(spark, sf_dir, "documents"), Work(spark, "op5"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -34,7 +39,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op10_langid": op10_langid}
+    return {"op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:

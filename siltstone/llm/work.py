@@ -31,7 +31,9 @@ class Work:
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
         schema = df.schema
         del df, writer
-        gc.collect()  # the shuffle files of a finished job can go once nothing refers to its plan
+        # Spark deletes the shuffle files of a finished job once neither Python nor the driver's JVM refers to its plan
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
