@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siltstone.llm import decontaminate, langid, ngram_join, substring_dedup
+from siltstone.llm import decontaminate, langid, ngram_join, substring_dedup, suffix_dedup
 from siltstone.llm.work import Work
 
 
@@ -30,6 +30,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), Work(spark, "op9"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -39,7 +44,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op10_langid": op10_langid}
+    return {"op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
