@@ -162,36 +162,61 @@ def word_scores(model: Model, w: tokens.Words, bits: np.ndarray) -> np.ndarray:
     return out - np.where(fits | ~fits.any(1, keepdims=True), 0.0, 20.0)
 
 
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The best path over words (rows) and languages (columns), paying `penalty` for each switch."""
-    n, k = scores.shape
-    back = np.zeros((n, k), np.int16)
-    best = scores[0].copy()
-    own = np.arange(k)
-    for t in range(1, n):
-        top = int(best.argmax())
-        switch = best[top] - penalty
-        back[t] = np.where(best >= switch, own, top)
-        best = np.maximum(best, switch) + scores[t]
-    path = np.zeros(n, np.int64)
-    path[-1] = int(best.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, penalty: float) -> np.ndarray:
+    """The best path over the words (rows of scores) of each text, paying `penalty` for each switch of language (column).
+
+    Texts start at `first` and have `length` words; all are taken a word further at a time, the longest first.
+    """
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    k = scores.shape[1]
+    back = np.zeros(scores.shape, np.int16)
+    own = np.arange(k, dtype=np.int16)
+    best = scores[first].copy()
+    live = np.searchsorted(-length, -np.arange(1, int(length.max()) + 1), "right")  # texts of more than t words
+    for t in range(1, int(length.max())):
+        n = live[t]
+        at, now = first[:n] + t, best[:n]
+        top = now.argmax(1)
+        switch = now[np.arange(n), top] - penalty
+        back[at] = np.where(now >= switch[:, None], own, top[:, None])
+        best[:n] = np.maximum(now, switch[:, None]) + scores[at]
+    path = np.zeros(len(scores), np.int64)
+    state = best.argmax(1)
+    for t in range(int(length.max()) - 1, -1, -1):
+        n = live[t]
+        at = first[:n] + t
+        path[at] = state[:n]
+        state[:n] = back[at, state[:n]]
     return path
 
 
 def may_switch(scores: np.ndarray, row: np.ndarray, total: np.ndarray, penalty: float) -> np.ndarray:
-    """Rows whose best path may leave their best language: some stretch gains over a penalty in another. All others have no switch."""
-    lead = total.argmax(1)
-    gain = (scores - scores[np.arange(len(row)), lead[row]][:, None]).max(1)
-    sums = np.cumsum(gain)
-    before = sums - gain
-    jump = np.abs(gain).sum() + 1.0
-    low = np.minimum.accumulate(before - 2 * jump * row)  # each row starts far below the last
-    rise = sums - 2 * jump * row - low
-    out = np.zeros(len(total), bool)
-    out[row[rise > penalty * (1 - 1e-9)]] = True
-    return out
+    """Rows whose best path may leave their best language; all others have no switch.
+
+    Against the language of the greatest total, a path gains what its stretches in others gain and pays for as many
+    switches as it has such stretches (one less if it never is in that language). So it can't gain if no stretch of one
+    language gains over a penalty, nor the best beginning and the best end together.
+    """
+    n = len(total)
+    lead = scores[np.arange(len(row)), total.argmax(1)[row]]
+    first = np.searchsorted(row, np.arange(n))
+    some = np.bincount(row, minlength=n) > 0
+    out = np.zeros(n, bool)
+    begins, ends = np.zeros(n), np.zeros(n)
+    for c in range(scores.shape[1]):
+        gain = scores[:, c] - lead
+        sums = np.cumsum(gain)
+        before = sums - gain
+        jump = 2 * (np.abs(gain).sum() + 1.0) * row  # each row starts far below the last
+        rise = sums - jump - np.minimum.accumulate(before - jump)
+        out[row[rise > penalty * (1 - 1e-9)]] = True
+        high = np.maximum.reduceat(sums, first[some]) - before[first[some]]
+        last = np.r_[first[some][1:], len(row)] - 1
+        low = sums[last] - np.minimum.reduceat(before, first[some])
+        begins[some] = np.maximum(begins[some], high)
+        ends[some] = np.maximum(ends[some], low)
+    return out | (begins + ends > penalty * (1 - 1e-9))
 
 
 def label(model: Model, data: np.ndarray, offsets: np.ndarray, i: int, j: int, penalty: float = SWITCH, spans: bool = False):
@@ -211,9 +236,11 @@ def label(model: Model, data: np.ndarray, offsets: np.ndarray, i: int, j: int, p
     total = np.stack([np.bincount(row, scores[:, c], n) for c in range(k)], 1)
     first = np.searchsorted(row, np.arange(n + 1))
     path = total.argmax(1)[row]
-    for r in np.flatnonzero(may_switch(scores, row, total, penalty)):
-        a, b = first[r], first[r + 1]
-        path[a:b] = viterbi(scores[a:b], penalty)
+    mixed = np.flatnonzero(may_switch(scores, row, total, penalty))
+    if len(mixed):
+        found = viterbi(scores, first[mixed], first[mixed + 1] - first[mixed], penalty)
+        own = np.isin(row, mixed)
+        path[own] = found[own]
     share = np.stack([np.bincount(row, letters * (path == c), n) for c in range(k)], 1)
     some = first[1:] > first[:-1]
     pred[some] = share[some].argmax(1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siltstone.llm import decontaminate, imatch, langid, ngram_join, quality, substring_dedup, suffix_dedup
+from siltstone.llm import decontaminate, imatch, langid, lm, ngram_join, quality, substring_dedup, suffix_dedup
 from siltstone.llm.work import Work
 
 
@@ -43,6 +43,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 1
+    got = lm.score(docs, ~held_out, Work(spark, "op8"))
+    return got.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), Work(spark, "op9"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,7 +64,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op6_imatch": op6_imatch, "op7_quality": op7_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_langid": op10_langid}
+    return {"op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op6_imatch": op6_imatch, "op7_quality": op7_quality, "op8_lm": op8_lm, "op9_suffix_dedup": op9_suffix_dedup, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
