@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siltstone.llm import decontaminate, imatch, langid, lm, ngram_join, quality, substring_dedup, suffix_dedup
+from siltstone.llm import decontaminate, imatch, langid, lm, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup
 from siltstone.llm.work import Work
 
 
@@ -16,6 +16,19 @@ def fold(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.Store(spark, Work(spark, "op1").path)
+    store.append(docs, sharding.ARRIVALS)
+    version = store.compact(docs.schema)
+    return store.rows(docs.schema).select("row.doc_id", "arrival", F.col("file").alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "tier", F.lit(version).alias("version"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "row.source", "offset", "block", "slot")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Work(spark, "op3"))
     return decontaminate.digest(hits)
@@ -64,7 +77,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op6_imatch": op6_imatch, "op7_quality": op7_quality, "op8_lm": op8_lm, "op9_suffix_dedup": op9_suffix_dedup, "op10_langid": op10_langid}
+    return {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op6_imatch": op6_imatch, "op7_quality": op7_quality, "op8_lm": op8_lm, "op9_suffix_dedup": op9_suffix_dedup, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
