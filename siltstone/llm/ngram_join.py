@@ -177,6 +177,15 @@ def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> D
     return partial.groupBy("a", "b").agg(F.sum("o").alias("o"))
 
 
+def _hubs(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc, hub, in_hub: of the sets that each was counted against (or itself), the one that most were, and what it has of it."""
+    both = counted.select("a", "b", "o").unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "o"))
+    fame = both.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("fame"))
+    own = sizes.join(fame, sizes["doc"] == fame["hub"]).select("doc", "hub", F.col("n").cast("long").alias("in_hub"), "fame")
+    met = both.select(F.col("a").alias("doc"), F.col("b").alias("hub"), F.col("o").alias("in_hub")).join(fame, "hub").select("doc", "hub", "in_hub", "fame")
+    return met.unionByName(own).groupBy("doc").agg(F.max(F.struct("fame", "hub", "in_hub")).alias("h")).select("doc", "h.hub", "h.in_hub")
+
+
 class Join:
     """The join's outputs: `sets` (key, n for every document), `members` (key, rep), `links` (a, b, o between representatives), `labels` (node, component)."""
 
@@ -194,9 +203,10 @@ class Join:
         own = terms.join(counts, "id").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "id"))).alias("by"), F.sum("df").alias("weight"))
         # bound (2): n-grams that no other set has come first in the order, and use up part of the quarter
         rare = own.withColumn("take", F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1 - (F.col("n") - F.size("by"))).filter("take > 0")
-        rare = rare.select("doc", "n", (F.col("weight") / F.col("n")).alias("central"), F.explode(F.slice("by", 1, F.col("take").cast("int"))).alias("x")).select("doc", "n", "central", "x.id")
+        rare = rare.select("doc", "n", F.size("by").alias("met"), (F.col("weight") / F.col("n")).alias("central"), F.posexplode(F.slice("by", 1, F.col("take").cast("int"))).alias("place", "x")).select("doc", "n", "met", "central", (F.col("n") - F.col("met") + F.col("place") + 1).alias("place"), "x.id")
         rare = work.save(rare, "rare")
-        fits = F.expr(f"100 * least(n, m) >= {similarity} * greatest(n, m)")
+        # what two sets share is no more than either shares with any, which bounds the similarity for their sizes
+        fits = F.expr(f"100 * least(met, other) >= {similarity} * (n + m - least(met, other))")
         self.links = None
         checked = None
         for turn, rank in enumerate(("central", "hash(doc)", None)):
@@ -206,19 +216,29 @@ class Join:
                 # only n-grams whose documents are not yet one component
                 labelled = rare.join(self.labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
                 split = labelled.groupBy("id").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("id")
-                left = work.save(labelled.join(split, "id"), f"left-{turn}")
+                left = labelled.join(split, "id")
+                left = work.save(left if rank else left.join(hubs, "doc", "left"), f"left-{turn}")
             if rank:
-                heads = left.groupBy("id").agg(F.max(F.struct(F.expr(rank).alias("rank"), "doc", "n")).alias("h")).select("id", F.col("h.doc").alias("head"), F.col("h.n").alias("m"))
+                heads = left.groupBy("id").agg(F.max(F.struct(F.expr(rank).alias("rank"), "doc", "n", "met")).alias("h")).select("id", F.col("h.doc").alias("head"), F.col("h.n").alias("m"), F.col("h.met").alias("other"))
                 pairs = left.join(heads, "id").filter((F.col("doc") != F.col("head")) & fits).select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"))
             else:
-                other = left.select("id", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("component").alias("theirs"))
-                pairs = left.join(other, "id").filter((F.col("doc") < F.col("b")) & (F.col("component") != F.col("theirs")) & fits).select(F.col("doc").alias("a"), "b")
+                other = left.select("id", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("met").alias("other"), F.col("component").alias("theirs"), F.col("place").alias("their_place"), F.col("hub").alias("their_hub"), F.col("in_hub").alias("theirs_in_hub"))
+                # two sets share at most what the one with less of a common hub has of it, and of what both have beside it and share with any
+                share = "least(in_hub, theirs_in_hub) + least(met - in_hub, other - theirs_in_hub)"
+                # the first n-gram that both have stands before the last of each that leaves room for what they must share
+                must = f"ceil({similarity} * (n + m) / {100 + similarity})"
+                early = F.expr(f"place <= n - {must} + 1 and their_place <= m - {must} + 1")
+                near = early & F.expr(f"coalesce(hub != their_hub or 100 * ({share}) >= {similarity} * (n + m - ({share})), true)")
+                pairs = left.join(other, "id").filter((F.col("doc") < F.col("b")) & (F.col("component") != F.col("theirs")) & fits & near).select(F.col("doc").alias("a"), "b")
             pairs = pairs.distinct()
             if checked is not None:
                 pairs = pairs.join(checked, ["a", "b"], "left_anti")
             pairs = work.save(pairs, f"pairs-{turn}")
             sizes = reps.select("doc", "n")
             counted = overlaps(pairs, reps).join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+            if turn == 0:
+                counted = work.save(counted, "counted")
+                hubs = _hubs(counted, sizes)
             found = work.save(counted.filter(F.expr(f"100 * o >= {similarity} * (na + nb - o)")).select("a", "b", "o"), f"links-{turn}")
             checked = pairs if checked is None else checked.unionByName(pairs)
             if turn and found.isEmpty():
