@@ -30,7 +30,9 @@ from siltstone.llm.work import Work, partitions
 SPAN = 400
 PIECE = 64
 #: Bytes of a shard's text.
-SHARD = 1 << 20
+SHARD = 1 << 19
+#: Bytes of stretches that a task holds before it sends them.
+HELD = 8 << 20
 _BITS = 48
 _SENT = "fragment int, kind int, docs binary, starts binary, names binary, sizes binary, bytes binary"
 _SENT_ARROW = pa.schema([("fragment", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("docs", "starts", "names", "sizes", "bytes"))])
@@ -71,7 +73,7 @@ def names(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, piece: int = P
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = tokens.buffers(batch.column("text"))
-    for i, j in tokens.slices(offsets):
+    for i, j in tokens.slices(offsets, 1 << 19):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
@@ -194,8 +196,9 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, piece:
             inner = met_.values.offsets.to_numpy()[met_.offsets.to_numpy()]
             ends = inner - inner[0]
             flat = met_.flatten().flatten().to_numpy().view(np.uint64)
-            # stretches of this batch by their bytes: name, places, how many strings start in it
+            # stretches by their bytes: name, places, how many strings start in it
             held: dict[bytes, list] = {}
+            size = 0
             for i, j, data, bounds in _slices(batch):
                 start, name, _, _ = names(data, bounds, span, piece)
                 row = np.searchsorted(bounds, start, "right") - 1
@@ -214,19 +217,26 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, piece:
                     got = held.get(text := raw[a : b + span])
                     if got is None:
                         held[text] = got = [n, []]
+                        size += len(text)
                     got[1].append((int(keys[i + r]), int(a - bounds[r])))
-            by: dict[tuple[int, int], list] = {}
-            for text, (name, places) in held.items():
-                f = name // width
-                by.setdefault((f, len(places) > 1), []).append((*places[0], name, len(text), text))
-                for doc, at in places if len(places) > 1 else ():
-                    by.setdefault((f, 2), []).append((doc, at, name, len(text), b""))
-            out = {name: [] for name in _SENT_ARROW.names}
-            for (f, kind), rows in by.items():
-                d, s, n, z, t = zip(*rows)
-                for name, y in zip(out, (f, int(kind), *(pack_keys(np.array(x, np.int64)) for x in (d, s, n, z)), b"".join(t))):
-                    out[name].append(y)
-            yield pa.RecordBatch.from_pydict(out, schema=_SENT_ARROW)
+                if size > HELD:
+                    yield put(held)
+                    held, size = {}, 0
+            yield put(held)
+
+    def put(held: dict[bytes, list]) -> pa.RecordBatch:
+        by: dict[tuple[int, int], list] = {}
+        for text, (name, places) in held.items():
+            f = name // width
+            by.setdefault((f, len(places) > 1), []).append((*places[0], name, len(text), text))
+            for doc, at in places if len(places) > 1 else ():
+                by.setdefault((f, 2), []).append((doc, at, name, len(text), b""))
+        out = {name: [] for name in _SENT_ARROW.names}
+        for (f, kind), rows in by.items():
+            d, s, n, z, t = zip(*rows)
+            for name, y in zip(out, (f, int(kind), *(pack_keys(np.array(x, np.int64)) for x in (d, s, n, z)), b"".join(t))):
+                out[name].append(y)
+        return pa.RecordBatch.from_pydict(out, schema=_SENT_ARROW)
 
     def sort(group: pa.Table) -> pa.Table:
         """kind 0: stretches of one place; 1: that stand for several places of a batch; 2: those places."""
