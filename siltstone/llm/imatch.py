@@ -124,7 +124,7 @@ class Lexicon:
         each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first[at], size)
         cell = np.repeat(row, size) * (LEVELS * SUBSETS) + columns[each]
         value = (tokens.mix(np.repeat(id_, size) ^ U(0xD1B54A32D192ED03)) >> U(33)).astype(float) + 1
-        return np.bincount(cell, weights=value, minlength=n * LEVELS * SUBSETS)  # exact: below 2**53
+        return np.bincount(cell, weights=value, minlength=n * LEVELS * SUBSETS).astype(float)  # exact: below 2**53
 
     def prints(self, texts: pa.Array) -> np.ndarray:
         """One row of 16-bit hashes for each text; 0 where the text has no term of the subset."""
