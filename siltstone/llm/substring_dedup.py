@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siltstone.llm import tokens
-from siltstone.llm.packed import pack, pack_keys, unpack, unpack_keys
+from siltstone.llm.packed import by_bucket, by_document, pack, pack_keys, unpack, unpack_keys
 from siltstone.llm.tokens import U
 from siltstone.llm.work import Work, partitions
 
@@ -40,6 +40,7 @@ _BITS = 48
 
 _SENT = "fragment int, kind int, docs binary, at binary, ids binary"
 _SENT_ARROW = pa.schema([("fragment", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
+_MET = pa.schema([("fragment", pa.int32()), ("bucket", pa.int32()), ("docs", pa.binary()), ("values", pa.binary())])
 NEW, KNOWN, RUN = 0, 1, 2
 
 
@@ -69,14 +70,6 @@ def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _lists(key: np.ndarray, values: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, pa.ListArray]:
-    """Distinct keys and the list of each one's values."""
-    order = np.argsort(key, kind="stable")
-    key, values = key[order], values[order]
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    return key[begin], pa.ListArray.from_arrays(pa.array(np.r_[begin, len(key)], pa.int32()), pa.array(values, kind))
-
-
 def send_entries(docs: DataFrame, key: str, fragments: int) -> DataFrame:
     """Packed entries of each batch of rows, one document for each, by fragment; where several documents had one, all of these as known."""
     width = -(-(1 << _BITS) // fragments)
@@ -128,8 +121,8 @@ class FingerprintIndex:
         self.turn = 0
 
     def append(self, docs: DataFrame) -> DataFrame:
-        """Merge-joins a batch with the runs: doc, entries (array<long>) that it shares with other documents, of either."""
-        key, width = self.key, self.width
+        """Merge-joins a batch with the runs: documents of either and entries that they share with others, packed by bucket of documents."""
+        key, width, self_fragments = self.key, self.width, self.fragments
 
         def merge(group: pa.Table) -> pa.Table:
             f = group.column("fragment")[0].as_py()
@@ -153,23 +146,18 @@ class FingerprintIndex:
             again = np.unique(at[was])
             docs_ = np.concatenate([doc[flag], old_doc[again] if len(old) else old_doc, got[KNOWN][1]])
             ids_ = np.concatenate([id_[flag], old[again] if len(old) else old, got[KNOWN][0]])
-            who, lists = _lists(docs_, (ids_ + U(f * width)).view(np.int64), pa.int64())
             first = np.r_[True, id_[1:] != id_[:-1]][: len(id_)] & ~was
-            n = len(who)
-            return pa.table({
-                "fragment": pa.array([f] * (n + 1), pa.int32()), "doc": pa.array([*who.tolist(), None], pa.int64()),
-                "entries": pa.concat_arrays([lists, pa.array([None], pa.list_(pa.int64()))]),
-                "docs": pa.array([None] * n + [pack_keys(doc[first])], pa.binary()), "ids": pa.array([None] * n + [pack(id_[first], 6)], pa.binary()),
-            })
+            bucket, packed, values = by_bucket(docs_, (ids_ + U(f * width)).view(np.int64), self_fragments)
+            return pa.table({"fragment": [f] * (len(bucket) + 1), "bucket": [*bucket, -1], "docs": [*packed, pack_keys(doc[first])], "values": [*values, pack(id_[first], 6)]}, schema=_MET)
 
         sent = send_entries(docs, key, self.fragments)
         for _, _, run in self.runs:
-            sent = sent.unionByName(run.select("fragment", F.lit(RUN).alias("kind"), "docs", F.lit(b"").alias("at"), "ids"))
+            sent = sent.unionByName(run.select("fragment", F.lit(RUN).alias("kind"), "docs", F.lit(b"").alias("at"), F.col("values").alias("ids")))
         self.turn += 1
         name = f"{self.name}-{self.turn}"
-        got = self.work.save(sent.groupBy("fragment").applyInArrow(merge, "fragment int, doc long, entries array<long>, docs binary, ids binary"), name)
-        self.runs.append((0, name, got.filter("doc is null").select("fragment", "docs", "ids")))
-        return got.filter("doc is not null").select("doc", "entries")
+        got = self.work.save(sent.groupBy("fragment").applyInArrow(merge, "fragment int, bucket int, docs binary, values binary"), name)
+        self.runs.append((0, name, got.filter("bucket < 0").select("fragment", "docs", "values")))
+        return got.filter("bucket >= 0").select("bucket", "docs", "values")
 
     def compact(self) -> None:
         """Merges the runs of any level that has FAN_IN of them into one of the next level."""
@@ -183,31 +171,27 @@ class FingerprintIndex:
                 rows = rows.unionByName(r[2])
 
             def merge(group: pa.Table) -> pa.Table:
-                id_ = np.concatenate([unpack(x.as_py(), 6) for x in group.column("ids")])
+                id_ = np.concatenate([unpack(x.as_py(), 6) for x in group.column("values")])
                 doc = np.concatenate([unpack_keys(x.as_py()) for x in group.column("docs")])
                 order = np.argsort(id_, kind="stable")
-                return pa.table({"fragment": group.column("fragment").slice(0, 1), "docs": [pack_keys(doc[order])], "ids": [pack(id_[order], 6)]})
+                return pa.table({"fragment": group.column("fragment").slice(0, 1), "docs": [pack_keys(doc[order])], "values": [pack(id_[order], 6)]})
 
             self.turn += 1
             name = f"{self.name}-{self.turn}"
-            merged = self.work.save(rows.groupBy("fragment").applyInArrow(merge, "fragment int, docs binary, ids binary"), name)
+            merged = self.work.save(rows.groupBy("fragment").applyInArrow(merge, "fragment int, docs binary, values binary"), name)
             self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, name, merged)]
 
 
 def repeats(docs: DataFrame, met: DataFrame, key: str) -> DataFrame:
-    """Verifies what met: doc, starts (first words of windows whose word sequence a document with a smaller id has)."""
+    """Verifies what met: documents and first words of windows whose word sequence a document with a smaller id has, packed by bucket of documents."""
     fragments = max(8, partitions(docs.sparkSession))
     width = -(-(1 << 64) // fragments)
 
     def send(batches):
         for batch in batches:
             keys = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
-            met_ = batch.column("entries")
-            flat, ends = met_.flatten().flatten(), None
-            outer = met_.offsets.to_numpy()
-            inner = met_.values.offsets.to_numpy()
-            ends = inner[outer] - inner[outer[0]]
-            flat = flat.to_numpy().view(np.uint64)
+            raw, ends = tokens.buffers(batch.column("values"))
+            flat, ends = raw[ends[0] : ends[-1]].view(np.uint64), (ends - ends[0]) // 8
             docs_, starts, prints = [], [], []
             for i, j, w in _slices(batch):
                 row, at, entry = entries(w)
@@ -255,12 +239,10 @@ def repeats(docs: DataFrame, met: DataFrame, key: str) -> DataFrame:
             later = doc > doc[new][np.cumsum(new) - 1]
             docs_.append(doc[later])
             starts.append(start[later])
-        who, lists = _lists(_joined(docs_, np.int64), _joined(starts, np.int64).astype(np.int32), pa.int32())
-        return pa.table({"doc": pa.array(who, pa.int64()), "starts": lists})
+        return pa.table(dict(zip(("bucket", "docs", "values"), by_bucket(_joined(docs_, np.int64), _joined(starts, np.int64), fragments))), schema=pa.schema(list(_MET)[1:]))
 
-    flagged = met.groupBy("doc").agg(F.collect_list("entries").alias("entries"))
-    rows = docs.select(F.col(key).cast("long").alias(key), "text").join(flagged.withColumnRenamed("doc", key), key)
-    return rows.mapInArrow(send, _SENT).groupBy("fragment").applyInArrow(least, "doc long, starts array<int>")
+    rows = docs.select(F.col(key).cast("long").alias(key), "text").join(by_document(met, key), key)
+    return rows.mapInArrow(send, _SENT).groupBy("fragment").applyInArrow(least, "bucket int, docs binary, values binary")
 
 
 def remove(docs: DataFrame, found: DataFrame, key: str, k: int = WORDS) -> DataFrame:
@@ -268,16 +250,16 @@ def remove(docs: DataFrame, found: DataFrame, key: str, k: int = WORDS) -> DataF
 
     def cut(batches):
         for batch in batches:
-            lists = batch.column("starts")
+            lists = batch.column("values")
             n_words, n_removed, kept = [], [], []
             for i, j, w in _slices(batch):
                 raw = w.data.tobytes()
                 for r in range(j - i):
                     a, b = w.first[r], w.first[r + 1]
                     start, end = w.start[a:b], w.end[a:b]
-                    own = lists[i + r].values
-                    if own is not None and len(own):
-                        at = np.concatenate([np.asarray(x.values) for x in lists[i + r]])
+                    own = lists[i + r].as_py()
+                    if own:
+                        at = np.frombuffer(own, np.int64)
                         stay = ~tokens.covered(at, at + k, b - a)
                         start, end = start[stay], end[stay]
                     n_words.append(b - a)
@@ -286,8 +268,7 @@ def remove(docs: DataFrame, found: DataFrame, key: str, k: int = WORDS) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.large_string()).cast(pa.string())], [key, "n_words", "n_removed", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    starts = found.groupBy("doc").agg(F.collect_list("starts").alias("starts")).withColumnRenamed("doc", key)
-    return docs.select(key, "text").join(starts, key, "left").mapInArrow(cut, f"{key} {kind}, n_words long, n_removed long, kept string")
+    return docs.select(key, "text").join(by_document(found, key), key, "left").mapInArrow(cut, f"{key} {kind}, n_words long, n_removed long, kept string")
 
 
 def deduplicate(docs: DataFrame, work: Work, key: str = "doc_id", batches: int = BATCHES) -> DataFrame:
