@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siltstone.llm import tokens
-from siltstone.llm.packed import pack, pack_keys, unpack, unpack_keys
+from siltstone.llm.packed import by_bucket, by_document, pack, pack_keys, unpack, unpack_keys
 from siltstone.llm.suffix_array import repeated
 from siltstone.llm.tokens import U
 from siltstone.llm.work import Work, partitions
@@ -35,6 +35,7 @@ SHARD = 1 << 19
 HELD = 8 << 20
 _BITS = 48
 _SENT = "fragment int, kind int, docs binary, starts binary, names binary, sizes binary, bytes binary"
+_MET = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("values", pa.binary())])
 _SENT_ARROW = pa.schema([("fragment", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("docs", "starts", "names", "sizes", "bytes"))])
 
 
@@ -77,15 +78,8 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def _lists(key: np.ndarray, values: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, pa.ListArray]:
-    order = np.argsort(key, kind="stable")
-    key, values = key[order], values[order]
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    return key[begin], pa.ListArray.from_arrays(pa.array(np.r_[begin, len(key)], pa.int32()), pa.array(values, kind))
-
-
 def shared_names(docs: DataFrame, key: str, span: int = SPAN, piece: int = PIECE) -> DataFrame:
-    """doc, names (array<long>) of its pieces that occur more than once, anywhere."""
+    """Documents and names of their pieces that occur more than once, anywhere, packed by bucket of documents."""
     fragments = max(8, partitions(docs.sparkSession))
     width = -(-(1 << _BITS) // fragments)
 
@@ -129,11 +123,10 @@ def shared_names(docs: DataFrame, key: str, span: int = SPAN, piece: int = PIECE
             met = (np.r_[False, same][: len(id_)] | np.r_[same, False][: len(id_)]) & ~marked
             docs_.append(doc[met])
             ids.append(id_[met])
-        who, lists = _lists(np.concatenate(docs_), (np.concatenate(ids) + U(f * width)).view(np.int64), pa.int64())
-        return pa.table({"doc": pa.array(who, pa.int64()), "names": lists})
+        return pa.table(dict(zip(_MET.names, by_bucket(np.concatenate(docs_), (np.concatenate(ids) + U(f * width)).view(np.int64), fragments))), schema=_MET)
 
     rows = docs.select(F.col(key).cast("long").alias(key), "text").filter(F.col(key).isNotNull())
-    return rows.mapInArrow(send, _SENT).groupBy("fragment").applyInArrow(meet, "doc long, names array<long>")
+    return rows.mapInArrow(send, _SENT).groupBy("fragment").applyInArrow(meet, "bucket int, docs binary, values binary")
 
 
 def in_shards(pieces: list[bytes], of: np.ndarray, span: int = SPAN, size: int = SHARD) -> list[np.ndarray]:
@@ -185,17 +178,15 @@ def in_shards(pieces: list[bytes], of: np.ndarray, span: int = SPAN, size: int =
 
 
 def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
-    """doc, ranges (array<int>: first start, last start + 1, and so on) of strings that occur more than once."""
+    """Documents and ranges (first start * 2**31 + last start + 1) of strings that occur more than once, packed by bucket of documents."""
     fragments = max(8, partitions(docs.sparkSession))
     width = -(-(1 << _BITS) // fragments)
 
     def send(batches):
         for batch in batches:
             keys = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
-            met_ = batch.column("names")
-            inner = met_.values.offsets.to_numpy()[met_.offsets.to_numpy()]
-            ends = inner - inner[0]
-            flat = met_.flatten().flatten().to_numpy().view(np.uint64)
+            flat, ends = tokens.buffers(batch.column("values"))
+            flat, ends = flat[ends[0] : ends[-1]].view(np.uint64), (ends - ends[0]) // 8
             # stretches by their bytes: name, places, how many strings start in it
             held: dict[bytes, list] = {}
             size = 0
@@ -271,12 +262,10 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, piece:
                     ranges.append(edges + s)
         doc = np.concatenate(docs_) if docs_ else np.zeros(0, np.int64)
         edges = np.concatenate(ranges) if ranges else np.zeros((0, 2), np.int64)
-        who, lists = _lists(np.repeat(doc, 2), edges.reshape(-1).astype(np.int32), pa.int32())
-        return pa.table({"doc": pa.array(who, pa.int64()), "ranges": lists})
+        return pa.table(dict(zip(_MET.names, by_bucket(doc, (edges[:, 0] << 31) | edges[:, 1], fragments))), schema=_MET)
 
-    flagged = met.groupBy("doc").agg(F.collect_list("names").alias("names")).withColumnRenamed("doc", key)
-    rows = docs.select(F.col(key).cast("long").alias(key), "text").join(flagged, key)
-    return rows.mapInArrow(send, _SENT).groupBy("fragment").applyInArrow(sort, "doc long, ranges array<int>")
+    rows = docs.select(F.col(key).cast("long").alias(key), "text").join(by_document(met, key), key)
+    return rows.mapInArrow(send, _SENT).groupBy("fragment").applyInArrow(sort, "bucket int, docs binary, values binary")
 
 
 def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN) -> DataFrame:
@@ -284,28 +273,27 @@ def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN) -> Dat
 
     def cut(batches):
         for batch in batches:
-            lists = batch.column("ranges")
+            lists = batch.column("values")
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             data, offsets = tokens.buffers(batch.column("text"))
             for r in range(len(offsets) - 1):
                 own = data[offsets[r] : offsets[r + 1]]
                 n_bytes.append(len(own))
-                ranges = lists[r].values
-                if ranges is None or not len(ranges):
+                ranges = lists[r].as_py()
+                if not ranges:
                     n_removed.append(0)
                     n_spans.append(0)
                     kept.append(own.tobytes())
                     continue
-                edges = np.concatenate([np.asarray(x.values) for x in lists[r]])
-                gone = tokens.covered(edges[::2], edges[1::2] + span - 1, len(own))
+                edges = np.frombuffer(ranges, np.int64)
+                gone = tokens.covered(edges >> 31, (edges & ((1 << 31) - 1)) + span - 1, len(own))
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()))
                 kept.append(own[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    ranges = found.groupBy("doc").agg(F.collect_list("ranges").alias("ranges")).withColumnRenamed("doc", key)
-    return docs.select(key, "text").join(ranges, key, "left").mapInArrow(cut, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.select(key, "text").join(by_document(found, key), key, "left").mapInArrow(cut, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def deduplicate(docs: DataFrame, work: Work, key: str = "doc_id", span: int = SPAN, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
