@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltstone.llm import tokens
 from siltstone.llm.graph import components
-from siltstone.llm.packed import pack, unpack
+from siltstone.llm.packed import by_bucket, pack, unpack, unpack_keys
 from siltstone.llm.tokens import U
 from siltstone.llm.work import Work, partitions
 
@@ -134,10 +134,15 @@ def shared_counts(docs: DataFrame, key: str, k: int = WORDS) -> DataFrame:
                     start += len(docs_[p])
         ids, sums = np.concatenate(docs_), np.concatenate(counts)
         some = sums > 0
-        return pa.table({key: ids[some], "shared": pa.array(sums[some], pa.int32())})
+        return pa.table(dict(zip(("bucket", "docs", "values"), by_bucket(ids[some], sums[some], n))), schema=pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("values", pa.binary())]))
+
+    def add(group: pa.Table) -> pa.Table:
+        ids, at = np.unique(np.concatenate([unpack_keys(x.as_py()) for x in group.column("docs")]), return_inverse=True)
+        counts = np.concatenate([unpack_keys(x.as_py()) for x in group.column("values")])
+        return pa.table({key: ids, "shared": np.bincount(at, counts, len(ids)).astype(np.int64)})
 
     sent = docs.select(F.col(key).cast("long").alias(key), "text").filter(F.col(key).isNotNull()).mapInArrow(send, "fragment int, docs binary, at binary, ids binary")
-    return sent.groupBy("fragment").applyInArrow(count, f"{key} long, shared int").groupBy(key).agg(F.sum("shared").alias("shared"))
+    return sent.groupBy("fragment").applyInArrow(count, "bucket int, docs binary, values binary").groupBy("bucket").applyInArrow(add, f"{key} long, shared long")
 
 
 def bounded_sets(docs: DataFrame, shared: DataFrame, key: str, similarity: int = SIMILARITY, k: int = WORDS) -> DataFrame:
