@@ -265,7 +265,8 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, piece:
         return pa.table(dict(zip(_MET.names, by_bucket(doc, (edges[:, 0] << 31) | edges[:, 1], fragments))), schema=_MET)
 
     rows = docs.select(F.col(key).cast("long").alias(key), "text").join(by_document(met, key), key)
-    return rows.mapInArrow(send, _SENT).groupBy("fragment").applyInArrow(sort, "bucket int, docs binary, values binary")
+    # few bytes are much work here, so partitions must not be joined by size
+    return rows.mapInArrow(send, _SENT).repartition(fragments, "fragment").groupBy("fragment").applyInArrow(sort, "bucket int, docs binary, values binary")
 
 
 def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between Spark and Python.
+ARROW_BYTES = str(8 << 20)
+
 _own: dict[str, str] = {}
 
 
@@ -25,6 +28,8 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        # whole texts go to Python in batches of so many bytes (or one text), whatever their lengths
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
     def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         writer = df.write.option("compression", "zstd").mode("errorifexists")
