@@ -8,11 +8,24 @@ from siltstone.llm import decontaminate, langid, mixing, ngram_join, sharding
 from siltstone.llm.work import Work
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """The documents with all columns renamed that no operator reads, so none clashes with an operator's own."""
+    return docs.toDF(*[c if c in ("doc_id", "text", "lang", "source") else f"_{k}" for k, c in enumerate(docs.columns)])
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text in any language go; a missing language is filled in."""
     model = langid.train(docs, F.lit(True))
-    got = langid.identify(docs, model, docs.columns).filter("lang_pred != 'und'")
-    return got.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    rows = _aside(docs)
+    got = langid.identify(rows, model, rows.columns).filter("lang_pred != 'und'")
+    return got.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c) for c in rows.columns]).toDF(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +37,9 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = decontaminate.decontaminate(docs, tests, Work(spark, "stage-decontaminate"), keep=docs.columns)
-    return hits.filter("n_hit = 0").select(*docs.columns)
+    rows = _aside(docs)
+    hits = decontaminate.decontaminate(rows, tests, Work(spark, "stage-decontaminate"), keep=rows.columns)
+    return hits.filter("n_hit = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +52,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     store = sharding.Store(spark, Work(spark, "stage-shards").path)
     store.append(docs, sharding.ARRIVALS)
     version = store.compact(docs.schema)
-    return store.rows(docs.schema).select("row.*", F.col("file").alias("shard"), F.col("rows").alias("shard_rows"), F.lit(version).alias("version"))
+    return store.rows(docs.schema).select("row.*", F.col("file").alias(_free("shard", docs)), F.col("rows").alias(_free("shard_rows", docs)), F.lit(version).alias(_free("version", docs)))
 
 
 STAGES = [

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from siltstone.llm import tokens
 from siltstone.llm.work import Work
@@ -168,7 +168,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, work: Work, key: str = "doc
     index = PositionalIndex(docs, tests, work, key, tests_key, k)
     keep = [c for c in keep or [] if c != key]
     fields = [docs.schema[c] for c in (key, *keep)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_words long, n_hit long, items array<string>"
+    schema = T.StructType([*fields, *T._parse_datatype_string("n_words long, n_hit long, items array<string>")])
     finds = index.phrase_matches()
 
     def compare(batches):

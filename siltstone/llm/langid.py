@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siltstone.llm import tokens
 
@@ -262,7 +262,7 @@ def label(model: Model, data: np.ndarray, offsets: np.ndarray, i: int, j: int, p
 def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = SWITCH, spans: bool = False) -> DataFrame:
     """The columns in `keep`, lang_pred, score, and with `spans` the labelled byte ranges."""
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
+    schema = T.StructType([*fields, *T._parse_datatype_string("lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans)])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * languages floats
 
     def run(batches):

@@ -86,13 +86,6 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str,
     return out
 
 
-def _free(name: str, columns: list[str]) -> str:
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def target_weights(sizes: dict[str, int], given: dict[str, float] | None) -> dict[str, float]:
     if given is None:
         return {s: float(n) ** POWER for s, n in sizes.items()}
