@@ -7,7 +7,7 @@ import unicodedata
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 CHALLENGE = ("captcha", "cf-turnstile", "cf-challenge", "verify you are human", "unusual traffic")
 
@@ -76,7 +76,7 @@ def is_challenge(body: Column, tokens: tuple[str, ...] = CHALLENGE) -> Column:
 
 def is_robots(body: Column) -> Column:
     """Not blank, no challenge, a user-agent line with a value and an allow or disallow line."""
-    return F.coalesce(body.rlike(r"\S") & ~is_challenge(body) & body.rlike(r"(?im)^\s*user-agent\s*:\s*\S+") & body.rlike(r"(?im)^\s*(dis)?allow\s*:"), F.lit(False))
+    return F.coalesce(body.rlike(r"\S") & ~is_challenge(body) & body.rlike(r"(?im)^[ \t]*user-agent[ \t]*:[ \t]*\S+") & body.rlike(r"(?im)^[ \t]*(dis)?allow[ \t]*:"), F.lit(False))
 
 
 def fits_kind(mime: Column, body: Column, kind: str) -> Column:
@@ -90,19 +90,19 @@ def locations(sitemap: Column, most: int = 100) -> Column:
     return F.slice(F.regexp_extract_all(sitemap, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), 1, most)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML entities resolved."""
     return text.map(_html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(text: pd.Series) -> pd.Series:
     """Unicode NFC without control characters (tab and line ends stay)."""
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFC", t) if c in "\t\n\r" or unicodedata.category(c) != "Cc"), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link as an absolute URL; null if it can't be one."""
 
@@ -115,7 +115,7 @@ def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or x is None else join(b, x) for b, x in zip(base, link)], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def decoded(body: pd.Series, encoding: pd.Series, limit: pd.Series) -> pd.Series:
     """gzip or deflate undone, `limit` bytes at most."""
     import zlib

@@ -103,7 +103,7 @@ _BODY = "CASE page_id % 6 WHEN 0 THEN html WHEN 1 THEN 'User-agent: *' || chr(10
 _CHALLENGED = "(" + " OR ".join(f"contains(lower(substr(b, 1, 100000)), '{t}')" for t in pages.CHALLENGE) + ")"
 
 
-@query(rf"""SELECT page_id, {_CHALLENGED} challenge, regexp_matches(b, '\S') AND NOT {_CHALLENGED} AND regexp_matches(b, '(?im)^\s*user-agent\s*:\s*\S+') AND regexp_matches(b, '(?im)^\s*(dis)?allow\s*:') robots,
+@query(rf"""SELECT page_id, {_CHALLENGED} challenge, regexp_matches(b, '\S') AND NOT {_CHALLENGED} AND regexp_matches(b, '(?im)^[ \t]*user-agent[ \t]*:[ \t]*\S+') AND regexp_matches(b, '(?im)^[ \t]*(dis)?allow[ \t]*:') robots,
  regexp_matches(b, '(?is)^\s*<(!doctype html|html|head|body|!--)') html_fits, regexp_matches(b, '(?s)^\s*[\[{{]') json_fits, regexp_extract(b, '(?is)<loc>\s*(.*?)\s*</loc>', 1) first_loc FROM (SELECT page_id, {_BODY} b FROM pages)""")
 def f07_f08_f09_s09_body_checks(spark, sf_dir):
     b = F.col("b")
