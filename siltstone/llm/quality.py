@@ -144,9 +144,11 @@ def _grid_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    share = y.mean() if len(y) else 0.5
+    if not len(y):
+        return Model(0.0)
+    share = y.mean()
     if not 0 < share < 1:
-        return Model(0.0 if not len(y) else float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        return Model(float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     model = Model(float(np.log(share / (1 - share))))
     model.edges = [_edges(c, BINS) for c in x.T]
     model.coarse = [_edges(c, PAIR_BINS) for c in x.T]
