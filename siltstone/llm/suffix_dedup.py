@@ -49,6 +49,11 @@ def _slide(x: np.ndarray, span: int, pick) -> np.ndarray:
     return x
 
 
+def _spread(least: np.ndarray) -> np.ndarray:
+    """Least values crowd near 0; names must fill the range that fragments cut."""
+    return tokens.mix(least) >> U(64 - _BITS)
+
+
 def names(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and name of each `span`-byte string within a row, and place and name of each piece that names any. bounds: rows' offsets in data."""
     n = len(data)
@@ -69,7 +74,7 @@ def names(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, piece: int = P
     most = np.concatenate([np.zeros(wide - 1, U), np.where(valid, least, U(0))])
     names_any = (_slide(most, wide, np.maximum)[:n] == print_[:n]) & (print_[:n] < U(1 << _BITS))
     start, held = np.flatnonzero(valid), np.flatnonzero(names_any)
-    return start, least[start], held, print_[held]
+    return start, _spread(least[start]), held, _spread(print_[held])
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
