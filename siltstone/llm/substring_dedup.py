@@ -57,7 +57,8 @@ def entries(w: tokens.Words, k: int = WORDS, piece: int = PIECE) -> tuple[np.nda
     n = np.maximum(w.counts - k + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + w.first[:-1][row]
-    return row, at, least[at]
+    # least values crowd near 0; entries must fill the range that fragments cut
+    return row, at, tokens.mix(least[at]) >> U(64 - _BITS)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tokens.Words]]:
