@@ -160,6 +160,11 @@ class FingerprintIndex:
         self.runs.append((0, name, got.filter("bucket < 0").select("fragment", "docs", "values")))
         return got.filter("bucket >= 0").select("bucket", "docs", "values")
 
+    def close(self) -> None:
+        """Deletes the runs and what met; a lasting index is one that isn't closed."""
+        self.work.drop(*[f"{self.name}-{k + 1}" for k in range(self.turn)])
+        self.runs = []
+
     def compact(self) -> None:
         """Merges the runs of any level that has FAN_IN of them into one of the next level."""
         while True:
@@ -288,6 +293,7 @@ def deduplicate(docs: DataFrame, work: Work, key: str = "doc_id", batches: int =
         if high is not None:
             index.compact()
     found = work.save(repeats(docs, met, key), "repeats")
+    index.close()
     return remove(docs, found, key)
 
 
