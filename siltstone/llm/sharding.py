@@ -4,7 +4,8 @@ Arrivals are written as small files that never change: one for each task and arr
 similarly sized files that have enough of them, packs each tier's files, in order of their first rows, into groups of
 the target size, and writes a group as one file. What is current is a manifest: a table of files, written under a new
 version; then the version is committed by renaming one small file into place. A reader sees the last committed version,
-whatever a lost executor or driver left half done; superseded files are deleted only after the commit.
+whatever a lost executor or driver left half done; superseded files are deleted only after the commit. Each writer has
+folders of its own, so one that comes second changes nothing of what the first committed.
 
 Defined results: an empty table makes a version without files; null and empty texts, repeated rows and further columns
 are stored as they are; a row larger than the target makes a file of its own size; ties in size are broken by the first
@@ -14,6 +15,7 @@ row.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -51,16 +53,22 @@ class Store:
         n = self.version()
         if not n:
             return self.spark.createDataFrame([], _ENTRIES)
-        return self.spark.read.schema(_ENTRIES).parquet(f"{self.path}/manifests/v{n:08d}")
+        stream = self._fs.open(self._path(f"{self.path}/versions/v{n:08d}.json"))
+        try:
+            found = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return self.spark.read.schema(_ENTRIES).parquet(f"{self.path}/{found['manifest']}")
 
     def commit(self, entries: DataFrame, after: int) -> int:
         """Makes `entries` the version that follows `after`; raises if another writer was first."""
         n = after + 1
-        entries.write.mode("overwrite").parquet(f"{self.path}/manifests/v{n:08d}")
+        own = f"{n:08d}-{uuid.uuid4().hex}"
+        entries.write.mode("errorifexists").parquet(f"{self.path}/manifests/{own}")
         self._fs.mkdirs(self._path(f"{self.path}/versions"))
-        draft, final = self._path(f"{self.path}/versions/.draft-{n:08d}"), self._path(f"{self.path}/versions/v{n:08d}.json")
+        draft, final = self._path(f"{self.path}/versions/.draft-{own}"), self._path(f"{self.path}/versions/v{n:08d}.json")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": n, "manifest": f"manifests/v{n:08d}"}).encode()))
+        out.write(bytearray(json.dumps({"version": n, "manifest": f"manifests/{own}"}).encode()))
         out.close()
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             raise RuntimeError(f"version {n} was committed by another writer")
@@ -82,7 +90,7 @@ class Store:
     def append(self, docs: DataFrame, arrivals: int = 1) -> int:
         """Writes new rows as small shards, in `arrivals` parts, and commits them beside what is there."""
         before = self.version()
-        folder = f"append-{before + 1:08d}"
+        folder = f"append-{before + 1:08d}-{uuid.uuid4().hex}"
         try:
             place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").cast("long").alias("row"))
             rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place.alias("place"))
@@ -113,9 +121,9 @@ class Store:
     def compact(self, schema) -> int:
         """Merges similarly sized files into files of the target size and commits; without such files the version stays."""
         before = self.version()
-        folder = f"merge-{before + 1:08d}"
-        self.plan().write.mode("overwrite").parquet(f"{self.path}/plans/v{before + 1:08d}")
-        plan = self.spark.read.schema("file string, group int").parquet(f"{self.path}/plans/v{before + 1:08d}")
+        folder = f"merge-{before + 1:08d}-{uuid.uuid4().hex}"
+        self.plan().write.mode("errorifexists").parquet(f"{self.path}/plans/{folder}")
+        plan = self.spark.read.schema("file string, group int").parquet(f"{self.path}/plans/{folder}")
         n = plan.agg(F.max("group")).first()[0]
         if n is None:
             return before

@@ -449,7 +449,7 @@ def test_sharding(spark, rows, docs, empty, tmp_path):
     assert store.compact(docs.schema) == 3  # nothing left to merge
     with pytest.raises(RuntimeError, match="another writer"):
         store.commit(store.manifest(), 2)
-    assert store.version() == 3
+    assert store.version() == 3 and store.manifest().count() == len(after)
     none = sharding.Store(spark, str(tmp_path / "none"))
     assert none.append(empty) == 1 and none.compact(empty.schema) == 1 and none.rows(empty.schema).count() == 0
 
