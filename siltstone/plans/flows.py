@@ -62,7 +62,17 @@ def a01_method_rates(spark, sf_dir):
 @query(f"""{_TX}, o AS (SELECT *, {_OUT} outcome FROM tx) SELECT user_id, CASE WHEN count_if(outcome = 'succeeded' AND value > 60) > 0 THEN 'succeeded' WHEN count_if(outcome IN ('challenge', 'rate_limited')) > 0 THEN arg_min(outcome, event_id) FILTER (outcome IN ('challenge', 'rate_limited'))
  WHEN count_if(outcome <> 'succeeded') = 0 THEN 'no_results' ELSE 'source_unavailable' END status FROM o WHERE event_id % 7 = 0 GROUP BY 1""")
 def f13_method_status(spark, sf_dir):
-    tx = transactions(spark, sf_dir).filter("event_id % 7 = 0").withColumn("outcome", _outcome())
+    return _statuses(transactions(spark, sf_dir).filter("event_id % 7 = 0"))
+
+
+@query(SQL["f13_method_status"].replace(" WHERE event_id % 7 = 0", ""))
+def f13_all_method_status(spark, sf_dir):
+    """Every event counts."""
+    return _statuses(transactions(spark, sf_dir))
+
+
+def _statuses(tx) -> DataFrame:
+    tx = tx.withColumn("outcome", _outcome())
     tx = tx.withColumn("candidates", ((F.col("outcome") == "succeeded") & (F.col("value") > 60)).cast("int"))
     return acquisition.method_status(tx, "user_id", ["event_id"])
 
@@ -158,9 +168,19 @@ def j07_s17_freshest_artifact(spark, sf_dir):
 SELECT r_name intent, coalesce(queries, 0) queries, coalesce(sources, 0) sources, queries IS NULL gap FROM region LEFT JOIN g ON r_name = intent""")
 def j11_j12_query_plan(spark, sf_dir):
     """Seeds meet intents and sources through a compatibility key each; the three dimensions are lists of a plan, not data."""
+    return _plan(spark, sf_dir, table(spark, sf_dir, "supplier").filter("s_suppkey < 20"))
+
+
+@query(SQL["j11_j12_query_plan"].replace("s_suppkey < 20 AND ", ""))
+def j11_j12_all_query_plan(spark, sf_dir):
+    """Every supplier is a source."""
+    return _plan(spark, sf_dir, table(spark, sf_dir, "supplier"))
+
+
+def _plan(spark, sf_dir, suppliers: DataFrame) -> DataFrame:
     r = table(spark, sf_dir, "region").withColumn("k", F.col("r_regionkey") % 4)
     n = table(spark, sf_dir, "nation").select("n_name", (F.col("n_nationkey") % 4).alias("k"))
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 20").select("s_suppkey", (F.col("s_nationkey") % 3).alias("fit"))
+    s = suppliers.select("s_suppkey", (F.col("s_nationkey") % 3).alias("fit"))
     plan = r.join(n, "k").withColumn("fit", (3 - F.col("r_regionkey") % 3) % 3).join(s, "fit")
     g = plan.groupBy("r_name").agg(F.count("*").alias("queries"), F.countDistinct("s_suppkey").alias("sources"))
     return r.join(g, "r_name", "left").select(F.col("r_name").alias("intent"), F.coalesce("queries", F.lit(0)).alias("queries"), F.coalesce("sources", F.lit(0)).alias("sources"), F.col("queries").isNull().alias("gap"))
@@ -225,7 +245,17 @@ def a19_claim_map(spark, sf_dir):
 SELECT l_partkey, currency, count(*) n, count_if(prev IS NOT NULL AND price > prev)::BIGINT rises, round(max(price / f), 6) peak FROM w GROUP BY 1, 2""")
 def w12_price_history(spark, sf_dir):
     """Prices are followed within one currency only."""
-    l = table(spark, sf_dir, "lineitem").filter("l_partkey < 200 and l_quantity > 0").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
+    return _prices(table(spark, sf_dir, "lineitem").filter("l_partkey < 200 and l_quantity > 0"))
+
+
+@query(SQL["w12_price_history"].replace("l_partkey < 200 AND ", ""))
+def w12_all_price_history(spark, sf_dir):
+    """Every part's prices."""
+    return _prices(table(spark, sf_dir, "lineitem").filter("l_quantity > 0"))
+
+
+def _prices(l: DataFrame) -> DataFrame:
+    l = l.withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
     w = Window.partitionBy("l_partkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber", "price")
     l = l.withColumn("prev", F.lag("price").over(w)).withColumn("f", F.first("price").over(w))
     return l.groupBy("l_partkey", F.col("l_returnflag").alias("currency")).agg(F.count("*").alias("n"), F.count_if(F.col("price") > F.col("prev")).alias("rises"), F.round(F.max(F.col("price") / F.col("f")), 6).alias("peak"))
@@ -334,6 +364,12 @@ def g01_g03_independence_groups(spark, sf_dir):
     return evidence.components(e)
 
 
+@query()
+def g01_g03_all_independence_groups(spark, sf_dir):
+    """Every order and customer is a node of its own: a customer's is twice its key, an order's twice its key and one."""
+    return evidence.components(table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") * 2 + 1).alias("b")))
+
+
 @query("SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) parent, count(*) OVER (PARTITION BY conv_id) thread_size FROM conversations")
 def g04_threads(spark, sf_dir):
     w = Window.partitionBy("conv_id")

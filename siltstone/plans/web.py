@@ -218,3 +218,22 @@ def j15_fuzzy_names(spark, sf_dir):
     pairs = e.join(o, "g").groupBy("name", "other", "n", "m").agg(F.count("*").alias("c")).filter(sim >= 0.6).select("name", "other", F.round(sim, 6).alias("similarity"))
     a, b = p.select(F.col("p_partkey").alias("a"), "name"), p.select(F.col("p_partkey").alias("b"), F.col("name").alias("other"))
     return a.join(pairs, "name").join(b, "other").filter("a < b").select("a", "b", "similarity")
+
+
+@query()
+def j15_all_fuzzy_names(spark, sf_dir):
+    """Pairs (name, other, similarity) of distinct names, and one row (name, p_partkey) for each part, so that copies are not expanded.
+
+    Similar names share one of their rarest trigrams: of n, only n - ceil(0.6 * n) can be missing in the other. What shares one is compared whole.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name")).filter("name is not null")
+    sets = p.select("name").distinct().select("name", texts.trigrams(F.col("name")).alias("t"))
+    terms = sets.select("name", F.explode("t").alias("g"))
+    ordered = terms.join(terms.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("by"))
+    rare = ordered.select("name", F.explode(F.slice("by", F.lit(1), F.expr("size(by) - (6 * size(by) + 9) div 10 + 1").cast("int"))).alias("x")).select("name", "x.g")
+    pairs = rare.join(rare.select(F.col("name").alias("other"), "g"), "g").filter("name < other").select("name", "other").distinct()
+    both = pairs.join(sets, "name").join(sets.select(F.col("name").alias("other"), F.col("t").alias("o")), "other")
+    sim = F.size(F.array_intersect("t", "o")) / F.size(F.array_union("t", "o"))
+    found = both.withColumn("s", sim).filter("s >= 0.6").select("name", "other", F.round("s", 6).alias("similarity"), F.lit(None).cast(p.schema["p_partkey"].dataType).alias("p_partkey"))
+    members = p.select("name", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("similarity"), "p_partkey")
+    return found.unionByName(members)
