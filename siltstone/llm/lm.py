@@ -7,9 +7,10 @@ EXPERTS distributions over ids, and their mixture is the probability. The furthe
 from how the training words with the same beginning go on, backed off to all words (Witten-Bell). All probabilities of
 a step add up to 1.
 
-Training: word counts of all training texts are summed by word; the words' counts give the continuations. The mixture is
-started on a pilot of PILOT windows and refined on every SHARE-th window of all training texts: tasks send sums of the
-experts' part in each id, and their gate weights, which are added up by id. Tables that every task needs are bounded: they
+Training: word counts of all training texts are summed by word; the words' counts give the continuations. The mixture
+starts from random shares of each id, is sharpened in ROUNDS rounds over all windows of all training texts, and refined
+with the attention in one more: tasks send sums of the experts' part in each id, and their gate weights, which are added
+up by id. Tables that every task needs are bounded: they
 keep what makes up at least one part in TABLE of all counts; rarer words' counts meet their documents by hash ranges.
 
 Defined results: null and empty texts are the end alone; without training texts the counts are 0 and all ids are equally
@@ -36,8 +37,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 EXPERTS = 12
 WINDOW = 32
 STRIDE = 24
-PILOT = 6000
-SHARE = 4
+#: Rounds over all training windows in which the experts part.
+ROUNDS = 6
 #: A table keeps entries of at least a TABLE-th of all counts, so it has TABLE entries at most.
 TABLE = 1 << 19
 #: A fixed value: how the vocabulary parts text before it merges bytes.
@@ -284,18 +285,6 @@ class Attention:
         out = [d_pairs, d_far, flat(q).T @ flat(d), flat(context).T @ flat(d), flat(d).sum(0)]
         return np.concatenate([np.asarray(x).ravel() for x in out]) / max(counts.sum(), 1), parts
 
-    def climb(self, inputs, live, targets, counts, rate: float = 0.05, batch: int = 256, rounds: int = 1) -> Attention:
-        """Adam over batches of windows."""
-        own, m, v, t = self, 0.0, 0.0, 0
-        for _ in range(rounds):
-            for a in range(0, len(inputs), batch):
-                part = slice(a, a + batch)
-                g, _ = own.gradient(inputs[part], live[part], targets[part], counts[part])
-                t += 1
-                m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-                own = own.with_weights(own.weights() + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
-        return own
-
 
 def windows(first: np.ndarray, counts: np.ndarray, size: int):
     """Inputs, live, targets, counting positions and row of the windows of rows with `counts` words each; `size`: the end's id."""
@@ -315,46 +304,61 @@ def windows(first: np.ndarray, counts: np.ndarray, size: int):
     return x[place], live, y[place[:, -STRIDE:]], live[:, -STRIDE:], row
 
 
-def pilot(docs: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray, key: str) -> Attention:
-    """Starts the mixture on PILOT windows at most: the least by hash, of those at hashed places of every text."""
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """first (ids of the words of a slice of texts, packed), counts (words of each text, packed)."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = pa.schema([("h", pa.int64()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32())), ("live", pa.list_(pa.bool_()))])
 
     def cut(batches):
         forms = Forms(sent.value, None)
         for batch in batches:
-            keys = np.nan_to_num(batch.column(key).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64).view(np.uint64)
-            for i, j, w in _words(batch):
-                x, live, y, _, row = windows(forms.of(w)[0], w.counts, sent.value.size)
-                h = mix(keys[row + i] * U(0x9E3779B97F4A7C15) + np.arange(len(row)).astype(np.uint64) - np.searchsorted(row, row).astype(np.uint64))
-                pick = np.argsort(h)[:PILOT]  # no more of a slice can be among the least
-                yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), *(pa.array(list(a[pick]), f.type) for a, f in zip((x.astype(np.int32), y.astype(np.int32), live), list(schema)[1:]))], schema=schema)
-
-    # a tenth of all texts at most is cut for the pilot, unless that is too few
-    rows = docs.select(key, "text").filter(F.pmod(F.xxhash64(key), F.lit(8)) == 0)
-    got = rows.mapInArrow(cut, "h long, x array<int>, y array<int>, live array<boolean>").orderBy("h").limit(PILOT).toArrow()
-    rng = np.random.default_rng(7)
-    if not len(got):
-        return Attention.start(np.tile(unigram, (EXPERTS, 1)))
-    x, y, live = (got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1) for c in ("x", "y", "live"))
-    x, y, counts = x.astype(np.int64), y.astype(np.int64), live[:, -STRIDE:]
-    n, v = len(x), len(unigram)
-    # experts begin as a mixture of whole windows
-    parts = rng.dirichlet(np.ones(EXPERTS) * 0.3, n)
-    row = np.repeat(np.arange(n), counts.sum(1))
-    ids = y[counts]
-    for _ in range(25):
-        experts = np.stack([np.bincount(ids, parts[row, k], v) for k in range(EXPERTS)]) + 20 * unigram
+            for _, _, w in _words(batch):
+                first = forms.of(w)[0] if len(w.hash) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_pydict({"first": pa.array([first.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([w.counts.astype(np.int32).tobytes()], pa.binary())})
+
+    return docs.select("text").mapInArrow(cut, "first binary, counts binary")
+
+
+def _slices(batches):
+    """First ids and words of each text, of the slices that `encoded` gave."""
+    for batch in batches:
+        for first, counts in zip(batch.column("first").to_pylist(), batch.column("counts").to_pylist()):
+            yield np.frombuffer(first, np.int32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64)
+
+
+def start(slices: DataFrame, size: int, unigram: np.ndarray) -> Attention:
+    """Experts from sums over all windows of all training texts; they begin with random shares of each id, so they differ at any size."""
+    names = [f"e{k}" for k in range(EXPERTS)]
+    experts = unigram * np.random.default_rng(7).gamma(1.0, size=(EXPERTS, len(unigram)))
+    experts /= experts.sum(1, keepdims=True)
+    weight = np.full(EXPERTS, 1 / EXPERTS)
+    for _ in range(ROUNDS):
+        sent = slices.sparkSession.sparkContext.broadcast((np.log(experts.T), np.log(weight + 1e-6)))
+
+        def run(batches, sent=sent):
+            by_id, prior = sent.value
+            sums = np.zeros((EXPERTS, len(by_id)))
+            for first, counts in _slices(batches):
+                _, _, y, live, _ = windows(first, counts, size)
+                for a in range(0, len(y), 4096):
+                    at = live[a : a + 4096]
+                    n, ids = at.sum(1), y[a : a + 4096][at]
+                    score = np.add.reduceat(by_id[ids], np.cumsum(n) - n) + prior
+                    parts = np.exp(0.5 * (score - score.max(1, keepdims=True)))
+                    parts = np.repeat(parts / parts.sum(1, keepdims=True), n, axis=0)
+                    for k in range(EXPERTS):
+                        sums[k] += np.bincount(ids, parts[:, k], sums.shape[1])
+            at = np.flatnonzero(sums.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(sums[k, at]) for k in range(EXPERTS))], ["id", *names])
+
+        got = slices.mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # one of each id
+        if not len(got):
+            return Attention.start(np.tile(unigram, (EXPERTS, 1)))
+        sums = np.zeros_like(experts)
+        sums[:, got.column("id").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names])
+        experts = sums + 20 * unigram
         experts /= experts.sum(1, keepdims=True)
-        score = np.stack([np.bincount(row, np.log(experts[k, ids]), n) for k in range(EXPERTS)], 1) + np.log(parts.mean(0) + 1e-6)
-        parts = np.exp(0.5 * (score - score.max(1, keepdims=True)))
-        parts /= parts.sum(1, keepdims=True)
-    own = Attention.start(experts)
-    for _ in range(4):
-        own = own.climb(x, live, y, counts)
-        _, each = own.gradient(x, live, y, counts)
-        own = refined(own, np.stack([np.bincount(ids, each[counts][:, k], v) for k in range(EXPERTS)]), unigram)
-    return own
+        weight = sums.sum(1) / sums.sum()
+    return Attention.start(experts)
 
 
 def refined(model: Attention, sums: np.ndarray, unigram: np.ndarray) -> Attention:
@@ -364,27 +368,26 @@ def refined(model: Attention, sums: np.ndarray, unigram: np.ndarray) -> Attentio
     return Attention(experts, Attention.profile_of(experts, weight / weight.sum()), *(getattr(model, n) for n in ("pairs", "far", "own", "context", "bias")))
 
 
-def refine(docs: DataFrame, model: Attention, vocabulary: Vocabulary, unigram: np.ndarray) -> Attention:
-    """One round over every SHARE-th window of all training texts."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+def refine(slices: DataFrame, model: Attention, size: int, unigram: np.ndarray) -> Attention:
+    """One round over every window of all training texts; within a task, Adam over batches of windows."""
+    sent = slices.sparkSession.sparkContext.broadcast(model)
     names = [f"e{k}" for k in range(EXPERTS)]
 
     def run(batches):
-        vocabulary, model = sent.value
-        forms = Forms(vocabulary, None)
-        sums, own, seen = np.zeros((EXPERTS, len(model.experts[0]))), model, 0
-        for batch in batches:
-            for _, _, w in _words(batch):
-                x, live, y, counts, row = windows(forms.of(w)[0], w.counts, vocabulary.size)
-                pick = np.flatnonzero((np.arange(len(row)) - np.searchsorted(row, row)) % SHARE == row % SHARE)
-                for a in range(0, len(pick), 512):
-                    p = pick[a : a + 512]
-                    g, parts = own.gradient(x[p], live[p], y[p], counts[p])
-                    own = own.with_weights(own.weights() + 0.05 * g)
-                    ids, each = y[p][counts[p]], parts[counts[p]]
-                    for k in range(EXPERTS):
-                        sums[k] += np.bincount(ids, each[:, k], sums.shape[1])
-                seen += len(pick)
+        model = sent.value
+        sums, own, seen, m, v, t = np.zeros((EXPERTS, len(model.experts[0]))), model, 0, 0.0, 0.0, 0
+        for first, words in _slices(batches):
+            x, live, y, counts, _ = windows(first, words, size)
+            for a in range(0, len(x), 512):
+                p = slice(a, a + 512)
+                g, parts = own.gradient(x[p], live[p], y[p], counts[p])
+                t += 1
+                m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+                own = own.with_weights(own.weights() + 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
+                ids, each = y[p][counts[p]], parts[counts[p]]
+                for k in range(EXPERTS):
+                    sums[k] += np.bincount(ids, each[:, k], sums.shape[1])
+            seen += len(x)
         at = np.flatnonzero(sums.any(0))
         flat = own.weights()
         # weights come as ids below 0: value times windows, and the windows
@@ -392,7 +395,7 @@ def refine(docs: DataFrame, model: Attention, vocabulary: Vocabulary, unigram: n
         columns = [np.concatenate([sums[k, at], flat * seen if k == 0 else np.full(len(flat), float(seen)) if k == 1 else np.zeros(len(flat))]) for k in range(EXPERTS)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c) for c in columns)], ["id", *names])
 
-    got = docs.select("text").mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    got = slices.mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     ids = got.column("id").to_numpy()
     table = np.stack([got.column(n).to_numpy() for n in names])
     sums = np.zeros_like(model.experts)
@@ -450,7 +453,9 @@ def train(docs: DataFrame, work: Work, key: str = "doc_id", vocabulary: Vocabula
     kept = pieces.filter((F.col("prefix") != 0) & (F.col("c") >= total / TABLE)).toArrow()
     endings = Endings.of(kept.column("prefix").to_numpy(), kept.column("next").to_numpy(), kept.column("c").to_numpy(), base / base.sum())
     unigram /= unigram.sum()
-    attention = refine(docs, pilot(docs, vocabulary, unigram, key), vocabulary, unigram)
+    slices = work.save(encoded(docs, vocabulary), "slices")
+    attention = refine(slices, start(slices, vocabulary.size, unigram), vocabulary.size, unigram)
+    work.drop("slices")
     hashes = frequent.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return Model(vocabulary, endings, attention, hashes[order], frequent.column("c").to_numpy()[order], int(words), float(least)), int(words) + texts, int(kinds) + (texts > 0)

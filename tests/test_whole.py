@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 
 from siltstone.plans import registry
@@ -52,3 +53,32 @@ def test_names_against_brute_force(spark, tmp_path):
     assert {(r.name_, r.other): r.similarity for r in pairs.rename(columns={"name": "name_"}).itertuples()} == want and len(want) > 20 and len(pairs) == len(want)
     members = got[pd.isna(got["other"])]
     assert sorted(zip(members["p_partkey"], members["name"])) == sorted((k, n.lower()) for k, n in rows if n is not None)
+
+
+def test_every_window_teaches(spark):
+    """No text is passed over, whatever its key, length or row, and the experts differ from the start."""
+    from siltstone.llm import lm
+
+    size, v = 40, 41
+    unigram = np.full(v, 1 / v)
+
+    def table(texts):
+        rows = [(np.array(t, np.int32).tobytes(), np.array([len(t)], np.int32).tobytes()) for t in texts]
+        return spark.createDataFrame(rows, "first binary, counts binary").coalesce(1)
+
+    texts = [[k] * 5 + [k + 20] * 5 for k in range(20)]
+    slices = table(texts)
+    began = lm.start(slices, size, unigram)
+    assert np.abs(began.experts[0] - began.experts[1]).max() > 0.01
+    model = lm.refine(slices, began, size, unigram)
+    # what the experts have of each id, in all, is how often it occurs: the sums miss no window
+    more = lm.refine(table(texts + [[3] * 200]), began, size, unigram)
+    assert (model.profile[:size].sum(1) > 0).all() and not np.allclose(model.experts[:, 3], more.experts[:, 3])
+    seen = []
+    refined = lm.refined
+    lm.refined = lambda m, sums, u: seen.append(sums.sum(0)) or refined(m, sums, u)
+    try:
+        lm.refine(slices, began, size, unigram)
+    finally:
+        lm.refined = refined
+    assert np.allclose(seen[0], np.r_[np.full(size, 5.0), 20.0], rtol=1e-3)
