@@ -10,12 +10,13 @@ a step add up to 1.
 Training: word counts of all training texts are summed by word; the words' counts give the continuations. The mixture
 starts from random shares of each id, is sharpened in ROUNDS rounds over all windows of all training texts, and refined
 with the attention in one more: tasks send sums of the experts' part in each id, and their gate weights, which are added
-up by id. Tables that every task needs are bounded: they
-keep what makes up at least one part in TABLE of all counts; rarer words' counts meet their documents by hash ranges.
+up by id. How each word goes on is worked out in joins with all continuations, none cut, once for each distinct word of
+all texts. The table that every task needs is bounded: it keeps the words that make up at least one part in TABLE of all
+counts; rarer words' counts, and how they go on, meet their documents by hash ranges.
 
 Defined results: null and empty texts are the end alone; without training texts the counts are 0 and all ids are equally
-likely; repeated rows are scored alike, and each counts in training; rows with a null key are scored by the model, with
-base score and n_known of their frequent words alone; further columns are ignored.
+likely; repeated rows are scored alike, and each counts in training; rows with a null key are scored like others; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm import tokens
@@ -144,7 +146,7 @@ def continuations(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 @dataclass
 class Endings:
-    """Log probabilities of the ids of a word after its first, and of its end."""
+    """Log probabilities of the ids of a word after its first, and of its end: what `rests` works out in joins, of tables in memory."""
 
     key: np.ndarray
     count: np.ndarray
@@ -177,14 +179,13 @@ class Endings:
 
 
 class Forms:
-    """First id and log10 probability of the rest, of word forms; remembered within a task up to a bound."""
+    """First ids of word forms; remembered within a task up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, endings: Endings | None, most: int = 300_000):
-        self.vocabulary, self.endings, self.most = vocabulary, endings, most
-        self.known: dict[int, tuple[int, float]] = {}
-        self.after = np.array([_after(p) for p in range(vocabulary.size)], np.uint64)
+    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
+        self.vocabulary, self.most = vocabulary, most
+        self.known: dict[int, int] = {}
 
-    def of(self, w: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, w: tokens.Words) -> np.ndarray:
         """For each word of a slice."""
         own, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
         hashes = own.tolist()
@@ -194,22 +195,49 @@ class Forms:
                 self.known.clear()
                 new = list(range(len(hashes)))
             raw = w.data.tobytes()
-            starts, prefixes, lasts, nexts, sizes = [], [], [], [], []
-            for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist()):
-                pieces = self.vocabulary.word(raw[a:b].lower())
-                starts.append(pieces[0])
-                prefix, last = _ahead(0, pieces[0]), pieces[0]
-                for piece in (*pieces[1:], self.vocabulary.size):
-                    prefixes.append(prefix)
-                    lasts.append(last)
-                    nexts.append(piece)
+            for k, a, b in zip(new, w.start[first[new]].tolist(), w.end[first[new]].tolist()):
+                self.known[hashes[k]] = self.vocabulary.word(raw[a:b].lower())[0]
+        return np.array([self.known[h] for h in hashes], np.int64)[at]
+
+
+def rests(counts: DataFrame, others: DataFrame, pieces: DataFrame, base: np.ndarray, vocabulary: Vocabulary, work: Work) -> DataFrame:
+    """word, c (null without training texts), rest (log10 probability of its ids after the first, and its end) of the words of `counts` and `others`."""
+    sent = work.spark.sparkContext.broadcast(vocabulary)
+
+    def cut(batches):
+        v = sent.value
+        for batch in batches:
+            rows = []
+            for word, form in zip(batch.column("word").to_pylist(), batch.column("form").to_pylist()):
+                ids = v.word(form)
+                prefix, last = _ahead(0, ids[0]), ids[0]
+                for piece in (*ids[1:], v.size):
+                    rows.append((prefix, _after(last), piece))
                     prefix, last = _ahead(prefix, piece), piece
-                sizes.append(len(pieces))
-            ends = np.cumsum(sizes)
-            rest = np.add.reduceat(self.endings.log10(np.array(prefixes, np.uint64), self.after[lasts], np.array(nexts)), ends - sizes) if self.endings else np.zeros(len(new))
-            self.known.update(zip((hashes[k] for k in new), zip(starts, rest.tolist())))
-        got = [self.known[h] for h in hashes]
-        return np.array([x[0] for x in got], np.int64)[at], np.array([x[1] for x in got])[at]
+                rows[-1] = (*rows[-1], word, len(ids))
+            words = np.repeat(np.array([r[3] for r in rows if len(r) > 3], np.int64), [r[4] for r in rows if len(r) > 3])
+            prefix, last, next_ = (np.array([r[k] for r in rows], np.uint64) for k in range(3))
+            yield pa.RecordBatch.from_pydict({"word": words, "prefix": prefix.view(np.int64), "last": last.view(np.int64), "next": next_.astype(np.int32)})
+
+    known = counts.select("word", "form", "c").unionByName(others.select("word", "form", F.lit(None).cast("long").alias("c"))).groupBy("word").agg(F.min("form").alias("form"), F.max("c").alias("c"))
+    known = work.save(known, "known")
+    places = work.save(known.select("word", "form").mapInArrow(cut, "word long, prefix long, last long, next int"), "places")
+    pieces = pieces.filter("prefix != 0")
+    totals = pieces.groupBy("prefix").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    low = work.spark.createDataFrame(list(enumerate(base.tolist())), "next int, low double")
+    nearer = F.expr("if(total is null, low, (coalesce(c, 0) + kinds * low) / (total + kinds))")
+
+    def seen(rows: DataFrame, by: str) -> DataFrame:
+        mine = rows.withColumnRenamed(by, "prefix").join(pieces, ["prefix", "next"], "left").join(totals, "prefix", "left")
+        return mine.withColumn("low", nearer).drop("c", "total", "kinds").withColumnRenamed("prefix", by)
+
+    steps = places.select("prefix", "last", "next").distinct()
+    after = seen(steps.select("last", "next").distinct().join(F.broadcast(low), "next"), "last")  # broadcast: one of each id
+    each = seen(steps.join(after, ["last", "next"]), "prefix")
+    own = places.join(each.select("prefix", "last", "next", F.log10("low").alias("log")), ["prefix", "last", "next"]).groupBy("word").agg(F.sum("log").alias("rest"))
+    out = work.save(known.select("word", "c").join(own, "word"), "rests")
+    work.drop("known", "places")
+    return out
 
 
 @dataclass
@@ -309,10 +337,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def cut(batches):
-        forms = Forms(sent.value, None)
+        forms = Forms(sent.value)
         for batch in batches:
             for _, _, w in _words(batch):
-                first = forms.of(w)[0] if len(w.hash) else np.zeros(0, np.int64)
+                first = forms.of(w) if len(w.hash) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_pydict({"first": pa.array([first.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([w.counts.astype(np.int32).tobytes()], pa.binary())})
 
     return docs.select("text").mapInArrow(cut, "first binary, counts binary")
@@ -410,20 +438,20 @@ def refine(slices: DataFrame, model: Attention, size: int, unigram: np.ndarray)
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    endings: Endings
     attention: Attention
-    #: Hashes and training counts of words that make up at least a TABLE-th of the training words.
+    #: Hashes and training counts of words that make up at least a TABLE-th of the training words, and how they go on.
     frequent: np.ndarray
     counts: np.ndarray
+    rests: np.ndarray
     words: int
     #: Counts below this are not in the table.
     least: float
 
     def score(self, w: tokens.Words, forms: Forms) -> np.ndarray:
-        """log10 probability of each text of a slice."""
-        first, rest = forms.of(w) if len(w.hash) else (np.zeros(0, np.int64), np.zeros(0))
+        """log10 probability of each text of a slice, of its words' first ids and its end."""
+        first = forms.of(w) if len(w.hash) else np.zeros(0, np.int64)
         n = len(w.counts)
-        out = np.bincount(w.row, rest, n)
+        out = np.zeros(n)
         x, live, y, counts, row = windows(first, w.counts, self.vocabulary.size)
         for a in range(0, len(row), 256):
             part = slice(a, a + 256)
@@ -433,14 +461,13 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, work: Work, key: str = "doc_id", vocabulary: Vocabulary | None = None) -> tuple[Model, int, int]:
-    """The model, and the tokens (ends included) and distinct tokens of all training texts."""
+def train(docs: DataFrame, others: DataFrame, work: Work, vocabulary: Vocabulary | None = None) -> tuple[Model, DataFrame, int, int]:
+    """The model, how the words of all texts (`others`: those that don't teach) go on, and the tokens (ends included) and distinct tokens of all training texts."""
     vocabulary = vocabulary or read_vocabulary()
     counts = work.save(word_counts(docs), "words")
     texts = docs.count()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = words / TABLE
-    frequent = counts.filter(F.col("c") >= least).select("word", "c").toArrow()
     pieces = work.save(continuations(counts, vocabulary), "continuations")
     size = vocabulary.size + 1
     alone = F.broadcast(work.spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in map(_after, range(vocabulary.size))], "prefix long"))  # one of each id
@@ -449,21 +476,20 @@ def train(docs: DataFrame, work: Work, key: str = "doc_id", vocabulary: Vocabula
     unigram = np.bincount(next_[is_first], c[is_first], size) + 0.5
     unigram[vocabulary.size] += texts
     base = np.bincount(next_[~is_first], c[~is_first], size) + 0.5
-    total = int(c[~is_first].sum())
-    kept = pieces.filter((F.col("prefix") != 0) & (F.col("c") >= total / TABLE)).toArrow()
-    endings = Endings.of(kept.column("prefix").to_numpy(), kept.column("next").to_numpy(), kept.column("c").to_numpy(), base / base.sum())
+    rest = rests(counts, word_counts(others), pieces, base / base.sum(), vocabulary, work)
+    frequent = rest.filter(F.col("c") >= least).toArrow()
     unigram /= unigram.sum()
     slices = work.save(encoded(docs, vocabulary), "slices")
     attention = refine(slices, start(slices, vocabulary.size, unigram), vocabulary.size, unigram)
     work.drop("slices")
     hashes = frequent.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return Model(vocabulary, endings, attention, hashes[order], frequent.column("c").to_numpy()[order], int(words), float(least)), int(words) + texts, int(kinds) + (texts > 0)
+    return Model(vocabulary, attention, hashes[order], frequent.column("c").to_numpy()[order], frequent.column("rest").to_numpy()[order], int(words), float(least)), rest, int(words) + texts, int(kinds) + (texts > 0)
 
 
 def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vocabulary: Vocabulary | None = None) -> DataFrame:
     """Trains on the rows that `training` selects and scores all: key, n_tokens, n_known, train_tokens, base_score, score."""
-    model, total, kinds = train(docs.filter(training), work, key, vocabulary)
+    model, rest, total, kinds = train(docs.filter(training), docs.filter(~F.coalesce(training, F.lit(False))), work, vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # TABLE entries, and EXPERTS * vocabulary
     ends = docs.filter(training).count()
     fragments = max(8, partitions(docs.sparkSession))
@@ -472,10 +498,12 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
 
     def run(batches):
         model = sent.value
-        forms = Forms(model.vocabulary, model.endings)
+        forms = Forms(model.vocabulary)
+        # each row has a number of its own
+        upto = TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys = batch.column(key).to_numpy(zero_copy_only=False)
-            named = batch.column(key).is_valid().to_numpy(zero_copy_only=False)
+            keys = upto + np.arange(batch.num_rows)
+            upto += batch.num_rows
             teaches = batch.column("training").to_numpy(zero_copy_only=False)
             parts, rare = [], []
             for i, j, w in _words(batch):
@@ -483,53 +511,71 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
                 at = np.minimum(np.searchsorted(model.frequent, w.hash), max(len(model.frequent) - 1, 0))
                 known = model.frequent[at] == w.hash if len(model.frequent) else np.zeros(len(w.hash), bool)
                 logs = np.log10(np.where(known, model.counts[at] if len(model.counts) else 0, 0) + 0.5) * known
-                parts.append((w.counts, np.bincount(row[known], minlength=j - i), np.bincount(row, logs, j - i), model.score(w, forms)))
-                rest = ~known & named[i:j][row]
+                goes_on = np.bincount(row, model.rests[at] * known, j - i) if len(model.rests) else np.zeros(j - i)
+                parts.append((w.counts, np.bincount(row[known], minlength=j - i), np.bincount(row, logs, j - i), model.score(w, forms) + goes_on))
+                rest = ~known
                 both = np.stack([w.hash[rest], (row[rest] + i).astype(np.uint64)])
                 order = np.lexsort(both[::-1])
                 rare.append(both[:, order])
             n_words, n_known, logs, scores = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0)] * 4
             none = pa.nulls(len(n_words), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(n_words), pa.int32()), batch.column(key), pa.array(n_words, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs), pa.array(scores), none, none, none], ["fragment", key, "n_words", "n_known", "logs", "score", "docs", "times", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(n_words), pa.int32()), pa.array(keys, pa.int64()), batch.column(key), pa.array(n_words, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), none, none, none], ["fragment", "at", key, "n_words", "n_known", "logs", "score", "docs", "times", "words"])
             both = np.concatenate(rare, 1) if rare else np.zeros((2, 0), U)
             order = np.lexsort(both[::-1])
             both = both[:, order]
             new = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)][: both.shape[1]])
             word, row, times = both[0, new], both[1, new].astype(np.int64), np.diff(np.r_[new, both.shape[1]])
             cuts = np.searchsorted((word // U(width)).astype(np.int64), np.arange(fragments + 1))
-            out = [(f, pack_keys(keys[row[a:b]].astype(np.int64)), pack_keys(np.where(teaches[row[a:b]], times[a:b], -times[a:b])), word[a:b].tobytes()) for f, a, b in zip(range(fragments), cuts[:-1], cuts[1:]) if a < b]
+            out = [(f, pack_keys(keys[row[a:b]]), pack_keys(np.where(teaches[row[a:b]], times[a:b], -times[a:b])), word[a:b].tobytes()) for f, a, b in zip(range(fragments), cuts[:-1], cuts[1:]) if a < b]
             if out:
                 f, d, t, x = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.nulls(len(f), batch.schema.field(key).type), *(pa.nulls(len(f), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), *(pa.array(c, pa.binary()) for c in (d, t, x))], ["fragment", key, "n_words", "n_known", "logs", "score", "docs", "times", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), batch.schema.field(key).type), *(pa.nulls(len(f), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), *(pa.array(c, pa.binary()) for c in (d, t, x))], ["fragment", "at", key, "n_words", "n_known", "logs", "score", "docs", "times", "words"])
 
-    def meet(group: pa.Table) -> pa.Table:
-        """Counts of rare words in a range of hashes, summed for each document. times: below 0 in documents that don't teach."""
-        doc, times, word = (np.concatenate([f(x.as_py()) for x in group.column(c)]) for c, f in (("docs", unpack_keys), ("times", unpack_keys), ("words", lambda x: np.frombuffer(x, U))))
-        _, at = np.unique(word, return_inverse=True)
-        c = np.bincount(at, np.maximum(times, 0))[at]
-        who, row = np.unique(doc, return_inverse=True)
-        times = np.abs(times)
-        known, logs = np.bincount(row, times * (c > 0)).astype(np.int64), np.bincount(row, times * np.log10(c + 0.5))
-        bucket, docs_, known_ = by_bucket(who, known, fragments)
-        _, _, logs_ = by_bucket(who, logs.view(np.int64), fragments)
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "docs": pa.array(docs_, pa.binary()), "known": pa.array(known_, pa.binary()), "logs": pa.array(logs_, pa.binary())})
+    def by_range(batches):
+        """Words and how they go on, packed by the ranges of hashes."""
+        for batch in batches:
+            word, rest = batch.column("word").to_numpy().view(np.uint64), batch.column("rest").to_numpy()
+            order = np.argsort(word)
+            word, rest = word[order], rest[order]
+            cuts = np.searchsorted((word // U(width)).astype(np.int64), np.arange(fragments + 1))
+            some = [(f, word[a:b].tobytes(), rest[a:b].tobytes()) for f, a, b in zip(range(fragments), cuts[:-1], cuts[1:]) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some) if some else ([], [], []), (pa.int32(), pa.binary(), pa.binary()))], ["fragment", "words", "rests"])
+
+    def meet(group: pa.Table, ranged: pa.Table) -> pa.Table:
+        """Counts of rare words in a range of hashes, and how they go on, summed for each document. times: below 0 in documents that don't teach."""
+        parts = {"bucket": [], "docs": [], "known": [], "logs": [], "rests": []}
+        if group.num_rows:
+            doc, times, word = (np.concatenate([f(x.as_py()) for x in group.column(c)]) for c, f in (("docs", unpack_keys), ("times", unpack_keys), ("words", lambda x: np.frombuffer(x, U))))
+            own, at = np.unique(word, return_inverse=True)
+            c = np.bincount(at, np.maximum(times, 0))[at]
+            names, rest = (np.concatenate([np.frombuffer(x.as_py(), k) for x in ranged.column(n)]) for n, k in (("words", U), ("rests", np.float64)))
+            order = np.argsort(names)
+            rest = rest[order][np.searchsorted(names[order], own)][at]
+            order = np.lexsort((word, doc))  # sums in one order, however the parts arrive
+            doc, times, c, rest = doc[order], np.abs(times[order]), c[order], rest[order]
+            who, row = np.unique(doc, return_inverse=True)
+            known, logs, rest = np.bincount(row, times * (c > 0)).astype(np.int64), np.bincount(row, times * np.log10(c + 0.5)), np.bincount(row, times * rest)
+            parts["bucket"], parts["docs"], parts["known"] = by_bucket(who, known, fragments)
+            parts["logs"], parts["rests"] = by_bucket(who, logs.view(np.int64), fragments)[2], by_bucket(who, rest.view(np.int64), fragments)[2]
+        return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in parts.items()})
 
     def add(group: pa.Table) -> pa.Table:
-        doc, known, logs = (np.concatenate([unpack_keys(x.as_py()) for x in group.column(c)]) for c in ("docs", "known", "logs"))
-        order = np.lexsort((logs, doc))  # sums in one order, however the parts arrive
-        doc, known, logs = doc[order], known[order], logs[order].view(np.float64)
+        doc, known, logs, rest = (np.concatenate([unpack_keys(x.as_py()) for x in group.column(c)]) for c in ("docs", "known", "logs", "rests"))
+        order = np.lexsort((rest, logs, doc))  # sums in one order, however the parts arrive
+        doc, known, logs, rest = doc[order], known[order], logs[order].view(np.float64), rest[order].view(np.float64)
         who, row = np.unique(doc, return_inverse=True)
-        return pa.table({key: pa.array(who, pa.int64()), "rare_known": np.bincount(row, known).astype(np.int64), "rare_logs": np.bincount(row, logs)})
+        return pa.table({"at": pa.array(who, pa.int64()), "rare_known": np.bincount(row, known).astype(np.int64), "rare_logs": np.bincount(row, logs), "rare_rests": np.bincount(row, rest)})
 
     rows = docs.select(key, "text", F.coalesce(training, F.lit(False)).alias("training"))
-    got = work.save(rows.mapInArrow(run, f"fragment int, {key} {kind}, n_words long, n_known long, logs double, score double, docs binary, times binary, words binary"), "scores")
-    rare = got.filter("fragment >= 0").select("fragment", "docs", "times", "words").groupBy("fragment").applyInArrow(meet, "bucket int, docs binary, known binary, logs binary")
-    rare = rare.groupBy("bucket").applyInArrow(add, f"{key} long, rare_known long, rare_logs double")
+    got = work.save(rows.mapInArrow(run, f"fragment int, at long, {key} {kind}, n_words long, n_known long, logs double, score double, docs binary, times binary, words binary"), "scores")
+    ranged = rest.filter(F.coalesce(F.col("c") < model.least, F.lit(True))).select("word", "rest").mapInArrow(by_range, "fragment int, words binary, rests binary")
+    rare = got.filter("fragment >= 0").select("fragment", "docs", "times", "words").groupBy("fragment").cogroup(ranged.groupBy("fragment")).applyInArrow(meet, "bucket int, docs binary, known binary, logs binary, rests binary")
+    rare = rare.groupBy("bucket").applyInArrow(add, "at long, rare_known long, rare_logs double, rare_rests double")
     # the end is a token: of count `ends`, known where there is a training text
     scale = float(np.log10(total + 0.5 * (kinds + 1)))
-    out = got.filter("fragment < 0").join(rare, key, "left")
+    out = got.filter("fragment < 0").join(rare, "at", "left")
     n = F.col("n_words") + 1
     return out.select(
         key, n.alias("n_tokens"), (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.5))) - n * scale).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.5))) - n * scale).alias("base_score"), (F.col("score") + F.coalesce("rare_rests", F.lit(0.0))).alias("score"),
     )
