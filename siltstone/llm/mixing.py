@@ -1,22 +1,25 @@
 """Mixing of sources to target weights by Pfair scheduling.
 
-Each source's documents, in a hashed order, fill blocks of equal size. With weight w, a source's block i is released at
-slot floor(i / w) and due by slot ceil((i + 1) / w); each slot takes the released block that is due first. Weights are
-whole shares of PERIOD slots, so the schedule repeats, and at its end each source has exactly its shares: one period's
-slots, made once, place every block of a source by arithmetic. At any slot a source has had within one block of its
-weight. When a source has no more blocks, the weights of the others are scaled up and a new schedule begins, so every
-document is placed once and none is dropped or repeated.
+Each source's documents, in a hashed order, fill blocks of equal size. In the fluid mix every source that has blocks left
+is served at a rate in proportion to its weight, so that after t slots t blocks are served; T(x) is the slot at which the
+fluid mix has served x blocks of a source. Its block i is released at slot floor(T(i)) and due by slot ceil(T(i + 1));
+each slot takes the released block that is due first. At any slot a source has had within one block of what the fluid mix
+gave it. All is in whole numbers from the weights as given, so nothing is rounded and nothing drifts. When a source has no
+more blocks, the rates of the others go up, and every document is placed once and none is dropped or repeated.
 
 Offsets within a source are sums within hashed chunks and, over the chunks, of their sums; no task takes a whole source.
 
-Defined results: sources beyond the MOST - 1 largest, and null, are one pool; sources without a given weight share what
+Defined results: every source is scheduled by itself, null as one more; sources without a given weight share what
 is left of 1, or a hundredth of the least weight; weights of 0 or below come last, by size; empty and null texts have one
 byte; a text longer than a block stands at the block it begins in; repeated rows follow each other; further columns stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -25,12 +28,13 @@ from siltstone.llm.work import partitions
 
 #: Bytes of a block.
 BLOCK = 1 << 16
-#: Slots of a schedule, in which weights are whole shares; at least 20 times the sources.
+#: Slots in which `shares` gives whole shares; at least 20 times the sources.
 PERIOD = 1000
-#: Sources that are told apart.
-MOST = 200
+#: Blocks of a source in a row of the plan.
+PART = 1000
 #: Default weights are the sources' bytes to this power.
 POWER = 0.7
+#: The name of null.
 POOL = "\x00pool"
 
 
@@ -63,26 +67,49 @@ def schedule(own: list[int]) -> list[list[int]]:
     return slots
 
 
+def fluid(blocks: list[int], weights: list[float]) -> list[list[int]]:
+    """The slots of each source's blocks; weights are above 0. What T(x) is for x blocks of a source depends on which sources end before."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    own = [int(w * scale) for w in exact]
+    # a source ends when the fluid time, blocks by weight, is its own last; then N blocks were of ended sources and W is the weight left
+    order = sorted(range(len(own)), key=lambda k: Fraction(blocks[k], own[k]))
+    ends = [Fraction(blocks[k], own[k]) for k in order]
+    ended, left = [0], [sum(own)]
+    for k in order:
+        ended.append(ended[-1] + blocks[k])
+        left.append(left[-1] - own[k])
+
+    def due(k: int, x: int) -> tuple[int, int]:
+        at = bisect.bisect_left(ends, Fraction(x, own[k]))
+        got, rest = divmod(x * left[at], own[k])
+        return ended[at] + got, ended[at] + got + (rest > 0)
+
+    slots: list[list[int]] = [[] for _ in own]
+    waiting = [(0, k, due(k, 1)) for k in range(len(own))]
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0][0] <= slot:
+            _, k, (after, last) = heapq.heappop(waiting)
+            heapq.heappush(ready, (last, k, after))
+        _, k, after = heapq.heappop(ready)
+        slots[k].append(slot)
+        if len(slots[k]) < blocks[k]:
+            heapq.heappush(waiting, (after, k, due(k, len(slots[k]) + 1)))
+    return slots
+
+
 def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, start slot, slots in a period, its own of these) of each stretch of slots with one schedule."""
-    left = {s: n for s, n in sorted(blocks.items()) if n > 0}
-    done = dict.fromkeys(left, 0)
+    """(source, first block, blocks, start slot, slots in all, its own of these): sources with a weight, and after them, by size, the others."""
+    some = {s: n for s, n in sorted(blocks.items()) if n > 0}
+    above = [s for s in some if weights.get(s, 0) > 0]
     out, start = [], 0
-    while left:
-        live = [s for s in left if weights.get(s, 0) > 0] or list(left)
-        ws = [weights.get(s, 0) if weights.get(s, 0) > 0 else float(left[s]) for s in live]
-        own = shares(ws)
-        period, slots = sum(own), schedule(own)
-        # the slot after the last block of the source that ends first
-        end = min((left[s] - 1) // a * period + t[(left[s] - 1) % a] + 1 for s, a, t in zip(live, own, slots))
-        for s, a, t in zip(live, own, slots):
-            n = min(end // period * a + int(np.searchsorted(t, end % period)), left[s])
-            if n:
-                out.append((s, done[s], n, start, period, t))
-                done[s] += n
-                left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start += end
+    for names, own in ((above, [weights[s] for s in above]), ([s for s in some if s not in set(above)], None)):
+        if names:
+            total = sum(some[s] for s in names)
+            for s, t in zip(names, fluid([some[s] for s in names], own or [some[s] for s in names])):
+                out.append((s, 0, some[s], start, total, t))
+            start += total
     return out
 
 
@@ -99,25 +126,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "do
     """Rows (row: the document, pool, offset, block, slot) and the slots in all. Their order is slot, offset, then the key."""
     rows = docs.select(F.struct("*").alias("row")).withColumn("bytes", F.greatest(F.coalesce(F.octet_length("row.text"), F.lit(1)), F.lit(1)).cast("long"))
     name = F.col(f"row.{source}").cast("string")
-    # the largest sources by bytes; MOST rows at most reach the driver
-    largest = rows.groupBy(name.alias("s")).agg(F.sum("bytes").alias("n")).filter("s is not null").orderBy(F.desc("n"), "s").limit(MOST - 1).collect()
-    pool = F.when(name.isin([r["s"] for r in largest]), name).otherwise(F.lit(POOL)) if largest else F.lit(POOL)
+    pool = F.coalesce(name, F.lit(POOL))
     chunks = max(1, int(np.ceil(np.sqrt(docs.count()))))
     rows = rows.withColumn("pool", pool).withColumn("chunk", F.pmod(F.xxhash64(f"row.{key}"), F.lit(chunks)))
     sums = rows.groupBy("pool", "chunk").agg(F.sum("bytes").alias("own"))
     before = sums.withColumn("before", F.sum("own").over(Window.partitionBy("pool").orderBy("chunk")) - F.col("own"))
-    sizes = {r["pool"]: r["n"] for r in sums.groupBy("pool").agg(F.sum("own").alias("n")).collect()}  # MOST rows
+    sizes = {r["pool"]: r["n"] for r in sums.groupBy("pool").agg(F.sum("own").alias("n")).collect()}  # one of each source
     weights = target_weights(sizes, weights)
     plan = phases({s: -(-n // block) for s, n in sizes.items()}, weights)
     total = sum(p[2] for p in plan)
     spark = docs.sparkSession
-    table = spark.createDataFrame(plan, "pool string, first long, n long, start long, period long, slots array<int>")
+    parts = [(s, a // PART, [start + t for t in slots[a : a + PART]]) for s, _, n, start, _, slots in plan for a in range(0, n, PART)]
+    table = spark.createDataFrame(parts, "p string, part long, slots array<long>")
     within = Window.partitionBy("pool", "chunk").orderBy(f"row.{key}", "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.join(before.select("pool", "chunk", "before"), ["pool", "chunk"])
     placed = placed.withColumn("offset", F.col("before") + F.sum("bytes").over(within) - F.col("bytes")).withColumn("block", F.expr(f"offset div {block}"))
-    # broadcast: MOST phases of 20 * MOST slots at most
-    met = placed.join(F.broadcast(table.withColumnRenamed("pool", "p")), (F.col("pool") == F.col("p")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("n")))
-    at = F.expr("start + (block - first) div size(slots) * period + element_at(slots, cast((block - first) % size(slots) as int) + 1)")
+    # broadcast: one number for each block of documents
+    met = placed.join(F.broadcast(table), (F.col("pool") == F.col("p")) & (F.expr(f"block div {PART}") == F.col("part")))
+    at = F.expr(f"element_at(slots, cast(block % {PART} as int) + 1)")
     return met.withColumn("slot", at).select("row", "pool", "offset", "block", "slot"), total
 
 

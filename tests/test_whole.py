@@ -119,3 +119,30 @@ def test_rare_continuations_count(spark, tmp_path, monkeypatch):
             want += ends.log10(np.array([prefix], np.uint64), np.array([lm._after(last)], np.uint64), np.array([piece]))[0]
             prefix = lm._ahead(prefix, piece)
         assert abs(mine[word] - want) < 1e-9
+
+
+def test_mix_keeps_to_the_given_weights():
+    """Within one block of the exact weights at every slot, over many periods, for small weights and over 200 sources."""
+    from siltstone.llm import mixing
+
+    for weights in ({"a": 0.9, "b": 0.1}, {"a": 0.5, "small": 1e-5, **{f"s{k:03}": 0.49999 / 298 for k in range(298)}}):
+        total = sum(weights.values())
+        blocks = {s: int(60_000 * w / total) + 1 for s, w in weights.items()}
+        plan = mixing.phases(blocks, weights)
+        assert {p[0] for p in plan} == set(blocks)
+        # all sources have blocks left up to here
+        upto = int(min((blocks[s] - 1) / (w / total) for s, w in weights.items() if blocks[s] > 1))
+        for source, _, n, start, period, slots in plan:
+            at = np.array([start + i // len(slots) * period + slots[i % len(slots)] for i in range(n)])
+            if n > 1:
+                had = np.searchsorted(at, np.arange(1, upto + 1))
+                assert np.abs(had - weights[source] / total * np.arange(1, upto + 1)).max() < 1 + 1e-6
+
+
+def test_every_source_is_mixed_by_itself(spark):
+    from siltstone.llm import mixing
+
+    rows = [(k, "x" * 900, f"s{k % 250}" if k % 251 else None) for k in range(1000)]
+    placed, total = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=500)
+    got = placed.select("row.source", "pool", "slot").collect()
+    assert len(got) == 1000 and all(r["pool"] == (r["source"] or mixing.POOL) and 0 <= r["slot"] < total for r in got)
