@@ -192,10 +192,10 @@ def _hubs(counted: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 class Join:
-    """The join's outputs: `sets` (key, n for every document), `members` (key, rep), `links` (a, b, o between representatives), `labels` (node, component)."""
+    """The join's outputs: `sets` (key, n for every document), `members` (key, rep), `labels` (node, component), and `links` (a, b, o between representatives), which only span each component: `all_links` has every one."""
 
     def __init__(self, docs: DataFrame, work: Work, key: str = "doc_id", similarity: int = SIMILARITY, k: int = WORDS):
-        self.key = key
+        self.key, self.work, self.similarity = key, work, similarity
         shared = work.save(shared_counts(docs, key, k), "shared")
         self.sets = work.save(bounded_sets(docs, shared, key, similarity, k), "sets")
         work.drop("shared")
@@ -210,6 +210,7 @@ class Join:
         rare = own.withColumn("take", F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1 - (F.col("n") - F.size("by"))).filter("take > 0")
         rare = rare.select("doc", "n", F.size("by").alias("met"), (F.col("weight") / F.col("n")).alias("central"), F.posexplode(F.slice("by", 1, F.col("take").cast("int"))).alias("place", "x")).select("doc", "n", "met", "central", (F.col("n") - F.col("met") + F.col("place") + 1).alias("place"), "x.id")
         rare = work.save(rare, "rare")
+        self.reps, self.rare = reps, rare
         # what two sets share is no more than either shares with any, which bounds the similarity for their sizes
         fits = F.expr(f"100 * least(met, other) >= {similarity} * (n + m - least(met, other))")
         self.links = None
@@ -251,6 +252,25 @@ class Join:
             self.links = found if self.links is None else self.links.unionByName(found)
             self.labels = components(self.links, work, f"components-{turn}")
 
+    def all_links(self) -> DataFrame:
+        """a, b, o: every two linked representatives, also those within one component, by prefix and position filters and partial overlaps."""
+        other = self.rare.select("id", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("met").alias("other"), F.col("place").alias("their_place"))
+        must = f"ceil({self.similarity} * (n + m) / {100 + self.similarity})"
+        near = F.expr(f"doc < b and least(met, other) >= {must} and place <= n - {must} + 1 and their_place <= m - {must} + 1")
+        pairs = self.work.save(self.rare.join(other, "id").filter(near).select(F.col("doc").alias("a"), "b").distinct(), "all-pairs")
+        sizes = self.reps.select("doc", "n")
+        counted = overlaps(pairs, self.reps).join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+        return counted.filter(F.expr(f"100 * o >= {self.similarity} * (na + nb - o)")).select("a", "b", "o")
+
+    def degrees(self, links: DataFrame) -> DataFrame:
+        """key, links: how many other documents each document is linked with, equal ones included; `links` from all_links."""
+        key = self.key
+        own = self.members.groupBy("rep").agg(F.count("*").alias("own"))
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.join(own, both["b"] == own["rep"]).groupBy(F.col("a").alias("rep")).agg(F.sum("own").alias("near"))
+        of = self.members.join(own, "rep").join(near, "rep", "left").groupBy(key).agg(F.max(F.col("own") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+        return self.sets.select(key).distinct().join(of, key, "left").select(key, F.coalesce("links", F.lit(0)).alias("links"))
+
     def components(self) -> DataFrame:
         """Per document: key, n_shingles, component_id (the smallest key that links lead to, itself included)."""
         key = self.key

@@ -146,3 +146,30 @@ def test_every_source_is_mixed_by_itself(spark):
     placed, total = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=500)
     got = placed.select("row.source", "pool", "slot").collect()
     assert len(got) == 1000 and all(r["pool"] == (r["source"] or mixing.POOL) and 0 <= r["slot"] < total for r in got)
+
+
+def test_all_links_of_a_family(spark):
+    """Every two linked documents, also of one component, against brute force."""
+    from siltstone.llm import ngram_join
+    from siltstone.llm.work import Work
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(4):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for copy in range(9):
+            own = list(base)
+            for at in rng.integers(0, 120, copy // 2):
+                own[at] = f"edit{rng.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    texts += [texts[3], "a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    join = ngram_join.Join(docs, Work(spark, "t4"))
+    links = join.all_links()
+    sets = {d: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} - {()} for d, t in enumerate(texts)}
+    reps = {r["doc_id"]: r["rep"] for r in join.members.collect()}
+    linked = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    want = {(a, b): o for (a, b), o in linked.items() if reps[a] == a and reps[b] == b and sets[a] != sets[b]}
+    assert {(r["a"], r["b"]): r["o"] for r in links.collect()} == want
+    assert len(want) > join.links.distinct().count()
+    assert dict(join.degrees(links).collect()) == {d: sum(d in p for p in linked) for d in sets}
