@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -206,18 +207,29 @@ def rests(counts: DataFrame, others: DataFrame, pieces: DataFrame, base: np.ndar
 
     def cut(batches):
         v = sent.value
+        after = np.array([_after(p) for p in range(v.size)], np.uint64)
+        words, sizes, prefixes, lasts, nexts = (array(k) for k in "qiQii")
+
+        def put():
+            out = {"word": np.repeat(np.array(words, np.int64), sizes), "prefix": np.array(prefixes, np.uint64).view(np.int64), "last": after[np.array(lasts, np.int64)].view(np.int64), "next": np.array(nexts, np.int32)}
+            for x in (words, sizes, prefixes, lasts, nexts):
+                del x[:]
+            return pa.RecordBatch.from_pydict(out)
+
         for batch in batches:
-            rows = []
-            for word, form in zip(batch.column("word").to_pylist(), batch.column("form").to_pylist()):
-                ids = v.word(form)
+            for word, form in zip(batch.column("word"), batch.column("form")):
+                ids = v.word(form.as_py())
                 prefix, last = _ahead(0, ids[0]), ids[0]
                 for piece in (*ids[1:], v.size):
-                    rows.append((prefix, _after(last), piece))
+                    prefixes.append(prefix)
+                    lasts.append(last)
+                    nexts.append(piece)
                     prefix, last = _ahead(prefix, piece), piece
-                rows[-1] = (*rows[-1], word, len(ids))
-            words = np.repeat(np.array([r[3] for r in rows if len(r) > 3], np.int64), [r[4] for r in rows if len(r) > 3])
-            prefix, last, next_ = (np.array([r[k] for r in rows], np.uint64) for k in range(3))
-            yield pa.RecordBatch.from_pydict({"word": words, "prefix": prefix.view(np.int64), "last": last.view(np.int64), "next": next_.astype(np.int32)})
+                words.append(word.as_py())
+                sizes.append(len(ids))
+                if len(nexts) > 1 << 17:
+                    yield put()
+        yield put()
 
     known = counts.select("word", "form", "c").unionByName(others.select("word", "form", F.lit(None).cast("long").alias("c"))).groupBy("word").agg(F.min("form").alias("form"), F.max("c").alias("c"))
     known = work.save(known, "known")
@@ -231,12 +243,17 @@ def rests(counts: DataFrame, others: DataFrame, pieces: DataFrame, base: np.ndar
         mine = rows.withColumnRenamed(by, "prefix").join(pieces, ["prefix", "next"], "left").join(totals, "prefix", "left")
         return mine.withColumn("low", nearer).drop("c", "total", "kinds").withColumnRenamed("prefix", by)
 
-    steps = places.select("prefix", "last", "next").distinct()
-    after = seen(steps.select("last", "next").distinct().join(F.broadcast(low), "next"), "last")  # broadcast: one of each id
-    each = seen(steps.join(after, ["last", "next"]), "prefix")
-    own = places.join(each.select("prefix", "last", "next", F.log10("low").alias("log")), ["prefix", "last", "next"]).groupBy("word").agg(F.sum("log").alias("rest"))
+    # a prefix has one last id; each step is saved, so that the shuffle files of the one before it go
+    steps = work.save(places.groupBy("prefix", "next").agg(F.first("last").alias("last")), "steps")
+    after = work.save(seen(steps.select("last", "next").distinct().join(F.broadcast(low), "next"), "last"), "after")  # broadcast: one of each id
+    lows = work.save(steps.join(after, ["last", "next"]).select("prefix", "next", "low"), "lows")
+    work.drop("steps", "after")
+    each = work.save(seen(lows, "prefix").select("prefix", "next", F.log10("low").alias("log")), "each")
+    work.drop("lows")
+    own = work.save(places.select("word", "prefix", "next").join(each, ["prefix", "next"]).groupBy("word").agg(F.sum("log").alias("rest")), "own")
+    work.drop("places", "each")
     out = work.save(known.select("word", "c").join(own, "word"), "rests")
-    work.drop("known", "places")
+    work.drop("known", "own")
     return out
 
 
@@ -478,6 +495,7 @@ def train(docs: DataFrame, others: DataFrame, work: Work, vocabulary: Vocabulary
     base = np.bincount(next_[~is_first], c[~is_first], size) + 0.5
     rest = rests(counts, word_counts(others), pieces, base / base.sum(), vocabulary, work)
     frequent = rest.filter(F.col("c") >= least).toArrow()
+    work.drop("words", "continuations")
     unigram /= unigram.sum()
     slices = work.save(encoded(docs, vocabulary), "slices")
     attention = refine(slices, start(slices, vocabulary.size, unigram), vocabulary.size, unigram)
