@@ -3,7 +3,8 @@
 The order of n-grams is cut into fragments, so a long set is never needed in one piece: each fragment counts how much
 two sets share in it, and the counts are summed per pair. Before that, two exact bounds leave few pairs to count. Linked
 sets share at least three quarters of either, so (1) of a document's n-grams in the first fragments only a quarter of
-the whole set may be without another document, which needs counts by n-gram and no pairs; and (2) the rarest n-grams of
+the whole set may be without another document, which needs counts by n-gram and no pairs; only texts that pass are read
+a second time; and (2) the rarest n-grams of
 linked sets, a quarter of each set and one, have one in common. Within the documents of one rare n-gram, pairs are
 formed with the most central document first; whatever these links join needs no further pair, and the rest is formed
 exactly. Equal sets are one class from the start.
@@ -18,9 +19,12 @@ rows with a null doc_id are linked with nothing; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm import tokens
 from siltstone.llm.graph import components
@@ -35,6 +39,8 @@ SIMILARITY = 75
 BITS = 52
 #: Share of the n-gram order whose fragments bound (1) looks at.
 FIRST = 0.4
+#: Bits of the filter that keeps texts without a possible link out of the second pass's shuffle.
+SIEVE = 1 << 25
 #: Fragments of the order in which partial overlaps are counted.
 FRAGMENTS = 8
 _LIMIT = int(FIRST * (1 << BITS))
@@ -49,76 +55,87 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int, k: int =
     return (both >> U(BITS)).astype(np.int64), both & U((1 << BITS) - 1)
 
 
-def shared_counts(docs: DataFrame, key: str, k: int = WORDS) -> DataFrame:
-    """For each document that has any: how many of its n-grams in the first fragments another document has too.
+def set_sizes(docs: DataFrame, key: str, k: int = WORDS) -> DataFrame:
+    """Per row: key, n (its set's size)."""
+
+    def size(batches):
+        for batch in batches:
+            data, offsets = tokens.buffers(batch.column("text"))
+            n = [np.bincount(shingle_sets(data, offsets, i, j, k)[0], minlength=j - i) for i, j in tokens.slices(offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())], [key, "n"])
+
+    return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(size, f"{key} long, n long")
+
+
+def document_counts(docs: DataFrame, key: str, k: int = WORDS) -> DataFrame:
+    """Per row with a key: key, n (its set's size), first (how many of them are in the first fragments), shared (how many of those another document has too; summed by key).
 
     Tasks send each fragment's n-grams packed, once per n-gram and batch: where several documents of a batch have one,
     they are counted there, and one of them stands for all. So what meets in a fragment is bounded by batches.
     """
-    n = max(8, partitions(docs.sparkSession))
-    width = -(-_LIMIT // n)
+    fragments = max(8, partitions(docs.sparkSession))
+    width = -(-_LIMIT // fragments)
 
     def send(batches):
         for batch in batches:
             keys = np.asarray(batch.column(key).to_numpy(zero_copy_only=False), np.int64)
+            if not len(keys):
+                continue
             data, offsets = tokens.buffers(batch.column("text"))
-            rows, ids = [], []
+            rows, ids = [np.zeros(0, np.int32)], [np.zeros(0, U)]
+            sizes, firsts = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
             for i, j in tokens.slices(offsets):
                 row, id_ = shingle_sets(data, offsets, i, j, k)
-                first = id_ < U(_LIMIT)
-                rows.append((row[first] + i).astype(np.int32))
-                ids.append(id_[first])
-            if not rows:
-                continue
+                sizes[i:j] = np.bincount(row, minlength=j - i)
+                early = id_ < U(_LIMIT)
+                rows.append((row[early] + i).astype(np.int32))
+                firsts[i:j] = np.bincount(row[early], minlength=j - i)
+                ids.append(id_[early])
             row, id_ = np.concatenate(rows), np.concatenate(ids)
             order = np.argsort(id_, kind="stable")
             row, id_ = row[order], id_[order]
             new = np.r_[True, id_[1:] != id_[:-1]][: len(id_)]
             begin = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
             several = np.diff(np.r_[begin, len(id_)]) > 1
-            known = np.bincount(row[several[group]], minlength=len(keys))
-            out = {"fragment": [], "docs": [], "at": [], "ids": []}
-            at = np.flatnonzero(known)
-            if len(at):
-                out["fragment"].append(int(keys[at[0]] % n))
-                out["docs"].append(keys[at].tobytes())
-                out["at"].append(known[at].astype(np.int32).tobytes())
-                out["ids"].append(b"")
-            row, id_, several = row[begin], id_[begin], several
-            fragment = (id_ // U(width)).astype(np.int64)
-            cuts = np.searchsorted(fragment, np.arange(n + 1))
-            for f in range(n):
+            met = several[np.cumsum(new) - 1] if len(begin) else np.zeros(0, bool)
+            known = np.bincount(row[met], minlength=len(keys)).astype(np.int32)
+            # a row without n-grams: what is known of the batch's documents
+            out = {"fragment": [int(keys[0] % fragments)], "docs": [keys.tobytes()], "at": [np.concatenate([known, sizes, firsts]).tobytes()], "ids": [b""]}
+            row, id_ = row[begin], id_[begin]
+            cuts = np.searchsorted((id_ // U(width)).astype(np.int64), np.arange(fragments + 1))
+            for f in range(fragments):
                 a, b = cuts[f], cuts[f + 1]
                 if a < b:
                     own, place = np.unique(row[a:b], return_inverse=True)
                     # the top bit marks documents that were counted where they came from
+                    kind, top = (np.uint32, 31) if len(own) > 0x7FFF else (np.uint16, 15)
                     out["fragment"].append(f)
                     out["docs"].append(keys[own].tobytes())
-                    out["at"].append((place.astype(np.uint32) | (several[a:b].astype(np.uint32) << np.uint32(31))).tobytes() if len(own) > 0x7FFF else (place.astype(np.uint16) | (several[a:b].astype(np.uint16) << np.uint16(15))).tobytes())
+                    out["at"].append((place.astype(kind) | (several[a:b].astype(kind) << kind(top))).tobytes())
                     out["ids"].append(pack(id_[a:b] - U(f * width), 6))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("fragment", pa.int32()), ("docs", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())]))
 
     def count(group: pa.Table) -> pa.Table:
-        docs_, counts = [], []
-        all_docs, all_ids, base = [], [], 0
-        marks = []
-        for d, a, x in zip(group.column("docs"), group.column("at"), group.column("ids")):
-            own = np.frombuffer(d.as_py(), np.int64)
-            a, x = a.as_py(), x.as_py()
+        """kind 0: documents and what they share; 1: documents, a row of the input each, with n and first."""
+        docs_, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sized, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        all_docs, all_ids, marks, owners, base = [], [], [], [], 0
+        for d, a, x in zip(*(group.column(c).to_pylist() for c in ("docs", "at", "ids"))):
+            own = np.frombuffer(d, np.int64)
             if not x:
-                docs_.append(own)
-                counts.append(np.frombuffer(a, np.int32))
+                known, n, first = np.frombuffer(a, np.int32).astype(np.int64).reshape(3, -1)
+                docs_.append(own[known > 0])
+                counts.append(known[known > 0])
+                sized.append(own)
+                sizes.append((n << 32) | first)
                 continue
             id_ = unpack(x, 6)
-            wide = len(a) == 4 * len(id_)
-            at = np.frombuffer(a, np.uint32 if wide else np.uint16).astype(np.int64)
-            top = 31 if wide else 15
+            kind, top = (np.uint32, 31) if len(a) == 4 * len(id_) else (np.uint16, 15)
+            at = np.frombuffer(a, kind).astype(np.int64)
             marks.append(at >> top == 1)
             all_ids.append(id_)
             all_docs.append((at & ((1 << top) - 1)) + base)
-            docs_.append(own)
-            counts.append(None)
+            owners.append(own)
             base += len(own)
         if all_ids:
             id_, doc, known = np.concatenate(all_ids), np.concatenate(all_docs), np.concatenate(marks)
@@ -126,40 +143,58 @@ def shared_counts(docs: DataFrame, key: str, k: int = WORDS) -> DataFrame:
             id_, doc, known = id_[order], doc[order], known[order]
             same = id_[1:] == id_[:-1]
             met = np.r_[False, same][: len(id_)] | np.r_[same, False][: len(id_)]
-            got = np.bincount(doc[met & ~known], minlength=base).astype(np.int32)
-            start = 0
-            for p, c in enumerate(counts):
-                if c is None:
-                    counts[p] = got[start : start + len(docs_[p])]
-                    start += len(docs_[p])
-        ids, sums = np.concatenate(docs_), np.concatenate(counts)
-        some = sums > 0
-        return pa.table(dict(zip(("bucket", "docs", "values"), by_bucket(ids[some], sums[some], n))), schema=pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("values", pa.binary())]))
+            got = np.bincount(doc[met & ~known], minlength=base)
+            docs_.append(np.concatenate(owners)[got > 0])
+            counts.append(got[got > 0])
+        parts = [(0, by_bucket(np.concatenate(docs_), np.concatenate(counts), fragments)), (1, by_bucket(np.concatenate(sized), np.concatenate(sizes), fragments))]
+        rows = [(kind, *row) for kind, columns in parts for row in zip(*columns)]
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("kind", pa.int32()), ("bucket", pa.int32()), ("docs", pa.binary()), ("values", pa.binary())))})
 
     def add(group: pa.Table) -> pa.Table:
-        ids, at = np.unique(np.concatenate([unpack_keys(x.as_py()) for x in group.column("docs")]), return_inverse=True)
-        counts = np.concatenate([unpack_keys(x.as_py()) for x in group.column("values")])
-        return pa.table({key: ids, "shared": np.bincount(at, counts, len(ids)).astype(np.int64)})
+        got = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for kind, d, v in zip(*(group.column(c).to_pylist() for c in ("kind", "docs", "values"))):
+            got[2 * kind].append(unpack_keys(d))
+            got[2 * kind + 1].append(unpack_keys(v))
+        doc, count_, sized, sizes = (np.concatenate(x) for x in got)
+        own, at = np.unique(doc, return_inverse=True)
+        sums = np.r_[np.bincount(at, count_, len(own)).astype(np.int64), 0]
+        place = np.searchsorted(own, sized)
+        place = np.where(np.r_[own, -1][place] == sized, place, len(own)) if len(own) else np.zeros(len(sized), np.int64)
+        return pa.table({key: sized, "n": sizes >> 32, "first": sizes & 0x7FFFFFFF, "shared": sums[place]})
 
     sent = docs.select(F.col(key).cast("long").alias(key), "text").filter(F.col(key).isNotNull()).mapInArrow(send, "fragment int, docs binary, at binary, ids binary")
-    return sent.groupBy("fragment").applyInArrow(count, "bucket int, docs binary, values binary").groupBy("bucket").applyInArrow(add, f"{key} long, shared long")
+    return sent.groupBy("fragment").applyInArrow(count, "kind int, bucket int, docs binary, values binary").groupBy("bucket").applyInArrow(add, f"{key} long, n long, first long, shared long")
+
+
+def maybe_in(keys: DataFrame, key: str, bits: int = SIEVE) -> Callable[[Column], Column]:
+    """A test of keys by a Bloom filter of fixed size, which passes all of `keys` and few others, or more where they are many: it saves work and decides nothing."""
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+    words = keys.select(F.explode(F.array(*places(F.col(key)))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()  # bits / 64 rows at most
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        held = [(table[p.to_numpy() >> 6] >> (p.to_numpy() & 63).astype(np.uint64)) & U(1) for p in (a, b)]
+        return pd.Series((held[0] & held[1]).astype(bool))
+
+    return lambda column: test(*places(column))
 
 
-def bounded_sets(docs: DataFrame, shared: DataFrame, key: str, similarity: int = SIMILARITY, k: int = WORDS) -> DataFrame:
-    """Per document: key, n (its set's size), and, only where bound (1) leaves a link possible, ids and two digests of them."""
+def bounded_sets(docs: DataFrame, able: DataFrame, key: str, similarity: int = SIMILARITY, k: int = WORDS) -> DataFrame:
+    """Per document of `able` (key, shared): key, n (its set's size), and, only where bound (1) leaves a link possible, ids and two digests of them."""
 
     def cut(batches):
         for batch in batches:
             data, offsets = tokens.buffers(batch.column("text"))
-            shared_ = np.nan_to_num(batch.column("shared").to_numpy(zero_copy_only=False).astype(float))
-            known = batch.column(key).is_valid().to_numpy(zero_copy_only=False)
+            shared = batch.column("shared").to_numpy()
             for i, j in tokens.slices(offsets):
                 row, id_ = shingle_sets(data, offsets, i, j, k)
                 n = np.bincount(row, minlength=j - i)
                 first = np.bincount(row[id_ < U(_LIMIT)], minlength=j - i)
                 # a linked set lacks at most this many
                 lacks = n - -(-similarity * n // 100)
-                stays = (n > 0) & (first - lacks <= shared_[i:j]) & known[i:j]
+                stays = (n > 0) & (first - lacks <= shared[i:j])
                 begin = np.searchsorted(row, np.arange(j - i + 1))
                 sums = [np.concatenate([np.zeros(1, U), np.cumsum(tokens.mix(id_ ^ U(salt)))]) for salt in (0, 0x5DEECE66D1234567)]
                 digest = [(s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums]
@@ -168,7 +203,8 @@ def bounded_sets(docs: DataFrame, shared: DataFrame, key: str, similarity: int =
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(id_[kept].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest[0]), pa.array(digest[1]), lists], [key, "n", "s", "t", "ids"])
 
-    rows = docs.select(F.col(key).cast("long").alias(key), "text").join(shared, key, "left")
+    rows = docs.select(F.col(key).cast("long").alias(key), "text")
+    rows = rows.filter(maybe_in(able, key)(F.col(key))).join(able, key)
     return rows.mapInArrow(cut, f"{key} long, n long, s long, t long, ids array<long>")
 
 
@@ -192,13 +228,15 @@ def _hubs(counted: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 class Join:
-    """The join's outputs: `sets` (key, n for every document), `members` (key, rep), `labels` (node, component), and `links` (a, b, o between representatives), which only span each component: `all_links` has every one."""
+    """The join's outputs: `sizes` (key, n for every row), `members` (key, rep), `labels` (node, component), and `links` (a, b, o between representatives), which only span each component: `all_links` has every one."""
 
     def __init__(self, docs: DataFrame, work: Work, key: str = "doc_id", similarity: int = SIMILARITY, k: int = WORDS):
         self.key, self.work, self.similarity = key, work, similarity
-        shared = work.save(shared_counts(docs, key, k), "shared")
-        self.sets = work.save(bounded_sets(docs, shared, key, similarity, k), "sets")
-        work.drop("shared")
+        counts = work.save(document_counts(docs, key, k), "counts")
+        self.sizes = counts.select(key, "n").unionByName(set_sizes(docs.filter(F.col(key).isNull()), key, k))
+        able = work.save(counts.filter(F.expr(f"n > 0 and first - n + ceil({similarity} * n / 100) <= shared")).groupBy(key).agg(F.max("shared").alias("shared")), "able")
+        self.sets = work.save(bounded_sets(docs, able, key, similarity, k), "sets")
+        work.drop("able")
         able = self.sets.filter(F.size("ids") > 0)
         classes = able.groupBy("n", "s", "t").agg(F.min(F.struct(F.col(key).alias("doc"), "ids")).alias("r"))
         reps = work.save(classes.select("r.doc", "n", "s", "t", "r.ids"), "reps")
@@ -226,6 +264,7 @@ class Join:
                 left = work.save(left if rank else left.join(hubs, "doc", "left"), f"left-{turn}")
             if rank:
                 heads = left.groupBy("id").agg(F.max(F.struct(F.expr(rank).alias("rank"), "doc", "n", "met")).alias("h")).select("id", F.col("h.doc").alias("head"), F.col("h.n").alias("m"), F.col("h.met").alias("other"))
+                heads = work.save(heads, f"heads-{turn}")  # apart, so that Spark can split an n-gram of many documents in the join
                 pairs = left.join(heads, "id").filter((F.col("doc") != F.col("head")) & fits).select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"))
             else:
                 other = left.select("id", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("met").alias("other"), F.col("component").alias("theirs"), F.col("place").alias("their_place"), F.col("hub").alias("their_hub"), F.col("in_hub").alias("theirs_in_hub"))
@@ -269,13 +308,13 @@ class Join:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.join(own, both["b"] == own["rep"]).groupBy(F.col("a").alias("rep")).agg(F.sum("own").alias("near"))
         of = self.members.join(own, "rep").join(near, "rep", "left").groupBy(key).agg(F.max(F.col("own") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-        return self.sets.select(key).distinct().join(of, key, "left").select(key, F.coalesce("links", F.lit(0)).alias("links"))
+        return self.sizes.select(key).distinct().join(of, key, "left").select(key, F.coalesce("links", F.lit(0)).alias("links"))
 
     def components(self) -> DataFrame:
         """Per document: key, n_shingles, component_id (the smallest key that links lead to, itself included)."""
         key = self.key
         of = self.members.join(self.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy(key).agg(F.min(F.coalesce("component", "rep")).alias("component"))
-        return self.sets.select(key, "n").join(of, key, "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id"))
+        return self.sizes.select(key, "n").join(of, key, "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, work: Work, key: str = "doc_id", similarity: int = SIMILARITY, k: int = WORDS) -> DataFrame:
