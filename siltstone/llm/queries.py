@@ -65,7 +65,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), Work(spark, "op9"))
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,16 +79,64 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, heads: np.ndarray | Non
     return np.maximum(length[last] - (place - last), 0)
 
 
-def repeated(pieces: list[bytes], span: int) -> list[np.ndarray]:
-    """For each piece, which of its `span`-byte strings also start elsewhere in the pieces. Byte 0xFF, which UTF-8 never has, parts them."""
-    text = np.frombuffer(b"\xff".join(pieces), np.uint8)
-    heads = _heads(text)
-    order = suffix_array(text, heads)
-    shared = common_prefixes(text, order, heads)[order] >= span
-    twice = np.zeros(len(text), bool)
-    twice[order] = shared | np.r_[shared[1:], False]
-    out, at = [], 0
-    for p in pieces:
-        out.append(twice[at : at + max(len(p) - span + 1, 0)])
-        at += len(p) + 1
-    return out
+class Shard:
+    """The sorted suffixes of pieces of text, of which only the first `starts` of each piece count. Byte 0xFF, which UTF-8 never has, ends each piece."""
+
+    def __init__(self, pieces: list[bytes], starts: list[int]):
+        self.sizes, self.starts = np.array([len(p) + 1 for p in pieces]), np.array(starts)
+        self.text = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)
+        self.heads = _heads(self.text)
+        order = suffix_array(self.text, self.heads)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(self.text)) - np.repeat(self.begin, self.sizes)
+        kept = np.flatnonzero((place < np.repeat(self.starts, self.sizes))[order])
+        self.order = order[kept]
+        # what a suffix shares with the one kept before it is the least of what lies between
+        self.shared = np.zeros(len(kept), np.int64)
+        if len(kept) > 1:
+            shared = common_prefixes(self.text, order, self.heads)[order]
+            self.shared[1:] = np.minimum.reduceat(shared[: kept[-1] + 1], kept[:-1] + 1)
+
+    def _by_piece(self, best: np.ndarray, spans: tuple[int, ...]) -> list[np.ndarray]:
+        """best: by place, bytes shared with another suffix. Rows: spans; columns: the starts of a piece."""
+        return [np.stack([best[a : a + n] >= span for span in spans]) for a, n in zip(self.begin.tolist(), self.starts.tolist())]
+
+    def repeated(self, spans: tuple[int, ...]) -> list[np.ndarray]:
+        """For each piece, by span, which of its strings also start elsewhere in the shard."""
+        best = np.zeros(len(self.text), np.int64)
+        best[self.order] = np.maximum(self.shared, np.r_[self.shared[1:], 0][: len(self.shared)])
+        return self._by_piece(best, spans)
+
+    def found_in(self, other: Shard, spans: tuple[int, ...]) -> list[np.ndarray]:
+        """For each piece, by span, which of its strings start in another shard, by binary search among its suffixes."""
+        most, own = max(spans), self.order
+        low, high = np.zeros(len(own), np.int64), np.full(len(own), len(other.order))
+        while len(live := np.flatnonzero(low < high)):
+            middle = (low[live] + high[live]) // 2
+            same, less = self._compared(own[live], other, other.order[middle], most)
+            after = less & (same < most)
+            low[live[after]] = middle[after] + 1
+            high[live[~after]] = middle[~after]
+        best = np.zeros(len(self.text), np.int64)
+        for at in (low - 1, low):  # the longest common prefix is with a neighbour of the place found
+            some = np.flatnonzero((at >= 0) & (at < len(other.order)))
+            best[own[some]] = np.maximum(best[own[some]], self._compared(own[some], other, other.order[at[some]], most)[0])
+        return self._by_piece(best, spans)
+
+    def _compared(self, own: np.ndarray, other: Shard, theirs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that the suffixes share, up to `most`, and whether the other's comes before our own."""
+        same, less = np.full(len(own), most), np.zeros(len(own), bool)
+        live, at = np.arange(len(own)), 0
+        while len(live) and at < most:
+            x, y = self.heads[np.minimum(own[live] + at, len(self.text))], other.heads[np.minimum(theirs[live] + at, len(other.text))]
+            stop = x != y
+            if stop.any():
+                d = x[stop] ^ y[stop]
+                more, equal = np.zeros(len(d), np.int64), np.ones(len(d), bool)
+                for k in range(8):
+                    equal &= ((d >> np.uint64(56 - 8 * k)) & np.uint64(255)) == 0
+                    more += equal
+                same[live[stop]] = np.minimum(at + more, most)
+                less[live[stop]] = y[stop] < x[stop]
+            live, at = live[~stop], at + 8
+        return same, less

@@ -1,12 +1,15 @@
 """Suffix-array deduplication of long byte strings.
 
-Only places that can hold a repeated string reach a suffix array: each 400-byte string is named by the least fingerprint
-of its 64-byte pieces, so equal strings have equal names, and a name that occurs once rules its strings out. The
-stretches of text under one name that occurs more often are gathered by name into shards of bounded size. Each shard
-sorts its suffixes and takes common prefixes of neighbours; where the stretches of one name fill several shards, the
-shards' sorted strings are merged by binary search.
+Strings of two lengths are looked for: those of SPAN bytes are removed, those of NOTED bytes are counted, as repeats of
+some 50 words are often shorter than SPAN. Only places that can hold a repeated string reach a suffix array: each
+NOTED-byte string is named by the least fingerprint of its pieces, so equal strings have equal names, and a name that
+occurs once rules its strings out. The stretches of text under one name that occurs more often, with what follows up to
+SPAN bytes, are gathered by name into shards of bounded size. Each shard sorts its suffixes and takes common prefixes of
+neighbours; where the stretches of one name fill several shards, each shard's suffixes are looked up in the suffix
+arrays of the others by binary search.
 
-What meets under a name is bounded by batches of rows: equal stretches of one batch are sent once.
+What meets under a name is bounded by batches of rows: equal stretches of one batch are sent once. A name that many
+batches have (a line common to many texts) is split by a second name of its strings, the least of other fingerprints.
 
 Defined results: null and empty texts have no bytes and keep none; texts shorter than the span lose nothing; rows
 repeated under one doc_id are places of their own; rows with a null doc_id lose nothing and take nothing; further
@@ -23,20 +26,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltstone.llm import tokens
 from siltstone.llm.packed import by_bucket, by_document, pack, pack_keys, unpack, unpack_keys
-from siltstone.llm.suffix_array import repeated
+from siltstone.llm.suffix_array import Shard
 from siltstone.llm.tokens import U
 from siltstone.llm.work import Work, partitions
 
 SPAN = 400
-PIECE = 64
+#: Bytes of the strings that are only counted: 50 words of four letters and a blank.
+NOTED = 250
+PIECE = 32
+#: A name that more batches' documents have than this is split by second names.
+COMMON = 256
 #: Bytes of a shard's text.
 SHARD = 1 << 19
 #: Bytes of stretches that a task holds before it sends them.
 HELD = 8 << 20
 _BITS = 48
-_SENT = "fragment int, kind int, docs binary, starts binary, names binary, sizes binary, bytes binary"
+_FLAG = 1 << 62
+_SENT = "fragment int, kind int, docs binary, starts binary, names binary, sizes binary, owns binary, bytes binary"
 _MET = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("values", pa.binary())])
-_SENT_ARROW = pa.schema([("fragment", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("docs", "starts", "names", "sizes", "bytes"))])
+_SENT_ARROW = pa.schema([("fragment", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("docs", "starts", "names", "sizes", "owns", "bytes"))])
 
 
 def _slide(x: np.ndarray, span: int, pick) -> np.ndarray:
@@ -54,19 +62,33 @@ def _spread(least: np.ndarray) -> np.ndarray:
     return tokens.mix(least) >> U(64 - _BITS)
 
 
-def names(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _prints(data: np.ndarray, bounds: np.ndarray, span: int, piece: int, salt: int) -> np.ndarray:
+    """Fingerprint of the piece at each place, above all others where a row ends in it."""
+    n = len(data)
+    sums = tokens.prefix(tokens._BYTES[data])
+    at = np.arange(n - piece + 1)
+    out = np.full(n + span, U(1 << _BITS), U)
+    got = tokens.stretch(sums, at, at + piece)
+    out[at] = (tokens.mix(got ^ U(salt)) if salt else got) >> U(64 - _BITS)
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    out[:n][np.arange(n) + piece > end] = U(1 << _BITS)
+    return out
+
+
+def second_names(data: np.ndarray, bounds: np.ndarray, start: np.ndarray, span: int, piece: int) -> np.ndarray:
+    """Other names of the strings that start at the given places."""
+    return _spread(_slide(_prints(data, bounds, span, piece, 0x2545F4914F6CDD1D), span - piece + 1, np.minimum)[start])
+
+
+def names(data: np.ndarray, bounds: np.ndarray, span: int = NOTED, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and name of each `span`-byte string within a row, and place and name of each piece that names any. bounds: rows' offsets in data."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < span:
         return none, np.zeros(0, U), none, np.zeros(0, U)
-    sums = tokens.prefix(tokens._BYTES[data])
-    at = np.arange(n - piece + 1)
-    print_ = np.full(n + span, U(1 << _BITS), U)
-    print_[at] = tokens.stretch(sums, at, at + piece) >> U(64 - _BITS)
+    print_ = _prints(data, bounds, span, piece, 0)
     end = np.repeat(bounds[1:], np.diff(bounds))
     place = np.arange(n)
-    print_[:n][place + piece > end] = U(1 << _BITS)
     wide = span - piece + 1
     least = _slide(print_, wide, np.minimum)[:n]
     valid = place + span <= end
@@ -83,8 +105,8 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def shared_names(docs: DataFrame, key: str, span: int = SPAN, piece: int = PIECE) -> DataFrame:
-    """Documents and names of their pieces that occur more than once, anywhere, packed by bucket of documents."""
+def shared_names(docs: DataFrame, key: str, span: int = NOTED, piece: int = PIECE, common: int = COMMON) -> DataFrame:
+    """Documents and names (common ones flagged) of their pieces that occur more than once, anywhere, packed by bucket of documents."""
     fragments = max(8, partitions(docs.sparkSession))
     width = -(-(1 << _BITS) // fragments)
 
@@ -109,7 +131,7 @@ def shared_names(docs: DataFrame, key: str, span: int = SPAN, piece: int = PIECE
                 for f in range(fragments):
                     a, b = cuts[f], cuts[f + 1]
                     if a < b:
-                        for name, y in zip(out, (f, kind, pack_keys(d[a:b]), np.packbits(marks[a:b]).tobytes(), pack(x[a:b] - U(f * width), 6), b"", b"")):
+                        for name, y in zip(out, (f, kind, pack_keys(d[a:b]), np.packbits(marks[a:b]).tobytes(), pack(x[a:b] - U(f * width), 6), b"", b"", b"")):
                             out[name].append(y)
             yield pa.RecordBatch.from_pydict(out, schema=_SENT_ARROW)
 
@@ -128,62 +150,57 @@ def shared_names(docs: DataFrame, key: str, span: int = SPAN, piece: int = PIECE
             met = (np.r_[False, same][: len(id_)] | np.r_[same, False][: len(id_)]) & ~marked
             docs_.append(doc[met])
             ids.append(id_[met])
-        return pa.table(dict(zip(_MET.names, by_bucket(np.concatenate(docs_), (np.concatenate(ids) + U(f * width)).view(np.int64), fragments))), schema=_MET)
+        doc, id_ = np.concatenate(docs_), np.concatenate(ids)
+        _, at, times = np.unique(id_, return_inverse=True, return_counts=True)
+        flags = np.where(times[at] > common, U(_FLAG), U(0)) if len(id_) else id_
+        return pa.table(dict(zip(_MET.names, by_bucket(doc, (id_ + U(f * width) | flags).view(np.int64), fragments))), schema=_MET)
 
     rows = docs.select(F.col(key).cast("long").alias(key), "text").filter(F.col(key).isNotNull())
     return rows.mapInArrow(send, _SENT).groupBy("fragment").applyInArrow(meet, "bucket int, docs binary, values binary")
 
 
-def in_shards(pieces: list[bytes], of: np.ndarray, span: int = SPAN, size: int = SHARD) -> list[np.ndarray]:
-    """Which strings of distinct pieces occur more than once. of: each piece's name, ascending; pieces of one name share a shard or, if they fill several, are merged."""
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(pieces)
+def in_shards(pieces: list[bytes], of: np.ndarray, starts: list[int], spans: tuple[int, ...] = (SPAN,), size: int = SHARD) -> list[np.ndarray]:
+    """For each span, by row, which of its strings in distinct pieces start more than once (columns: the first `starts` places of a piece, which are its own). of: each piece's name, ascending; pieces of one name share a shard or, if they fill several, are merged."""
+    out: list[np.ndarray] = [np.zeros((len(spans), 0), bool)] * len(pieces)
     begin = [*np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)]).tolist(), len(of)]
     own: list[int] = []
     filled = 0
 
-    def close() -> None:
-        nonlocal own, filled
-        if own:
-            for k, marks in zip(own, repeated([pieces[k] for k in own], span)):
-                out[k] = marks
-        own, filled = [], 0
+    def put(own: list[int], marks: list[np.ndarray]) -> None:
+        for k, x in zip(own, marks):
+            out[k] = x
 
     for a, b in zip(begin[:-1], begin[1:]):
         total = sum(len(p) for p in pieces[a:b])
-        if filled + total > size:
-            close()
+        if own and filled + total > size:
+            put(own, Shard([pieces[k] for k in own], [starts[k] for k in own]).repeated(spans))
+            own, filled = [], 0
         if total <= size:
             own += range(a, b)
             filled += total
             continue
         shards, low = [], a
         while low < b:
-            high, filled = low, 0
-            while high < b and (filled == 0 or filled + len(pieces[high]) <= size):
-                filled += len(pieces[high])
+            high, room = low, size
+            while high < b and (high == low or len(pieces[high]) <= room):
+                room -= len(pieces[high])
                 high += 1
-            own = list(range(low, high))
-            close()
-            shards.append((low, high))
+            shards.append((range(low, high), Shard(pieces[low:high], starts[low:high])))
             low = high
-        sorted_ = []
-        for low, high in shards:
-            prints = []
-            for k in range(low, high):
-                data = np.frombuffer(pieces[k], np.uint8)
-                at = np.arange(len(data) - span + 1)
-                prints.append(tokens.stretch(tokens.prefix(tokens._BYTES[data]), at, at + span))
-            sorted_.append((low, prints, np.unique(np.concatenate(prints))))
-        merged = np.sort(np.concatenate([s[2] for s in sorted_]))
-        for low, prints, _ in sorted_:
-            for k, x in enumerate(prints):
-                out[low + k] = out[low + k] | (np.searchsorted(merged, x, "right") - np.searchsorted(merged, x, "left") > 1)
-    close()
+        for own_, shard in shards:
+            found = shard.repeated(spans)
+            for _, other in shards:
+                if other is not shard:
+                    found = [x | y for x, y in zip(found, shard.found_in(other, spans))]
+            put(own_, found)
+    if own:
+        put(own, Shard([pieces[k] for k in own], [starts[k] for k in own]).repeated(spans))
     return out
 
 
-def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
-    """Documents and ranges (first start * 2**31 + last start + 1) of strings that occur more than once, packed by bucket of documents."""
+def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, noted: int = NOTED, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
+    """Documents and ranges (first start * 2**31 + last start + 1, flagged for the shorter strings) of strings that occur more than once, packed by bucket of documents."""
+    spans = (span, noted)
     fragments = max(8, partitions(docs.sparkSession))
     width = -(-(1 << _BITS) // fragments)
 
@@ -192,29 +209,34 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, piece:
             keys = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
             flat, ends = tokens.buffers(batch.column("values"))
             flat, ends = flat[ends[0] : ends[-1]].view(np.uint64), (ends - ends[0]) // 8
-            # stretches by their bytes: name, places, how many strings start in it
+            # stretches by their bytes (which settle the rest): name, how many strings start in it, places
             held: dict[bytes, list] = {}
             size = 0
             for i, j, data, bounds in _slices(batch):
-                start, name, _, _ = names(data, bounds, span, piece)
+                start, name, _, _ = names(data, bounds, noted, piece)
                 row = np.searchsorted(bounds, start, "right") - 1
-                wanted = np.unique((np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])).astype(np.uint64) << U(_BITS)) | flat[ends[i] : ends[j]])
+                listed = flat[ends[i] : ends[j]]
+                wanted, first = np.unique((np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])).astype(np.uint64) << U(_BITS)) | (listed & U((1 << _BITS) - 1)), return_index=True)
+                split = listed[first] >= U(_FLAG)
                 if not len(wanted) or not len(start):
                     continue
                 asked = (row.astype(np.uint64) << U(_BITS)) | name
-                some = wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked
-                start, row, asked = start[some], row[some], asked[some]
+                at = np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)
+                some = wanted[at] == asked
+                start, row, asked, split = start[some], row[some], asked[some] & U((1 << _BITS) - 1), split[at[some]]
                 if not len(start):
                     continue
-                first = np.flatnonzero(np.r_[True, (asked[1:] != asked[:-1]) | (start[1:] != start[:-1] + 1)])
+                if split.any():
+                    asked[split] = _spread(asked[split] ^ second_names(data, bounds, start[split], noted, piece))
+                first = np.flatnonzero(np.r_[True, (asked[1:] != asked[:-1]) | (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])])
                 last = np.r_[first[1:], len(start)] - 1
                 raw = data.tobytes()
-                for a, b, n, r in zip(start[first].tolist(), start[last].tolist(), (asked[first] & U((1 << _BITS) - 1)).tolist(), row[first].tolist()):
-                    got = held.get(text := raw[a : b + span])
+                for a, b, m, n, r in zip(start[first].tolist(), np.minimum(start[last] + span, bounds[row[first] + 1]).tolist(), (last - first + 1).tolist(), asked[first].tolist(), row[first].tolist()):
+                    got = held.get(text := raw[a:b])
                     if got is None:
-                        held[text] = got = [n, []]
+                        held[text] = got = [n, m, []]
                         size += len(text)
-                    got[1].append((int(keys[i + r]), int(a - bounds[r])))
+                    got[2].append((int(keys[i + r]), int(a - bounds[r])))
                 if size > HELD:
                     yield put(held)
                     held, size = {}, 0
@@ -222,65 +244,68 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, piece:
 
     def put(held: dict[bytes, list]) -> pa.RecordBatch:
         by: dict[tuple[int, int], list] = {}
-        for text, (name, places) in held.items():
+        for text, (name, own, places) in held.items():
             f = name // width
-            by.setdefault((f, len(places) > 1), []).append((*places[0], name, len(text), text))
+            by.setdefault((f, len(places) > 1), []).append((*places[0], name, len(text), own, text))
             for doc, at in places if len(places) > 1 else ():
-                by.setdefault((f, 2), []).append((doc, at, name, len(text), b""))
+                by.setdefault((f, 2), []).append((doc, at, name, len(text), own, b""))
         out = {name: [] for name in _SENT_ARROW.names}
         for (f, kind), rows in by.items():
-            d, s, n, z, t = zip(*rows)
-            for name, y in zip(out, (f, int(kind), *(pack_keys(np.array(x, np.int64)) for x in (d, s, n, z)), b"".join(t))):
+            d, s, n, z, o, t = zip(*rows)
+            for name, y in zip(out, (f, int(kind), *(pack_keys(np.array(x, np.int64)) for x in (d, s, n, z, o)), b"".join(t))):
                 out[name].append(y)
         return pa.RecordBatch.from_pydict(out, schema=_SENT_ARROW)
 
     def sort(group: pa.Table) -> pa.Table:
         """kind 0: stretches of one place; 1: that stand for several places of a batch; 2: those places."""
-        docs_, ranges = [], []
+        docs_, ranges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         held: dict[bytes, list] = {}
+
+        def put(doc: np.ndarray, at: np.ndarray, edges: np.ndarray, flag: int) -> None:
+            """edges: first and last start + 1, from each of the places at."""
+            low = (at[:, None] + edges[None, :, 0]).ravel()
+            docs_.append(np.repeat(doc, len(edges)))
+            ranges.append(flag | (low << 31) | (at[:, None] + edges[None, :, 1]).ravel())
+
         for kind, *packed, text in zip(*(group.column(c).to_pylist() for c in _SENT_ARROW.names[1:])):
-            doc, at, name, size = (unpack_keys(x) for x in packed)
+            doc, at, name, size, starts = (unpack_keys(x) for x in packed)
             if kind == 2:
-                docs_.append(doc)
-                ranges.append(np.stack([at, at + size - span + 1], 1))
+                for flag, wide in ((0, span), (_FLAG, noted)):
+                    n = np.minimum(size - wide + 1, starts)
+                    docs_.append(doc[n > 0])
+                    ranges.append((flag | (at << 31) | (at + n))[n > 0])
                 continue
             ends = np.cumsum(size)
-            for d, s, n, a, b in zip(doc.tolist(), at.tolist(), name.tolist(), (ends - size).tolist(), ends.tolist()):
-                got = held.setdefault(text[a:b], [n, 0, []])
-                got[1] += 1 + kind
+            for d, s, n, m, a, b in zip(doc.tolist(), at.tolist(), name.tolist(), starts.tolist(), (ends - size).tolist(), ends.tolist()):
+                got = held.setdefault(text[a:b], [n, m, 0, []])
+                got[2] += 1 + kind
                 if not kind:
-                    got[2].append((d, s))
+                    got[3].append((d, s))
         pieces = sorted(held, key=lambda t: held[t][0])
-        marks = in_shards(pieces, np.array([held[t][0] for t in pieces], np.int64), span, shard)
+        marks = in_shards(pieces, np.array([held[t][0] for t in pieces], np.int64), [held[t][1] for t in pieces], spans, shard)
         for text, own in zip(pieces, marks):
-            _, times, places = held[text]
+            _, starts, times, places = held[text]
             if not places:
                 continue
-            if times > 1:
-                edges = np.array([[0, len(text) - span + 1]])
-            else:
-                steps = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
-                edges = steps.reshape(-1, 2)
-            if len(edges):
-                for d, s in places:
-                    docs_.append(np.full(len(edges), d, np.int64))
-                    ranges.append(edges + s)
-        doc = np.concatenate(docs_) if docs_ else np.zeros(0, np.int64)
-        edges = np.concatenate(ranges) if ranges else np.zeros((0, 2), np.int64)
-        return pa.table(dict(zip(_MET.names, by_bucket(doc, (edges[:, 0] << 31) | edges[:, 1], fragments))), schema=_MET)
+            doc, at = np.array(places, np.int64).T
+            for flag, wide, some in zip((0, _FLAG), spans, own):
+                n = min(len(text) - wide + 1, starts)
+                if n > 0:
+                    put(doc, at, np.array([[0, n]]) if times > 1 else np.flatnonzero(np.diff(np.r_[False, some[:n], False].astype(np.int8))).reshape(-1, 2), flag)
+        return pa.table(dict(zip(_MET.names, by_bucket(np.concatenate(docs_), np.concatenate(ranges), fragments))), schema=_MET)
 
     rows = docs.select(F.col(key).cast("long").alias(key), "text").join(by_document(met, key), key)
     # few bytes are much work here, so partitions must not be joined by size
     return rows.mapInArrow(send, _SENT).repartition(fragments, "fragment").groupBy("fragment").applyInArrow(sort, "bucket int, docs binary, values binary")
 
 
-def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN) -> DataFrame:
-    """Per document: key, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
+def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN, noted: int = NOTED) -> DataFrame:
+    """Per document: key, n_bytes, n_removed, n_spans, n_repeated (bytes in the shorter repeated strings), kept (the bytes that stay)."""
 
     def cut(batches):
         for batch in batches:
             lists = batch.column("values")
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
+            n_bytes, n_removed, n_spans, n_repeated, kept = [], [], [], [], []
             data, offsets = tokens.buffers(batch.column("text"))
             for r in range(len(offsets) - 1):
                 own = data[offsets[r] : offsets[r + 1]]
@@ -289,20 +314,25 @@ def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN) -> Dat
                 if not ranges:
                     n_removed.append(0)
                     n_spans.append(0)
+                    n_repeated.append(0)
                     kept.append(own.tobytes())
                     continue
                 edges = np.frombuffer(ranges, np.int64)
-                gone = tokens.covered(edges >> 31, (edges & ((1 << 31) - 1)) + span - 1, len(own))
+                short, edges = edges >= _FLAG, edges & (_FLAG - 1)
+                begin, end = edges >> 31, edges & ((1 << 31) - 1)
+                gone = tokens.covered(begin[~short], end[~short] + span - 1, len(own))
+                n_repeated.append(int(tokens.covered(begin[short], end[short] + noted - 1, len(own)).sum()))
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()))
                 kept.append(own[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans, n_repeated)), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").join(by_document(found, key), key, "left").mapInArrow(cut, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.select(key, "text").join(by_document(found, key), key, "left").mapInArrow(cut, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
 
 
-def deduplicate(docs: DataFrame, work: Work, key: str = "doc_id", span: int = SPAN, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
-    met = work.save(shared_names(docs, key, span, piece), "names")
-    found = work.save(repeats(docs, met, key, span, piece, shard), "repeats")
-    return remove(docs, found, key, span)
+def deduplicate(docs: DataFrame, work: Work, key: str = "doc_id", span: int = SPAN, noted: int = NOTED, piece: int = PIECE, shard: int = SHARD, common: int = COMMON) -> DataFrame:
+    """noted: at most `span`, and no less than `piece`."""
+    met = work.save(shared_names(docs, key, noted, piece, common), "names")
+    found = work.save(repeats(docs, met, key, span, noted, piece, shard), "repeats")
+    return remove(docs, found, key, span, noted)

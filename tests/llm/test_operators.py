@@ -338,10 +338,11 @@ def expected_bytes(rows, span):
     return out
 
 
-@pytest.mark.parametrize(("span", "shard"), [(400, 1 << 19), (100, 600)])
-def test_suffix_dedup(spark, rows, docs, empty, span, shard):
-    got = by_id(suffix_dedup.deduplicate(docs, Work(spark, "t9"), span=span, piece=64, shard=shard))
+@pytest.mark.parametrize(("span", "noted", "shard", "common"), [(400, 250, 1 << 19, 256), (100, 100, 600, 0), (150, 70, 600, 1)])
+def test_suffix_dedup(spark, rows, docs, empty, span, noted, shard, common):
+    got = by_id(suffix_dedup.deduplicate(docs, Work(spark, "t9"), span=span, noted=noted, shard=shard, common=common))
     want = expected_bytes(rows, span)
+    assert {d: g["n_repeated"] for d, g in got.items()} == {d: w[1] for d, w in expected_bytes(rows, noted).items()}
     assert {d: (g["n_bytes"], g["n_removed"], g["n_spans"], bytes(g["kept"])) for d, g in got.items()} == want and sum(w[1] for w in want.values()) > 2000
     assert suffix_dedup.deduplicate(empty, Work(spark, "t9")).count() == 0
 
