@@ -19,7 +19,7 @@ def suffix_array(text: np.ndarray, heads: np.ndarray | None = None) -> np.ndarra
     """Larsson-Sadakane refinement: suffixes sorted by h symbols are sorted by 2h through the ranks h places on; groups of one are left alone."""
     n = len(text)
     heads = _heads(text)[:n] if heads is None else heads[:n]
-    order = np.argsort(heads, kind="stable")
+    order = np.argsort(heads)
     sorted_ = heads[order]
     new = np.r_[True, sorted_[1:] != sorted_[:-1]][:n]
     rank = np.zeros(n + 1, np.uint64)
@@ -33,7 +33,7 @@ def suffix_array(text: np.ndarray, heads: np.ndarray | None = None) -> np.ndarra
             break
         own = order[place]
         key = (rank[own] << np.uint64(32)) | rank[np.minimum(own + h, n)]
-        turn = np.argsort(key, kind="stable")
+        turn = np.argsort(key)
         own, key = own[turn], key[turn]
         order[place] = own
         new = np.r_[True, key[1:] != key[:-1]][: len(key)]

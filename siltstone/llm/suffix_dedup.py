@@ -18,7 +18,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ NOTED = 250
 PIECE = 32
 #: A name that more batches' documents have than this is split by second names.
 COMMON = 256
-#: Bytes of a shard's text.
+#: Bytes of a shard's text; one name's stretches may fill four times as much before they take several shards.
 SHARD = 1 << 19
 #: Bytes of stretches that a task holds before it sends them.
 HELD = 8 << 20
@@ -119,7 +121,7 @@ def shared_names(docs: DataFrame, key: str, span: int = NOTED, piece: int = PIEC
                 docs_.append(keys[i + np.searchsorted(bounds, held, "right") - 1])
                 ids.append(name)
             doc, id_ = np.concatenate(docs_), np.concatenate(ids)
-            order = np.argsort(id_, kind="stable")
+            order = np.argsort(id_)
             doc, id_ = doc[order], id_[order]
             new = np.r_[True, id_[1:] != id_[:-1]][: len(id_)]
             begin = np.flatnonzero(new)
@@ -144,7 +146,7 @@ def shared_names(docs: DataFrame, key: str, span: int = NOTED, piece: int = PIEC
         docs_, ids = [p[0] for p in parts[1]], [p[1] for p in parts[1]]
         if parts[0]:
             doc, id_, marked = (np.concatenate(c) for c in zip(*parts[0]))
-            order = np.argsort(id_, kind="stable")
+            order = np.argsort(id_)
             doc, id_, marked = doc[order], id_[order], marked[order]
             same = id_[1:] == id_[:-1]
             met = (np.r_[False, same][: len(id_)] | np.r_[same, False][: len(id_)]) & ~marked
@@ -175,13 +177,13 @@ def in_shards(pieces: list[bytes], of: np.ndarray, starts: list[int], spans: tup
         if own and filled + total > size:
             put(own, Shard([pieces[k] for k in own], [starts[k] for k in own]).repeated(spans))
             own, filled = [], 0
-        if total <= size:
+        if total <= 4 * size:
             own += range(a, b)
             filled += total
             continue
         shards, low = [], a
         while low < b:
-            high, room = low, size
+            high, room = low, 4 * size
             while high < b and (high == low or len(pieces[high]) <= room):
                 room -= len(pieces[high])
                 high += 1
@@ -281,9 +283,12 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, noted:
                 got[2] += 1 + kind
                 if not kind:
                     got[3].append((d, s))
-        pieces = sorted(held, key=lambda t: held[t][0])
+        # a stretch that stands in several places, and is the only one of its name, is known to repeat as a whole
+        kinds = Counter(name for name, *_ in held.values())
+        pieces = sorted((t for t, (name, _, times, _) in held.items() if times == 1 or kinds[name] > 1), key=lambda t: held[t][0])
         marks = in_shards(pieces, np.array([held[t][0] for t in pieces], np.int64), [held[t][1] for t in pieces], spans, shard)
-        for text, own in zip(pieces, marks):
+        alone = [t for t, (name, _, times, _) in held.items() if times > 1 and kinds[name] == 1]
+        for text, own in chain(zip(pieces, marks), zip(alone, repeat(((), ())))):
             _, starts, times, places = held[text]
             if not places:
                 continue
