@@ -9,61 +9,127 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-CHALLENGE = ("captcha", "cf-turnstile", "cf-challenge", "verify you are human", "unusual traffic")
+from siltstone.functions import urls
+
+#: What pages that ask for proof of a person say.
+CHALLENGE = ("captcha", "cf-turnstile", "challenge-platform", "just a moment", "attention required", "verify you are human")
+#: What embedded data of a product or review page mentions.
+TELLING = ("price", "rating", "review", "description")
+#: An attribute of a tag and its value, bare or in quotes.
+ATTRIBUTE = r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def before(text: Column, mark: str) -> Column:
+    """What stands before the first match of a pattern, or all of it."""
+    return F.split(text, mark, 2)[0]
+
+
+def after(text: Column, mark: str) -> Column:
+    """What stands after the first match of a pattern; null without one."""
+    return F.get(F.split(text, mark, 2), F.lit(1))
+
+
+def without_elements(page: Column, tag: str) -> Column:
+    """The page without elements of a tag and what is in them; one that is never closed stays."""
+    closed = F.split(page, rf"(?i)</{tag}\s*>")
+    kept = F.transform(F.slice(closed, F.lit(1), F.size(closed) - 1), lambda x: before(x, rf"(?i)<{tag}\b"))
+    return F.array_join(F.concat(kept, F.array(F.element_at(closed, -1))), " ")
+
+
+def without_tags(page: Column, mark: str = " ") -> Column:
+    """Each tag, from < to the next >, becomes a mark."""
+    ends = F.split(page, ">")
+    kept = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda x: F.when(F.contains(x, F.lit("<")), F.concat(F.substring_index(x, "<", 1), F.lit(mark))).otherwise(F.concat(x, F.lit(">"))))
+    return F.concat(F.array_join(kept, ""), F.element_at(ends, -1))
+
+
+def plain(page: Column, mark: str = " ") -> Column:
+    """Text without tags, entities resolved, spaces collapsed."""
+    return F.trim(F.regexp_replace(unescaped(without_tags(page, mark)), r"(?U)\s+", " "))
+
+
+def elements(page: Column, tag: str) -> Column:
+    """array<struct<head, body, closed>>: what stands in each opening tag, what follows up to the closing tag, and whether there is one."""
+    opened = F.split(page, rf"(?i)<{tag}\b")
+
+    def taken(x):
+        rest = F.coalesce(after(x, ">"), F.lit(""))
+        return F.struct(before(x, ">").alias("head"), before(rest, rf"(?i)</{tag}\b").alias("body"), (F.size(F.split(rest, rf"(?i)</{tag}\b", 2)) > 1).alias("closed"))
+
+    return F.transform(F.slice(opened, F.lit(2), F.size(opened)), taken)
+
+
+def attribute(head: Column, name: str) -> Column:
+    """The first value of an attribute of an opening tag, without quotes; null without one."""
+    at = F.array_position(F.transform(F.regexp_extract_all(head, F.lit(ATTRIBUTE), F.lit(1)), F.lower), name)
+    raw = F.get(F.regexp_extract_all(head, F.lit(ATTRIBUTE), F.lit(2)), F.nullif(at, F.lit(0)).cast("int") - 1)
+    return F.regexp_replace(raw, """^["']|["']$""", "")
+
+
+def meta(page: Column, name: str) -> Column:
+    """Content of the first meta element of a name or property that has any; null without one."""
+    own = F.filter(elements(page, "meta"), lambda x: (F.lower(F.coalesce(attribute(x["head"], "name"), attribute(x["head"], "property"))) == name) & (attribute(x["head"], "content") != ""))
+    return unescaped(attribute(F.get(own, F.lit(0))["head"], "content"))
 
 
 def title(page: Column) -> Column:
-    """Text of the first title element, tags removed, spaces collapsed, 500 characters at most; null without one."""
-    raw = F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    flat = F.trim(F.regexp_replace(F.regexp_replace(raw, r"<[^>]*>", ""), r"\s+", " "))
-    return F.when(flat != "", F.substring(flat, 1, 500))
+    """Text of the first title element, 500 characters at most; without such an element og:title. Null if neither has any."""
+    own = F.get(F.filter(elements(page, "title"), lambda x: x["closed"]), F.lit(0))["body"]
+    return F.when(own.isNull(), meta(page, "og:title")).otherwise(F.nullif(F.substring(plain(own), 1, 500), F.lit("")))
 
 
 def visible_text(page: Column) -> Column:
-    """Scripts and styles go with their content, other tags become spaces, spaces collapse."""
-    bare = F.regexp_replace(F.regexp_replace(page, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    """Scripts and styles go with their content, other tags become spaces, entities are resolved, spaces collapse."""
+    return plain(without_elements(without_elements(page, "script"), "style"))
 
 
 def without_boilerplate(page: Column) -> Column:
     """As visible_text, without navigation, footer and aside."""
-    bare = page
     for tag in ("nav", "footer", "aside"):
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    return visible_text(bare)
+        page = without_elements(page, tag)
+    return visible_text(page)
 
 
-def meta(page: Column, name: str) -> Column:
-    """Content of a meta element by name or property, attributes in either order; null without one."""
-    a = F.regexp_extract(page, rf"(?is)<meta\s+[^>]*(?:name|property)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
-    b = F.regexp_extract(page, rf"(?is)<meta\s+[^>]*content=[\"']([^\"']*)[\"'][^>]*(?:name|property)=[\"']{name}[\"']", 1)
-    return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+def hrefs(page: Column) -> Column:
+    return F.filter(F.transform(elements(page, "a"), lambda x: attribute(x["head"], "href")), lambda x: x.isNotNull())
 
 
-def hrefs(page: Column) -> Column:
-    return F.regexp_extract_all(page, F.lit(r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"']"), F.lit(1))
+def results(page: Column, chosen: str = "result__a") -> Column:
+    """array<struct<url, title>> of a result page: anchors of the class; without any, nofollow anchors to web addresses with a title of four characters or more. Redirects are unwrapped, titles cut at 240 characters."""
+    own = F.filter(elements(page, "a"), lambda x: x["closed"] & attribute(x["head"], "href").isNotNull())
+    links = each_unescaped(F.transform(own, lambda x: attribute(x["head"], "href")))
+    names = each_unescaped(F.transform(own, lambda x: without_tags(x["body"])))
+    anchors = F.transform(F.arrays_zip(own.alias("own"), links.alias("links"), names.alias("names")), lambda x: F.struct(urls.unwrapped(x["links"]).alias("url"), F.trim(F.regexp_replace(x["names"], r"(?U)\s+", " ")).alias("title"), F.coalesce(attribute(x["own"]["head"], "class"), F.lit("")).alias("kind"), F.coalesce(attribute(x["own"]["head"], "rel"), F.lit("")).alias("rel")))
+    first = F.filter(anchors, lambda x: F.contains(x["kind"], F.lit(chosen)))
+    other = F.filter(anchors, lambda x: (x["rel"] == "nofollow") & (F.length(x["title"]) >= 4) & x["url"].rlike("^https?://"))
+    return F.transform(F.when(F.size(first) > 0, first).otherwise(other), lambda x: F.struct(x["url"].alias("url"), F.substring(x["title"], 1, 240).alias("title")))
 
 
 def feeds(page: Column) -> Column:
     """Links of alternate feeds: the feed type is required, attributes may stand in any order."""
-    links = F.regexp_extract_all(page, F.lit(r"(?is)(<link\s[^>]*>)"), F.lit(1))
-    own = F.filter(links, lambda x: x.rlike(r"(?i)rel=[\"']alternate[\"']") & x.rlike(r"(?i)type=[\"']application/(rss|atom)\+xml[\"']"))
-    return F.array_distinct(F.transform(own, lambda x: F.regexp_extract(x, r"(?i)href=[\"']([^\"']*)[\"']", 1)))
+    own = F.filter(elements(page, "link"), lambda x: (F.lower(attribute(x["head"], "rel")) == "alternate") & F.lower(attribute(x["head"], "type")).isin("application/rss+xml", "application/atom+xml"))
+    return F.array_distinct(F.transform(own, lambda x: attribute(x["head"], "href")))
 
 
 def next_links(page: Column) -> Column:
-    links = F.regexp_extract_all(page, F.lit(r"(?is)(<(?:a|link)\s[^>]*>)"), F.lit(1))
-    own = F.filter(links, lambda x: x.rlike(r"(?i)rel=[\"']next[\"']"))
-    return F.array_distinct(F.transform(own, lambda x: F.regexp_extract(x, r"(?i)href=[\"']([^\"']*)[\"']", 1)))
+    own = F.filter(F.concat(elements(page, "link"), elements(page, "a")), lambda x: F.lower(attribute(x["head"], "rel")) == "next")
+    return F.array_distinct(F.transform(own, lambda x: attribute(x["head"], "href")))
 
 
-def json_blocks(page: Column, kind: str = "application/ld\\+json", most: int = 20) -> Column:
+def json_blocks(page: Column, kind: str = "application/ld+json", most: int = 20) -> Column:
     """Valid JSON of script elements of a type, in order, `most` at most; the rest are skipped."""
-    raw = F.regexp_extract_all(page, F.lit(rf"(?is)<script[^>]*type=[\"']{kind}[\"'][^>]*>(.*?)</script>"), F.lit(1))
-    parsed = F.filter(F.transform(raw, lambda x: F.try_parse_json(F.trim(x))), lambda v: v.isNotNull())
+    raw = F.filter(elements(page, "script"), lambda x: x["closed"] & (F.lower(attribute(x["head"], "type")) == kind))
+    parsed = F.filter(F.transform(raw, lambda x: F.try_parse_json(F.trim(x["body"]))), lambda v: v.isNotNull())
     return F.slice(parsed, 1, most)
 
 
+def embedded_json(page: Column, longest: int = 200_000) -> Column:
+    """Texts of scripts, linked data aside, that are JSON objects or lists, not longer than `longest`, and mention one of TELLING."""
+    told = lambda x: F.exists(F.array(*map(F.lit, TELLING)), lambda t: F.contains(F.lower(x), t))
+    bodies = F.transform(F.filter(elements(page, "script"), lambda x: x["closed"] & (F.coalesce(F.lower(attribute(x["head"], "type")), F.lit("")) != "application/ld+json")), lambda x: F.trim(x["body"]))
+    return F.filter(bodies, lambda x: F.substring(x, 1, 1).isin("{", "[") & (F.length(x) <= longest) & F.try_parse_json(x).isNotNull() & told(x))
+
+
 def item_ids(page: Column) -> Column:
     """Distinct item numbers in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(page, F.lit(r"item\?id=([0-9]+)"), F.lit(1)))
@@ -71,12 +137,15 @@ def item_ids(page: Column) -> Column:
 
 def is_challenge(body: Column, tokens: tuple[str, ...] = CHALLENGE) -> Column:
     head = F.lower(F.substring(body, 1, 100_000))
-    return F.coalesce(F.array_contains(F.transform(F.array(*map(F.lit, tokens)), lambda t: F.contains(head, t)), True), F.lit(False))
+    return F.coalesce(F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(head, t)), F.lit(False))
 
 
 def is_robots(body: Column) -> Column:
-    """Not blank, no challenge, a user-agent line with a value and an allow or disallow line."""
-    return F.coalesce(body.rlike(r"\S") & ~is_challenge(body) & body.rlike(r"(?im)^[ \t]*user-agent[ \t]*:[ \t]*\S+") & body.rlike(r"(?im)^[ \t]*(dis)?allow[ \t]*:"), F.lit(False))
+    """A body of field and value lines, no challenge, that names an agent and a rule."""
+    lines = F.transform(F.split(body, "\n"), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("field"), F.trim(F.regexp_replace(F.coalesce(after(x, ":"), F.lit("")), "\r", "")).alias("value"), F.contains(x, F.lit(":")).alias("is_pair")))
+    agent = F.exists(lines, lambda x: x["is_pair"] & (x["field"] == "user-agent") & (x["value"] != ""))
+    rule = F.exists(lines, lambda x: x["is_pair"] & x["field"].isin("allow", "disallow"))
+    return F.coalesce(agent & rule & ~is_challenge(body), F.lit(False))
 
 
 def fits_kind(mime: Column, body: Column, kind: str) -> Column:
@@ -96,6 +165,12 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def each_unescaped(texts: pd.Series) -> pd.Series:
+    """HTML entities resolved in each text of an array."""
+    return texts.map(lambda own: [None if t is None else _html.unescape(t) for t in own], na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def normalized(text: pd.Series) -> pd.Series:
     """Unicode NFC without control characters (tab and line ends stay)."""

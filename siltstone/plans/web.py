@@ -61,16 +61,32 @@ def x04_unwrapped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.unwrapped(link).alias("target"))
 
 
-@query(r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) t,
- trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) b FROM pages)
+def _gone(x: str, tag: str) -> str:
+    return rf"array_to_string(list_concat(list_transform(regexp_split_to_array({x}, '(?i)</{tag}\s*>')[:-2], lambda p: regexp_split_to_array(p, '(?i)<{tag}\b')[1]), [regexp_split_to_array({x}, '(?i)</{tag}\s*>')[-1]]), ' ')"
+
+
+def _plain(x: str) -> str:
+    # the entities of the pages table; DuckDB has no table of all
+    text = rf"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for entity, c in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{c}')"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+def _boilerplate(x: str) -> str:
+    for tag in ("nav", "footer", "aside", "script", "style"):
+        x = _gone(x, tag)
+    return x
+
+
+@query(rf"""WITH t AS (SELECT page_id, {_plain("regexp_split_to_array(regexp_split_to_array(html, '(?i)<title[^>]*>')[2], '(?i)</title')[1]")} t, {_plain(_gone(_gone("html", "script"), "style"))} b FROM pages)
 SELECT page_id, CASE WHEN t <> '' THEN substr(t, 1, 500) END title, length(b)::BIGINT n_chars, md5(b) text_md5, substr(b, 1, 240) excerpt FROM t""")
 def x06_x08_x16_title_and_text(spark, sf_dir):
     text = pages.visible_text(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", pages.title(F.col("html")).alias("title"), F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"), F.substring(text, 1, 240).alias("excerpt"))
+    return table(spark, sf_dir, "pages").select("page_id", pages.title(F.col("html")).alias("title"), text.alias("t")).select("page_id", "title", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"), F.substring("t", 1, 240).alias("excerpt"))
 
 
-@query(r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '(?is)<footer[^>]*>.*?</footer>', ' ', 'g'), '(?is)<aside[^>]*>.*?</aside>', ' ', 'g'),
- '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))::BIGINT n_chars FROM pages""")
+@query(rf"SELECT page_id, length({_plain(_boilerplate('html'))})::BIGINT n_chars FROM pages")
 def x28_without_boilerplate(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(pages.without_boilerplate(F.col("html"))).cast("long").alias("n_chars"))
 
@@ -103,7 +119,7 @@ _BODY = "CASE page_id % 6 WHEN 0 THEN html WHEN 1 THEN 'User-agent: *' || chr(10
 _CHALLENGED = "(" + " OR ".join(f"contains(lower(substr(b, 1, 100000)), '{t}')" for t in pages.CHALLENGE) + ")"
 
 
-@query(rf"""SELECT page_id, {_CHALLENGED} challenge, regexp_matches(b, '\S') AND NOT {_CHALLENGED} AND regexp_matches(b, '(?im)^[ \t]*user-agent[ \t]*:[ \t]*\S+') AND regexp_matches(b, '(?im)^[ \t]*(dis)?allow[ \t]*:') robots,
+@query(rf"""SELECT page_id, {_CHALLENGED} challenge, NOT {_CHALLENGED} AND len(list_filter(string_split(b, chr(10)), lambda x: lower(trim(split_part(x, ':', 1))) = 'user-agent' AND trim(split_part(x, ':', 2)) <> '')) > 0 AND len(list_filter(string_split(b, chr(10)), lambda x: contains(x, ':') AND lower(trim(split_part(x, ':', 1))) IN ('allow', 'disallow'))) > 0 robots,
  regexp_matches(b, '(?is)^\s*<(!doctype html|html|head|body|!--)') html_fits, regexp_matches(b, '(?s)^\s*[\[{{]') json_fits, regexp_extract(b, '(?is)<loc>\s*(.*?)\s*</loc>', 1) first_loc FROM (SELECT page_id, {_BODY} b FROM pages)""")
 def f07_f08_f09_s09_body_checks(spark, sf_dir):
     b = F.col("b")

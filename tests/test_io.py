@@ -60,7 +60,9 @@ def test_checkpoint_and_markdown(spark, tmp_path):
         assert json.loads(open(path).read()) == payload
     text = sinks.markdown("T", spark.createDataFrame([("x|y", 1)], "name string, n int"))
     assert "| x\\|y | 1 |" in text
-    assert sinks.cell("a" * 200)[-1] == "…" and sinks.cell({"b": 1, "a": 2}) == '{"a":2,"b":1}'
+    odd = spark.createDataFrame([("a" * 200, (1, 2))], "long string, pair struct<b: int, a: int>")
+    cells = odd.select(sinks.cell(odd, "long").alias("long"), sinks.cell(odd, "pair").alias("pair")).first()
+    assert cells["long"] == "a" * 119 + "…" and cells["pair"] == '{"a":2,"b":1}'
 
 
 @pytest.fixture(scope="module")
