@@ -12,6 +12,8 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     spark = edges.sparkSession
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         folder = tempfile.mkdtemp()

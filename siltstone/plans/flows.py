@@ -60,13 +60,8 @@ def a01_method_rates(spark, sf_dir):
 
 
 @query(f"""{_TX}, o AS (SELECT *, {_OUT} outcome FROM tx) SELECT user_id, CASE WHEN count_if(outcome = 'succeeded' AND value > 60) > 0 THEN 'succeeded' WHEN count_if(outcome IN ('challenge', 'rate_limited')) > 0 THEN arg_min(outcome, event_id) FILTER (outcome IN ('challenge', 'rate_limited'))
- WHEN count_if(outcome <> 'succeeded') = 0 THEN 'no_results' ELSE 'source_unavailable' END status FROM o WHERE event_id % 7 = 0 GROUP BY 1""")
+ WHEN count_if(outcome <> 'succeeded') = 0 THEN 'no_results' ELSE 'source_unavailable' END status FROM o GROUP BY 1""")
 def f13_method_status(spark, sf_dir):
-    return _statuses(transactions(spark, sf_dir).filter("event_id % 7 = 0"))
-
-
-@query(SQL["f13_method_status"].replace(" WHERE event_id % 7 = 0", ""))
-def f13_all_method_status(spark, sf_dir):
     """Every event counts."""
     return _statuses(transactions(spark, sf_dir))
 
@@ -120,9 +115,9 @@ def a24_cost_ledger(spark, sf_dir):
     return spark.sql("""SELECT l_returnflag category, l_linestatus phase, round(sum(l_extendedprice), 2) reserved, round(sum(l_extendedprice * (1 - l_discount)), 2) actual, count(*) n FROM ledger_lines GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
 
 
-@query(f"""{_TX}, s AS (SELECT s_suppkey user_id, s_name FROM supplier), r AS (SELECT user_id, max_by({_OUT}, event_id) outcome, max_by(method_id, event_id) stop_reason FROM tx WHERE user_id % 3 > 0 GROUP BY 1) SELECT s_name, coalesce(outcome, 'not_reported') outcome, coalesce(stop_reason, 'missing_from_input_report') stop_reason FROM s LEFT JOIN r USING (user_id)""")
+@query(f"""{_TX}, s AS (SELECT s_suppkey user_id, s_name FROM supplier), r AS (SELECT user_id, max_by({_OUT}, event_id) outcome, max_by(method_id, event_id) stop_reason FROM tx WHERE method_id = 'signup' GROUP BY 1) SELECT s_name, coalesce(outcome, 'not_reported') outcome, coalesce(stop_reason, 'missing_from_input_report') stop_reason FROM s LEFT JOIN r USING (user_id)""")
 def j01_j03_reported(spark, sf_dir):
-    sites = transactions(spark, sf_dir).filter("user_id % 3 > 0").groupBy("user_id").agg(F.max_by(_outcome(), "event_id").alias("outcome"), F.max_by("method_id", "event_id").alias("stop_reason"))
+    sites = transactions(spark, sf_dir).filter("method_id = 'signup'").groupBy("user_id").agg(F.max_by(_outcome(), "event_id").alias("outcome"), F.max_by("method_id", "event_id").alias("stop_reason"))
     return acquisition.reported(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"), "s_name"), sites, "user_id").select("s_name", "outcome", "stop_reason")
 
 
@@ -133,11 +128,11 @@ def j02_overlay(spark, sf_dir):
     return c.select("c_custkey", F.when(F.col("n_name").isNotNull(), "resolved_official_origin").otherwise("unresolved_official_origin").alias("status"), F.coalesce("n_name", "c_name").alias("origin"))
 
 
-@query("""WITH l AS (SELECT n_nationkey, lower(n_name) label FROM nation), b AS (SELECT DISTINCT c_nationkey, upper('nation_' || c_nationkey) label, c_mktsegment website, c_custkey % 4 item FROM customer WHERE c_acctbal > 9500)
+@query("""WITH l AS (SELECT n_nationkey, lower(n_name) label FROM nation), b AS (SELECT DISTINCT c_nationkey, upper('nation_' || c_nationkey) label, c_mktsegment website, c_custkey % 4 item FROM customer)
 SELECT l.label, count(item) candidates, count(DISTINCT website) websites, CASE WHEN count(DISTINCT website) > 1 THEN 'ambiguous_multiple_websites' WHEN count(item) > 1 THEN 'ambiguous_multiple_entities' WHEN count(item) = 1 THEN 'target_validation_not_live' ELSE 'no_exact_match' END reason FROM l LEFT JOIN b ON l.label = lower(b.label) GROUP BY 1""")
 def j04_j05_j06_a11_resolution(spark, sf_dir):
     labels = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("label"))
-    b = table(spark, sf_dir, "customer").filter("c_acctbal > 9500").select(F.lower(F.upper(F.concat(F.lit("nation_"), "c_nationkey"))).alias("label"), F.col("c_mktsegment").alias("website"), (F.col("c_custkey") % 4).alias("item")).distinct()
+    b = table(spark, sf_dir, "customer").select(F.lower(F.upper(F.concat(F.lit("nation_"), "c_nationkey"))).alias("label"), F.col("c_mktsegment").alias("website"), (F.col("c_custkey") % 4).alias("item")).distinct()
     g = labels.join(b, "label", "left").groupBy("label").agg(F.count("item").alias("candidates"), F.countDistinct("website").alias("websites"))
     reason = F.when(F.col("websites") > 1, "ambiguous_multiple_websites").when(F.col("candidates") > 1, "ambiguous_multiple_entities").when(F.col("candidates") == 1, "target_validation_not_live").otherwise("no_exact_match")
     return g.withColumn("reason", reason)
@@ -164,16 +159,10 @@ def j07_s17_freshest_artifact(spark, sf_dir):
     return acquisition.freshest(r, a, "user_id", "ts", "collected", 86400).select("event_id", "artifact_id")
 
 
-@query("""WITH plan AS (SELECT r_name intent, n_name seed, s_suppkey source FROM region, nation, supplier WHERE s_suppkey < 20 AND (s_nationkey + r_regionkey) % 3 = 0 AND n_nationkey % 4 = r_regionkey % 4), g AS (SELECT intent, count(*) queries, count(DISTINCT source) sources FROM plan GROUP BY 1)
+@query("""WITH plan AS (SELECT r_name intent, n_name seed, s_suppkey source FROM region, nation, supplier WHERE (s_nationkey + r_regionkey) % 3 = 0 AND n_nationkey % 4 = r_regionkey % 4), g AS (SELECT intent, count(*) queries, count(DISTINCT source) sources FROM plan GROUP BY 1)
 SELECT r_name intent, coalesce(queries, 0) queries, coalesce(sources, 0) sources, queries IS NULL gap FROM region LEFT JOIN g ON r_name = intent""")
 def j11_j12_query_plan(spark, sf_dir):
     """Seeds meet intents and sources through a compatibility key each; the three dimensions are lists of a plan, not data."""
-    return _plan(spark, sf_dir, table(spark, sf_dir, "supplier").filter("s_suppkey < 20"))
-
-
-@query(SQL["j11_j12_query_plan"].replace("s_suppkey < 20 AND ", ""))
-def j11_j12_all_query_plan(spark, sf_dir):
-    """Every supplier is a source."""
     return _plan(spark, sf_dir, table(spark, sf_dir, "supplier"))
 
 
@@ -241,16 +230,10 @@ def a19_claim_map(spark, sf_dir):
     return claims(spark, sf_dir).groupBy("cluster").pivot("platform", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("""WITH l AS (SELECT l_partkey, l_returnflag currency, l_orderkey, l_linenumber, l_extendedprice / l_quantity price FROM lineitem WHERE l_partkey < 200 AND l_quantity > 0), w AS (SELECT *, lag(price) OVER (PARTITION BY l_partkey, currency ORDER BY l_orderkey, l_linenumber, price) prev, first_value(price) OVER (PARTITION BY l_partkey, currency ORDER BY l_orderkey, l_linenumber, price) f FROM l)
+@query("""WITH l AS (SELECT l_partkey, l_returnflag currency, l_orderkey, l_linenumber, l_extendedprice / l_quantity price FROM lineitem WHERE l_quantity > 0), w AS (SELECT *, lag(price) OVER (PARTITION BY l_partkey, currency ORDER BY l_orderkey, l_linenumber, price) prev, first_value(price) OVER (PARTITION BY l_partkey, currency ORDER BY l_orderkey, l_linenumber, price) f FROM l)
 SELECT l_partkey, currency, count(*) n, count_if(prev IS NOT NULL AND price > prev)::BIGINT rises, round(max(price / f), 6) peak FROM w GROUP BY 1, 2""")
 def w12_price_history(spark, sf_dir):
     """Prices are followed within one currency only."""
-    return _prices(table(spark, sf_dir, "lineitem").filter("l_partkey < 200 and l_quantity > 0"))
-
-
-@query(SQL["w12_price_history"].replace("l_partkey < 200 AND ", ""))
-def w12_all_price_history(spark, sf_dir):
-    """Every part's prices."""
     return _prices(table(spark, sf_dir, "lineitem").filter("l_quantity > 0"))
 
 
@@ -322,11 +305,11 @@ def a13_a14_normalization_metrics(spark, sf_dir):
     return table(spark, sf_dir, "documents").cube("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg((F.length("text") < 20).cast("int")), 6).alias("short"), F.round(F.avg(F.col("text").isNull().cast("int")), 6).alias("missing"))
 
 
-@query("SELECT n_name run, count(o_orderkey) claims, count(DISTINCT o_custkey) FILTER (o_orderkey IS NOT NULL) independent, count(o_orderkey) FILTER (o_orderstatus = 'P') unvalidated, 0::BIGINT interviews FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 GROUP BY 1")
+@query("SELECT n_name run, count(o_orderkey) claims, count(DISTINCT o_custkey) FILTER (o_orderkey IS NOT NULL) independent, count(o_orderkey) FILTER (o_orderstatus = 'P') unvalidated, 0::BIGINT interviews FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def a21_a23_disclosures(spark, sf_dir):
     """Counters of every run, 0 where there is nothing."""
-    c = table(spark, sf_dir, "customer").filter("c_acctbal > 5000")
-    o = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     g = o.groupBy("c_nationkey").agg(F.count("*").alias("claims"), F.countDistinct("o_custkey").alias("independent"), F.count_if(F.col("o_orderstatus") == "P").alias("unvalidated"))
     zero = [F.coalesce(x, F.lit(0)).alias(x) for x in ("claims", "independent", "unvalidated")]
     return table(spark, sf_dir, "nation").join(g, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("run"), *zero, F.lit(0).cast("long").alias("interviews"))
@@ -358,14 +341,8 @@ def f16_redirects(spark, sf_dir):
     return acquisition.redirects(p.select(F.col("p_partkey").alias("url")), hops, 3)
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey % 400 a, o_orderkey % 500 + 1000 b FROM orders WHERE o_orderkey % 60 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a node, a seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen) SELECT node, min(seen) component FROM r GROUP BY 1""")
+@query("""WITH g AS (SELECT o_custkey, least(2 * o_custkey, min(2 * o_orderkey + 1)) component FROM orders GROUP BY 1) SELECT 2 * o_custkey node, component FROM g UNION ALL SELECT 2 * o_orderkey + 1, component FROM orders JOIN g USING (o_custkey)""")
 def g01_g03_independence_groups(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").filter("o_orderkey % 60 = 0").select((F.col("o_custkey") % 400).alias("a"), (F.col("o_orderkey") % 500 + 1000).alias("b"))
-    return evidence.components(e)
-
-
-@query()
-def g01_g03_all_independence_groups(spark, sf_dir):
     """Every order and customer is a node of its own: a customer's is twice its key, an order's twice its key and one."""
     return evidence.components(table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") * 2 + 1).alias("b")))
 

@@ -222,22 +222,10 @@ def f22_integrity_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(own, ",").alias("flags"))
 
 
-@query("""WITH g AS (SELECT p_partkey, lower(p_name) nm FROM part WHERE p_partkey < 300), t AS (SELECT DISTINCT p_partkey, substr('  ' || nm || ' ', i::INT, 3) g FROM g, LATERAL (SELECT unnest(range(1, length(nm) + 2)) i)), c AS (SELECT p_partkey, count(*) n FROM t GROUP BY 1)
-SELECT a.p_partkey a, b.p_partkey b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) similarity FROM t a JOIN t b ON a.g = b.g AND a.p_partkey < b.p_partkey JOIN c x ON x.p_partkey = a.p_partkey JOIN c y ON y.p_partkey = b.p_partkey GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.6""")
+@query("""WITH nm AS (SELECT DISTINCT lower(p_name) nm FROM part WHERE p_name IS NOT NULL), t AS (SELECT DISTINCT nm, substr('  ' || nm || ' ', i::INT, 3) g FROM nm, LATERAL (SELECT unnest(range(1, length(nm) + 2)) i)), c AS (SELECT nm, count(*) n FROM t GROUP BY 1)
+SELECT a.nm AS name, b.nm AS other, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) similarity, NULL::BIGINT p_partkey FROM t a JOIN t b ON a.g = b.g AND a.nm < b.nm JOIN c x ON x.nm = a.nm JOIN c y ON y.nm = b.nm GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.6
+UNION ALL SELECT lower(p_name), NULL, NULL, p_partkey FROM part WHERE p_name IS NOT NULL""")
 def j15_fuzzy_names(spark, sf_dir):
-    """Names are compared once for each distinct name: equal names share their pairs' similarity."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 300").select("p_partkey", F.lower("p_name").alias("name"))
-    t = p.select("name").distinct().select("name", texts.trigrams(F.col("name")).alias("g"))
-    e = t.select("name", F.size("g").alias("n"), F.explode("g").alias("g"))
-    o = e.select(F.col("name").alias("other"), F.col("n").alias("m"), "g")
-    sim = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    pairs = e.join(o, "g").groupBy("name", "other", "n", "m").agg(F.count("*").alias("c")).filter(sim >= 0.6).select("name", "other", F.round(sim, 6).alias("similarity"))
-    a, b = p.select(F.col("p_partkey").alias("a"), "name"), p.select(F.col("p_partkey").alias("b"), F.col("name").alias("other"))
-    return a.join(pairs, "name").join(b, "other").filter("a < b").select("a", "b", "similarity")
-
-
-@query()
-def j15_all_fuzzy_names(spark, sf_dir):
     """Pairs (name, other, similarity) of distinct names, and one row (name, p_partkey) for each part, so that copies are not expanded.
 
     Similar names share one of their rarest trigrams: of n, only n - ceil(0.6 * n) can be missing in the other. What shares one is compared whole.
