@@ -206,3 +206,8 @@ def decoded(body: pd.Series, encoding: pd.Series, limit: pd.Series) -> pd.Series
             return None
 
     return pd.Series([one(*x) for x in zip(body, encoding, limit)], dtype=object)
+
+
+def accepted_encoding(encoding: Column) -> Column:
+    """Is a content encoding one that `decoded` undoes? None is; more than one at once are not."""
+    return F.coalesce(F.lower(F.trim(encoding)), F.lit("")).isin("", "identity", "gzip", "deflate")

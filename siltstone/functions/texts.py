@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siltstone.functions import urls
+
 #: Tokens that name no one.
 GENERIC = ["and", "app", "blog", "cloud", "com", "community", "data", "for", "forum", "io", "news", "online", "org", "platform", "site", "the", "tools", "web"]
 
@@ -110,3 +114,39 @@ def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("segment") + 1).over(before), F.lit(0))
     return rows.withColumn("start_offset", start).withColumn("end_offset", F.col("start_offset") + F.length("segment")).withColumn("segment_hash", F.sha2("segment", 256))
+
+
+#: Frequent words that tell languages apart, in order of the languages' codes.
+STOP_WORDS = {"de": ["der", "die", "und", "von", "zu"], "en": ["the", "of", "and", "to", "in"], "es": ["de", "que", "el", "los", "y"], "fr": ["le", "la", "les", "des", "et"]}
+
+
+def _among(own: list[str]):
+    return lambda word: word.isin(own)
+
+
+def language(text: Column, least: int = 20) -> Column:
+    """The language with most frequent words in the text, the first of equals; unknown for short texts and those without any."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+    counts = [F.size(F.filter(words, _among(own))) for own in STOP_WORDS.values()]
+    most = F.greatest(*counts)
+    out = F.when(F.coalesce(F.length(text) < least, F.lit(True)) | (most == 0), "unknown")
+    for code, n in zip(STOP_WORDS, counts):
+        out = out.when(n == most, code)
+    return out
+
+
+def target_shape(url: Column, label: Column, seen: Column, threshold: float = 0.6) -> Column:
+    """Why a page is taken for what a label names, or not."""
+    guarded = urls.guard(url)
+    return F.when(~F.coalesce(F.lower(urls.part(url, 1)) == "https", F.lit(False)), "https_required").when(guarded.isNotNull(), guarded).when(confidence(label, seen) >= threshold, "confidence_passed").otherwise("confidence_below_threshold")
+
+
+def near_hashes(hashes: DataFrame, column: str, most: int, blocks: list[tuple[int, int]]) -> DataFrame:
+    """Ordered pairs (column, other) of distinct hashes that differ in `most` bits at most. blocks: first bit and bits; what differs in `most` of them leaves the rest equal."""
+    keys = []
+    for k, kept in enumerate(combinations(blocks, len(blocks) - most)):
+        value = sum((F.shiftleft(F.shiftright(column, low).bitwiseAND((1 << size) - 1), at * size) for at, (low, size) in enumerate(kept)), F.lit(0).cast("long"))
+        keys.append(F.struct(F.lit(k).alias("k"), value.alias("v")))
+    rows = hashes.select(column, F.explode(F.array(*keys)).alias("x")).select(column, "x.k", "x.v")
+    pairs = rows.join(rows.withColumnRenamed(column, "other"), ["k", "v"]).filter((F.col(column) != F.col("other")) & (hamming(F.col(column), F.col("other")) <= most))
+    return pairs.select(column, "other").distinct()

@@ -102,3 +102,20 @@ def ledger(rows: DataFrame, by: str, order: list[str], amount: str, soft: float,
     """Running balance of reservations, and whether each crosses the soft limit or is beyond the hard one."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("balance", F.sum(amount).over(w)).withColumn("warns", F.col("balance") > soft).withColumn("admitted", F.col("balance") <= hard)
+
+
+def second_pass(sources: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """Adds what to fetch of each source (key, official_origin) next, from the outcomes of its first pass (key, method, outcome)."""
+    found = first.groupBy(key).agg(F.bool_or((F.col("method") == "rss_link_discovery") & (F.col("outcome") == "succeeded")).alias("rss_signal"), F.max(F.when(F.col("method") == "root_html", F.col("outcome"))).alias("root_outcome"))
+    known = F.col("official_origin").isNotNull()
+    none = F.array().cast("array<string>")
+    return sources.join(found, key, "left").withColumns({
+        "selected": F.when(known, F.array(*map(F.lit, ("robots_preflight", "root_html", "sitemap_xml")))).otherwise(none), "conditional": F.when(known, F.array(F.lit("rss_feed"))).otherwise(none),
+        "rss_signal": F.coalesce("rss_signal", F.lit(False)), "root_outcome": F.coalesce("root_outcome", F.lit("not_reported")), "stop_reason": F.when(known, "adaptive_core_selected").otherwise("unresolved_official_origin"),
+    })
+
+
+def apart(records: DataFrame, stopped: Column) -> tuple[DataFrame, DataFrame]:
+    """Records that went out, and those that policy stopped before; none is in both."""
+    is_stopped = F.coalesce(stopped, F.lit(False))
+    return records.filter(~is_stopped), records.filter(is_stopped)

@@ -106,3 +106,48 @@ def bound(claims: DataFrame, segments: DataFrame) -> DataFrame:
         "binding",
         F.when(F.col("segment").isNull(), "source_removed").when((F.col("claim_hash") != F.col("segment_hash")) & F.contains("segment", "quote"), "stale_binding").when(F.coalesce(there, F.lit(False)), "valid").otherwise("invalid"),
     )
+
+
+def scoped(rows: DataFrame, tenant: str) -> DataFrame:
+    """A tenant's rows; tables without tenants have none to give."""
+    if "tenant_id" not in rows.columns:
+        raise ValueError("the table has no tenant_id")
+    return rows.filter(F.col("tenant_id") == tenant)
+
+
+def reusable(artifacts: DataFrame, policies: DataFrame, kind: str, collected: str, at: Column) -> DataFrame:
+    """Adds reusable and the reason against it. policies: kind, days, licensed; a row for each kind of source."""
+    own = artifacts.join(policies, kind, "left")
+    expired = F.expr(f"{collected} + make_dt_interval(days)") < at
+    reason = F.when(F.col("days").isNull(), "no_policy").when(~F.col("licensed"), "licence").when(expired, "expired")
+    return own.withColumn("reason", reason).withColumn("reusable", F.col("reason").isNull())
+
+
+def domain_signal(answers: Column, registered: Column, certified: Column, alike: Column) -> Column:
+    """The most that was seen of a domain."""
+    return F.when(answers, "active_website_signal").when(registered, "registered_domain_signal").when(certified, "historical_certificate_signal").when(alike, "brand_collision_candidate").otherwise("not_verified")
+
+
+def pillar_status(sources: Column, supporting: Column, challenging: Column) -> Column:
+    return F.when(sources < 2, "insufficient").when(supporting > 2 * challenging, "strong").when(supporting > challenging, "mixed").otherwise("weak")
+
+
+def maturity(competitors: Column, sightings: Column, since: Column, fresh: Column) -> Column:
+    """existing, resegmented, emerging, new or unknown."""
+    return F.when(sightings < 5, "unknown").when(competitors <= 2, "new").when(fresh > 0.6, "emerging").when((since <= 1994) & (fresh < 0.2), "existing").otherwise("resegmented")
+
+
+def gap_rounds(rounds: DataFrame, gap: str, turn: str, found: str, target: float, least: float, most: int) -> DataFrame:
+    """Adds coverage, why a round is the last (stop), and whether it runs: no round before it was the last."""
+    w = Window.partitionBy(gap).orderBy(turn)
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    c = rounds.withColumn("coverage", F.sum(found).over(upto) / F.sum(found).over(Window.partitionBy(gap)))
+    c = c.withColumn("gain", F.col("coverage") - F.coalesce(F.lag("coverage").over(w), F.lit(0)))
+    c = c.withColumn("stop", F.when(F.col("coverage") >= target, "target_reached").when(F.col("gain") < least, "no_new_evidence").when(F.col(turn) >= most, "budget_exhausted"))
+    return c.withColumn("runs", F.count("stop").over(earlier) == 0)
+
+
+def dense(labelled: DataFrame, least: int) -> DataFrame:
+    """node, group: the component of nodes whose component has `least` nodes; null for the rest."""
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("n"))
+    return labelled.join(sizes, "component").select("node", F.when(F.col("n") >= least, F.col("component")).alias("group"))

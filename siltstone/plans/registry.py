@@ -1,7 +1,7 @@
 """All registered queries but those of the llm subpackage."""
 
-from siltstone.plans import flows, web
+from siltstone.plans import flows, sites, web
 
 FLAGSHIP = "a22_decision_gates"
-QUERIES = {**web.QUERIES, **flows.QUERIES}
-SQL = {**web.SQL, **flows.SQL}
+QUERIES = {**web.QUERIES, **flows.QUERIES, **sites.QUERIES}
+SQL = {**web.SQL, **flows.SQL, **sites.SQL}

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.sources.sinks import checkpoint_json
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -53,3 +55,14 @@ def circuits(events: DataFrame, limit: int = 3) -> DataFrame:
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Runs over what is there and stops; the checkpoint makes a rerun go on where it was."""
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_partial(events: DataFrame, folder: str, checkpoint: str):
+    """Starts a stream whose rows are kept after each batch, with a summary beside them; a batch that runs again writes over its own rows alone."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+        spark = batch.sparkSession
+        checkpoint_json(spark, f"{folder}/partial.json", {"batches": n + 1, "rows": spark.read.parquet(f"{folder}/rows").count()})
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import numpy as np
 import gzip
 
 import pytest
@@ -105,3 +106,27 @@ def test_decision_order(spark):
     case = lambda ok=True, p=5, c=1, alt=False, diff=True, feas=True, narrow=False: value(spark, d, ok=ok, p=p, c=c, alt=alt, diff=diff, feas=feas, narrow=narrow)
     assert case() == "build_to_validate" and case(ok=False) == "investigate_more" and case(p=-1, alt=True, diff=False) == "kill"
     assert case(p=-1, alt=True, diff=False, c=0) == "investigate_more" and case(narrow=True) == "modify" and case(feas=False) == "modify"
+
+
+def test_near_hashes_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    some = rng.integers(0, 1 << 60, 60)
+    near = some[:40] ^ np.bitwise_or.reduce([np.int64(1) << rng.integers(0, 60, 40) for _ in range(4)])
+    hashes = sorted({int(x) for x in (*some, *near, *(some[:20] ^ 5))})
+    df = spark.createDataFrame([(h,) for h in hashes], "h long")
+    got = {tuple(r) for r in texts.near_hashes(df, "h", 3, [(10 * k, 10) for k in range(6)]).collect()}
+    want = {(a, b) for a in hashes for b in hashes if a != b and (a ^ b).bit_count() <= 3}
+    assert got == want and len(want) > 20
+
+
+def test_pages_by_attributes(spark):
+    rows = [
+        ("<meta property=og:title content='x &amp; y'><p>a<script>1 < 2</script>b <b>c</b>&nbsp;d > e", "x & y", "a b c d > e"),
+        ('<TITLE lang="en">A <i>B</i></TITLE><style>s</style>', "A B", "A B"),
+        ("<title></title>", None, ""),
+        ("<title>never closed", None, "never closed"),
+        ("", None, ""),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "h string")
+    assert [tuple(r) for r in df.select(pages.title(F.col("h")), pages.visible_text(F.col("h"))).collect()] == [r[1:] for r in rows]

@@ -115,3 +115,11 @@ def test_circuits(spark, sf, doubled, tmp_path):
             opened = run >= 3
         want[r["user_id"]] = (done, dropped, opened, run)
     assert got == {u: w[:3] for u, w in want.items()}
+
+
+def test_partial_results_are_kept(spark, sf, tmp_path):
+    events = progress.read_events(spark, sf)
+    for _ in range(2):  # the second run finds nothing new
+        progress.keep_partial(events, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert spark.read.parquet(f"{tmp_path}/out/rows").count() == n and f'"rows": {n}' in open(f"{tmp_path}/out/partial.json").read()
