@@ -4,15 +4,14 @@ A text is its words (A-Z lower-cased) and one end. Each word is its ids under a
 of each word, and the end, come from the attention model: windows of the sequence of first ids overlap, each position is
 scored once, in the window where it has most context; masked attention over the window gives a context vector, this gates
 EXPERTS distributions over ids, and their mixture is the probability. The further ids of a word, and that it ends, come
-from how the training words with the same beginning go on, backed off to all words (Witten-Bell). All probabilities of
-a step add up to 1.
+from all training words with the same first id: a word's count among theirs, backed off to its spelling by single ids
+(Witten-Bell). All probabilities of a step add up to 1 at most.
 
-Training: word counts of all training texts are summed by word; the words' counts give the continuations. The mixture
-starts from random shares of each id, is sharpened in ROUNDS rounds over all windows of all training texts, and refined
-with the attention in one more: tasks send sums of the experts' part in each id, and their gate weights, which are added
-up by id. How each word goes on is worked out in joins with all continuations, none cut, once for each distinct word of
-all texts. The table that every task needs is bounded: it keeps the words that make up at least one part in TABLE of all
-counts; rarer words' counts, and how they go on, meet their documents by hash ranges.
+Training: word counts of all training texts are summed by word; the words' counts give those of first and further ids.
+The mixture starts from random shares of each id, is sharpened in ROUNDS rounds over all windows of all training texts,
+and refined with the attention in one more: tasks send sums of the experts' part in each id, and their gate weights,
+which are added up by id. The table that every task needs is bounded: it keeps the words that make up at least one part in
+TABLE of all counts; rarer words' counts, which are exact too, meet their documents by hash ranges.
 
 Defined results: null and empty texts are the end alone; without training texts the counts are 0 and all ids are equally
 likely; repeated rows are scored alike, and each counts in training; rows with a null key are scored like others; further
@@ -22,7 +21,6 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm import tokens
 from siltstone.llm.packed import by_bucket, pack_keys, unpack_keys
-from siltstone.llm.tokens import U, mix
+from siltstone.llm.tokens import U
 from siltstone.llm.work import Work, partitions
 
 #: The vocabulary file (ranks of byte strings); only the driver reads it.
@@ -108,86 +106,57 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, form binary, c long").groupBy("word").agg(F.min("form").alias("form"), F.sum("c").alias("c"))
 
 
-def _ahead(prefix: int, piece: int) -> int:
-    return ((prefix ^ (piece + 1)) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _M
-
-
-def _after(piece: int) -> int:
-    """The context of any word's id, by itself."""
-    return _ahead(0xA5A5A5A5A5A5A5A5, piece)
-
-
-def continuations(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """prefix (hash of a word's ids so far, 0 at its start; and again of the last id alone), next (id; the vocabulary's size for the word's end), c."""
+def piece_counts(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """id, first and kinds (tokens and distinct words that begin with it), further (how often it stands later in a word; the vocabulary's size: the word's end)."""
     sent = counts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def cut(batches):
         v = sent.value
-        after = np.array([_after(p) for p in range(v.size)], np.uint64)
+        sums = np.zeros((3, v.size + 1), np.int64)
         for batch in batches:
-            prefixes, nexts, counts, lasts = [], [], [], []
             for form, c in zip(batch.column("form").to_pylist(), batch.column("c").to_pylist()):
-                prefix, last = 0, -1
-                for piece in (*v.word(form), v.size):
-                    prefixes.append(prefix)
-                    nexts.append(piece)
-                    counts.append(c)
-                    lasts.append(last)
-                    prefix, last = _ahead(prefix, piece), piece
-            prefix, next_, c, last = np.array(prefixes, np.uint64), np.array(nexts, np.int64), np.array(counts, np.int64), np.array(lasts, np.int64)
-            inner = last >= 0
-            prefix, next_, c = np.concatenate([prefix, after[last[inner]]]), np.concatenate([next_, next_[inner]]), np.concatenate([c, c[inner]])
-            order = np.lexsort((next_, prefix))
-            prefix, next_, c = prefix[order], next_[order], c[order]
-            new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (next_[1:] != next_[:-1])][: len(prefix)])
-            yield pa.RecordBatch.from_pydict({"prefix": prefix[new].view(np.int64), "next": next_[new].astype(np.int32), "c": np.add.reduceat(c, new) if len(new) else c})
-
-    return counts.select("form", "c").mapInArrow(cut, "prefix long, next int, c long").groupBy("prefix", "next").agg(F.sum("c").alias("c"))
+                first, *further = v.word(form)
+                sums[0, first] += c
+                sums[1, first] += 1
+                for piece in further:
+                    sums[2, piece] += c
+                sums[2, v.size] += c
+        at = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_pydict({"id": at, "first": sums[0, at], "kinds": sums[1, at], "further": sums[2, at]})
+
+    return counts.select("form", "c").mapInArrow(cut, "id long, first long, kinds long, further long").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("first", "kinds", "further")))
 
 
 @dataclass
-class Endings:
-    """Log probabilities of the ids of a word after its first, and of its end: what `rests` works out in joins, of tables in memory."""
+class Spelling:
+    """How words go on after their first ids. total, kinds: by first id; further: log10 shares of single ids and the word's end."""
 
-    key: np.ndarray
-    count: np.ndarray
-    prefix: np.ndarray
     total: np.ndarray
     kinds: np.ndarray
-    base: np.ndarray
+    further: np.ndarray
 
-    @staticmethod
-    def of(prefix: np.ndarray, next_: np.ndarray, count: np.ndarray, base: np.ndarray) -> Endings:
-        prefix = prefix.view(np.uint64)
-        key = mix(prefix ^ mix(next_.astype(np.uint64)))
-        order = np.argsort(key)
-        own, at = np.unique(prefix, return_inverse=True)
-        return Endings(key[order], count[order].astype(float), own, np.bincount(at, count, len(own)), np.bincount(at, minlength=len(own)).astype(float), base)
-
-    def log10(self, prefix: np.ndarray, last: np.ndarray, next_: np.ndarray) -> np.ndarray:
-        """From all words, then those with the same last id, then those with all the same ids so far."""
-        return np.log10(self._nearer(prefix, next_, self._nearer(last, next_, self.base[next_])))
-
-    def _nearer(self, prefix: np.ndarray, next_: np.ndarray, low: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return low
-        key = mix(prefix ^ mix(next_.astype(np.uint64)))
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        c = np.where(self.key[at] == key, self.count[at], 0.0)
-        at = np.minimum(np.searchsorted(self.prefix, prefix), len(self.prefix) - 1)
-        known = self.prefix[at] == prefix
-        return np.where(known, (c + self.kinds[at] * low) / np.maximum(self.total[at] + self.kinds[at], 1), low)
+    def spelled(self, ids: list[int]) -> float:
+        return float(self.further[ids[1:]].sum() + self.further[-1])
+
+    def log10(self, first: np.ndarray, spelled: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of words with these first ids, spellings and training counts."""
+        total, kinds = self.total[first], self.kinds[first]
+        known = np.log10(np.maximum(count + kinds * 10.0 ** np.maximum(spelled, -300), 1e-300) / np.maximum(total + kinds, 1))
+        rare = spelled + np.log10(np.where(kinds > 0, kinds / np.maximum(total + kinds, 1), 1.0))
+        return np.where(count > 0, known, rare)
 
 
 class Forms:
-    """First ids of word forms; remembered within a task up to a bound."""
+    """First ids and spellings of word forms; remembered within a task up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
-        self.vocabulary, self.most = vocabulary, most
-        self.known: dict[int, int] = {}
+    def __init__(self, vocabulary: Vocabulary, spelling: Spelling | None = None, most: int = 300_000):
+        self.vocabulary, self.spelling, self.most = vocabulary, spelling, most
+        self.known: dict[int, tuple[int, float]] = {}
 
-    def of(self, w: tokens.Words) -> np.ndarray:
-        """For each word of a slice."""
+    def of(self, w: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of a slice: first id, log10 share of its spelling (0 without a `spelling`)."""
+        if not len(w.hash):
+            return np.zeros(0, np.int64), np.zeros(0)
         own, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
         hashes = own.tolist()
         new = [k for k, h in enumerate(hashes) if h not in self.known]
@@ -197,64 +166,10 @@ class Forms:
                 new = list(range(len(hashes)))
             raw = w.data.tobytes()
             for k, a, b in zip(new, w.start[first[new]].tolist(), w.end[first[new]].tolist()):
-                self.known[hashes[k]] = self.vocabulary.word(raw[a:b].lower())[0]
-        return np.array([self.known[h] for h in hashes], np.int64)[at]
-
-
-def rests(counts: DataFrame, others: DataFrame, pieces: DataFrame, base: np.ndarray, vocabulary: Vocabulary, work: Work) -> DataFrame:
-    """word, c (null without training texts), rest (log10 probability of its ids after the first, and its end) of the words of `counts` and `others`."""
-    sent = work.spark.sparkContext.broadcast(vocabulary)
-
-    def cut(batches):
-        v = sent.value
-        after = np.array([_after(p) for p in range(v.size)], np.uint64)
-        words, sizes, prefixes, lasts, nexts = (array(k) for k in "qiQii")
-
-        def put():
-            out = {"word": np.repeat(np.array(words, np.int64), sizes), "prefix": np.array(prefixes, np.uint64).view(np.int64), "last": after[np.array(lasts, np.int64)].view(np.int64), "next": np.array(nexts, np.int32)}
-            for x in (words, sizes, prefixes, lasts, nexts):
-                del x[:]
-            return pa.RecordBatch.from_pydict(out)
-
-        for batch in batches:
-            for word, form in zip(batch.column("word"), batch.column("form")):
-                ids = v.word(form.as_py())
-                prefix, last = _ahead(0, ids[0]), ids[0]
-                for piece in (*ids[1:], v.size):
-                    prefixes.append(prefix)
-                    lasts.append(last)
-                    nexts.append(piece)
-                    prefix, last = _ahead(prefix, piece), piece
-                words.append(word.as_py())
-                sizes.append(len(ids))
-                if len(nexts) > 1 << 17:
-                    yield put()
-        yield put()
-
-    known = counts.select("word", "form", "c").unionByName(others.select("word", "form", F.lit(None).cast("long").alias("c"))).groupBy("word").agg(F.min("form").alias("form"), F.max("c").alias("c"))
-    known = work.save(known, "known")
-    places = work.save(known.select("word", "form").mapInArrow(cut, "word long, prefix long, last long, next int"), "places")
-    pieces = pieces.filter("prefix != 0")
-    totals = pieces.groupBy("prefix").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
-    low = work.spark.createDataFrame(list(enumerate(base.tolist())), "next int, low double")
-    nearer = F.expr("if(total is null, low, (coalesce(c, 0) + kinds * low) / (total + kinds))")
-
-    def seen(rows: DataFrame, by: str) -> DataFrame:
-        mine = rows.withColumnRenamed(by, "prefix").join(pieces, ["prefix", "next"], "left").join(totals, "prefix", "left")
-        return mine.withColumn("low", nearer).drop("c", "total", "kinds").withColumnRenamed("prefix", by)
-
-    # a prefix has one last id; each step is saved, so that the shuffle files of the one before it go
-    steps = work.save(places.groupBy("prefix", "next").agg(F.first("last").alias("last")), "steps")
-    after = work.save(seen(steps.select("last", "next").distinct().join(F.broadcast(low), "next"), "last"), "after")  # broadcast: one of each id
-    lows = work.save(steps.join(after, ["last", "next"]).select("prefix", "next", "low"), "lows")
-    work.drop("steps", "after")
-    each = work.save(seen(lows, "prefix").select("prefix", "next", F.log10("low").alias("log")), "each")
-    work.drop("lows")
-    own = work.save(places.select("word", "prefix", "next").join(each, ["prefix", "next"]).groupBy("word").agg(F.sum("log").alias("rest")), "own")
-    work.drop("places", "each")
-    out = work.save(known.select("word", "c").join(own, "word"), "rests")
-    work.drop("known", "own")
-    return out
+                ids = self.vocabulary.word(raw[a:b].lower())
+                self.known[hashes[k]] = ids[0], self.spelling.spelled(ids) if self.spelling else 0.0
+        ids, spelled = zip(*(self.known[h] for h in hashes))
+        return np.array(ids, np.int64)[at], np.array(spelled)[at]
 
 
 @dataclass
@@ -357,7 +272,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         forms = Forms(sent.value)
         for batch in batches:
             for _, _, w in _words(batch):
-                first = forms.of(w) if len(w.hash) else np.zeros(0, np.int64)
+                first, _ = forms.of(w)
                 yield pa.RecordBatch.from_pydict({"first": pa.array([first.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([w.counts.astype(np.int32).tobytes()], pa.binary())})
 
     return docs.select("text").mapInArrow(cut, "first binary, counts binary")
@@ -456,17 +371,16 @@ def refine(slices: DataFrame, model: Attention, size: int, unigram: np.ndarray)
 class Model:
     vocabulary: Vocabulary
     attention: Attention
-    #: Hashes and training counts of words that make up at least a TABLE-th of the training words, and how they go on.
+    spelling: Spelling
+    #: Hashes and training counts of words that make up at least a TABLE-th of the training words.
     frequent: np.ndarray
     counts: np.ndarray
-    rests: np.ndarray
     words: int
     #: Counts below this are not in the table.
     least: float
 
-    def score(self, w: tokens.Words, forms: Forms) -> np.ndarray:
+    def score(self, w: tokens.Words, first: np.ndarray) -> np.ndarray:
         """log10 probability of each text of a slice, of its words' first ids and its end."""
-        first = forms.of(w) if len(w.hash) else np.zeros(0, np.int64)
         n = len(w.counts)
         out = np.zeros(n)
         x, live, y, counts, row = windows(first, w.counts, self.vocabulary.size)
@@ -478,36 +392,36 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, others: DataFrame, work: Work, vocabulary: Vocabulary | None = None) -> tuple[Model, DataFrame, int, int]:
-    """The model, how the words of all texts (`others`: those that don't teach) go on, and the tokens (ends included) and distinct tokens of all training texts."""
+def train(docs: DataFrame, work: Work, vocabulary: Vocabulary | None = None) -> tuple[Model, int, int]:
+    """The model, and the tokens (ends included) and distinct tokens of all training texts."""
     vocabulary = vocabulary or read_vocabulary()
     counts = work.save(word_counts(docs), "words")
     texts = docs.count()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = words / TABLE
-    pieces = work.save(continuations(counts, vocabulary), "continuations")
-    size = vocabulary.size + 1
-    alone = F.broadcast(work.spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in map(_after, range(vocabulary.size))], "prefix long"))  # one of each id
-    by = pieces.join(alone, "prefix", "left_anti").groupBy("next", (F.col("prefix") == 0).alias("first")).agg(F.sum("c").alias("c")).toArrow()  # two of each id at most
-    next_, is_first, c = by.column("next").to_numpy(), by.column("first").to_numpy(zero_copy_only=False), by.column("c").to_numpy()
-    unigram = np.bincount(next_[is_first], c[is_first], size) + 0.5
-    unigram[vocabulary.size] += texts
-    base = np.bincount(next_[~is_first], c[~is_first], size) + 0.5
-    rest = rests(counts, word_counts(others), pieces, base / base.sum(), vocabulary, work)
-    frequent = rest.filter(F.col("c") >= least).toArrow()
-    work.drop("words", "continuations")
+    by, size = piece_counts(counts, vocabulary).toArrow(), vocabulary.size + 1  # one of each id
+    sums = np.zeros((3, size))
+    sums[:, by.column("id").to_numpy()] = np.stack([by.column(c).to_numpy() for c in ("first", "kinds", "further")])
+    unigram, further = sums[0] + 0.5, sums[2] + 0.5
+    unigram[-1] += texts
     unigram /= unigram.sum()
+    frequent = counts.filter(F.col("c") >= least).select("word", "c").toArrow()
+    work.drop("words")
     slices = work.save(encoded(docs, vocabulary), "slices")
     attention = refine(slices, start(slices, vocabulary.size, unigram), vocabulary.size, unigram)
     work.drop("slices")
     hashes = frequent.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return Model(vocabulary, attention, hashes[order], frequent.column("c").to_numpy()[order], frequent.column("rest").to_numpy()[order], int(words), float(least)), rest, int(words) + texts, int(kinds) + (texts > 0)
+    spelling = Spelling(sums[0], sums[1], np.log10(further / further.sum()))
+    return Model(vocabulary, attention, spelling, hashes[order], frequent.column("c").to_numpy()[order], int(words), float(least)), int(words) + texts, int(kinds) + (texts > 0)
+
+
+_SENT = "fragment int, at long, {key} {kind}, n_words long, n_known long, logs double, score double, rests double, docs binary, times binary, words binary, rows binary, firsts binary, spelled binary"
 
 
 def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Trains on the rows that `training` selects and scores all: key, n_tokens, n_known, train_tokens, base_score, score."""
-    model, rest, total, kinds = train(docs.filter(training), docs.filter(~F.coalesce(training, F.lit(False))), work, vocabulary)
+    """Trains on the rows that `training` selects and scores all: key, n_tokens, n_known, train_tokens, base_score, score, rest_score (the part of `score` that further ids and words' ends have)."""
+    model, total, kinds = train(docs.filter(training), work, vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # TABLE entries, and EXPERTS * vocabulary
     ends = docs.filter(training).count()
     fragments = max(8, partitions(docs.sparkSession))
@@ -516,65 +430,63 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
 
     def run(batches):
         model = sent.value
-        forms = Forms(model.vocabulary)
+        forms = Forms(model.vocabulary, model.spelling)
         # each row has a number of its own
         upto = TaskContext.get().partitionId() << 40
         for batch in batches:
+            schema = pa.schema([("fragment", pa.int32()), ("at", pa.int64()), (key, batch.schema.field(key).type), ("n_words", pa.int64()), ("n_known", pa.int64()), *((c, pa.float64()) for c in ("logs", "score", "rests")), *((c, pa.binary()) for c in ("docs", "times", "words", "rows", "firsts", "spelled"))])
             keys = upto + np.arange(batch.num_rows)
             upto += batch.num_rows
             teaches = batch.column("training").to_numpy(zero_copy_only=False)
-            parts, rare = [], []
+            parts, rare = [np.zeros((5, 0))], []
             for i, j, w in _words(batch):
                 row = w.row
+                first, spelled = forms.of(w)
                 at = np.minimum(np.searchsorted(model.frequent, w.hash), max(len(model.frequent) - 1, 0))
                 known = model.frequent[at] == w.hash if len(model.frequent) else np.zeros(len(w.hash), bool)
-                logs = np.log10(np.where(known, model.counts[at] if len(model.counts) else 0, 0) + 0.5) * known
-                goes_on = np.bincount(row, model.rests[at] * known, j - i) if len(model.rests) else np.zeros(j - i)
-                parts.append((w.counts, np.bincount(row[known], minlength=j - i), np.bincount(row, logs, j - i), model.score(w, forms) + goes_on))
+                c = model.counts[at[known]] if len(model.counts) else np.zeros(0, np.int64)
+                logs = np.bincount(row[known], np.log10(c + 0.5), j - i)
+                goes_on = np.bincount(row[known], model.spelling.log10(first[known], spelled[known], c), j - i)
+                parts.append(np.stack([w.counts, np.bincount(row[known], minlength=j - i), logs, model.score(w, first), goes_on]))
                 rest = ~known
-                both = np.stack([w.hash[rest], (row[rest] + i).astype(np.uint64)])
-                order = np.lexsort(both[::-1])
-                rare.append(both[:, order])
-            n_words, n_known, logs, scores = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0)] * 4
+                rare.append((w.hash[rest], row[rest] + i, first[rest], spelled[rest]))
+            n_words, n_known, logs, scores, rests = np.concatenate(parts, 1)
             none = pa.nulls(len(n_words), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(n_words), pa.int32()), pa.array(keys, pa.int64()), batch.column(key), pa.array(n_words, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), none, none, none], ["fragment", "at", key, "n_words", "n_known", "logs", "score", "docs", "times", "words"])
-            both = np.concatenate(rare, 1) if rare else np.zeros((2, 0), U)
-            order = np.lexsort(both[::-1])
-            both = both[:, order]
-            new = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)][: both.shape[1]])
-            word, row, times = both[0, new], both[1, new].astype(np.int64), np.diff(np.r_[new, both.shape[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n_words), -1, np.int32)), pa.array(keys), batch.column(key), pa.array(n_words.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(logs), pa.array(scores), pa.array(rests), *[none] * 6], schema=schema)
+            if not rare:
+                continue
+            word, row, first, spelled = (np.concatenate(x) for x in zip(*rare))
+            order = np.lexsort((row, word))
+            word, row, first, spelled = word[order], row[order], first[order], spelled[order]
+            new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])][: len(word)])
+            times = np.diff(np.r_[new, len(word)])
+            word, row, first, spelled = word[new], row[new], first[new], spelled[new]
+            times = np.where(teaches[row], times, -times)
             cuts = np.searchsorted((word // U(width)).astype(np.int64), np.arange(fragments + 1))
-            out = [(f, pack_keys(keys[row[a:b]]), pack_keys(np.where(teaches[row[a:b]], times[a:b], -times[a:b])), word[a:b].tobytes()) for f, a, b in zip(range(fragments), cuts[:-1], cuts[1:]) if a < b]
+            out = []
+            for f, a, b in zip(range(fragments), cuts[:-1], cuts[1:]):
+                if a < b:
+                    # each word of the batch once, with the number of its rows
+                    head = a + np.flatnonzero(np.r_[True, word[a + 1 : b] != word[a : b - 1]])
+                    out.append((f, pack_keys(keys[row[a:b]]), pack_keys(times[a:b]), word[head].tobytes(), pack_keys(np.diff(np.r_[head, b])), pack_keys(first[head]), spelled[head].astype(np.float32).tobytes()))
             if out:
-                f, d, t, x = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), batch.schema.field(key).type), *(pa.nulls(len(f), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), *(pa.array(c, pa.binary()) for c in (d, t, x))], ["fragment", "at", key, "n_words", "n_known", "logs", "score", "docs", "times", "words"])
-
-    def by_range(batches):
-        """Words and how they go on, packed by the ranges of hashes."""
-        for batch in batches:
-            word, rest = batch.column("word").to_numpy().view(np.uint64), batch.column("rest").to_numpy()
-            order = np.argsort(word)
-            word, rest = word[order], rest[order]
-            cuts = np.searchsorted((word // U(width)).astype(np.int64), np.arange(fragments + 1))
-            some = [(f, word[a:b].tobytes(), rest[a:b].tobytes()) for f, a, b in zip(range(fragments), cuts[:-1], cuts[1:]) if a < b]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some) if some else ([], [], []), (pa.int32(), pa.binary(), pa.binary()))], ["fragment", "words", "rests"])
+                f, *packed = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), *(pa.nulls(len(f), x.type) for x in list(schema)[1:8]), *(pa.array(c, pa.binary()) for c in packed)], schema=schema)
 
-    def meet(group: pa.Table, ranged: pa.Table) -> pa.Table:
+    def meet(group: pa.Table) -> pa.Table:
         """Counts of rare words in a range of hashes, and how they go on, summed for each document. times: below 0 in documents that don't teach."""
-        parts = {"bucket": [], "docs": [], "known": [], "logs": [], "rests": []}
-        if group.num_rows:
-            doc, times, word = (np.concatenate([f(x.as_py()) for x in group.column(c)]) for c, f in (("docs", unpack_keys), ("times", unpack_keys), ("words", lambda x: np.frombuffer(x, U))))
-            own, at = np.unique(word, return_inverse=True)
-            c = np.bincount(at, np.maximum(times, 0))[at]
-            names, rest = (np.concatenate([np.frombuffer(x.as_py(), k) for x in ranged.column(n)]) for n, k in (("words", U), ("rests", np.float64)))
-            order = np.argsort(names)
-            rest = rest[order][np.searchsorted(names[order], own)][at]
-            order = np.lexsort((word, doc))  # sums in one order, however the parts arrive
-            doc, times, c, rest = doc[order], np.abs(times[order]), c[order], rest[order]
-            who, row = np.unique(doc, return_inverse=True)
-            known, logs, rest = np.bincount(row, times * (c > 0)).astype(np.int64), np.bincount(row, times * np.log10(c + 0.5)), np.bincount(row, times * rest)
-            parts["bucket"], parts["docs"], parts["known"] = by_bucket(who, known, fragments)
-            parts["logs"], parts["rests"] = by_bucket(who, logs.view(np.int64), fragments)[2], by_bucket(who, rest.view(np.int64), fragments)[2]
+        doc, times, word, rows, first, spelled = (np.concatenate([f(x.as_py()) for x in group.column(c)]) for c, f in (("docs", unpack_keys), ("times", unpack_keys), ("words", lambda x: np.frombuffer(x, U)), ("rows", unpack_keys), ("firsts", unpack_keys), ("spelled", lambda x: np.frombuffer(x, np.float32))))
+        own, one, at = np.unique(word, return_index=True, return_inverse=True)
+        at = np.repeat(at, rows)
+        count = np.bincount(at, np.maximum(times, 0))
+        goes_on = sent.value.spelling.log10(first[one], spelled[one].astype(float), count)[at]
+        c, word = count[at], own[at]
+        order = np.lexsort((word, doc))  # sums in one order, however the parts arrive
+        doc, times, c, goes_on = doc[order], np.abs(times[order]), c[order], goes_on[order]
+        who, row = np.unique(doc, return_inverse=True)
+        known, logs, rest = np.bincount(row, times * (c > 0)).astype(np.int64), np.bincount(row, times * np.log10(c + 0.5)), np.bincount(row, times * goes_on)
+        bucket, docs_, known = by_bucket(who, known, fragments)
+        parts = {"bucket": bucket, "docs": docs_, "known": known, "logs": by_bucket(who, logs.view(np.int64), fragments)[2], "rests": by_bucket(who, rest.view(np.int64), fragments)[2]}
         return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in parts.items()})
 
     def add(group: pa.Table) -> pa.Table:
@@ -585,15 +497,14 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
         return pa.table({"at": pa.array(who, pa.int64()), "rare_known": np.bincount(row, known).astype(np.int64), "rare_logs": np.bincount(row, logs), "rare_rests": np.bincount(row, rest)})
 
     rows = docs.select(key, "text", F.coalesce(training, F.lit(False)).alias("training"))
-    got = work.save(rows.mapInArrow(run, f"fragment int, at long, {key} {kind}, n_words long, n_known long, logs double, score double, docs binary, times binary, words binary"), "scores")
-    ranged = rest.filter(F.coalesce(F.col("c") < model.least, F.lit(True))).select("word", "rest").mapInArrow(by_range, "fragment int, words binary, rests binary")
-    rare = got.filter("fragment >= 0").select("fragment", "docs", "times", "words").groupBy("fragment").cogroup(ranged.groupBy("fragment")).applyInArrow(meet, "bucket int, docs binary, known binary, logs binary, rests binary")
+    got = work.save(rows.mapInArrow(run, _SENT.format(key=key, kind=kind)), "scores")
+    rare = got.filter("fragment >= 0").select("fragment", "docs", "times", "words", "rows", "firsts", "spelled").groupBy("fragment").applyInArrow(meet, "bucket int, docs binary, known binary, logs binary, rests binary")
     rare = rare.groupBy("bucket").applyInArrow(add, "at long, rare_known long, rare_logs double, rare_rests double")
     # the end is a token: of count `ends`, known where there is a training text
     scale = float(np.log10(total + 0.5 * (kinds + 1)))
     out = got.filter("fragment < 0").join(rare, "at", "left")
-    n = F.col("n_words") + 1
+    n, rest = F.col("n_words") + 1, F.col("rests") + F.coalesce("rare_rests", F.lit(0.0))
     return out.select(
         key, n.alias("n_tokens"), (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.5))) - n * scale).alias("base_score"), (F.col("score") + F.coalesce("rare_rests", F.lit(0.0))).alias("score"),
+        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.5))) - n * scale).alias("base_score"), (F.col("score") + rest).alias("score"), rest.alias("rest_score"),
     )

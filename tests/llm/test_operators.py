@@ -298,13 +298,19 @@ def test_gradient():
         assert g[k] == pytest.approx((mean(flat + step) - mean(flat - step)) / 2e-2, abs=2e-3)
 
 
-def test_endings_add_up():
+def test_goings_on_add_up():
+    """Shares of the training words of a first id and of all spellings that follow it."""
     vocabulary = lm.read_vocabulary()
     assert vocabulary.encode(" hello") == vocabulary.word(b"hello")
-    prefix = np.array([7, 7, 9], np.int64)
-    e = lm.Endings.of(prefix, np.array([1, 2, 1]), np.array([3, 1, 5]), np.full(4, 0.25))
-    p = 10 ** e.log10(np.full(4, 7, np.uint64), np.full(4, 9, np.uint64), np.arange(4))
-    assert p.sum() == pytest.approx(1)
+    further = np.array([0.2, 0.3, 0.5])  # two ids and the word's end
+    s = lm.Spelling(np.array([9.0, 0.0]), np.array([2.0, 0.0]), np.log10(further))
+    words = [[0], [0, 0], [0, 1]]
+    spelled = np.array([s.spelled(w) for w in words])
+    p = 10 ** s.log10(np.zeros(3, np.int64), spelled, np.array([5, 4, 0]))
+    # what is left is that of longer words, which training has not
+    left = 2 / 11 * (1 - (10**spelled).sum())
+    assert p.sum() + left == pytest.approx(1)
+    assert s.log10(np.ones(1, np.int64), np.array([-400.0]), np.zeros(1))[0] == -400.0
 
 
 # 9

@@ -32,41 +32,41 @@ def test_every_window_teaches(spark):
     assert np.allclose(seen[0], np.r_[np.full(size, 5.0), 20.0], rtol=1e-3)
 
 
-def test_rare_continuations_count(spark, tmp_path, monkeypatch):
-    """Scores don't depend on how many words the table that every task has can keep, and are those of all continuations."""
+def test_goings_on_against_brute_force(spark, monkeypatch):
+    """rest_score is that of all training counts, whether words are in the table that tasks have or meet their documents."""
     from collections import Counter
 
     from siltstone.llm import lm
     from siltstone.llm.work import Work
 
-    texts = ["unbelievable unbelievably believer unbelievable", "xylophonist unbelieving", "believer xylophones zzyzx", None, "zzyzxing qwertyuiopasdf unbelievable"]
-    rows = [(k if k != 2 else None, t, k < 3) for k, t in enumerate(texts)] + [(0, texts[0], True)]
+    rows = [(k, " ".join(["believe", "Believers", f"rare{k % 17}", "zzyzx" * (k % 3), "x" * (k % 5 * 90)]), k % 4 > 0) for k in range(60)] + [(60, None, True), (61, "", False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean")
     got = []
-    for most in (1 << 19, 4):
-        monkeypatch.setattr(lm, "TABLE", most)
+    for table in (1 << 19, 4):
+        monkeypatch.setattr(lm, "TABLE", table)
         out = lm.score(docs, docs["teaches"], Work(spark, "t"))
-        got.append(sorted(map(tuple, out.collect()), key=repr))
-    assert len(got[0]) == len(rows) and all(a[:4] == b[:4] and np.allclose(a[4:], b[4:]) for a, b in zip(*got))
-    # how words go on, against the same of tables in memory
+        got.append({r["doc_id"]: r for r in out.collect()})
     v = lm.read_vocabulary()
-    counts = Counter(w for _, t, teaches in rows if teaches for w in t.split())
-    made = spark.createDataFrame([(k, w.encode(), c) for k, (w, c) in enumerate(counts.items())], "word long, form binary, c long")
-    others = spark.createDataFrame([(100, b"zzyzxing", 1), (101, b"believers", 1)], "word long, form binary, c long")
-    pieces = lm.continuations(made, v)
-    base = np.full(v.size + 1, 1 / (v.size + 1))
-    t = pieces.filter("prefix != 0").toPandas()
-    ends = lm.Endings.of(t["prefix"].to_numpy(), t["next"].to_numpy(), t["c"].to_numpy(), base)
-    forms = {k: w.encode() for k, w in enumerate(counts)} | {100: b"zzyzxing", 101: b"believers"}
-    mine = {r["word"]: r["rest"] for r in lm.rests(made, others, pieces, base, v, Work(spark, "t")).collect()}
-    assert mine.keys() == forms.keys()
-    for word, form in forms.items():
-        ids, want = v.word(form), 0.0
-        prefix = lm._ahead(0, ids[0])
-        for last, piece in zip(ids, [*ids[1:], v.size]):
-            want += ends.log10(np.array([prefix], np.uint64), np.array([lm._after(last)], np.uint64), np.array([piece]))[0]
-            prefix = lm._ahead(prefix, piece)
-        assert abs(mine[word] - want) < 1e-9
+    words = {k: (t or "").lower().split() for k, t, _ in rows}
+    counts = Counter(w for k, _, teaches in rows if teaches for w in words[k])
+    ids = {w: v.word(w.encode()) for own in words.values() for w in own}
+    total, kinds, further = (np.zeros(v.size + 1) for _ in range(3))
+    for w, c in counts.items():
+        total[ids[w][0]] += c
+        kinds[ids[w][0]] += 1
+        np.add.at(further, [*ids[w][1:], v.size], c)
+    share = np.log10((further + 0.5) / (further + 0.5).sum())
+
+    def goes_on(w):
+        first, spelled = ids[w][0], share[ids[w][1:]].sum() + share[-1]
+        t, k = total[first], kinds[first]
+        return np.log10((counts[w] + k * 10**spelled) / (t + k)) if counts[w] else spelled + (np.log10(k / (t + k)) if k else 0)
+
+    for own in got:
+        assert len(own) == len(rows)
+        for k, t in words.items():
+            assert abs(own[k]["rest_score"] - sum(map(goes_on, t))) < 1e-4 * (1 + len(t))
+    assert all(abs(got[0][k]["score"] - got[1][k]["score"]) < 1e-3 for k in words)
 
 
 def test_mix_keeps_to_the_given_weights():
