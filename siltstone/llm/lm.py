@@ -56,6 +56,9 @@ class Vocabulary:
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in self.raw.splitlines() if line)}
         self.size = max(ranks.values()) + 1
+        self.bytes = np.zeros(self.size, np.int64)
+        for piece, rank in ranks.items():
+            self.bytes[rank] = len(piece)
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __reduce__(self):
@@ -64,6 +67,18 @@ class Vocabulary:
     def word(self, form: bytes) -> list[int]:
         return self.encode(" " + form.decode("utf-8", "replace"))
 
+    def words(self, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has: as `word`, in one call for all."""
+        texts = [" " + f.decode("utf-8", "replace") for f in forms]
+        whole = "".join(texts)
+        if len(whole.split()) != len(forms):  # other spaces stand in words, and may be parted together with the next word's
+            each = [self.encode(t) for t in texts]
+            return np.array([x for own in each for x in own], np.int64), np.array([len(own) for own in each], np.int64)
+        ids = np.array(self.encode(whole), np.int64)
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        begins = np.cumsum(self.bytes[ids]) - self.bytes[ids]
+        return ids, np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(forms))
+
 
 def read_vocabulary(path: str = VOCABULARY) -> Vocabulary:
     with open(path, "rb") as f:
@@ -114,13 +129,16 @@ def piece_counts(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         v = sent.value
         sums = np.zeros((3, v.size + 1), np.int64)
         for batch in batches:
-            for form, c in zip(batch.column("form").to_pylist(), batch.column("c").to_pylist()):
-                first, *further = v.word(form)
-                sums[0, first] += c
-                sums[1, first] += 1
-                for piece in further:
-                    sums[2, piece] += c
-                sums[2, v.size] += c
+            if not batch.num_rows:
+                continue
+            ids, n = v.words(batch.column("form").to_pylist())
+            c = batch.column("c").to_numpy()
+            begin = np.cumsum(n) - n
+            times = np.repeat(c, n)
+            times[begin] = 0
+            for row, at, weights in ((0, ids[begin], c), (1, ids[begin], np.ones(len(c))), (2, ids, times)):
+                sums[row] += np.bincount(at, weights, sums.shape[1]).astype(np.int64)
+            sums[2, v.size] += c.sum()
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_pydict({"id": at, "first": sums[0, at], "kinds": sums[1, at], "further": sums[2, at]})
 
@@ -135,8 +153,10 @@ class Spelling:
     kinds: np.ndarray
     further: np.ndarray
 
-    def spelled(self, ids: list[int]) -> float:
-        return float(self.further[ids[1:]].sum() + self.further[-1])
+    def spelled(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 share of words' ids after the first, and ends. n: how many ids each word has."""
+        begin = np.cumsum(n) - n
+        return np.add.reduceat(self.further[ids], begin) - self.further[ids[begin]] + self.further[-1]
 
     def log10(self, first: np.ndarray, spelled: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Of words with these first ids, spellings and training counts."""
@@ -151,25 +171,30 @@ class Forms:
 
     def __init__(self, vocabulary: Vocabulary, spelling: Spelling | None = None, most: int = 300_000):
         self.vocabulary, self.spelling, self.most = vocabulary, spelling, most
-        self.known: dict[int, tuple[int, float]] = {}
+        self.hash, self.first, self.spelled = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0)
 
     def of(self, w: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
         """For each word of a slice: first id, log10 share of its spelling (0 without a `spelling`)."""
         if not len(w.hash):
             return np.zeros(0, np.int64), np.zeros(0)
-        own, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
-        hashes = own.tolist()
-        new = [k for k, h in enumerate(hashes) if h not in self.known]
-        if new:
-            if len(self.known) > self.most:
-                self.known.clear()
-                new = list(range(len(hashes)))
+        order = np.argsort(w.hash)
+        new = np.r_[True, w.hash[order[1:]] != w.hash[order[:-1]]]
+        one, own = order[new], w.hash[order[new]]
+        if len(self.hash) > self.most:
+            self.hash, self.first, self.spelled = self.hash[:0], self.first[:0], self.spelled[:0]
+        at = np.searchsorted(self.hash, own)
+        fresh = np.flatnonzero(self.hash[np.minimum(at, len(self.hash) - 1)] != own) if len(self.hash) else np.arange(len(own))
+        if len(fresh):
             raw = w.data.tobytes()
-            for k, a, b in zip(new, w.start[first[new]].tolist(), w.end[first[new]].tolist()):
-                ids = self.vocabulary.word(raw[a:b].lower())
-                self.known[hashes[k]] = ids[0], self.spelling.spelled(ids) if self.spelling else 0.0
-        ids, spelled = zip(*(self.known[h] for h in hashes))
-        return np.array(ids, np.int64)[at], np.array(spelled)[at]
+            ids, n = self.vocabulary.words([raw[a:b].lower() for a, b in zip(w.start[one[fresh]].tolist(), w.end[one[fresh]].tolist())])
+            self.hash = np.insert(self.hash, at[fresh], own[fresh])
+            self.first = np.insert(self.first, at[fresh], ids[np.cumsum(n) - n])
+            self.spelled = np.insert(self.spelled, at[fresh], self.spelling.spelled(ids, n) if self.spelling else 0.0)
+            at = np.searchsorted(self.hash, own)
+        first, spelled = np.empty(len(order), np.int64), np.empty(len(order))
+        of = np.cumsum(new) - 1
+        first[order], spelled[order] = self.first[at][of], self.spelled[at][of]
+        return first, spelled
 
 
 @dataclass

@@ -302,10 +302,13 @@ def test_goings_on_add_up():
     """Shares of the training words of a first id and of all spellings that follow it."""
     vocabulary = lm.read_vocabulary()
     assert vocabulary.encode(" hello") == vocabulary.word(b"hello")
+    for forms in (["hello", "größe", "don't", "x" * 300, "a.b,c", "日本語", "'s", "12ab"], ["a\u00a0", "\u00a0b", "hello\u3000"], [chr(k) for k in range(33, 600) if not chr(k).isspace()]):
+        ids, n = vocabulary.words([f.encode() for f in forms])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [vocabulary.word(f.encode()) for f in forms]
     further = np.array([0.2, 0.3, 0.5])  # two ids and the word's end
     s = lm.Spelling(np.array([9.0, 0.0]), np.array([2.0, 0.0]), np.log10(further))
     words = [[0], [0, 0], [0, 1]]
-    spelled = np.array([s.spelled(w) for w in words])
+    spelled = s.spelled(np.concatenate(words), np.array([len(w) for w in words]))
     p = 10 ** s.log10(np.zeros(3, np.int64), spelled, np.array([5, 4, 0]))
     # what is left is that of longer words, which training has not
     left = 2 / 11 * (1 - (10**spelled).sum())
