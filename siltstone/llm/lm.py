@@ -289,6 +289,17 @@ def windows(first: np.ndarray, counts: np.ndarray, size: int):
     return x[place], live, y[place[:, -STRIDE:]], live[:, -STRIDE:], row
 
 
+def scored(first: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the windows of these rows score, in order, and where the part of each window begins in it (with an end)."""
+    length = counts + 1
+    y = np.full(int(length.sum()), size)
+    y[np.arange(len(first)) + np.repeat(np.arange(len(counts)), counts)] = first
+    per = -(-length // STRIDE)
+    row = np.repeat(np.arange(len(counts)), per)
+    m = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    return y, np.r_[(np.cumsum(length) - length)[row] + m * STRIDE, len(y)]
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """first (ids of the words of a slice of texts, packed), counts (words of each text, packed)."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -317,21 +328,21 @@ def start(slices: DataFrame, size: int, unigram: np.ndarray) -> Attention:
     experts /= experts.sum(1, keepdims=True)
     weight = np.full(EXPERTS, 1 / EXPERTS)
     for _ in range(ROUNDS):
-        sent = slices.sparkSession.sparkContext.broadcast((np.log(experts.T), np.log(weight + 1e-6)))
+        sent = slices.sparkSession.sparkContext.broadcast((np.log(experts.T).astype(np.float32), np.log(weight + 1e-6).astype(np.float32)))
 
         def run(batches, sent=sent):
             by_id, prior = sent.value
             sums = np.zeros((EXPERTS, len(by_id)))
             for first, counts in _slices(batches):
-                _, _, y, live, _ = windows(first, counts, size)
-                for a in range(0, len(y), 4096):
-                    at = live[a : a + 4096]
-                    n, ids = at.sum(1), y[a : a + 4096][at]
-                    score = np.add.reduceat(by_id[ids], np.cumsum(n) - n) + prior
+                y, begin = scored(first, counts, size)
+                for a in range(0, len(begin) - 1, 4096):
+                    own = begin[a : a + 4097]
+                    ids, n = y[own[0] : own[-1]], np.diff(own)
+                    score = np.add.reduceat(by_id[ids], own[:-1] - own[0]) + prior
                     parts = np.exp(0.5 * (score - score.max(1, keepdims=True)))
-                    parts = np.repeat(parts / parts.sum(1, keepdims=True), n, axis=0)
+                    parts = (parts / parts.sum(1, keepdims=True)).astype(float)
                     for k in range(EXPERTS):
-                        sums[k] += np.bincount(ids, parts[:, k], sums.shape[1])
+                        sums[k] += np.bincount(ids, np.repeat(parts[:, k], n), sums.shape[1])
             at = np.flatnonzero(sums.any(0))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(sums[k, at]) for k in range(EXPERTS))], ["id", *names])
 

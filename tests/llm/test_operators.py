@@ -298,6 +298,15 @@ def test_gradient():
         assert g[k] == pytest.approx((mean(flat + step) - mean(flat - step)) / 2e-2, abs=2e-3)
 
 
+def test_scored_are_the_windows_targets():
+    rng = np.random.default_rng(4)
+    counts = np.array([0, 1, 23, 24, 25, 100, 0, 48])
+    first = rng.integers(0, 9, counts.sum())
+    _, _, y, live, _ = lm.windows(first, counts, 9)
+    flat, begin = lm.scored(first, counts, 9)
+    assert [x.tolist() for x in np.split(flat, begin[1:-1])] == [a[b].tolist() for a, b in zip(y, live)]
+
+
 def test_goings_on_add_up():
     """Shares of the training words of a first id and of all spellings that follow it."""
     vocabulary = lm.read_vocabulary()
