@@ -169,7 +169,7 @@ class Spelling:
 class Forms:
     """First ids and spellings of word forms; remembered within a task up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, spelling: Spelling | None = None, most: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, spelling: Spelling | None = None, most: int = 1_000_000):
         self.vocabulary, self.spelling, self.most = vocabulary, spelling, most
         self.hash, self.first, self.spelled = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0)
 
