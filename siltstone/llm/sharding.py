@@ -3,9 +3,13 @@
 Arrivals are written as small files that never change: one for each task and arrival. Compaction takes the tiers of
 similarly sized files that have enough of them, packs each tier's files, in order of their first rows, into groups of
 the target size, and writes a group as one file. What is current is a manifest: a table of files, written under a new
-version; then the version is committed by renaming one small file into place. A reader sees the last committed version,
-whatever a lost executor or driver left half done; superseded files are deleted only after the commit. Each writer has
-folders of its own, so one that comes second changes nothing of what the first committed.
+version; then the version is committed by renaming one small file into place, which fails where that version is there
+(as one step on HDFS; a file system whose rename is no single step takes one writer at a time). A reader sees the last
+committed version and opens the files of its manifest alone, whatever a lost executor or driver left half done.
+Superseded files stay for readers of older versions until `vacuum`. Each writer has folders of its own, so one that
+comes second changes nothing of what the first committed.
+
+The driver holds the names of a version's files, one for each `target` bytes and each small file not yet merged.
 
 Defined results: an empty table makes a version without files; null and empty texts, repeated rows and further columns
 are stored as they are; a row larger than the target makes a file of its own size; ties in size are broken by the first
@@ -16,7 +20,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Bytes of a shard that compaction aims for.
@@ -41,24 +47,32 @@ class Store:
 
     # versions
 
-    def version(self) -> int:
-        """The last committed version; 0 before the first."""
+    def versions(self) -> list[int]:
+        """The committed versions that are kept, in order."""
         folder = self._path(f"{self.path}/versions")
         if not self._fs.exists(folder):
-            return 0
+            return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self) -> DataFrame:
-        n = self.version()
-        if not n:
-            return self.spark.createDataFrame([], _ENTRIES)
+    def version(self) -> int:
+        """The last committed version; 0 before the first."""
+        return max(self.versions(), default=0)
+
+    def _manifest_path(self, n: int) -> str:
         stream = self._fs.open(self._path(f"{self.path}/versions/v{n:08d}.json"))
         try:
             found = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return self.spark.read.schema(_ENTRIES).parquet(f"{self.path}/{found['manifest']}")
+        return f"{self.path}/{found['manifest']}"
+
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """The files of a version, the last one unless told."""
+        n = self.version() if version is None else version
+        if not n:
+            return self.spark.createDataFrame([], _ENTRIES)
+        return self.spark.read.schema(_ENTRIES).parquet(self._manifest_path(n))
 
     def commit(self, entries: DataFrame, after: int) -> int:
         """Makes `entries` the version that follows `after`; raises if another writer was first."""
@@ -70,10 +84,23 @@ class Store:
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps({"version": n, "manifest": f"manifests/{own}"}).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"version {n} was committed by another writer")
+        try:
+            self._rename(draft, final)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            raise RuntimeError(f"version {n} was committed by another writer") from e
         return n
 
+    def _rename(self, draft, final) -> None:
+        """Renames, unless `final` is there: then FileAlreadyExistsException."""
+        context, hadoop = self.spark.sparkContext, self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        options = context._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.NONE
+        files = hadoop.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), options)
+
     # data
 
     def _entries(self, folder: str, schema) -> DataFrame:
@@ -100,8 +127,8 @@ class Store:
                 raise
             place = F.struct(F.format_string("%010d", F.spark_partition_id()).alias("file"), F.monotonically_increasing_id().alias("row"))
             rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place.alias("place"))
-        # an arrival is a stretch of each task's rows, so order is kept within it
-        rows = rows.withColumn("arrival", F.pmod(F.expr("place.row div 1000"), F.lit(arrivals)).cast("int"))
+        # arrivals take turns row by row, so that small tables have all of them; merging sorts by place again
+        rows = rows.withColumn("arrival", F.pmod("place.row", F.lit(arrivals)).cast("int"))
         rows.withColumn("part", F.col("arrival")).write.option("compression", "zstd").mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/{folder}")
         added = self._entries(folder, self._schema(docs.schema))
         return self.commit(self.manifest().unionByName(added), before)
@@ -127,23 +154,38 @@ class Store:
         n = plan.agg(F.max("group")).first()[0]
         if n is None:
             return before
-        inputs = self._read(schema).join(plan.withColumnRenamed("file", "own"), F.col("file") == F.col("own")).select("row", "place", "arrival", "group")
+        inputs = self._read(schema, plan).join(plan.withColumnRenamed("file", "own"), F.col("file") == F.col("own")).select("row", "place", "arrival", "group")
         merged = inputs.repartitionById(n + 1, F.col("group")).sortWithinPartitions("group", "place").drop("group")
         merged.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.path}/data/{folder}")
         kept = self.manifest().join(plan, "file", "left_anti").unionByName(self._entries(folder, self._schema(schema)))
-        after = self.commit(kept, before)
-        self.vacuum(plan)
-        return after
-
-    def vacuum(self, plan: DataFrame) -> None:
-        """Deletes the files that a committed compaction replaced; their names pass the driver one by one."""
-        for row in plan.toLocalIterator():
+        return self.commit(kept, before)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Forgets all versions but the last `keep` and deletes the files that none of those has; names pass the driver one by one.
+
+        Broken off, it can be run again: a version goes after its files.
+        """
+        kept, gone = self.versions()[-keep:], self.versions()[:-keep]
+        if not gone:
+            return
+        used = reduce(DataFrame.unionByName, [self.manifest(n).select("file") for n in kept])
+        dead = reduce(DataFrame.unionByName, [self.manifest(n).select("file") for n in gone]).distinct().join(used, "file", "left_anti")
+        for row in dead.toLocalIterator():
             self._fs.delete(self._path(f"{self.path}/data/{row['file']}"), False)
-
-    def _read(self, schema) -> DataFrame:
-        rows = self.spark.read.schema(self._schema(schema)).option("recursiveFileLookup", "true").parquet(f"{self.path}/data")
+        for n in gone:
+            manifest = self._path(self._manifest_path(n))
+            self._fs.delete(self._path(f"{self.path}/versions/v{n:08d}.json"), False)
+            self._fs.delete(manifest, True)
+
+    def _read(self, schema, files: DataFrame) -> DataFrame:
+        """The rows of the files named, each with its file; no other file is listed or opened."""
+        paths = [f"{self.path}/data/{row['file']}" for row in files.select("file").toLocalIterator()]
+        if not paths:
+            return self.spark.createDataFrame([], self._schema(schema)).withColumn("file", F.lit(""))
+        rows = self.spark.read.schema(self._schema(schema)).option("recursiveFileLookup", "true").parquet(*paths)
         return rows.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+/.*)$", 1))
 
-    def rows(self, schema) -> DataFrame:
-        """The current version: row, place, arrival, and its shard's file, bytes, rows and tier."""
-        return self._read(schema).join(self.manifest().select("file", "bytes", "rows", "tier"), "file")
+    def rows(self, schema, version: int | None = None) -> DataFrame:
+        """A version, the last one unless told: row, place, arrival, and its shard's file, bytes, rows and tier."""
+        manifest = self.manifest(version)
+        return self._read(schema, manifest).join(manifest.select("file", "bytes", "rows", "tier"), "file")

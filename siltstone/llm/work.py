@@ -15,9 +15,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset in local mode (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = _own.setdefault("folder", tempfile.mkdtemp(prefix="siltstone-"))
     return folder.rstrip("/")
 

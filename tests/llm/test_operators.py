@@ -469,6 +469,20 @@ def test_sharding(spark, rows, docs, empty, tmp_path):
     with pytest.raises(RuntimeError, match="another writer"):
         store.commit(store.manifest(), 2)
     assert store.version() == 3 and store.manifest().count() == len(after)
+    # readers of older versions keep their files until those versions are vacuumed
+    assert store.rows(docs.schema, 2).count() == 2 * len(rows) and store.rows(docs.schema, 1).count() == len(rows)
+    (tmp_path / "store" / "data" / "half-done").mkdir()
+    (tmp_path / "store" / "data" / "half-done" / "part.parquet").write_bytes(b"of a lost driver")
+    assert store.rows(docs.schema).count() == 2 * len(rows)
+    store.vacuum(keep=1)
+    assert store.versions() == [3] and store.rows(docs.schema).count() == 2 * len(rows)
+    left = {str(f.relative_to(tmp_path / "store" / "data")) for f in (tmp_path / "store" / "data").rglob("*.parquet")}
+    assert left == {r["file"] for r in after} | {"half-done/part.parquet"}
+    store.vacuum(keep=1)
+    assert store.append(docs, 1) == 4
+    few = sharding.Store(spark, str(tmp_path / "few"))
+    small = docs.limit(9).coalesce(1)
+    assert few.append(small, 4) == 1 and few.manifest().count() == 4 and few.compact(docs.schema) == 2 and few.manifest().count() == 1
     none = sharding.Store(spark, str(tmp_path / "none"))
     assert none.append(empty) == 1 and none.compact(empty.schema) == 1 and none.rows(empty.schema).count() == 0
 
