@@ -36,11 +36,19 @@ def circuit(tx: DataFrame, by: str, order: list[str], limit: int = 3) -> DataFra
     return rows.withColumn("suppressed", F.coalesce(F.max("opens").over(before), F.lit(False))).drop("transient", "island")
 
 
-def leases(requests: DataFrame, key: str, requested: str, budget: int) -> DataFrame:
-    """Greedy leases in order of key: what is requested, as far as the budget goes. One row a key; the running sum is over keys only."""
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum(requested).over(before), F.lit(0))
-    return requests.withColumn("lease", F.greatest(F.lit(0), F.least(F.col(requested), F.lit(budget) - taken)))
+def leases(requests: DataFrame, key: str, requested: str, budget: int, per_range: int = 100_000) -> DataFrame:
+    """Greedy leases in order of key: what is requested, as far as the budget goes. One row a key.
+
+    Keys are cut into ranges of some `per_range` at hashed keys; a running sum is over a range, beside the sum of the ranges before.
+    """
+    step = F.lit(per_range).cast("long")
+    bounds = requests.filter(F.pmod(F.xxhash64(key), step) == 0).agg(F.array_sort(F.collect_set(key)).alias("bounds"))
+    ranged = requests.withColumn("_bounds", bounds.scalar()).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(key)))).drop("_bounds")
+    sums = ranged.groupBy("_range").agg(F.sum(requested).alias("_sum"))
+    offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    before = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.col("_offset") + F.coalesce(F.sum(requested).over(before), F.lit(0))
+    return ranged.join(offsets, "_range").withColumn("lease", F.greatest(F.lit(0), F.least(F.col(requested), F.lit(budget) - taken))).select(*requests.columns, "lease")
 
 
 def merged_candidates(rows: DataFrame, url: str, canonical: str, order: str, lineage: list[str]) -> DataFrame:

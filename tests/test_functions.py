@@ -70,6 +70,10 @@ def test_leases_never_exceed(spark):
     rows = spark.createDataFrame([(f"o{k}", k % 5 + 1) for k in range(40)], "origin string, requested long")
     got = acquisition.leases(rows, "origin", "requested", 37).collect()
     assert sum(r["lease"] for r in got) == 37 and all(0 <= r["lease"] <= r["requested"] for r in got)
+    rows = rows.union(spark.createDataFrame([(None, 4)], rows.schema))
+    one, many = (acquisition.leases(rows, "origin", "requested", 37, n).collect() for n in (1 << 40, 3))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == 41 and sum(r["lease"] for r in one) == 37
+    assert acquisition.leases(rows.limit(0), "origin", "requested", 37).count() == 0
 
 
 def test_merge_keeps_lineage_whatever_the_order(spark):
