@@ -1,17 +1,18 @@
 """Scores of texts under a causal self-attention model of subword ids, trained in numpy.
 
-A text is its words (A-Z lower-cased) and one end. Each word is its ids under a given byte-level vocabulary. The first id
-of each word, and the end, come from the attention model: windows of the sequence of first ids overlap, each position is
-scored once, in the window where it has most context; masked attention over the window gives a context vector, this gates
-EXPERTS distributions over ids, and their mixture is the probability. The further ids of a word, and that it ends, come
-from all training words with the same first id: a word's count among theirs, backed off to its spelling by single ids
-(Witten-Bell). All probabilities of a step add up to 1 at most.
-
-Training: word counts of all training texts are summed by word; the words' counts give those of first and further ids.
-The mixture starts from random shares of each id, is sharpened in ROUNDS rounds over all windows of all training texts,
-and refined with the attention in one more: tasks send sums of the experts' part in each id, and their gate weights,
-which are added up by id. The table that every task needs is bounded: it keeps the words that make up at least one part in
-TABLE of all counts; rarer words' counts, which are exact too, meet their documents by hash ranges.
+A text is its words (A-Z lower-cased) and one end. Each word is its ids under a given byte-level vocabulary. All ids of a
+text and its end go through the attention model: windows of the sequence of ids overlap, each position is scored once, in
+the window where it has most context; masked attention over the window gives a context vector, this gates EXPERTS
+distributions over ids, and their mixture is the probability. How a word goes on after its first id has a second source,
+the exact count of the word among all training words with the same first id; the two are mixed (Witten-Bell), so words that
+training doesn't have are scored by attention alone. All probabilities of a step add up to 1 at most.
+
+Training: word counts of all training texts are summed by word; the words' counts give those of ids. All but one of the
+EXPERTS start from random shares of each id and part in ROUNDS rounds over all windows of all training texts, one starts
+from the ids that stand later in words; all are refined with the attention in one more round: tasks send sums of the experts'
+part in each id, and their gate weights, which are added up by id. The table of words that every task needs is bounded: it
+keeps the words that make up at least one part in TABLE of all counts; rarer words' counts, which are exact too, meet their
+documents by hash ranges.
 
 Defined results: null and empty texts are the end alone; without training texts the counts are 0 and all ids are equally
 likely; repeated rows are scored alike, and each counts in training; rows with a null key are scored like others; further
@@ -39,7 +40,7 @@ EXPERTS = 12
 WINDOW = 32
 STRIDE = 24
 #: Rounds over all training windows in which the experts part.
-ROUNDS = 6
+ROUNDS = 4
 #: A table keeps entries of at least a TABLE-th of all counts, so it has TABLE entries at most.
 TABLE = 1 << 19
 #: A fixed value: how the vocabulary parts text before it merges bytes.
@@ -122,12 +123,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def piece_counts(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """id, first and kinds (tokens and distinct words that begin with it), further (how often it stands later in a word; the vocabulary's size: the word's end)."""
+    """id, first and kinds (tokens and distinct words that begin with it), further (how often it stands later in a word)."""
     sent = counts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def cut(batches):
         v = sent.value
-        sums = np.zeros((3, v.size + 1), np.int64)
+        sums = np.zeros((3, v.size), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -138,7 +139,6 @@ def piece_counts(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             times[begin] = 0
             for row, at, weights in ((0, ids[begin], c), (1, ids[begin], np.ones(len(c))), (2, ids, times)):
                 sums[row] += np.bincount(at, weights, sums.shape[1]).astype(np.int64)
-            sums[2, v.size] += c.sum()
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_pydict({"id": at, "first": sums[0, at], "kinds": sums[1, at], "further": sums[2, at]})
 
@@ -147,19 +147,13 @@ def piece_counts(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 @dataclass
 class Spelling:
-    """How words go on after their first ids. total, kinds: by first id; further: log10 shares of single ids and the word's end."""
+    """How words go on after their first ids. total, kinds: training words and distinct ones, by first id."""
 
     total: np.ndarray
     kinds: np.ndarray
-    further: np.ndarray
-
-    def spelled(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 share of words' ids after the first, and ends. n: how many ids each word has."""
-        begin = np.cumsum(n) - n
-        return np.add.reduceat(self.further[ids], begin) - self.further[ids[begin]] + self.further[-1]
 
     def log10(self, first: np.ndarray, spelled: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Of words with these first ids, spellings and training counts."""
+        """Of words with these first ids and training counts; spelled: log10 share of their further ids by attention."""
         total, kinds = self.total[first], self.kinds[first]
         known = np.log10(np.maximum(count + kinds * 10.0 ** np.maximum(spelled, -300), 1e-300) / np.maximum(total + kinds, 1))
         rare = spelled + np.log10(np.where(kinds > 0, kinds / np.maximum(total + kinds, 1), 1.0))
@@ -167,34 +161,45 @@ class Spelling:
 
 
 class Forms:
-    """First ids and spellings of word forms; remembered within a task up to a bound."""
+    """Ids of word forms; remembered within a task up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, spelling: Spelling | None = None, most: int = 1_000_000):
-        self.vocabulary, self.spelling, self.most = vocabulary, spelling, most
-        self.hash, self.first, self.spelled = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0)
+    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000):
+        self.vocabulary, self.most = vocabulary, most
+        self.forget()
+
+    def forget(self) -> None:
+        # by hash: where a word's ids begin, and how many there are
+        self.hash, self.begin, self.n, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def of(self, w: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
-        """For each word of a slice: first id, log10 share of its spelling (0 without a `spelling`)."""
+        """Ids of all words of a slice, one after the other, and how many each word has."""
         if not len(w.hash):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         order = np.argsort(w.hash)
         new = np.r_[True, w.hash[order[1:]] != w.hash[order[:-1]]]
         one, own = order[new], w.hash[order[new]]
         if len(self.hash) > self.most:
-            self.hash, self.first, self.spelled = self.hash[:0], self.first[:0], self.spelled[:0]
+            self.forget()
         at = np.searchsorted(self.hash, own)
         fresh = np.flatnonzero(self.hash[np.minimum(at, len(self.hash) - 1)] != own) if len(self.hash) else np.arange(len(own))
         if len(fresh):
             raw = w.data.tobytes()
             ids, n = self.vocabulary.words([raw[a:b].lower() for a, b in zip(w.start[one[fresh]].tolist(), w.end[one[fresh]].tolist())])
             self.hash = np.insert(self.hash, at[fresh], own[fresh])
-            self.first = np.insert(self.first, at[fresh], ids[np.cumsum(n) - n])
-            self.spelled = np.insert(self.spelled, at[fresh], self.spelling.spelled(ids, n) if self.spelling else 0.0)
+            self.begin = np.insert(self.begin, at[fresh], len(self.ids) + np.cumsum(n) - n)
+            self.n = np.insert(self.n, at[fresh], n)
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
             at = np.searchsorted(self.hash, own)
-        first, spelled = np.empty(len(order), np.int64), np.empty(len(order))
+        begin, n = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         of = np.cumsum(new) - 1
-        first[order], spelled[order] = self.first[at][of], self.spelled[at][of]
-        return first, spelled
+        begin[order], n[order] = self.begin[at][of], self.n[at][of]
+        place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.ids[place].astype(np.int64), n
+
+
+def by_text(w: tokens.Words, n: np.ndarray) -> np.ndarray:
+    """How many ids each text has whose words have n."""
+    return np.bincount(w.row, n, len(w.counts)).astype(np.int64)
 
 
 @dataclass
@@ -271,29 +276,37 @@ class Attention:
         return np.concatenate([np.asarray(x).ravel() for x in out]) / max(counts.sum(), 1), parts
 
 
-def windows(first: np.ndarray, counts: np.ndarray, size: int):
-    """Inputs, live, targets, counting positions and row of the windows of rows with `counts` words each; `size`: the end's id."""
+def blocks(ids: np.ndarray, counts: np.ndarray, size: int, most: int):
+    """Inputs, live, targets, counting positions and row of the windows of rows with `counts` ids each, `most` at a time; `size`: the end's id."""
     n = len(counts)
     length = counts + 1
     begin = np.cumsum(length) - length
     x, y = np.full(int(length.sum()), size + 1), np.full(int(length.sum()), size)
-    word = np.arange(len(first)) + np.repeat(np.arange(n), counts)
-    x[word + 1] = first
-    y[word] = first
+    at = np.arange(len(ids)) + np.repeat(np.arange(n), counts)
+    x[at + 1] = ids
+    x[begin] = size + 1
+    y[at] = ids
     per = -(-length // STRIDE)
     row = np.repeat(np.arange(n), per)
     m = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-    at = m[:, None] * STRIDE + np.arange(STRIDE - WINDOW, STRIDE)[None, :]
-    live = (at >= 0) & (at < length[row][:, None])
-    place = np.where(live, begin[row][:, None] + at, 0)
-    return x[place], live, y[place[:, -STRIDE:]], live[:, -STRIDE:], row
+    for a in range(0, len(row), most):
+        r = row[a : a + most]
+        at = m[a : a + most, None] * STRIDE + np.arange(STRIDE - WINDOW, STRIDE)[None, :]
+        live = (at >= 0) & (at < length[r][:, None])
+        place = np.where(live, begin[r][:, None] + at, 0)
+        yield x[place], live, y[place[:, -STRIDE:]], live[:, -STRIDE:], r
+
+
+def windows(ids: np.ndarray, counts: np.ndarray, size: int):
+    """All `blocks` as one."""
+    return next(blocks(ids, counts, size, 1 << 62))
 
 
-def scored(first: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def scored(ids: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """What the windows of these rows score, in order, and where the part of each window begins in it (with an end)."""
     length = counts + 1
     y = np.full(int(length.sum()), size)
-    y[np.arange(len(first)) + np.repeat(np.arange(len(counts)), counts)] = first
+    y[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
     per = -(-length // STRIDE)
     row = np.repeat(np.arange(len(counts)), per)
     m = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
@@ -301,50 +314,51 @@ def scored(first: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """first (ids of the words of a slice of texts, packed), counts (words of each text, packed)."""
+    """ids (of the words of a slice of texts, packed), counts (ids of each text, packed)."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def cut(batches):
         forms = Forms(sent.value)
         for batch in batches:
             for _, _, w in _words(batch):
-                first, _ = forms.of(w)
-                yield pa.RecordBatch.from_pydict({"first": pa.array([first.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([w.counts.astype(np.int32).tobytes()], pa.binary())})
+                ids, n = forms.of(w)
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([pack_keys(ids)], pa.binary()), "counts": pa.array([pack_keys(by_text(w, n))], pa.binary())})
 
-    return docs.select("text").mapInArrow(cut, "first binary, counts binary")
+    return docs.select("text").mapInArrow(cut, "ids binary, counts binary")
 
 
 def _slices(batches):
-    """First ids and words of each text, of the slices that `encoded` gave."""
+    """Ids of all texts, and how many each has, of the slices that `encoded` gave."""
     for batch in batches:
-        for first, counts in zip(batch.column("first").to_pylist(), batch.column("counts").to_pylist()):
-            yield np.frombuffer(first, np.int32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64)
+        for ids, counts in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist()):
+            yield unpack_keys(ids), unpack_keys(counts)
 
 
-def start(slices: DataFrame, size: int, unigram: np.ndarray) -> Attention:
-    """Experts from sums over all windows of all training texts; they begin with random shares of each id, so they differ at any size."""
-    names = [f"e{k}" for k in range(EXPERTS)]
-    experts = unigram * np.random.default_rng(7).gamma(1.0, size=(EXPERTS, len(unigram)))
+def start(slices: DataFrame, size: int, unigram: np.ndarray, further: np.ndarray) -> Attention:
+    """Experts from sums over all windows of all training texts, beside `further`; they begin with random shares of each id, so they differ at any size."""
+    topics = EXPERTS - 1
+    names = [f"e{k}" for k in range(topics)]
+    experts = unigram * np.random.default_rng(7).gamma(1.0, size=(topics, len(unigram)))
     experts /= experts.sum(1, keepdims=True)
-    weight = np.full(EXPERTS, 1 / EXPERTS)
+    weight = np.full(topics, 1 / topics)
     for _ in range(ROUNDS):
         sent = slices.sparkSession.sparkContext.broadcast((np.log(experts.T).astype(np.float32), np.log(weight + 1e-6).astype(np.float32)))
 
         def run(batches, sent=sent):
             by_id, prior = sent.value
-            sums = np.zeros((EXPERTS, len(by_id)))
-            for first, counts in _slices(batches):
-                y, begin = scored(first, counts, size)
-                for a in range(0, len(begin) - 1, 4096):
-                    own = begin[a : a + 4097]
+            sums = np.zeros((topics, len(by_id)))
+            for ids, counts in _slices(batches):
+                y, begin = scored(ids, counts, size)
+                for a in range(0, len(begin) - 1, 8192):
+                    own = begin[a : a + 8193]
                     ids, n = y[own[0] : own[-1]], np.diff(own)
                     score = np.add.reduceat(by_id[ids], own[:-1] - own[0]) + prior
                     parts = np.exp(0.5 * (score - score.max(1, keepdims=True)))
                     parts = (parts / parts.sum(1, keepdims=True)).astype(float)
-                    for k in range(EXPERTS):
+                    for k in range(topics):
                         sums[k] += np.bincount(ids, np.repeat(parts[:, k], n), sums.shape[1])
             at = np.flatnonzero(sums.any(0))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(sums[k, at]) for k in range(EXPERTS))], ["id", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(sums[k, at]) for k in range(topics))], ["id", *names])
 
         got = slices.mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # one of each id
         if not len(got):
@@ -354,7 +368,7 @@ def start(slices: DataFrame, size: int, unigram: np.ndarray) -> Attention:
         experts = sums + 20 * unigram
         experts /= experts.sum(1, keepdims=True)
         weight = sums.sum(1) / sums.sum()
-    return Attention.start(experts)
+    return Attention.start(np.concatenate([experts, further[None]]))
 
 
 def refined(model: Attention, sums: np.ndarray, unigram: np.ndarray) -> Attention:
@@ -372,18 +386,26 @@ def refine(slices: DataFrame, model: Attention, size: int, unigram: np.ndarray)
     def run(batches):
         model = sent.value
         sums, own, seen, m, v, t = np.zeros((EXPERTS, len(model.experts[0]))), model, 0, 0.0, 0.0, 0
-        for first, words in _slices(batches):
-            x, live, y, counts, _ = windows(first, words, size)
-            for a in range(0, len(x), 512):
-                p = slice(a, a + 512)
-                g, parts = own.gradient(x[p], live[p], y[p], counts[p])
+        met = []
+
+        def add():
+            if met:
+                at, parts = (np.concatenate(x) for x in zip(*met))
+                for k in range(EXPERTS):
+                    sums[k] += np.bincount(at, parts[:, k], sums.shape[1])
+                met.clear()
+
+        for ids, per in _slices(batches):
+            for x, live, y, counts, _ in blocks(ids, per, size, 512):
+                g, parts = own.gradient(x, live, y, counts)
                 t += 1
                 m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
                 own = own.with_weights(own.weights() + 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
-                ids, each = y[p][counts[p]], parts[counts[p]]
-                for k in range(EXPERTS):
-                    sums[k] += np.bincount(ids, each[:, k], sums.shape[1])
-            seen += len(x)
+                seen += len(x)
+                met.append((y[counts], parts[counts]))
+                if len(met) == 16:
+                    add()
+        add()
         at = np.flatnonzero(sums.any(0))
         flat = own.weights()
         # weights come as ids below 0: value times windows, and the windows
@@ -415,17 +437,21 @@ class Model:
     #: Counts below this are not in the table.
     least: float
 
-    def score(self, w: tokens.Words, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a slice, of its words' first ids and its end."""
-        n = len(w.counts)
-        out = np.zeros(n)
-        x, live, y, counts, row = windows(first, w.counts, self.vocabulary.size)
-        for a in range(0, len(row), 256):
-            part = slice(a, a + 256)
-            p = self.attention.forward(x[part], live[part], y[part])[0]
-            logs = np.where(counts[part], np.log10(np.maximum(p, 1e-300)), 0.0).sum(1)
-            out += np.bincount(row[part], logs, n)
-        return out
+    def logs(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of each id of each text, and of the text's end after them. counts: ids of each text."""
+        got = [np.zeros(0)]
+        for x, live, y, scores, _ in blocks(ids, counts, self.vocabulary.size, 256):
+            got.append(np.log10(np.maximum(self.attention.forward(x, live, y)[0][scores], 1e-37)).astype(float))
+        return np.concatenate(got)
+
+    def score(self, w: tokens.Words, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text of a slice, of its words' first ids and its end; first id of each word; log10 share of its further ids."""
+        counts = by_text(w, n)
+        logs = self.logs(ids, counts)
+        own = logs[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)]
+        begin = np.cumsum(n) - n
+        spelled = np.minimum(np.add.reduceat(own, begin) - own[begin], 0) if len(n) else np.zeros(0)
+        return np.bincount(w.row, own[begin], len(counts)) + logs[np.cumsum(counts + 1) - 1], ids[begin], spelled
 
 
 def train(docs: DataFrame, work: Work, vocabulary: Vocabulary | None = None) -> tuple[Model, int, int]:
@@ -438,25 +464,25 @@ def train(docs: DataFrame, work: Work, vocabulary: Vocabulary | None = None) ->
     by, size = piece_counts(counts, vocabulary).toArrow(), vocabulary.size + 1  # one of each id
     sums = np.zeros((3, size))
     sums[:, by.column("id").to_numpy()] = np.stack([by.column(c).to_numpy() for c in ("first", "kinds", "further")])
-    unigram, further = sums[0] + 0.5, sums[2] + 0.5
+    unigram = sums[0] + sums[2] + 0.5
     unigram[-1] += texts
     unigram /= unigram.sum()
+    further = sums[2] + 20 * unigram
     frequent = counts.filter(F.col("c") >= least).select("word", "c").toArrow()
     work.drop("words")
     slices = work.save(encoded(docs, vocabulary), "slices")
-    attention = refine(slices, start(slices, vocabulary.size, unigram), vocabulary.size, unigram)
+    attention = refine(slices, start(slices, vocabulary.size, unigram, further / further.sum()), vocabulary.size, unigram)
     work.drop("slices")
     hashes = frequent.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    spelling = Spelling(sums[0], sums[1], np.log10(further / further.sum()))
-    return Model(vocabulary, attention, spelling, hashes[order], frequent.column("c").to_numpy()[order], int(words), float(least)), int(words) + texts, int(kinds) + (texts > 0)
+    return Model(vocabulary, attention, Spelling(sums[0], sums[1]), hashes[order], frequent.column("c").to_numpy()[order], int(words), float(least)), int(words) + texts, int(kinds) + (texts > 0)
 
 
 _SENT = "fragment int, at long, {key} {kind}, n_words long, n_known long, logs double, score double, rests double, docs binary, times binary, words binary, rows binary, firsts binary, spelled binary"
 
 
 def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Trains on the rows that `training` selects and scores all: key, n_tokens, n_known, train_tokens, base_score, score, rest_score (the part of `score` that further ids and words' ends have)."""
+    """Trains on the rows that `training` selects and scores all: key, n_tokens, n_known, train_tokens, base_score, score, rest_score (the part of `score` that words' further ids and ends have)."""
     model, total, kinds = train(docs.filter(training), work, vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # TABLE entries, and EXPERTS * vocabulary
     ends = docs.filter(training).count()
@@ -466,7 +492,7 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
 
     def run(batches):
         model = sent.value
-        forms = Forms(model.vocabulary, model.spelling)
+        forms = Forms(model.vocabulary)
         # each row has a number of its own
         upto = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -477,13 +503,13 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
             parts, rare = [np.zeros((5, 0))], []
             for i, j, w in _words(batch):
                 row = w.row
-                first, spelled = forms.of(w)
+                texts, first, spelled = model.score(w, *forms.of(w))
                 at = np.minimum(np.searchsorted(model.frequent, w.hash), max(len(model.frequent) - 1, 0))
                 known = model.frequent[at] == w.hash if len(model.frequent) else np.zeros(len(w.hash), bool)
                 c = model.counts[at[known]] if len(model.counts) else np.zeros(0, np.int64)
                 logs = np.bincount(row[known], np.log10(c + 0.5), j - i)
                 goes_on = np.bincount(row[known], model.spelling.log10(first[known], spelled[known], c), j - i)
-                parts.append(np.stack([w.counts, np.bincount(row[known], minlength=j - i), logs, model.score(w, first), goes_on]))
+                parts.append(np.stack([w.counts, np.bincount(row[known], minlength=j - i), logs, texts, goes_on]))
                 rest = ~known
                 rare.append((w.hash[rest], row[rest] + i, first[rest], spelled[rest]))
             n_words, n_known, logs, scores, rests = np.concatenate(parts, 1)
@@ -496,7 +522,8 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
             word, row, first, spelled = word[order], row[order], first[order], spelled[order]
             new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])][: len(word)])
             times = np.diff(np.r_[new, len(word)])
-            word, row, first, spelled = word[new], row[new], first[new], spelled[new]
+            upon = np.r_[new, len(word)]
+            word, row, first = word[new], row[new], first[new]
             times = np.where(teaches[row], times, -times)
             cuts = np.searchsorted((word // U(width)).astype(np.int64), np.arange(fragments + 1))
             out = []
@@ -504,7 +531,7 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
                 if a < b:
                     # each word of the batch once, with the number of its rows
                     head = a + np.flatnonzero(np.r_[True, word[a + 1 : b] != word[a : b - 1]])
-                    out.append((f, pack_keys(keys[row[a:b]]), pack_keys(times[a:b]), word[head].tobytes(), pack_keys(np.diff(np.r_[head, b])), pack_keys(first[head]), spelled[head].astype(np.float32).tobytes()))
+                    out.append((f, pack_keys(keys[row[a:b]]), pack_keys(times[a:b]), word[head].tobytes(), pack_keys(np.diff(np.r_[head, b])), pack_keys(first[head]), spelled[upon[a] : upon[b]].astype(np.float32).tobytes()))
             if out:
                 f, *packed = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), *(pa.nulls(len(f), x.type) for x in list(schema)[1:8]), *(pa.array(c, pa.binary()) for c in packed)], schema=schema)
@@ -515,12 +542,14 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
         own, one, at = np.unique(word, return_index=True, return_inverse=True)
         at = np.repeat(at, rows)
         count = np.bincount(at, np.maximum(times, 0))
-        goes_on = sent.value.spelling.log10(first[one], spelled[one].astype(float), count)[at]
+        # each time that a word stands in a document it goes on by itself
+        each = np.repeat(np.arange(len(times)), np.abs(times))
+        goes_on = np.bincount(each, sent.value.spelling.log10(first[one][at[each]], spelled.astype(float), count[at[each]]), len(times))
         c, word = count[at], own[at]
         order = np.lexsort((word, doc))  # sums in one order, however the parts arrive
         doc, times, c, goes_on = doc[order], np.abs(times[order]), c[order], goes_on[order]
         who, row = np.unique(doc, return_inverse=True)
-        known, logs, rest = np.bincount(row, times * (c > 0)).astype(np.int64), np.bincount(row, times * np.log10(c + 0.5)), np.bincount(row, times * goes_on)
+        known, logs, rest = np.bincount(row, times * (c > 0)).astype(np.int64), np.bincount(row, times * np.log10(c + 0.5)), np.bincount(row, goes_on)
         bucket, docs_, known = by_bucket(who, known, fragments)
         parts = {"bucket": bucket, "docs": docs_, "known": known, "logs": by_bucket(who, logs.view(np.int64), fragments)[2], "rests": by_bucket(who, rest.view(np.int64), fragments)[2]}
         return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in parts.items()})

@@ -307,24 +307,56 @@ def test_scored_are_the_windows_targets():
     assert [x.tolist() for x in np.split(flat, begin[1:-1])] == [a[b].tolist() for a, b in zip(y, live)]
 
 
-def test_goings_on_add_up():
-    """Shares of the training words of a first id and of all spellings that follow it."""
+def test_words_ids():
     vocabulary = lm.read_vocabulary()
     assert vocabulary.encode(" hello") == vocabulary.word(b"hello")
     for forms in (["hello", "größe", "don't", "x" * 300, "a.b,c", "日本語", "'s", "12ab"], ["a\u00a0", "\u00a0b", "hello\u3000"], [chr(k) for k in range(33, 600) if not chr(k).isspace()]):
         ids, n = vocabulary.words([f.encode() for f in forms])
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [vocabulary.word(f.encode()) for f in forms]
-    further = np.array([0.2, 0.3, 0.5])  # two ids and the word's end
-    s = lm.Spelling(np.array([9.0, 0.0]), np.array([2.0, 0.0]), np.log10(further))
-    words = [[0], [0, 0], [0, 1]]
-    spelled = s.spelled(np.concatenate(words), np.array([len(w) for w in words]))
+    own = lm.Forms(vocabulary)
+    for texts in (["hello größe hello", "", "x" * 300 + " don't"], ["größe 12ab hello"]):
+        data, offsets = tokens.buffers(pa.array(texts))
+        w = tokens.words(data, offsets, 0, len(texts), tokens.BLANK_SPLIT, fold=True)
+        ids, n = own.of(w)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [vocabulary.word(f.encode()) for t in texts for f in t.split()]
+        assert lm.by_text(w, n).tolist() == [sum(len(vocabulary.word(f.encode())) for f in t.split()) for t in texts]
+
+
+def test_goings_on_add_up():
+    """Shares of the training words of a first id and of all that attention gives to what follows it."""
+    s = lm.Spelling(np.array([9.0, 0.0]), np.array([2.0, 0.0]))
+    spelled = np.log10([0.5, 0.1, 0.15])  # the word ends, or two others go on
     p = 10 ** s.log10(np.zeros(3, np.int64), spelled, np.array([5, 4, 0]))
-    # what is left is that of longer words, which training has not
-    left = 2 / 11 * (1 - (10**spelled).sum())
+    left = 2 / 11 * (1 - (10**spelled).sum())  # of words that training doesn't have
     assert p.sum() + left == pytest.approx(1)
     assert s.log10(np.ones(1, np.int64), np.array([-400.0]), np.zeros(1))[0] == -400.0
 
 
+def test_lm_scores_all_ids(spark, rows, docs):
+    """Against the model's own steps, text by text: each id once by attention, and each word's count."""
+    teaches = queries.fold("doc_id", 5) != 1
+    got = by_id(lm.score(docs, teaches, Work(spark, "t8s")))
+    model, total, _ = lm.train(docs.filter(teaches), Work(spark, "t8t"))
+    counts = Counter(x for d, t, *_ in rows if zlib.crc32(str(d).encode()) % 5 != 1 for x in words(t, True))
+    beside, ours = 0.0, 0.0
+    shares = Counter(x for w, c in counts.items() for x in model.vocabulary.word(w.encode()) * c)
+    for d, t, *_ in rows:
+        own = [model.vocabulary.word(w.encode()) for w in words(t, True)]
+        ids = np.array([x for w in own for x in w], np.int64)
+        logs = model.logs(ids, np.array([len(ids)])).tolist()
+        assert len(logs) == len(ids) + 1
+        want = logs.pop()
+        at = 0
+        for w, n in zip(words(t, True), map(len, own)):
+            want += logs[at] + model.spelling.log10(ids[at : at + 1], np.array([sum(logs[at + 1 : at + n])]), np.array([counts[w]]))[0]
+            at += n
+        assert got[d]["score"] == pytest.approx(want, rel=1e-3, abs=1e-2)
+        if zlib.crc32(str(d).encode()) % 5 == 1:
+            beside += sum(math.log10((shares[x] + 0.5) / (sum(shares.values()) + 0.5 * model.vocabulary.size)) for x in ids.tolist())
+            ours += got[d]["score"]
+    assert ours > beside or not beside
+
+
 # 9
 
 
