@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -232,11 +233,12 @@ class Attention:
         return np.concatenate([x.ravel() for x in (self.pairs, self.far, self.own, self.context, self.bias)])
 
     def with_weights(self, flat: np.ndarray) -> Attention:
-        parts, at = [], 0
-        for x in (self.pairs, self.far, self.own, self.context, self.bias):
-            parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+        out, at = copy(self), 0  # the experts' tables are shared
+        for name in ("pairs", "far", "own", "context", "bias"):
+            x = getattr(self, name)
+            setattr(out, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return Attention(self.experts, self.profile, *parts)
+        return out
 
     def forward(self, inputs: np.ndarray, live: np.ndarray, targets: np.ndarray):
         """Probabilities of targets (windows * STRIDE) and what the gradient needs. inputs, live: windows * WINDOW."""
@@ -268,7 +270,8 @@ class Attention:
         k = e.shape[2]
         d_context = d @ self.context.T
         d_attention = np.matmul(d_context, e.transpose(0, 2, 1))
-        d_logits = attention * (d_attention - (attention * d_attention).sum(2, keepdims=True))
+        # the mean of d_attention under the attention is d_context by the context
+        d_logits = attention * (d_attention - (d_context * context).sum(2, keepdims=True))
         d_pairs = np.einsum("bsk,bsl->kl", q, np.matmul(d_logits, e), optimize=True)
         d_far = np.bincount(np.maximum(gap, 0).ravel(), d_logits.sum(0).ravel(), WINDOW)
         flat = lambda x: x.reshape(-1, k)
