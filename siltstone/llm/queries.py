@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siltstone.llm import decontaminate, imatch, langid, lm, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup
+from siltstone.llm import decontaminate, imatch, langid, lm, merkle, merkle_sql, mixing, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, whitening
 from siltstone.llm.work import Work
 
 
@@ -76,9 +76,26 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf([lowered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    got = merkle.manifest(docs, Work(spark, "op11"), F.when(fold("doc_id", 3) == 0, tampered))
+    return got.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = packing.pack(table(spark, sf_dir, "documents"), Work(spark, "op13"))
+    return got.select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op6_imatch": op6_imatch, "op7_quality": op7_quality, "op8_lm": op8_lm, "op9_suffix_dedup": op9_suffix_dedup, "op10_langid": op10_langid}
+    return {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_decontaminate": op3_decontaminate, "op4_ngram_join": op4_ngram_join, "op5_substring_dedup": op5_substring_dedup, "op6_imatch": op6_imatch, "op7_quality": op7_quality, "op8_lm": op8_lm, "op9_suffix_dedup": op9_suffix_dedup, "op10_langid": op10_langid, "op11_merkle_manifest": op11_merkle_manifest, "op12_whitening": op12_whitening, "op13_packing": op13_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_manifest": merkle_sql.manifest()}
