@@ -57,22 +57,26 @@ class Words:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids, self.ends = [], [0]
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All kept ids, and where each word's begin and end."""
         if self.ends[-1] > KEPT:
             self.forget()
         new = [w for w in words if w not in self.at]
-        for k in range(0, len(new), 10_000):
-            for word, got in zip(new[k : k + 10_000], self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)):
-                self.at[word] = len(self.ends) - 1
-                self.ids.append(np.array(got.ids, np.uint32))
-                self.ends.append(self.ends[-1] + len(got.ids))
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        at, ends = np.fromiter((self.at[w] for w in words), np.int64, len(words)), np.array(self.ends)
-        return self.ids[0] if self.ids else np.zeros(0, np.uint32), ends[at], ends[at + 1]
+        if new:
+            flat: list[int] = []
+            sizes: list[int] = []
+            for k in range(0, len(new), 10_000):
+                for got in self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False):
+                    own = got.ids
+                    flat += own
+                    sizes.append(len(own))
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+            self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        return self.ids, self.ends[at], self.ends[at + 1]
 
 
 @lru_cache(2)
