@@ -6,18 +6,20 @@ import numpy as np
 def test_every_window_teaches(spark):
     """No text is passed over, whatever its key, length or row, and the experts differ from the start."""
     from siltstone.llm import lm
+    from siltstone.llm.packed import pack_keys
 
     size, v = 40, 41
     unigram = np.full(v, 1 / v)
+    further = np.arange(1.0, v + 1) / np.arange(1.0, v + 1).sum()
 
     def table(texts):
-        rows = [(np.array(t, np.int32).tobytes(), np.array([len(t)], np.int32).tobytes()) for t in texts]
-        return spark.createDataFrame(rows, "first binary, counts binary").coalesce(1)
+        rows = [(pack_keys(np.array(t, np.int64)), pack_keys(np.array([len(t)], np.int64))) for t in texts]
+        return spark.createDataFrame(rows, "ids binary, counts binary").coalesce(1)
 
     texts = [[k] * 5 + [k + 20] * 5 for k in range(20)]
     slices = table(texts)
-    began = lm.start(slices, size, unigram)
-    assert np.abs(began.experts[0] - began.experts[1]).max() > 0.01
+    began = lm.start(slices, size, unigram, further)
+    assert np.abs(began.experts[0] - began.experts[1]).max() > 0.01 and (began.experts[-1] == further).all()
     model = lm.refine(slices, began, size, unigram)
     # what the experts have of each id, in all, is how often it occurs: the sums miss no window
     more = lm.refine(table(texts + [[3] * 200]), began, size, unigram)
@@ -39,34 +41,40 @@ def test_goings_on_against_brute_force(spark, monkeypatch):
     from siltstone.llm import lm
     from siltstone.llm.work import Work
 
-    rows = [(k, " ".join(["believe", "Believers", f"rare{k % 17}", "zzyzx" * (k % 3), "x" * (k % 5 * 90)]), k % 4 > 0) for k in range(60)] + [(60, None, True), (61, "", False)]
+    rows = [(k, " ".join(["believe", "Believers", f"rare{k % 17}", "zzyzx" * (k % 3), "x" * (k % 5 * 90)]), k % 4 > 0) for k in range(60)] + [(60, None, True), (61, "", False), (62, "unseen believes rarest", False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean")
     got = []
     for table in (1 << 19, 4):
         monkeypatch.setattr(lm, "TABLE", table)
         out = lm.score(docs, docs["teaches"], Work(spark, "t"))
         got.append({r["doc_id"]: r for r in out.collect()})
-    v = lm.read_vocabulary()
     words = {k: (t or "").lower().split() for k, t, _ in rows}
+    model, _, _ = lm.train(docs.filter("teaches"), Work(spark, "tm"))
+    v = model.vocabulary
     counts = Counter(w for k, _, teaches in rows if teaches for w in words[k])
     ids = {w: v.word(w.encode()) for own in words.values() for w in own}
-    total, kinds, further = (np.zeros(v.size + 1) for _ in range(3))
+    total, kinds = Counter(), Counter()
     for w, c in counts.items():
         total[ids[w][0]] += c
         kinds[ids[w][0]] += 1
-        np.add.at(further, [*ids[w][1:], v.size], c)
-    share = np.log10((further + 0.5) / (further + 0.5).sum())
 
-    def goes_on(w):
-        first, spelled = ids[w][0], share[ids[w][1:]].sum() + share[-1]
-        t, k = total[first], kinds[first]
-        return np.log10((counts[w] + k * 10**spelled) / (t + k)) if counts[w] else spelled + (np.log10(k / (t + k)) if k else 0)
+    def goes_on(own):
+        """What the further ids of a text's words get: attention's shares of them, mixed with the words' counts."""
+        flat = np.array([x for w in own for x in ids[w]], np.int64)
+        logs, at, out = model.logs(flat, np.array([len(flat)])), 0, 0.0
+        for w in own:
+            spelled, first = logs[at + 1 : at + len(ids[w])].sum(), ids[w][0]
+            at += len(ids[w])
+            t, k = total[first], kinds[first]
+            out += np.log10((counts[w] + k * 10.0**spelled) / (t + k)) if counts[w] else spelled + (np.log10(k / (t + k)) if k else 0)
+        return out
 
     for own in got:
         assert len(own) == len(rows)
         for k, t in words.items():
-            assert abs(own[k]["rest_score"] - sum(map(goes_on, t))) < 1e-4 * (1 + len(t))
+            assert abs(own[k]["rest_score"] - goes_on(t)) < 1e-4 * (1 + len(t)) + 1e-5 * abs(own[k]["rest_score"])
     assert all(abs(got[0][k]["score"] - got[1][k]["score"]) < 1e-3 for k in words)
+    assert any(c > 1 for c in kinds.values()) and any(not counts[w] for own in words.values() for w in own)
 
 
 def test_mix_keeps_to_the_given_weights():
