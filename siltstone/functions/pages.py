@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import unicodedata
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -29,18 +30,24 @@ def after(text: Column, mark: str) -> Column:
     return F.get(F.split(text, mark, 2), F.lit(1))
 
 
+#: Stands after what ends at a mark, and between pieces; pages have neither.
+_ENDED, _CUT = "\x00", "\x01"
+
+
+def pieces(page: Column, mark: str, use: Callable[[Column], Column], between: str = "") -> Column:
+    """The page cut at each match of a pattern, use(piece) for each piece but the last, joined again. The page is named once, so that nested calls don't multiply."""
+    cut = F.split(F.regexp_replace(page, mark, _ENDED + _CUT), _CUT)
+    return F.array_join(F.transform(cut, lambda x: F.when(F.endswith(x, F.lit(_ENDED)), use(F.rtrim(x, F.lit(_ENDED)))).otherwise(x)), between)
+
+
 def without_elements(page: Column, tag: str) -> Column:
     """The page without elements of a tag and what is in them; one that is never closed stays."""
-    closed = F.split(page, rf"(?i)</{tag}\s*>")
-    kept = F.transform(F.slice(closed, F.lit(1), F.size(closed) - 1), lambda x: before(x, rf"(?i)<{tag}\b"))
-    return F.array_join(F.concat(kept, F.array(F.element_at(closed, -1))), " ")
+    return pieces(page, rf"(?i)</{tag}\s*>", lambda x: before(x, rf"(?i)<{tag}\b"), " ")
 
 
 def without_tags(page: Column, mark: str = " ") -> Column:
     """Each tag, from < to the next >, becomes a mark."""
-    ends = F.split(page, ">")
-    kept = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda x: F.when(F.contains(x, F.lit("<")), F.concat(F.substring_index(x, "<", 1), F.lit(mark))).otherwise(F.concat(x, F.lit(">"))))
-    return F.concat(F.array_join(kept, ""), F.element_at(ends, -1))
+    return pieces(page, ">", lambda x: F.when(F.contains(x, F.lit("<")), F.concat(F.substring_index(x, "<", 1), F.lit(mark))).otherwise(F.concat(x, F.lit(">"))))
 
 
 def plain(page: Column, mark: str = " ") -> Column:
@@ -75,7 +82,7 @@ def meta(page: Column, name: str) -> Column:
 def title(page: Column) -> Column:
     """Text of the first title element, 500 characters at most; without such an element og:title. Null if neither has any."""
     own = F.get(F.filter(elements(page, "title"), lambda x: x["closed"]), F.lit(0))["body"]
-    return F.when(own.isNull(), meta(page, "og:title")).otherwise(F.nullif(F.substring(plain(own), 1, 500), F.lit("")))
+    return F.when(own.isNull(), meta(F.when(own.isNull(), page), "og:title")).otherwise(F.nullif(F.substring(plain(own), 1, 500), F.lit("")))
 
 
 def visible_text(page: Column) -> Column:

@@ -75,6 +75,38 @@ def without_one(claims: DataFrame, by: str, weight: str) -> DataFrame:
     return claims.withColumn("total", total).withColumn("without", F.col("total") - F.col(weight)).withColumn("flips", F.signum("total") != F.signum("without"))
 
 
+def without_each(claims: DataFrame, by: str, distinct: dict[str, str], counts: dict[str, Column], tops: dict[str, str]) -> DataFrame:
+    """What a group's figures are, and what they would be without one of its claims, for all claims at once.
+
+    distinct: name and column of figures that count distinct values; counts: name and condition; tops: name and column of greatest
+    values. A row for each kind of claim of a group (`by`), as claims of one kind leave the same behind: copies (how many there are),
+    n and each name with the group's figures, and `without_` each. Distinct counts fall where a claim is the only one of its value, as a table of
+    multiplicities tells; the greatest falls to the next where only one claim has it. Null values aren't counted, as by SQL; a
+    null group is a group.
+    """
+    flags = {name: F.coalesce(c, F.lit(False)).alias(f"_{name}") for name, c in counts.items()}
+    rows = claims.select(F.col(by).alias("_by"), *[F.col(c).alias(f"_{n}") for n, c in {**distinct, **tops}.items()], *flags.values())
+    same = lambda other, *names: [F.col(n).eqNullSafe(F.col(f"{other}{n}")) for n in names]
+    all_ = rows.groupBy("_by").agg(F.count("*").alias("n"), *[F.count_if(f"_{c}").alias(c) for c in counts], *[F.max(f"_{t}").alias(t) for t in tops])
+    for d in distinct:
+        times = rows.filter(F.col(f"_{d}").isNotNull()).groupBy("_by", f"_{d}").agg(F.count("*").alias("_m"))
+        own = times.groupBy(F.col("_by").alias("x_by")).agg(F.count("*").alias(d))
+        all_ = all_.join(own, same("x", "_by")[0], "left").drop("x_by").withColumn(d, F.coalesce(d, F.lit(0)))
+        alone = times.filter("_m = 1").select(F.col("_by").alias("x_by"), F.col(f"_{d}").alias(f"x_{d}"), F.lit(True).alias(f"_alone_{d}"))
+        rows = rows.join(alone, (F.col("_by").eqNullSafe(F.col("x_by"))) & (F.col(f"_{d}") == F.col(f"x_{d}")), "left").drop("x_by", f"x_{d}")
+    rows = rows.join(all_.withColumnRenamed("_by", "x_by"), F.col("_by").eqNullSafe(F.col("x_by"))).drop("x_by")
+    kind = [*[F.coalesce(f"_alone_{d}", F.lit(False)).alias(f"_alone_{d}") for d in distinct], *[F.col(f"_{c}") for c in counts], *[F.coalesce(F.col(f"_{t}") == F.col(t), F.lit(False)).alias(f"_top_{t}") for t in tops]]
+    figures = ["n", *distinct, *counts, *tops]
+    kinds = rows.select("_by", *figures, *kind).groupBy("_by", *figures, *[f"_alone_{d}" for d in distinct], *[f"_{c}" for c in counts], *[f"_top_{t}" for t in tops]).agg(F.count("*").alias("copies"))
+    for t in tops:
+        under = rows.filter(F.col(f"_{t}") < F.col(t)).groupBy(F.col("_by").alias("x_by")).agg(F.max(f"_{t}").alias(f"_next_{t}"))
+        most = rows.filter(F.col(f"_{t}") == F.col(t)).groupBy(F.col("_by").alias("y_by")).agg(F.count("*").alias(f"_most_{t}"))
+        kinds = kinds.join(under, F.col("_by").eqNullSafe(F.col("x_by")), "left").join(most, F.col("_by").eqNullSafe(F.col("y_by")), "left").drop("x_by", "y_by")
+    out = {"n": F.col("n") - 1} | {d: F.col(d) - F.col(f"_alone_{d}").cast("int") for d in distinct} | {c: F.col(c) - F.col(f"_{c}").cast("int") for c in counts}
+    out |= {t: F.when(F.col(f"_top_{t}") & (F.col(f"_most_{t}") == 1), F.col(f"_next_{t}")).otherwise(F.col(t)) for t in tops}
+    return kinds.select(F.col("_by").alias(by), "copies", *figures, *[c.alias(f"without_{name}") for name, c in out.items()])
+
+
 def stability(flips: Column) -> Column:
     return F.when(flips == 0, "stable").when(flips <= 2, "sensitive").otherwise("fragile")
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siltstone.operators import acquisition, evidence
+from siltstone.operators import acquisition, evidence, rebinding
 from siltstone.plans.web import table
+from siltstone.sources.tables import Folder
+from siltstone.streaming import jobs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,6 +195,24 @@ def j16_j17_citation_binding(spark, sf_dir):
     return evidence.bound(c, s).select("segment_id", "binding")
 
 
+
+#: The next version cuts texts at full stops; some documents aren't in it.
+_NEXT = "string_split(replace(text, chr(10), ' '), '. ')"
+
+
+@query(rf"""WITH o AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 line, unnest(string_split(text, chr(10))) seg FROM documents), q AS (SELECT doc_id * 100000 + line citation_id, doc_id, substr(seg, 6, 40) quote FROM o WHERE length(seg) >= 12),
+n AS (SELECT doc_id, generate_subscripts({_NEXT}, 1) - 1 sq, unnest({_NEXT}) seg FROM documents WHERE doc_id % 20 <> 7), f AS (SELECT citation_id, min((sq, position(quote IN seg) - 1, sha256(seg))) p, count(*) places FROM q JOIN n USING (doc_id) WHERE contains(seg, quote) GROUP BY 1)
+SELECT q.citation_id, q.doc_id document_id, CASE WHEN q.doc_id % 20 = 7 THEN 'source_removed' WHEN p IS NULL THEN 'stale_binding' ELSE 'valid' END binding_status, p[1]::BIGINT AS sequence, p[2]::BIGINT quote_start, p[3] segment_hash, coalesce(places, 0)::BIGINT places FROM q LEFT JOIN f USING (citation_id)""")
+def j17_rebound_quotes(spark, sf_dir):
+    """Quotes from the lines of all documents, bound anew to the sentences of the next version."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "seg")).filter(F.length("seg") >= 12)
+    quotes = lines.select((F.col("doc_id") * 100000 + F.col("line")).alias("citation_id"), F.col("doc_id").alias("document_id"), F.substring("seg", 6, 40).alias("quote"))
+    after = docs.filter("doc_id % 20 <> 7").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")).alias("sequence", "segment"))
+    got = rebinding.rebound(quotes, after, Folder(spark, "j17"), "2")
+    return got.select("citation_id", "document_id", "binding_status", F.col("sequence").cast("long").alias("sequence"), F.col("quote_start").cast("long").alias("quote_start"), "segment_hash", "places")
+
+
 _CLAIMS = "SELECT o_orderkey, o_custkey % 50 cluster, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END polarity, o_custkey % 17 independence, o_orderpriority platform, o_totalprice, o_orderdate FROM orders"
 
 
@@ -225,6 +245,40 @@ def g06_g07_counterfactual(spark, sf_dir):
     return g.withColumn("stability", evidence.stability(F.col("flips")))
 
 
+#: A claim's independent source is its customer; a cluster's are its part of them.
+_OWN = "SELECT o_orderkey, o_custkey % 200 cluster, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END polarity, o_custkey voice, o_orderpriority platform, o_totalprice FROM orders"
+_GATES = {"coverage": "{n} >= 60", "independent": "{voices} >= 8", "platforms": "{platforms} >= 5", "supported": "{s} > 0", "weighty": "{mx} >= 300000"}
+
+
+def _gates(of: str = "") -> dict[str, str]:
+    return {name: "coalesce(" + rule.format(**{c: of + c for c in ("n", "voices", "platforms", "s", "mx")}) + ", false)" for name, rule in _GATES.items()}
+
+
+def _decided(gates: dict[str, str], of: str = "") -> str:
+    return f"CASE WHEN NOT ({' AND '.join(gates.values())}) THEN 'investigate_more' WHEN {of}s > {of}c THEN 'build_to_validate' WHEN {of}s < {of}c THEN 'kill' ELSE 'modify' END"
+
+
+def _turned(name: str) -> str:
+    """The decision if one gate said the opposite."""
+    return _decided(_gates() | {name: f"(NOT {_gates()[name]})"})
+
+
+@query(f"""WITH c AS ({_OWN}), k AS (SELECT cluster, count(*) n, count(DISTINCT voice) voices, count(DISTINCT platform) platforms, count_if(polarity > 0) s, count_if(polarity < 0) c, max(o_totalprice) mx FROM c GROUP BY 1),
+l AS (SELECT a.cluster, a.o_orderkey, (SELECT count(*) FROM c b WHERE b.cluster = a.cluster AND b.o_orderkey <> a.o_orderkey) without_n, (SELECT count(DISTINCT voice) FROM c b WHERE b.cluster = a.cluster AND b.o_orderkey <> a.o_orderkey) without_voices,
+ (SELECT count(DISTINCT platform) FROM c b WHERE b.cluster = a.cluster AND b.o_orderkey <> a.o_orderkey) without_platforms, (SELECT count_if(polarity > 0) FROM c b WHERE b.cluster = a.cluster AND b.o_orderkey <> a.o_orderkey) without_s,
+ (SELECT count_if(polarity < 0) FROM c b WHERE b.cluster = a.cluster AND b.o_orderkey <> a.o_orderkey) without_c, (SELECT max(o_totalprice) FROM c b WHERE b.cluster = a.cluster AND b.o_orderkey <> a.o_orderkey) without_mx FROM c a),
+d AS (SELECT cluster, {_decided(_gates("without_"), "without_")} other, without_voices, without_mx FROM l), t AS (SELECT cluster, n, voices, platforms, {_decided(_gates())} decision, array_to_string(list_filter([{", ".join(f"CASE WHEN {_turned(g)} <> {_decided(_gates())} THEN '{g}' END" for g in _GATES)}], lambda x: x IS NOT NULL), ',') turning, voices v, mx FROM k)
+SELECT cluster, any_value(n)::BIGINT n, any_value(voices)::BIGINT voices, any_value(platforms)::BIGINT platforms, any_value(decision) decision, count_if(without_voices < v)::BIGINT single, count_if(without_mx < mx)::BIGINT greatest, count_if(other <> decision)::BIGINT flips, any_value(turning) turning FROM t JOIN d USING (cluster) GROUP BY 1""")
+def g06_a22_counterfactuals(spark, sf_dir):
+    """Of each cluster: its decision, claims that are their voice's only one, claims without which it is another, gates that would turn it."""
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey % 200 cluster", "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END polarity", "o_custkey voice", "o_orderpriority platform", "o_totalprice")
+    kinds = evidence.without_each(own, "cluster", {"voices": "voice", "platforms": "platform"}, {"s": F.col("polarity") > 0, "c": F.col("polarity") < 0}, {"mx": "o_totalprice"})
+    one = kinds.selectExpr("*", f"{_decided(_gates())} decision", f"{_decided(_gates('without_'), 'without_')} other")
+    turning = F.array_join(F.array_compact(F.array(*[F.when(F.expr(_turned(g)) != F.col("decision"), g) for g in _GATES])), ",")
+    sums = {"single": "without_voices < voices", "greatest": "without_mx < mx", "flips": "other != decision"}
+    return one.withColumn("turning", turning).groupBy("cluster", "n", "voices", "platforms", "decision", "turning").agg(*[F.sum(F.when(F.expr(c), F.col("copies")).otherwise(0)).alias(name) for name, c in sums.items()])
+
+
 @query(f"""WITH c AS ({_CLAIMS}) SELECT cluster, {", ".join(f"count_if(platform = '{p}')::BIGINT AS \"{p}\"" for p in ("1-URGENT", "2-HIGH", "5-LOW"))} FROM c GROUP BY 1""")
 def a19_claim_map(spark, sf_dir):
     return claims(spark, sf_dir).groupBy("cluster").pivot("platform", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.count(F.lit(1))).na.fill(0)
@@ -368,3 +422,17 @@ def r04_r07_sessions(spark, sf_dir):
 @query("SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) k FROM events")
 def s02_s10_json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.from_json("props", "k long").getField("k").alias("k"))
+
+
+_FAILED, _ENDS = "event_type = 'error'", "event_type = 'purchase' AND value > 150"
+
+
+@query(f"""WITH e AS (SELECT user_id origin, event_id, ts, {_FAILED} failed, {_ENDS} ends, min(ts) OVER (PARTITION BY user_id) + INTERVAL 20 DAY deadline, max(ts) OVER () - INTERVAL 1 HOUR upto FROM events), i AS (SELECT *, row_number() OVER w i, sum(failed::INT) OVER (w ROWS 2 PRECEDING) f FROM e WINDOW w AS (PARTITION BY origin ORDER BY ts, event_id)),
+c AS (SELECT origin, coalesce(min(i) FILTER (f = 3 AND i <= 40 AND ts < deadline), 1000000) open_, min(i) FILTER (ends AND i <= 40 AND ts < deadline) end_, any_value(deadline) deadline, any_value(upto) upto FROM i GROUP BY 1), d AS (SELECT origin, open_, CASE WHEN end_ <= open_ THEN end_ END end_, deadline, upto FROM c)
+SELECT origin, event_id, CASE WHEN ts >= i.deadline OR coalesce(i > end_, false) THEN 'late' WHEN i > open_ OR i > 40 THEN 'suppressed' ELSE 'done' END status, CASE WHEN ts >= i.deadline OR coalesce(i > end_, false) THEN NULL WHEN i > open_ THEN 'origin_circuit_open' WHEN i > 40 THEN 'budget_exhausted' END reason FROM i JOIN d USING (origin)
+UNION ALL SELECT origin, NULL, CASE WHEN end_ IS NOT NULL THEN 'completed' ELSE 'cancelled' END, CASE WHEN end_ IS NULL THEN 'origin_job_timeout' END FROM d WHERE end_ IS NOT NULL OR deadline <= upto""")
+def r04_r06_jobs(spark, sf_dir):
+    """The batch form; the stream with timers gives the same rows."""
+    e = table(spark, sf_dir, "events").withColumn("origin", F.col("user_id"))
+    upto = e.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("t"))
+    return jobs.batch(e, F.expr(_FAILED), F.expr(_ENDS), F.lit(upto.first()["t"]))
