@@ -10,8 +10,8 @@ threshold is missed with a probability below 2e-4, and less above it. Of two com
 signatures keep are all verified: two large groups just below the threshold cost the product of their sizes.
 
 Defined results: texts without words, of fewer words than asked for, and null ones are not eligible and have neither class nor component;
-a text of fewer words than a shingle is one shingle; a null precondition equals null; rows of one key are one text of
-all their shingles; null keys are left out. Tables without rows give none; further columns don't enter.
+a text of fewer words than a shingle is one shingle; a null precondition equals null; rows of one key are linked to what
+any of them is linked to, and have the greatest of their numbers; null keys are left out. Tables without rows give none; further columns don't enter.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F
 
-from siltstone.operators import evidence
+from siltstone.operators import evidence, filters
 from siltstone.sources.tables import Folder
 
 SHINGLE = 5
@@ -97,8 +97,8 @@ def _runs(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def sets(docs: DataFrame, key: str, text: str, same: list[str], least: int) -> DataFrame:
-    """key, group (the precondition), n_words, n (shingles), sames (a hash of the set), bands (keys), short (signature, 8 bits each), own (the set) of each text."""
+def signed(docs: DataFrame, key: str, text: str, same: list[str], least: int) -> DataFrame:
+    """key, group (the precondition), n_words, n (shingles), sames (a hash of the set), bands (keys), short (signature, 8 bits each) of each text; the last three null where it has too few words."""
     group = F.to_json(F.struct(*[F.col(c) for c in same]), {"ignoreNullFields": "false"}) if same else F.lit("")
     rows = docs.select(F.col(key).alias("key"), group.alias("group"), F.col(text).alias("text")).filter("key is not null")
 
@@ -117,15 +117,31 @@ def sets(docs: DataFrame, key: str, text: str, same: list[str], least: int) -> D
                 sums = np.r_[U(0), np.cumsum(mixed(values))]
                 whole = mixed(sums[begin[1:]] - sums[begin[:-1]] + n.astype(U))
                 eligible = np.isin(np.arange(len(n)), fit)
-                raw = values.tobytes()
                 hide = lambda xs: [x if e else None for x, e in zip(xs, eligible)]
                 yield pa.RecordBatch.from_pydict({
                     "key": part.column("key"), "group": part.column("group"), "n_words": pa.array(words.astype(np.int64)), "n": pa.array(n.astype(np.int64)), "sames": pa.array(hide(whole.view(np.int64).tolist()), pa.int64()),
-                    "bands": pa.array(hide(keys.view(np.int64).tolist()), pa.list_(pa.int64())), "short": pa.array(hide([x.tobytes() for x in signature.astype(np.uint8)]), pa.binary()), "own": pa.array(hide([raw[8 * a : 8 * b] for a, b in zip(begin[:-1], begin[1:])]), pa.binary()),
+                    "bands": pa.array(hide(keys.view(np.int64)), pa.list_(pa.int64())), "short": pa.array(hide([x.tobytes() for x in signature.astype(np.uint8)]), pa.binary()),
                 })
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(task, f"key {kind}, group string, n_words long, n long, sames long, bands array<long>, short binary, own binary")
+    return rows.mapInArrow(task, f"key {kind}, group string, n_words long, n long, sames long, bands array<long>, short binary")
+
+
+def sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """key, own: the sets of the texts whose keys are in `wanted`, and of some more that its filter of fixed size lets through. Only these are shuffled."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null").withColumn("h", F.xxhash64("key"))
+    mask = filters.of(wanted.select(F.xxhash64("key").alias("h")), "h")
+    sent = docs.sparkSession.sparkContext.broadcast(mask)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(filters.has(sent.value, batch.column("h").to_numpy())))
+            for i, j in _runs(batch.column("text")):
+                values, begin, _ = shingles(batch.column("text").slice(i, j - i))
+                raw = values.tobytes()
+                yield pa.RecordBatch.from_pydict({"key": batch.column("key").slice(i, j - i), "own": pa.array([raw[8 * a : 8 * b] for a, b in zip(begin[:-1], begin[1:])], pa.binary())})
+
+    return rows.mapInArrow(task, f"key {rows.schema['key'].dataType.simpleString()}, own binary")
 
 
 def agreed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,8 +152,8 @@ def agreed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out / HASHES - 1 / 256) / (1 - 1 / 256)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, threshold: float, folder: Folder, name: str) -> DataFrame:
-    """Those of distinct pairs (a, b) of representatives whose sets reach the threshold. Signatures decide first; then b's set is sent to a's, which is there once."""
+def verified(pairs: DataFrame, reps: DataFrame, texts: tuple[DataFrame, str, str], threshold: float, folder: Folder, name: str) -> DataFrame:
+    """Those of distinct pairs (a, b) of representatives whose sets reach the threshold. Signatures decide first; of what they leave, b's set is sent to a's, which is there once."""
     short = reps.select("key", "short", "n")
     both = pairs.join(short.toDF("a", "sa", "na"), "a").join(short.toDF("b", "sb", "nb"), "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
 
@@ -150,19 +166,19 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float, folder: Folder
 
     kind = reps.schema["key"].dataType.simpleString()
     left = folder.save(both.select("a", "b", "sa", "sb").mapInArrow(near, f"a {kind}, b {kind}"), f"{name}-near")
-    wide = reps.select("key", "own")
+    wide = folder.save(sets(*texts, left.select(F.col("a").alias("key")).union(left.select("b")).distinct()), f"{name}-sets")
     # salted: the pairs of one text are dealt over tasks, and each has the text once
     sent = left.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(16))).join(wide.toDF("b", "own"), "b")
 
     def exact(one: pa.Table, many: pa.Table) -> pa.Table:
         if not one.num_rows:
             return pa.table({"a": many["a"][:0], "b": many["b"][:0]})
-        x = np.frombuffer(one["set"][0].as_py(), U)
+        held = [np.frombuffer(own, U) for own in one["set"].to_pylist()]  # one, but for rows of one key
         keep = []
         for own in many["own"].to_pylist():
             y = np.frombuffer(own, U)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(common >= threshold * (len(x) + len(y) - common))
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x in held]
+            keep.append(any(c >= threshold * (len(x) + len(y) - c) for x, c in zip(held, common)))
         return pa.table({"a": many["a"], "b": many["b"]}).filter(pa.array(keep, pa.bool_()))
 
     own = left.select("a", F.pmod(F.xxhash64("b"), F.lit(16)).alias("part")).distinct().join(wide.toDF("a", "own"), "a").toDF("x", "p", "set")
@@ -201,17 +217,16 @@ def duplicates(docs: DataFrame, folder: Folder, key: str = "doc_id", text: str =
 
     same: columns that must be equal for two texts to be compared; least: words that a text must have.
     """
-    stored = folder.save(sets(docs, key, text, list(same), least), "sets")
+    stored, texts = folder.save(signed(docs, key, text, list(same), least), "signed"), (docs, key, text)
     fit = stored.filter("sames is not null")
     classes = fit.groupBy("group", "sames").agg(F.min("key").alias("rep"))
     members = folder.save(fit.select("key", "group", "sames").join(classes, ["group", "sames"]).select("key", "rep"), "members")
-    reps = stored.filter("sames is not null").join(members.filter("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key"])
-    reps = folder.save(reps.drop("n_words"), "reps")
+    reps = folder.save(fit.drop("n_words").join(members.filter("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key"]), "reps")
     bands = folder.save(reps.select("key", F.explode(F.transform("bands", lambda b: F.xxhash64(b, F.col("group")))).alias("band")), "bands")
     # one comparison a text and key: with the least text of the key
     firsts = bands.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("m")).filter("m > 1").select("band", "a")
     stars = bands.join(firsts, "band").filter("a < key").select("a", F.col("key").alias("b")).distinct()
-    linked = folder.save(verified(stars, reps, threshold, folder, "stars"), "stars")
+    linked = folder.save(verified(stars, reps, texts, threshold, folder, "stars"), "stars")
     known = evidence.components(linked, folder.path)
     labelled = reps.select(F.col("key").alias("node"), "short").join(known, "node", "left").select("node", "short", F.coalesce("component", "node").alias("component"))
     # of a key with one component every two texts are linked already, directly or through others
@@ -219,7 +234,7 @@ def duplicates(docs: DataFrame, folder: Folder, key: str = "doc_id", text: str =
     open_ = shared.join(labelled.select("node", "component"), "node")
     mixed_ = open_.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
     rest = folder.save(open_.join(mixed_, "band").join(labelled.select("node", "short"), "node").select("band", "node", "component", "short"), "rest")
-    more = folder.save(verified(across(rest, block).join(linked, ["a", "b"], "left_anti"), reps, threshold, folder, "more"), "more")
+    more = folder.save(verified(across(rest, block).join(linked, ["a", "b"], "left_anti"), reps, texts, threshold, folder, "more"), "more")
     final = (known if more.isEmpty() else evidence.components(linked.unionByName(more), folder.path)).withColumnRenamed("node", "rep")
     placed = members.join(final, "rep", "left").groupBy("key").agg(F.min("rep").alias("class_id"), F.min(F.coalesce("component", "rep")).alias("component_id"))
     rows = stored.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("n").alias("n_shingles"))

@@ -22,13 +22,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from siltstone.operators import filters
 from siltstone.operators.near import mixed
 from siltstone.sources.tables import Folder
 
 #: Bytes of a quote that its anchor has, at most.
 ANCHOR = 32
-#: Bits of the filter; where quotes fill it, it lets more through, and the comparison decides.
-BITS = 1 << 25
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,26 +69,10 @@ def anchors(quotes: DataFrame, most: int = ANCHOR) -> DataFrame:
     return rows.mapInArrow(task, f"document_id {kind}, quote string, anchor long, length int")
 
 
-def filter_of(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A bit for each anchor, from pieces that tasks fill; `bits` in all, however many anchors there are."""
-    piece = 1 << 15
-    at = keys.select(F.pmod("anchor", F.lit(bits)).alias("bit")).distinct()
-
-    def fill(group: pa.Table) -> pa.Table:
-        own = np.zeros(piece, bool)
-        own[group["bit"].to_numpy() % piece] = True
-        return pa.table({"piece": [group["bit"][0].as_py() // piece], "mask": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    out = np.zeros(bits // 8, np.uint8)
-    for r in at.withColumn("p", F.expr(f"bit div {piece}")).groupBy("p").applyInArrow(fill, "piece long, mask binary").toLocalIterator():
-        out[r["piece"] * piece // 8 : (r["piece"] + 1) * piece // 8] = np.frombuffer(r["mask"], np.uint8)
-    return out
-
-
 def places(segments: DataFrame, lengths: list[int], mask: np.ndarray) -> DataFrame:
     """document_id, sequence, segment, anchor: each anchor that a segment may have, once."""
     rows = segments.filter("segment is not null").select("document_id", "sequence", "segment", F.xxhash64("document_id").alias("d"))
-    sent, bits = segments.sparkSession.sparkContext.broadcast(mask), 8 * len(mask)
+    sent = segments.sparkSession.sparkContext.broadcast(mask)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +89,7 @@ def places(segments: DataFrame, lengths: list[int], mask: np.ndarray) -> DataFra
                 for n in lengths:
                     h = _runs(own, n)
                     key = mixed(h ^ d[row[: len(h)]]).view(np.int64)
-                    bit = key & (bits - 1)
-                    hit = np.flatnonzero((left[: len(h)] >= n) & ((sent.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0))
+                    hit = np.flatnonzero((left[: len(h)] >= n) & filters.has(sent.value, key))
                     rows_.append(row[hit])
                     keys.append(key[hit])
                 both = np.unique(np.stack([np.concatenate(rows_), np.concatenate(keys)], 1), axis=0)
@@ -128,7 +110,7 @@ def rebound(bindings: DataFrame, segments: DataFrame, folder: Folder, version: s
     fit = own.filter("document_id is not null and quote != ''").select("document_id", "quote").distinct()
     keyed = folder.save(anchors(fit, most), "anchors")
     lengths = sorted(r[0] for r in keyed.select("length").distinct().collect())  # `most` values at most
-    held = places(segments, lengths, filter_of(keyed.select("anchor")))
+    held = places(segments, lengths, filters.of(keyed, "anchor"))
     met = held.join(keyed.select(F.col("document_id").alias("of"), "anchor", "quote"), "anchor").filter("document_id = of")
     found = met.select("document_id", "quote", "sequence", F.instr(F.col("segment"), F.col("quote")).alias("at"), F.sha2("segment", 256).alias("segment_hash")).filter("at > 0")
     best = found.groupBy("document_id", "quote").agg(F.min(F.struct("sequence", (F.col("at") - 1).alias("quote_start"), "segment_hash")).alias("first"), F.count("*").alias("places"))

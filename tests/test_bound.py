@@ -4,10 +4,11 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evidence, rebinding
+from siltstone.operators import evidence, filters, rebinding
 from siltstone.plans import registry
 from siltstone.sources.tables import Folder
 from siltstone.streaming import jobs, progress
@@ -53,9 +54,9 @@ def test_rebound_nothing(spark):
 
 def test_filter_has_every_anchor(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("anchor"))
-    mask = rebinding.filter_of(keys, 1 << 18)
+    mask = filters.of(keys, "anchor", 1 << 18)
     bits = [r["anchor"] % (1 << 18) for r in keys.collect()]
-    assert all(mask[b >> 3] >> (7 - (b & 7)) & 1 for b in bits) and int(sum(bin(x).count("1") for x in mask)) == len(set(bits))
+    assert filters.has(mask, np.array([r["anchor"] for r in keys.collect()])).all() and int(sum(bin(x).count("1") for x in mask)) == len(set(bits))
 
 
 def jobs_by_hand(events, limit, budget, days, upto):
