@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.sources.tables import Folder
 
-TABLES = 12
+TABLES = 8
 #: Classes to a bucket, about.
-FILL = 24
+FILL = 256
 MOST_BITS = 24
 #: Classes that the number of probes is fitted on, and queries among them.
 SAMPLE, ASKED = 4096, 128
@@ -155,18 +155,24 @@ def nearest(vectors: DataFrame, folder: Folder, k: int = 10, asked: Column | Non
     def rank(held: pa.Table, asking: pa.Table) -> pa.Table:
         name, found, values = [], [], []
         if held.num_rows and asking.num_rows:
+            held = held.sort_by("rep")
             y, reps = unit(held["vector"]), held["rep"].to_numpy()
+            most = min(k, len(reps))
             for i in range(0, asking.num_rows, 1024):
                 some = asking.slice(i, 1024)
+                who = some["asker"].to_numpy()
                 like = np.round(unit(some["x"]) @ y.T, 12)
-                for who, line in zip(some["asker"].to_pylist(), like):
-                    line = np.where(reps == who, -3, line)
-                    best = np.lexsort((reps, -line))[:k] if len(line) <= 4 * k else (lambda at: at[np.lexsort((reps[at], -line[at]))])(np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k]))[:k]
-                    best = best[line[best] > -3]
-                    name.append(who)
-                    found.append(reps[best])
-                    values.append(line[best])
-        return pa.table({"asker": pa.array(name, held.schema.field("rep").type), "found": pa.array(found, pa.list_(held.schema.field("rep").type)), "cosine": pa.array(values, pa.list_(pa.float64()))})
+                like[who[:, None] == reps[None, :]] = -3
+                best = np.argpartition(-like, most - 1, axis=1)[:, :most]
+                least = np.take_along_axis(like, best, 1).min(1)
+                # where more are as near as the last, the least keys
+                for j in np.flatnonzero((like >= least[:, None]).sum(1) > most):
+                    best[j] = np.argsort(-like[j], kind="stable")[:most]
+                near = np.take_along_axis(like, best, 1)
+                name.append(who)
+                found += [r[c > -3] for r, c in zip(reps[best], near)]
+                values += [c[c > -3] for c in near]
+        return pa.table({"asker": pa.array(np.concatenate(name) if name else [], held.schema.field("rep").type), "found": pa.array(found, pa.list_(held.schema.field("rep").type)), "cosine": pa.array(values, pa.list_(pa.float64()))})
 
     got = placed.groupBy("bucket", "p").cogroup(looks.groupBy("b", "q")).applyInArrow(rank, f"asker {kind}, found array<{kind}>, cosine array<double>")
     # a neighbour of several tables comes once; tables * probes * k at most
