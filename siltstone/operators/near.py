@@ -2,9 +2,9 @@
 
 A text is the set of its shingles, runs of SHINGLE words. Texts of one set and one precondition (language, kind) are one
 class and only its first text goes on, so copies cost nothing. A signature has HASHES least values; BANDS runs of them are
-keys, and texts that share a key are candidates. Each is compared with the first text of its key, so a key of many near
-copies costs one comparison a text; components of what that links are found; only where a key still has texts of several
-components are those compared with each other, by signature in blocks of bounded size, wherever the two can reach the
+keys, and texts that share a key are candidates. Each is compared with the least of its keys' first
+texts, then with the firsts of its other keys that this doesn't link it to, so a key of many near copies costs about one
+comparison a text; only where a key then has texts of several components are those compared with each other, by signature in blocks of bounded size, wherever the two can reach the
 threshold. What the signatures leave is verified on the whole sets, so no false link is in the result; a pair at the
 threshold is missed with a probability below 2e-4, and less above it. Of two components that meet in one key, pairs that the
 signatures keep are all verified: two large groups just below the threshold cost the product of their sizes.
@@ -16,6 +16,7 @@ any of them is linked to, and have the greatest of their numbers; null keys are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -82,9 +83,11 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 
 def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Least values under HASHES mixes, by text; each has a shingle."""
-    out = np.empty((len(begin) - 1, HASHES), np.uint32)
+    out, own = np.empty((len(begin) - 1, HASHES), np.uint32), np.empty_like(values)
     for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat((values * _TIMES[k] + _PLUS[k]) >> U(32), begin[:-1])
+        np.multiply(values, _TIMES[k], out=own)
+        np.add(own, _PLUS[k], out=own)
+        out[:, k] = np.minimum.reduceat(own, begin[:-1]) >> U(32)
     return out
 
 
@@ -223,20 +226,32 @@ def duplicates(docs: DataFrame, folder: Folder, key: str = "doc_id", text: str =
     members = folder.save(fit.select("key", "group", "sames").join(classes, ["group", "sames"]).select("key", "rep"), "members")
     reps = folder.save(fit.drop("n_words").join(members.filter("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key"]), "reps")
     bands = folder.save(reps.select("key", F.explode(F.transform("bands", lambda b: F.xxhash64(b, F.col("group")))).alias("band")), "bands")
-    # one comparison a text and key: with the least text of the key
-    firsts = bands.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("m")).filter("m > 1").select("band", "a")
-    stars = bands.join(firsts, "band").filter("a < key").select("a", F.col("key").alias("b")).distinct()
-    linked = folder.save(verified(stars, reps, texts, threshold, folder, "stars"), "stars")
-    known = evidence.components(linked, folder.path)
-    labelled = reps.select(F.col("key").alias("node"), "short").join(known, "node", "left").select("node", "short", F.coalesce("component", "node").alias("component"))
+    firsts = bands.groupBy("band").agg(F.min("key").alias("first"))
+    starred = folder.save(bands.join(firsts, "band"), "starred")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = evidence.components(links, folder.path)
+        return folder.save(reps.select(F.col("key").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), f"labels-{uuid.uuid4().hex}")
+
+    def opened(labels: DataFrame) -> DataFrame:
+        """starred, with the components of the text and of its key's first."""
+        own = labels.toDF("key", "component")
+        return starred.join(own, "key").join(own.toDF("first", "other"), "first")
+
+    # one comparison a text: with the least of its keys' firsts
+    once = starred.groupBy(F.col("key").alias("b")).agg(F.min("first").alias("a")).filter("a < b").select("a", "b")
+    linked = folder.save(verified(once, reps, texts, threshold, folder, "once"), "once")
+    # then with the firsts that this doesn't reach
+    stars = opened(labelled(linked)).filter("component != other and first < key").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
+    linked = folder.save(linked.unionByName(verified(stars.join(once, ["a", "b"], "left_anti"), reps, texts, threshold, folder, "stars")), "stars")
+    labels = labelled(linked)
     # of a key with one component every two texts are linked already, directly or through others
-    shared = bands.join(firsts.select("band"), "band").withColumnRenamed("key", "node")
-    open_ = shared.join(labelled.select("node", "component"), "node")
-    mixed_ = open_.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    rest = folder.save(open_.join(mixed_, "band").join(labelled.select("node", "short"), "node").select("band", "node", "component", "short"), "rest")
+    apart = opened(labels).filter("component != other").select("band").distinct()
+    rest = starred.join(apart, "band").join(labels.toDF("key", "component"), "key").join(reps.select("key", "short"), "key")
+    rest = folder.save(rest.select("band", F.col("key").alias("node"), "component", "short"), "rest")
     more = folder.save(verified(across(rest, block).join(linked, ["a", "b"], "left_anti"), reps, texts, threshold, folder, "more"), "more")
-    final = (known if more.isEmpty() else evidence.components(linked.unionByName(more), folder.path)).withColumnRenamed("node", "rep")
-    placed = members.join(final, "rep", "left").groupBy("key").agg(F.min("rep").alias("class_id"), F.min(F.coalesce("component", "rep")).alias("component_id"))
+    final = labels if more.isEmpty() else labelled(linked.unionByName(more))
+    placed = members.join(final.toDF("rep", "component"), "rep").groupBy("key").agg(F.min("rep").alias("class_id"), F.min("component").alias("component_id"))
     rows = stored.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("n").alias("n_shingles"))
     out = rows.join(placed, "key", "left")
     return out.select(F.col("key").alias(key), "n_words", "n_shingles", F.col("class_id").isNotNull().alias("eligible"), "class_id", "component_id")
