@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.sources.tables import Folder
 
@@ -175,9 +175,15 @@ def nearest(vectors: DataFrame, folder: Folder, k: int = 10, asked: Column | Non
         return pa.table({"asker": pa.array(np.concatenate(name) if name else [], held.schema.field("rep").type), "found": pa.array(found, pa.list_(held.schema.field("rep").type)), "cosine": pa.array(values, pa.list_(pa.float64()))})
 
     got = placed.groupBy("bucket", "p").cogroup(looks.groupBy("b", "q")).applyInArrow(rank, f"asker {kind}, found array<{kind}>, cosine array<double>")
-    # a neighbour of several tables comes once; tables * probes * k at most
-    every = got.select("asker", F.explode(F.arrays_zip("found", "cosine")).alias("x")).groupBy("asker", F.col("x.found").alias("neighbour")).agg(F.max("x.cosine").alias("cosine"))
-    place = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("cosine"), "neighbour"))
-    best = every.withColumn("rank", place).filter(F.col("rank") <= k)
+
+    def merge(group: pa.Table) -> pa.Table:
+        """The best k of what the buckets gave, tables * probes * k at most; a neighbour of several tables comes once."""
+        found, value = (np.concatenate(group.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("found", "cosine"))
+        found, at = np.unique(found, return_index=True)
+        some = np.lexsort((found, -value[at]))[:k]
+        rank = np.arange(1, len(some) + 1, dtype=np.int32)
+        return pa.table({"asker": group["asker"].take(pa.array(np.zeros(len(some), int))), "rank": rank, "neighbour": pa.array(found[some], group.schema.field("found").type.value_type), "cosine": pa.array(value[at][some].astype(float))})
+
+    best = got.groupBy("asker").applyInArrow(merge, f"asker {kind}, rank int, neighbour {kind}, cosine double")
     best = folder.save(best.join(own.select(F.col("rep").alias("neighbour"), "copies"), "neighbour"), "best")
     return wanted.join(best, wanted["rep"] == best["asker"]).select(F.col("key").alias(key), "rank", "neighbour", "copies", "cosine")
