@@ -28,7 +28,7 @@ from siltstone.sources.tables import Folder
 
 #: Bytes of a quote that its anchor has, at most.
 ANCHOR = 32
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P, _PER_LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,13 +38,19 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def _runs(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the `length` bytes that begin at each place that has so many after it."""
-    n = max(len(data) - length + 1, 0)
-    h = np.full(n, length, np.uint64)
-    for k in range(length):
-        h = h * _P + data[k : k + n] + np.uint64(1)
-    return h
+def _runs(data: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the rising lengths the hash of the bytes that begin at each place with so many after it; each length goes on from the last."""
+    h = np.zeros(len(data), np.uint64)
+    done = 0
+    for length in lengths:
+        n = max(len(data) - length + 1, 0)
+        h = h[:n].copy()
+        for k in range(done, length):
+            h *= _P
+            h += data[k : k + n]
+            h += np.uint64(1)
+        done = length
+        yield length, h + np.uint64(length) * _PER_LENGTH
 
 
 def anchors(quotes: DataFrame, most: int = ANCHOR) -> DataFrame:
@@ -59,10 +65,10 @@ def anchors(quotes: DataFrame, most: int = ANCHOR) -> DataFrame:
             out = np.zeros(len(length), np.uint64)
             for n in np.unique(length).tolist():
                 own = np.flatnonzero(length == n)
-                h = np.full(len(own), n, np.uint64)
+                h = np.zeros(len(own), np.uint64)
                 for k in range(n):
                     h = h * _P + data[at[own] + k] + np.uint64(1)
-                out[own] = h
+                out[own] = h + np.uint64(n) * _PER_LENGTH
             key = mixed(out ^ mixed(batch.column("d").to_numpy().view(np.uint64)))
             yield pa.RecordBatch.from_pydict({"document_id": batch.column("document_id"), "quote": batch.column("quote"), "anchor": key.view(np.int64), "length": pa.array(length, pa.int32())})
 
@@ -86,8 +92,7 @@ def places(segments: DataFrame, lengths: list[int], mask: np.ndarray) -> DataFra
                 left = (begin + size)[row] - np.arange(len(own))  # bytes from here to the segment's end
                 d = mixed(batch.column("d").slice(i, j - i).to_numpy().view(np.uint64))
                 rows_, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for n in lengths:
-                    h = _runs(own, n)
+                for n, h in _runs(own, lengths):
                     key = mixed(h ^ d[row[: len(h)]]).view(np.int64)
                     hit = np.flatnonzero((left[: len(h)] >= n) & filters.has(sent.value, key))
                     rows_.append(row[hit])
@@ -112,9 +117,9 @@ def rebound(bindings: DataFrame, segments: DataFrame, folder: Folder, version: s
     lengths = sorted(r[0] for r in keyed.select("length").distinct().collect())  # `most` values at most
     held = places(segments, lengths, filters.of(keyed, "anchor"))
     met = held.join(keyed.select(F.col("document_id").alias("of"), "anchor", "quote"), "anchor").filter("document_id = of")
-    found = met.select("document_id", "quote", "sequence", F.instr(F.col("segment"), F.col("quote")).alias("at"), F.sha2("segment", 256).alias("segment_hash")).filter("at > 0")
+    found = met.select("document_id", "quote", "sequence", F.instr(F.col("segment"), F.col("quote")).alias("at"), F.unhex(F.sha2("segment", 256)).alias("segment_hash")).filter("at > 0")
     best = found.groupBy("document_id", "quote").agg(F.min(F.struct("sequence", (F.col("at") - 1).alias("quote_start"), "segment_hash")).alias("first"), F.count("*").alias("places"))
     there = segments.select("document_id").distinct().withColumn("there", F.lit(True))
     out = own.join(folder.save(best, "places"), ["document_id", "quote"], "left").join(there, "document_id", "left")
     status = F.when(F.col("document_id").isNull() | (F.coalesce(F.col("quote"), F.lit("")) == ""), "invalid").when(F.col("there").isNull(), "source_removed").when(F.col("first").isNull(), "stale_binding").otherwise("valid")
-    return out.select("citation_id", "document_id", "quote", F.lit(version).alias("normalization_version"), status.alias("binding_status"), "first.sequence", "first.quote_start", "first.segment_hash", F.coalesce("places", F.lit(0)).alias("places"))
+    return out.select("citation_id", "document_id", "quote", F.lit(version).alias("normalization_version"), status.alias("binding_status"), "first.sequence", "first.quote_start", F.lower(F.hex("first.segment_hash")).alias("segment_hash"), F.coalesce("places", F.lit(0)).alias("places"))
