@@ -12,8 +12,9 @@ _PIECE = 1 << 15
 
 
 def of(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """A bit for each 64-bit hash of a column, in pieces that tasks fill; `bits` in all, however many there are."""
-    at = keys.select(F.pmod(column, F.lit(bits)).alias("bit")).distinct()
+    """Two bits for each 64-bit hash of a column, in pieces that tasks fill; `bits` in all, a power of two, however many hashes there are."""
+    both = F.array(F.pmod(column, F.lit(bits)), F.pmod(F.shiftrightunsigned(column, 32), F.lit(bits)))
+    at = keys.select(F.explode(both).alias("bit")).distinct()
 
     def fill(group: pa.Table) -> pa.Table:
         own = np.zeros(_PIECE, bool)
@@ -28,5 +29,11 @@ def of(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
 
 def has(mask: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """False where a hash is surely not among the filter's."""
-    bit = hashes & (8 * len(mask) - 1)
-    return ((mask[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
+
+    def on(bit: np.ndarray) -> np.ndarray:
+        return ((mask[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
+
+    out = on(hashes & (8 * len(mask) - 1))
+    some = np.flatnonzero(out)
+    out[some] = on((hashes[some].view(np.uint64) >> np.uint64(32)).view(np.int64) & (8 * len(mask) - 1))
+    return out

@@ -1,7 +1,7 @@
 """Quotes of one version of documents bound anew to the segments of the next.
 
 A quote is looked for word for word in the new segments of its own document. Its anchor is the hash of its document and its first
-ANCHOR bytes. The anchors are put into a filter of fixed size that every task has; tasks go once over the new segments,
+bytes, ANCHOR or less. The anchors are put into a filter of fixed size that every task has; tasks go once over the new segments,
 hash each place for each length of anchor in use, and send only segments with a place that the filter lets through. These
 meet the quotes by anchor, and whole quotes are compared. So neither the documents' texts nor their places are shuffled but
 where a quote may stand, and a document with many quotes is spread by its anchors.
@@ -26,8 +26,10 @@ from siltstone.operators import filters
 from siltstone.operators.near import mixed
 from siltstone.sources.tables import Folder
 
-#: Bytes of a quote that its anchor has, at most.
+#: Bytes of a quote that its anchor has, at most; shorter ones have the greatest power of two that they reach.
 ANCHOR = 32
+#: Bits of the filter, 16 MB; where quotes fill it, it lets more through, and the comparison decides.
+BITS = 1 << 27
 _P, _PER_LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -61,7 +63,7 @@ def anchors(quotes: DataFrame, most: int = ANCHOR) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = _bytes(batch.column("quote"))
-            length = np.minimum(np.diff(at), most)
+            length = 1 << np.floor(np.log2(np.clip(np.diff(at), 1, most))).astype(np.int64)
             out = np.zeros(len(length), np.uint64)
             for n in np.unique(length).tolist():
                 own = np.flatnonzero(length == n)
@@ -114,8 +116,8 @@ def rebound(bindings: DataFrame, segments: DataFrame, folder: Folder, version: s
     own = bindings.select("citation_id", "document_id", "quote")
     fit = own.filter("document_id is not null and quote != ''").select("document_id", "quote").distinct()
     keyed = folder.save(anchors(fit, most), "anchors")
-    lengths = sorted(r[0] for r in keyed.select("length").distinct().collect())  # `most` values at most
-    held = places(segments, lengths, filters.of(keyed, "anchor"))
+    lengths = sorted(r[0] for r in keyed.select("length").distinct().collect())  # powers of two up to `most`
+    held = places(segments, lengths, filters.of(keyed, "anchor", BITS))
     met = held.join(keyed.select(F.col("document_id").alias("of"), "anchor", "quote"), "anchor").filter("document_id = of")
     found = met.select("document_id", "quote", "sequence", F.instr(F.col("segment"), F.col("quote")).alias("at"), F.unhex(F.sha2("segment", 256)).alias("segment_hash")).filter("at > 0")
     best = found.groupBy("document_id", "quote").agg(F.min(F.struct("sequence", (F.col("at") - 1).alias("quote_start"), "segment_hash")).alias("first"), F.count("*").alias("places"))

@@ -55,8 +55,10 @@ def test_rebound_nothing(spark):
 def test_filter_has_every_anchor(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("anchor"))
     mask = filters.of(keys, "anchor", 1 << 18)
-    bits = [r["anchor"] % (1 << 18) for r in keys.collect()]
+    bits = [b % (1 << 18) for r in keys.collect() for b in (r["anchor"], (r["anchor"] % (1 << 64)) >> 32)]
     assert filters.has(mask, np.array([r["anchor"] for r in keys.collect()])).all() and int(sum(bin(x).count("1") for x in mask)) == len(set(bits))
+    others = np.array([r[0] for r in spark.range(10**6, 10**6 + 5000).select(F.xxhash64("id")).collect()])
+    assert filters.has(mask, others).mean() < 0.01
 
 
 def jobs_by_hand(events, limit, budget, days, upto):
