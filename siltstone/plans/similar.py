@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import dense, near, neighbours
+from siltstone.operators import dense, near, neighbours, retrieval
 from siltstone.plans.web import table
 from siltstone.sources.tables import Folder
 
@@ -43,3 +43,14 @@ def x38_nearest_vectors(spark, sf_dir):
 @query()
 def g02_dense_clusters(spark, sf_dir):
     return dense.clustered(table(spark, sf_dir, "embeddings"), Folder(spark, "g02"))
+
+
+# the scores of all documents that share a word with an item
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) term FROM documents), tf AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
+n AS (SELECT count(*) n, sum(dl) / count(*) avgdl FROM dl), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) term FROM benchmark),
+p AS (SELECT item_id, doc_id, sum(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 1e6 + 0.5)::BIGINT) points FROM q JOIN tf USING (term) JOIN dl USING (doc_id) JOIN df USING (term), n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY points DESC, doc_id) place FROM p) SELECT item_id, place::INTEGER place, doc_id, points / 1e6 score FROM r WHERE place <= 10""")
+def x34_t06_ranked_items(spark, sf_dir):
+    """The ten documents that score most for each benchmark item."""
+    index = retrieval.Index(table(spark, sf_dir, "documents"), Folder(spark, "x34"))
+    return index.search(table(spark, sf_dir, "benchmark")).select(F.col("query").alias("item_id"), "place", F.col("key").alias("doc_id"), (F.col("points") / 1e6).alias("score"))
