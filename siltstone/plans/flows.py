@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from siltstone.operators import acquisition, evidence, rebinding
 from siltstone.plans.web import table
 from siltstone.sources.tables import Folder
+from siltstone.sources.upserts import Snapshots
 from siltstone.streaming import jobs
 
 QUERIES: dict = {}
@@ -436,3 +437,19 @@ def r04_r06_jobs(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("origin", F.col("user_id"))
     upto = e.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("t"))
     return jobs.batch(e, F.expr(_FAILED), F.expr(_ENDS), F.lit(upto.first()["t"]))
+
+
+@query("""WITH t AS (SELECT concat_ws('-', user_id, event_type) transaction_id, event_id number, event_type IN ('purchase', 'error') final, '' || coalesce(props, '') || '|' || event_id body FROM events)
+SELECT transaction_id, number, final, sha256(body) sha256, n FROM (SELECT *, count(*) OVER (PARTITION BY transaction_id) n, row_number() OVER (PARTITION BY transaction_id ORDER BY final DESC, number DESC) k FROM t) WHERE k = 1""")
+def k02_k06_snapshots(spark, sf_dir):
+    """The last state of each transaction after three batches, of which one is delivered twice, with how many events it had."""
+    body = F.concat_ws("|", F.coalesce("props", F.lit("")), F.col("event_id").cast("string"))
+    name = F.concat_ws("-", "user_id", "event_type")
+    rows = table(spark, sf_dir, "events").select(name.alias("transaction_id"), F.col("event_id").alias("number"), F.col("event_type").isin("purchase", "error").alias("final"), F.sha2(body, 256).alias("sha256"), body.cast("binary").alias("content"))
+    store = Snapshots(spark, Folder(spark, "k06").path, "transaction_id string, number long, final boolean, sha256 string, content binary")
+    kind = F.element_at(F.split("transaction_id", "-"), -1)
+    arrival = F.when(kind == "error", 0).when(kind.isin("view", "click"), 2).otherwise(1)
+    for k in (0, 1, 1, 2):
+        store.upsert(rows.filter(arrival == k), k)
+    n = rows.groupBy("transaction_id").agg(F.count("*").alias("n"))
+    return store.rows().drop("content").join(n, "transaction_id")
