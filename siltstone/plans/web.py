@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltstone.functions import pages, texts, urls
+from siltstone.functions import pages, table_functions, texts, urls
+from siltstone.sources import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -241,3 +244,40 @@ def j15_fuzzy_names(spark, sf_dir):
     found = both.withColumn("s", sim).filter("s >= 0.6").select("name", "other", F.round("s", 6).alias("similarity"), F.lit(None).cast(p.schema["p_partkey"].dataType).alias("p_partkey"))
     members = p.select("name", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("similarity"), "p_partkey")
     return found.unionByName(members)
+
+
+_PLAIN = r"regexp_replace(text, '[\x00-\x09\x0B-\x1F]', ' '"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(x) line, generate_subscripts(x, 1) - 1 place FROM (SELECT doc_id, string_split({_PLAIN}, 'g'), chr(10)) x FROM documents))
+SELECT doc_id, form, place::BIGINT place, CASE WHEN form != 'sitemap' THEN md5(nullif(trim(line), '')) END title_md5, 'https://feeds.example/' || doc_id || '/' || place link FROM l, (VALUES ('rss'), ('atom'), ('sitemap')) f(form)""")
+def s08_s09_feed_entries(spark, sf_dir):
+    """Texts go out as feeds of their lines, in CDATA, in entities and as prefixed names, and come back as entries."""
+    lines = F.split(F.regexp_replace("text", r"[\x00-\x09\x0B-\x1F]", " "), "\n")
+
+    def link(k):
+        return F.concat(F.lit("https://feeds.example/"), F.col("doc_id"), F.lit("/"), k)
+
+    def escaped(line):
+        return F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def body(begin, item, end):
+        return F.concat(F.lit(begin), F.array_join(F.transform(lines, item), ""), F.lit(end))
+
+    forms = {
+        "rss": body('<?xml version="1.0"?><rss xmlns:a="http://www.w3.org/2005/Atom"><channel><title>T</title>', lambda x, k: F.concat(F.lit("<item><title><![CDATA["), F.replace(x, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit(']]></title><a:link rel="self" href="/self"/><link>'), link(k), F.lit("</link></item>")), "</channel></rss>"),
+        "atom": body('<feed xmlns="http://www.w3.org/2005/Atom">', lambda x, k: F.concat(F.lit('<entry><title type="text">'), escaped(x), F.lit('</title><link rel="edit" href="/edit"/><link rel="alternate" href="'), link(k), F.lit('"/></entry>')), "</feed>"),
+        "sitemap": body('<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9">', lambda x, k: F.concat(F.lit("<s:url><s:loc> "), link(k), F.lit(" </s:loc></s:url>")), "</s:urlset>"),
+    }
+    rows = table(spark, sf_dir, "documents")
+    bodies = reduce(DataFrame.unionByName, [rows.select("doc_id", b.alias("body")) for b in forms.values()])
+    got = stored.feed_entries(bodies, "doc_id")
+    return got.select("doc_id", "form", F.col("place").cast("long").alias("place"), F.md5(F.col("title").cast("binary")).alias("title_md5"), "link")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, text, unnest(l) seg, generate_subscripts(l, 1) k FROM (SELECT conv_id, turn, text, string_split(text, chr(10)) l FROM conversations)), w AS (SELECT *, row_number() OVER p - 1 q, coalesce(sum(length(seg) + 1) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) st FROM s WINDOW p AS (PARTITION BY conv_id ORDER BY turn, text, k))
+SELECT conv_id, turn, q::BIGINT sequence, st::BIGINT start_offset, (st + length(seg))::BIGINT end_offset, sha256(seg) segment_hash FROM w""")
+def d04_x35_conversation_segments(spark, sf_dir):
+    """Lines of whole conversations, numbered from turn to turn, by a table function that SQL calls."""
+    table_functions.register(spark)
+    return spark.sql("SELECT conv_id, turn, sequence, start_offset, end_offset, segment_hash FROM text_segments(TABLE(SELECT * FROM {c}), 'conv_id', 'turn', 'text')", c=table(spark, sf_dir, "conversations"))

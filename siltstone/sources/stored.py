@@ -77,3 +77,38 @@ def raw_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """sha256, length and content of content-addressed files, with whether the name holds."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
     return files.select(F.regexp_extract("path", r"([0-9a-f]+)\.bin$", 1).alias("sha256"), "length", "content").withColumn("verified", F.sha2("content", 256) == F.col("sha256"))
+
+
+_LINK = "array<struct<_VALUE: string, _href: string, _rel: string>>"
+_ENTRY = f"struct<title: string, link: {_LINK}, guid: string, id: string>"
+#: RSS 2.0, RSS 1.0, Atom, sitemaps and indexes of sitemaps, by names without their prefixes.
+FEED = f"channel struct<title: string, item: array<{_ENTRY}>>, item array<{_ENTRY}>, entry array<{_ENTRY}>, url array<struct<loc: string, lastmod: string>>, sitemap array<struct<loc: string, lastmod: string>>, _corrupt_record string"
+
+
+def feed_entries(feeds: DataFrame, key: str = "source_id", body: str = "body") -> DataFrame:
+    """key, form (rss, atom, sitemap, sitemap_index, malformed), place (from 0), id, title, link of feeds (key, body).
+
+    An entry's link is the first one with text or with no other relation than alternate. Namespaces, CDATA and entities are
+    read as XML has them; feeds within a feed are the rows of sitemap_index. Bodies that are no well-formed XML have one row
+    without a place; nulls and well-formed bodies of another kind have none; empty titles and links are null.
+    """
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = feeds.select(F.col(key).alias("key"), F.from_xml(body, FEED, options).alias("x"))
+
+    def entry(e):
+        named = F.filter(e["link"], lambda x: (F.trim(x["_VALUE"]) != "") | (x["_href"].isNotNull() & F.coalesce(x["_rel"] == "alternate", F.lit(True))))
+        first = F.get(named, F.lit(0))
+        return F.struct(F.coalesce(e["id"], e["guid"]).alias("id"), _text(e["title"]).alias("title"), _text(F.coalesce(F.nullif(F.trim(first["_VALUE"]), F.lit("")), first["_href"])).alias("link"))
+
+    def located(e):
+        return F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"), _text(e["loc"]).alias("link"))
+
+    items = F.coalesce(F.col("x.channel.item"), F.col("x.item"))
+    found = [F.when(F.col("x._corrupt_record").isNull(), F.transform(list_, each)) for list_, each in ((items, entry), (F.col("x.entry"), entry), (F.col("x.url"), located), (F.col("x.sitemap"), located))]
+    form = F.when(F.col("x._corrupt_record").isNotNull(), "malformed").when(items.isNotNull(), "rss").when(F.col("x.entry").isNotNull(), "atom").when(F.col("x.url").isNotNull(), "sitemap").otherwise("sitemap_index")
+    rows = rows.select("key", form.alias("form"), F.coalesce(*found).alias("e")).filter("e is not null or form = 'malformed'")
+    return rows.select(F.col("key").alias(key), "form", F.posexplode_outer("e").alias("place", "e")).select(key, "form", "place", "e.id", "e.title", "e.link")
+
+
+def _text(c):
+    return F.nullif(F.trim(c), F.lit(""))
