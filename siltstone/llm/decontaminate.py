@@ -6,7 +6,7 @@ agree; the remaining words are then compared in place. Terms that no phrase rank
 
 Defined results: null or empty texts and texts without words have no words and no hits; null item texts and items
 without words have no windows; repeated items with one id count once; equal windows of several items hit for each;
-repeated documents are answered alike; further columns are ignored.
+repeated documents are answered alike; documents without an id are answered by their texts; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,9 +134,16 @@ class PositionalIndex:
 
 
 def proximity_matches(docs: DataFrame, terms: list[str], span: int, key: str = "doc_id") -> DataFrame:
-    """Documents in which all the words stand, in any order, within `span` consecutive words: key, start, width of the narrowest such stretch (the first of equals)."""
+    """Documents in which all the words stand, in any order, within `span` consecutive words: key, start, width of the narrowest such stretch (the first of equals).
+
+    Of a list that names no word no document is an answer; null texts and documents without an id are none either; repeated words of the list are one.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    terms = [t for t in terms if t]
     data, offsets = tokens.buffers(pa.array(terms))
-    wanted = np.unique(tokens.words(data, offsets, 0, len(terms), tokens.ALNUM, fold=True).hash)
+    wanted = np.unique(tokens.words(data, offsets, 0, len(terms), tokens.ALNUM, fold=True).hash) if terms else np.empty(0, np.uint64)
+    if not len(wanted):
+        return docs.sparkSession.createDataFrame([], f"{key} {kind}, start int, width int")
     placed = postings(docs, wanted, key).select(key, "term", F.explode("positions").alias("position"))
     size = len(wanted)
 
@@ -158,15 +165,26 @@ def proximity_matches(docs: DataFrame, terms: list[str], span: int, key: str = "
                         out[name].append(x)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(key, batch.schema.field(key).type), ("start", pa.int32()), ("width", pa.int32())]))
 
-    kind = docs.schema[key].dataType.simpleString()
     lists = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", "term"))).alias("pairs"))
     return lists.mapInArrow(narrowest, f"{key} {kind}, start int, width int")
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, work: Work, key: str = "doc_id", tests_key: str = "item_id", k: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """Per document: key, the columns in `keep`, n_words, n_hit (words inside a test window), items (ids, sorted)."""
-    index = PositionalIndex(docs, tests, work, key, tests_key, k)
     keep = [c for c in keep or [] if c != key]
+    nameless = docs.filter(F.col(key).isNull())
+    if nameless.isEmpty():  # the files' statistics know, if all have an id
+        return _compared(docs, tests, work, key, tests_key, k, keep)
+    own = "text_hash"
+    while own in docs.columns:
+        own += "_"
+    by_text = nameless.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias(own), *dict.fromkeys([key, *keep, "text"]))
+    answers = _compared(by_text, tests, Work(work.spark, "nameless"), own, tests_key, k, [key, *keep]).drop(own)
+    return _compared(docs.filter(F.col(key).isNotNull()), tests, work, key, tests_key, k, keep).unionByName(answers)
+
+
+def _compared(docs: DataFrame, tests: DataFrame, work: Work, key: str, tests_key: str, k: int, keep: list[str]) -> DataFrame:
+    index = PositionalIndex(docs, tests, work, key, tests_key, k)
     fields = [docs.schema[c] for c in (key, *keep)]
     schema = T.StructType([*fields, *T._parse_datatype_string("n_words long, n_hit long, items array<string>")])
     finds = index.phrase_matches()

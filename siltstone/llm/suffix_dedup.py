@@ -1,8 +1,8 @@
 """Suffix-array deduplication of long byte strings.
 
-Strings of two lengths are looked for: those of SPAN bytes are removed, those of NOTED bytes are counted, as repeats of
-some 50 words are often shorter than SPAN. Only places that can hold a repeated string reach a suffix array: each
-NOTED-byte string is named by the least fingerprint of its pieces, so equal strings have equal names, and a name that
+Strings of SPAN bytes are removed; where a shorter length is asked for too (`noted`), what strings of that length cover is
+counted beside. Only places that can hold a repeated string reach a suffix array: each
+string of the shorter length is named by the least fingerprint of its pieces, so equal strings have equal names, and a name that
 occurs once rules its strings out. The stretches of text under one name that occurs more often, with what follows up to
 SPAN bytes, are gathered by name into shards of bounded size. Each shard sorts its suffixes and takes common prefixes of
 neighbours; where the stretches of one name fill several shards, each shard's suffixes are looked up in the suffix
@@ -33,8 +33,6 @@ from siltstone.llm.tokens import U
 from siltstone.llm.work import Work, partitions
 
 SPAN = 400
-#: Bytes of the strings that are only counted: 50 words of four letters and a blank.
-NOTED = 250
 PIECE = 32
 #: A name that more batches' documents have than this is split by second names.
 COMMON = 256
@@ -82,7 +80,7 @@ def second_names(data: np.ndarray, bounds: np.ndarray, start: np.ndarray, span:
     return _spread(_slide(_prints(data, bounds, span, piece, 0x2545F4914F6CDD1D), span - piece + 1, np.minimum)[start])
 
 
-def names(data: np.ndarray, bounds: np.ndarray, span: int = NOTED, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def names(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and name of each `span`-byte string within a row, and place and name of each piece that names any. bounds: rows' offsets in data."""
     n = len(data)
     none = np.zeros(0, np.int64)
@@ -107,7 +105,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def shared_names(docs: DataFrame, key: str, span: int = NOTED, piece: int = PIECE, common: int = COMMON) -> DataFrame:
+def shared_names(docs: DataFrame, key: str, span: int = SPAN, piece: int = PIECE, common: int = COMMON) -> DataFrame:
     """Documents and names (common ones flagged) of their pieces that occur more than once, anywhere, packed by bucket of documents."""
     fragments = max(8, partitions(docs.sparkSession))
     width = -(-(1 << _BITS) // fragments)
@@ -200,9 +198,10 @@ def in_shards(pieces: list[bytes], of: np.ndarray, starts: list[int], spans: tup
     return out
 
 
-def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, noted: int = NOTED, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
+def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, noted: int | None = None, piece: int = PIECE, shard: int = SHARD) -> DataFrame:
     """Documents and ranges (first start * 2**31 + last start + 1, flagged for the shorter strings) of strings that occur more than once, packed by bucket of documents."""
-    spans = (span, noted)
+    spans = (span,) if noted is None else (span, noted)
+    flags, noted = (0, _FLAG)[: len(spans)], spans[-1]
     fragments = max(8, partitions(docs.sparkSession))
     width = -(-(1 << _BITS) // fragments)
 
@@ -272,7 +271,7 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, noted:
         for kind, *packed, text in zip(*(group.column(c).to_pylist() for c in _SENT_ARROW.names[1:])):
             doc, at, name, size, starts = (unpack_keys(x) for x in packed)
             if kind == 2:
-                for flag, wide in ((0, span), (_FLAG, noted)):
+                for flag, wide in zip(flags, spans):
                     n = np.minimum(size - wide + 1, starts)
                     docs_.append(doc[n > 0])
                     ranges.append((flag | (at << 31) | (at + n))[n > 0])
@@ -288,12 +287,12 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, noted:
         pieces = sorted((t for t, (name, _, times, _) in held.items() if times == 1 or kinds[name] > 1), key=lambda t: held[t][0])
         marks = in_shards(pieces, np.array([held[t][0] for t in pieces], np.int64), [held[t][1] for t in pieces], spans, shard)
         alone = [t for t, (name, _, times, _) in held.items() if times > 1 and kinds[name] == 1]
-        for text, own in chain(zip(pieces, marks), zip(alone, repeat(((), ())))):
+        for text, own in chain(zip(pieces, marks), zip(alone, repeat(((),) * len(spans)))):
             _, starts, times, places = held[text]
             if not places:
                 continue
             doc, at = np.array(places, np.int64).T
-            for flag, wide, some in zip((0, _FLAG), spans, own):
+            for flag, wide, some in zip(flags, spans, own):
                 n = min(len(text) - wide + 1, starts)
                 if n > 0:
                     put(doc, at, np.array([[0, n]]) if times > 1 else np.flatnonzero(np.diff(np.r_[False, some[:n], False].astype(np.int8))).reshape(-1, 2), flag)
@@ -304,8 +303,10 @@ def repeats(docs: DataFrame, met: DataFrame, key: str, span: int = SPAN, noted:
     return rows.mapInArrow(send, _SENT).repartition(fragments, "fragment").groupBy("fragment").applyInArrow(sort, "bucket int, docs binary, values binary")
 
 
-def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN, noted: int = NOTED) -> DataFrame:
-    """Per document: key, n_bytes, n_removed, n_spans, n_repeated (bytes in the shorter repeated strings), kept (the bytes that stay)."""
+def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN, noted: int | None = None) -> DataFrame:
+    """Per document: key, n_bytes, n_removed, n_spans, kept (the bytes that stay); with `noted`, n_repeated (bytes in repeated strings of that length)."""
+    further = [] if noted is None else ["n_repeated"]
+    noted = noted or span
 
     def cut(batches):
         for batch in batches:
@@ -330,14 +331,15 @@ def remove(docs: DataFrame, found: DataFrame, key: str, span: int = SPAN, noted:
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()))
                 kept.append(own[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans, n_repeated)), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
+            counts = [n_bytes, n_removed, n_spans, n_repeated][: 3 + len(further)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, pa.int64()) for x in counts), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", *further, "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").join(by_document(found, key), key, "left").mapInArrow(cut, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
+    return docs.select(key, "text").join(by_document(found, key), key, "left").mapInArrow(cut, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, {''.join(f'{c} long, ' for c in further)}kept binary")
 
 
-def deduplicate(docs: DataFrame, work: Work, key: str = "doc_id", span: int = SPAN, noted: int = NOTED, piece: int = PIECE, shard: int = SHARD, common: int = COMMON) -> DataFrame:
-    """noted: at most `span`, and no less than `piece`."""
-    met = work.save(shared_names(docs, key, noted, piece, common), "names")
+def deduplicate(docs: DataFrame, work: Work, key: str = "doc_id", span: int = SPAN, noted: int | None = None, piece: int = PIECE, shard: int = SHARD, common: int = COMMON) -> DataFrame:
+    """noted: a further length to be counted, at most `span` and no less than `piece`."""
+    met = work.save(shared_names(docs, key, noted or span, piece, common), "names")
     found = work.save(repeats(docs, met, key, span, noted, piece, shard), "repeats")
     return remove(docs, found, key, span, noted)

@@ -106,10 +106,25 @@ def test_terms_in_passes(spark, rows, docs, monkeypatch):
     assert {r["doc_id"]: r["n_hit"] for r in hits.collect()} == {d: w[1] for d, w in expected_hits(rows, items).items()}
 
 
+def test_documents_without_an_id(spark, rows):
+    """They are found by their texts, several of them and clashing names included."""
+    long = max((t for _, t, *_ in rows if t), key=len)
+    items = [(1, long[500:700]), (2, "same words here now")]
+    odd = [(None, long), (None, "same words here now"), (None, None), (None, "clean"), (None, "clean"), (7, long), (8, "clean")]
+    df = spark.createDataFrame([(d, t, t) for d, t in odd], "doc_id long, text string, text_hash string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(df, tests, Work(spark, "t3"), keep=["text_hash"]).collect()
+    want = [(d, t, *expected_hits([(0, t)], items)[0][:2]) for d, t in odd]
+    assert sorted(((r["doc_id"], r["text_hash"], r["n_words"], r["n_hit"]) for r in got), key=repr) == sorted(want, key=repr) and sum(w[3] > 0 for w in want) == 3
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a x x b c"), (2, "a b"), (3, "c b a"), (4, None)], "doc_id long, text string")
     assert {r["doc_id"]: (r["start"], r["width"]) for r in decontaminate.proximity_matches(df, ["A", "b", "c"], 5).collect()} == {1: (0, 5), 3: (0, 3)}
     assert decontaminate.proximity_matches(df, ["a", "b", "c"], 4).count() == 1
+    for none in ([], ["", None], ["...", "!"]):
+        assert decontaminate.proximity_matches(df, none, 4).collect() == []
+    assert decontaminate.proximity_matches(df, ["b", "B"], 1).count() == 3
 
 
 # 4
@@ -394,6 +409,8 @@ def test_suffix_dedup(spark, rows, docs, empty, span, noted, shard, common):
     want = expected_bytes(rows, span)
     assert {d: g["n_repeated"] for d, g in got.items()} == {d: w[1] for d, w in expected_bytes(rows, noted).items()}
     assert {d: (g["n_bytes"], g["n_removed"], g["n_spans"], bytes(g["kept"])) for d, g in got.items()} == want and sum(w[1] for w in want.values()) > 2000
+    alone = by_id(suffix_dedup.deduplicate(docs, Work(spark, "t9"), span=span, shard=shard, common=common))
+    assert {d: (g["n_bytes"], g["n_removed"], g["n_spans"], bytes(g["kept"])) for d, g in alone.items()} == want and all("n_repeated" not in g for g in alone.values())
     assert suffix_dedup.deduplicate(empty, Work(spark, "t9")).count() == 0
 
 
