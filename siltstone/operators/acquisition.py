@@ -90,11 +90,25 @@ def reported(sources: DataFrame, sites: DataFrame, key: str) -> DataFrame:
 
 
 def freshest(requests: DataFrame, artifacts: DataFrame, key: str, at: str, collected: str, seconds: int) -> DataFrame:
-    """Requests with the latest artifact of the same key not after them and at most `seconds` older; an equi-join and a window of time, one row a request."""
-    fits = (F.col(f"a.{collected}") <= F.col(f"r.{at}")) & (F.col(f"a.{collected}") >= F.col(f"r.{at}") - F.expr(f"INTERVAL {seconds} SECONDS"))
-    joined = requests.alias("r").join(artifacts.alias("a"), (F.col(f"r.{key}") == F.col(f"a.{key}")) & fits, "left")
-    own = [F.col(f"r.{c}") for c in requests.columns]
-    return joined.groupBy(*own).agg(F.max_by(F.col("a.artifact_id"), F.struct(f"a.{collected}", "a.artifact_id")).alias("artifact_id"))
+    """Requests with the latest artifact of the same key not after them and at most `seconds` older, the greatest id of equals.
+
+    Both sides are read once in order of time. A key is cut into spans of `seconds`, and an artifact stands in its own span
+    and the next, so that what one task orders is a key's rows of two spans. Requests without a key or time have none.
+    """
+    kind = artifacts.schema[collected].dataType
+
+    def span(time):
+        return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast(kind), time) / seconds)
+
+    some = artifacts.filter(F.col(key).isNotNull() & F.col(collected).isNotNull())
+    seen = some.select(F.col(key).alias("k"), F.col(collected).alias("t"), F.col("artifact_id").alias("a"), F.explode(F.array(span(F.col(collected)), span(F.col(collected)) + 1)).alias("span"))
+    asked = requests.select(F.col(key).alias("k"), F.col(at).alias("t"), span(F.col(at)).alias("span"), F.struct(*requests.columns).alias("r"))
+    both = seen.unionByName(asked, allowMissingColumns=True)
+    # a request follows the artifacts of its own moment
+    w = Window.partitionBy("k", "span").orderBy("t", F.col("r").isNotNull(), "a").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("a").isNotNull(), F.struct("t", "a")), ignorenulls=True).over(w)
+    out = both.withColumn("last", last).filter("r is not null")
+    return out.select("r.*", F.when(F.col("last.t") >= F.col("t") - F.expr(f"INTERVAL {seconds} SECONDS"), F.col("last.a")).alias("artifact_id"))
 
 
 def redirects(starts: DataFrame, hops: DataFrame, most: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siltstone.operators import acquisition, evidence, rebinding
+from siltstone.operators import acquisition, evidence, gaploop, rebinding
 from siltstone.plans.web import table
 from siltstone.sources.tables import Folder
 from siltstone.sources.upserts import Snapshots
@@ -453,3 +453,22 @@ def k02_k06_snapshots(spark, sf_dir):
         store.upsert(rows.filter(arrival == k), k)
     n = rows.groupBy("transaction_id").agg(F.count("*").alias("n"))
     return store.rows().drop("content").join(n, "transaction_id")
+
+
+# queries of a turn are the customers of a year; what they bring are the parts that they ordered
+@query("""WITH o AS (SELECT o_orderpriority gap, year(o_orderdate) - 1991 turn, o_custkey query, o_orderkey FROM orders), p AS (SELECT DISTINCT gap, turn, query FROM o WHERE turn BETWEEN 1 AND 6), a AS (SELECT gap, query, min(turn) turn FROM p GROUP BY ALL),
+f AS (SELECT gap, evidence, min(turn) turn FROM (SELECT a.gap, a.turn, l_partkey evidence FROM a JOIN o ON o.gap = a.gap AND o.query = a.query JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY ALL), n AS (SELECT count(*) n FROM part), g AS (SELECT DISTINCT o_orderpriority gap, turn FROM orders, range(1, 7) t(turn)),
+c AS (SELECT g.gap, g.turn, (SELECT count(*) FROM p WHERE p.gap = g.gap AND p.turn = g.turn) proposed, (SELECT count(*) FROM a WHERE a.gap = g.gap AND a.turn = g.turn) asked, (SELECT count(*) FROM f WHERE f.gap = g.gap AND f.turn = g.turn) gained FROM g),
+s AS (SELECT *, (sum(gained) OVER w)::BIGINT covered, (sum(asked) OVER w)::BIGINT spent FROM c WINDOW w AS (PARTITION BY gap ORDER BY turn)),
+r AS (SELECT s.*, CASE WHEN covered >= 0.99 * n THEN 'target_reached' WHEN proposed = 0 THEN 'no_source_left' WHEN proposed - asked > 0.9 * proposed THEN 'repeating' WHEN gained < 1 THEN 'no_new_evidence' WHEN spent >= 100000000 THEN 'budget_exhausted' WHEN turn >= 6 THEN 'limit_reached' END stop FROM s, n)
+SELECT gap, turn::INTEGER turn, proposed, asked, gained, covered, spent, stop FROM (SELECT *, count(stop) OVER (PARTITION BY gap ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ended FROM r) WHERE ended = 0""")
+def g05_gap_loop(spark, sf_dir):
+    """For each priority, the turns of a search for parts, until 99 of 100 are found or another rule ends it."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("gap"), (F.year("o_orderdate") - 1991).alias("turn"), F.col("o_custkey").alias("query"), "o_orderkey")
+    parts = table(spark, sf_dir, "part").agg((F.count("*") * F.lit(0.99)).alias("target"))  # one row
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("evidence"))
+    loop = gaploop.Loop(
+        spark, Folder(spark, "g05").path, o.select("gap").distinct().join(F.broadcast(parts)), lambda turn, _: o.filter(F.col("turn") == turn),
+        lambda new: new.join(o.select("gap", "query", "o_orderkey"), ["gap", "query"]).join(lines, "o_orderkey"), repeated=0.9, budget=100_000_000,
+    )
+    return loop.run().select("gap", "turn", "proposed", "asked", "gained", "covered", "spent", "stop")

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 def add_bodies(bodies: DataFrame, store: str) -> int:
-    """Appends bodies (content) that the store (Parquet of sha256, content) lacks; what is there is never rewritten. Returns how many."""
+    """Appends bodies (content) that the store (Parquet of sha256, content) lacks; what is there is never rewritten. Returns how many.
+
+    Only the store's hashes are read. Contents that are already there are held against their hashes in `upserts.Snapshots`.
+    """
     spark = bodies.sparkSession
     new = bodies.filter(F.octet_length("content") > 0).select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         new = new.join(spark.read.schema("sha256 string, content binary").parquet(store).select("sha256"), "sha256", "left_anti")
-    before = 0 if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else spark.read.parquet(store).count()
-    new.write.mode("append").parquet(store)
-    return spark.read.parquet(store).count() - before
+    written = Observation()
+    new.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(store)
+    return written.get["n"]
 
 
 def checkpoint_json(spark: SparkSession, path: str, payload: dict) -> None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.sources.sinks import checkpoint_json
@@ -61,8 +62,13 @@ def keep_partial(events: DataFrame, folder: str, checkpoint: str):
     """Starts a stream whose rows are kept after each batch, with a summary beside them; a batch that runs again writes over its own rows alone."""
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
-        spark = batch.sparkSession
-        checkpoint_json(spark, f"{folder}/partial.json", {"batches": n + 1, "rows": spark.read.parquet(f"{folder}/rows").count()})
+        spark, own = batch.sparkSession, Observation()
+        batch.observe(own, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/partial.json")
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        last = json.loads(spark.read.text(f"{folder}/partial.json", wholetext=True).first()[0]) if there else {"batches": 0, "rows": 0, "before": 0}
+        # of a batch that runs again, what was there before it counts
+        before = last["rows"] if last["batches"] == n else last["before"]
+        checkpoint_json(spark, f"{folder}/partial.json", {"batches": n + 1, "rows": before + own.get["n"], "before": before})
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

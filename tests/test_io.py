@@ -123,3 +123,40 @@ def test_partial_results_are_kept(spark, sf, tmp_path):
         progress.keep_partial(events, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     assert spark.read.parquet(f"{tmp_path}/out/rows").count() == n and f'"rows": {n}' in open(f"{tmp_path}/out/partial.json").read()
+
+
+def test_partial_counts_of_a_batch_that_runs_again(spark, doubled, tmp_path):
+    """The stream forgets its last batch, which then runs again: the summary counts it once."""
+    events = progress.read_events(spark, doubled)
+    progress.keep_partial(events, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    before = open(f"{tmp_path}/out/partial.json").read()
+    for f in (tmp_path / "state" / "commits").glob("*1*"):
+        f.unlink()
+    progress.keep_partial(progress.read_events(spark, doubled), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    n = spark.read.parquet(f"{tmp_path}/out/rows").count()
+    assert open(f"{tmp_path}/out/partial.json").read() == before and json.loads(before)["rows"] == n and json.loads(before)["batches"] == 2
+
+
+def test_sessions_close(spark, sf, doubled, tmp_path):
+    """Sessions of the stream are those of the table, but for those that the watermark leaves open."""
+    out = _run(spark, progress.sessions(progress.read_events(spark, doubled, "events-1*")), tmp_path)
+    rows = sorted((r["user_id"], r["ts"].timestamp()) for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts")).collect())
+    want = []
+    for user, ts in rows:
+        if want and want[-1][0] == user and ts < want[-1][2] + 7200:
+            want[-1][2:] = ts, want[-1][3] + 1
+        else:
+            want.append([user, ts, ts, 1])
+    got = {(r["user_id"], r["start"].timestamp(), r["end"].timestamp(), r["n"]) for r in out.collect()}
+    want = {(u, a, b + 7200, n) for u, a, b, n in want}
+    last = max(ts for _, ts in rows)
+    assert got <= want and all(w[2] > last - 3600 - 60 for w in want - got) and len(got) > 100
+
+
+def test_sliding_windows(spark, sf, doubled, tmp_path):
+    out = _run(spark, progress.windowed(progress.read_events(spark, doubled, "events-1*"), "2 days", "1 day"), tmp_path)
+    batch = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.window(F.col("ts").cast("timestamp"), "2 days", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    want = {(str(r["start"]), r["event_type"]): r["n"] for r in batch.select("w.start", "event_type", "n").collect()}
+    got = {(str(r["start"]), r["event_type"]): r["n"] for r in out.collect()}
+    starts = sorted({s for s, _ in want})
+    assert got.items() <= want.items() and {s for s, _ in want.keys() - got.keys()} <= set(starts[-3:]) and len(got) > 50
