@@ -1,17 +1,24 @@
 """Mixing of sources to target weights by Pfair scheduling.
 
-Each source's documents, in a hashed order, fill blocks of equal size. In the fluid mix every source that has blocks left
-is served at a rate in proportion to its weight, so that after t slots t blocks are served; T(x) is the slot at which the
-fluid mix has served x blocks of a source. Its block i is released at slot floor(T(i)) and due by slot ceil(T(i + 1));
-each slot takes the released block that is due first. At any slot a source has had within one block of what the fluid mix
-gave it. All is in whole numbers from the weights as given, so nothing is rounded and nothing drifts. When a source has no
-more blocks, the rates of the others go up, and every document is placed once and none is dropped or repeated.
+Each source's documents, in a hashed order, fill units of equal size, half a block each. In the fluid mix every source that
+has units left is served at a rate in proportion to its weight, so that after t slots t units are served; T(x) is the slot at
+which the fluid mix has served x units of a source. Its unit i is released at slot floor(T(i)) and due by slot ceil(T(i + 1));
+each slot takes the released unit that is due first.
+
+This is done in two levels. The slots are cut into periods, at most `PERIODS` of them and two for each source's end, so that
+all rates stay as they are within one. The driver takes for each period as many units as it has slots, due first, first; a cut then
+has each source within one unit of the fluid mix, and one bit tells on which side. Inside a period, where a source's units
+are now whole, a task schedules these alone by releases and deadlines, within one unit of a line between its cuts. So
+at any slot a source has had less than two units, one block, more or less than what the fluid mix gave it. All is in whole numbers from the
+weights as given, so nothing is rounded and nothing drifts. When a source has no more units, the rates of the others go up,
+and every document is placed once and none is dropped or repeated. What the driver does and sends is bounded by periods and
+sources, however many units there are.
 
 Offsets within a source are sums within hashed chunks and, over the chunks, of their sums; no task takes a whole source.
 
 Defined results: every source is scheduled by itself, null as one more; sources without a given weight share what
 is left of 1, or a hundredth of the least weight; weights of 0 or below come last, by size; empty and null texts have one
-byte; a text longer than a block stands at the block it begins in; repeated rows follow each other; further columns stay.
+byte; a text longer than a unit stands at the unit it begins in; repeated rows follow each other; further columns stay.
 """
 
 from __future__ import annotations
@@ -19,41 +26,34 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+from collections import OrderedDict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siltstone.llm.work import partitions
 
 #: Bytes of a block.
 BLOCK = 1 << 16
-#: Slots in which `shares` gives whole shares; at least 20 times the sources.
-PERIOD = 1000
-#: Blocks of a source in a row of the plan.
-PART = 1000
+#: Periods that the driver looks at, at most.
+PERIODS = 1 << 16
+#: Slots of a period, at least; 16 times the sources, if that is more.
+PERIOD = 1 << 12
+#: Periods whose slots a task remembers.
+REMEMBERED = 32
 #: Default weights are the sources' bytes to this power.
 POWER = 0.7
 #: The name of null.
 POOL = "\x00pool"
 
 
-def shares(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole shares of a period by largest remainder, at least 1 each."""
-    period = max(period, 20 * len(weights))
-    free = period - len(weights)
-    exact = [free * w / sum(weights) for w in weights]
-    out = [1 + int(x) for x in exact]
-    for k in sorted(range(len(weights)), key=lambda k: (int(exact[k]) - exact[k], k))[: period - sum(out)]:
-        out[k] += 1
-    return out
-
-
 def schedule(own: list[int]) -> list[list[int]]:
-    """The slots of each source's blocks in one period: of the released blocks the one due first, then of the first source."""
+    """The slots of each source's units in one period: of the released units the one due first, then of the first source."""
     period = sum(own)
     slots: list[list[int]] = [[] for _ in own]
-    waiting = [(0, k) for k in range(len(own))]
+    waiting = [(0, k) for k in range(len(own)) if own[k]]
     ready: list[tuple[int, int]] = []
     heapq.heapify(waiting)
     for slot in range(period):
@@ -67,50 +67,91 @@ def schedule(own: list[int]) -> list[list[int]]:
     return slots
 
 
-def fluid(blocks: list[int], weights: list[float]) -> list[list[int]]:
-    """The slots of each source's blocks; weights are above 0. What T(x) is for x blocks of a source depends on which sources end before."""
-    exact = [Fraction(w) for w in weights]
-    scale = math.lcm(*(w.denominator for w in exact))
-    own = [int(w * scale) for w in exact]
-    # a source ends when the fluid time, blocks by weight, is its own last; then N blocks were of ended sources and W is the weight left
-    order = sorted(range(len(own)), key=lambda k: Fraction(blocks[k], own[k]))
-    ends = [Fraction(blocks[k], own[k]) for k in order]
-    ended, left = [0], [sum(own)]
-    for k in order:
-        ended.append(ended[-1] + blocks[k])
-        left.append(left[-1] - own[k])
-
-    def due(k: int, x: int) -> tuple[int, int]:
-        at = bisect.bisect_left(ends, Fraction(x, own[k]))
-        got, rest = divmod(x * left[at], own[k])
-        return ended[at] + got, ended[at] + got + (rest > 0)
-
-    slots: list[list[int]] = [[] for _ in own]
-    waiting = [(0, k, due(k, 1)) for k in range(len(own))]
-    ready: list[tuple[int, int, int]] = []
-    for slot in range(sum(blocks)):
-        while waiting and waiting[0][0] <= slot:
-            _, k, (after, last) = heapq.heappop(waiting)
-            heapq.heappush(ready, (last, k, after))
-        _, k, after = heapq.heappop(ready)
-        slots[k].append(slot)
-        if len(slots[k]) < blocks[k]:
-            heapq.heappush(waiting, (after, k, due(k, len(slots[k]) + 1)))
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, start slot, slots in all, its own of these): sources with a weight, and after them, by size, the others."""
-    some = {s: n for s, n in sorted(blocks.items()) if n > 0}
+class Plan:
+    """The slots of sources' units; each has at least one, and a weight above 0."""
+
+    def __init__(self, units: list[int], weights: list[float], start: int = 0):
+        exact = [Fraction(w) for w in weights]
+        scale = math.lcm(*(w.denominator for w in exact))
+        self.units, self.own, self.start, self.total = units, [int(w * scale) for w in exact], start, sum(units)
+        # a source ends when the fluid time, units by weight, is its own last; then some units were of ended sources, and some weight is left
+        order = sorted(range(len(units)), key=lambda k: Fraction(units[k], self.own[k]))
+        self.ends = [Fraction(units[k], self.own[k]) for k in order]
+        self.place = {k: j for j, k in enumerate(order)}
+        self.ended, self.left = [0], [sum(self.own)]
+        for k in order:
+            self.ended.append(self.ended[-1] + units[k])
+            self.left.append(self.left[-1] - self.own[k])
+        self.kinks = [n + w * end for n, w, end in zip(self.ended, self.left, self.ends)]
+        step = max(PERIOD, 16 * len(units), -(-self.total // PERIODS))
+        bends = {f(k) for k in self.kinks for f in (math.floor, math.ceil)}
+        self.cuts = sorted({*range(0, self.total, step), self.total, *bends})
+        self.up = self._rounded()
+        self._starts: dict[int, np.ndarray] = {}
+        self._inside: OrderedDict[int, list[np.ndarray]] = OrderedDict()
+
+    def _served(self, t: int, k: int, ended: int) -> tuple[int, bool]:
+        """Whole units of a source that the fluid mix has served before slot t, and whether it has begun another."""
+        if self.place[k] < ended:
+            return self.units[k], False
+        whole, rest = divmod(self.own[k] * (t - self.ended[ended]), self.left[ended])
+        return whole, rest > 0
+
+    def _due(self, k: int, x: int) -> int:
+        at = bisect.bisect_left(self.ends, Fraction(x, self.own[k]))
+        return self.ended[at] - (-x * self.left[at] // self.own[k])
+
+    def _rounded(self) -> np.ndarray:
+        """For each cut and source, in bits: whether the unit that the fluid mix has begun stands before the cut."""
+        up = np.zeros((len(self.cuts), len(self.units)), bool)
+        now = [0] * len(self.units)
+        for c, t in enumerate(self.cuts):
+            ended = bisect.bisect_right(self.kinks, t)
+            served = [self._served(t, k, ended) for k in range(len(now))]
+            now = [max(had, whole) for had, (whole, _) in zip(now, served)]
+            begun = [(self._due(k, whole + 1), k) for k, (whole, more) in enumerate(served) if more and now[k] == whole]
+            for _, k in heapq.nsmallest(t - sum(now), begun):
+                now[k] += 1
+            up[c] = [n > whole for n, (whole, _) in zip(now, served)]
+        return np.packbits(up, axis=1)
+
+    def _had(self, c: int, k: int) -> int:
+        t = self.cuts[c]
+        return self._served(t, k, bisect.bisect_right(self.kinks, t))[0] + int(self.up[c, k >> 3] >> (7 - k % 8) & 1)
+
+    def _period(self, c: int) -> list[np.ndarray]:
+        if c not in self._inside:
+            every = range(len(self.units))
+            self._inside[c] = [np.array(s, np.int64) for s in schedule([self._had(c + 1, k) - self._had(c, k) for k in every])]
+            if len(self._inside) > REMEMBERED:
+                self._inside.popitem(last=False)
+        self._inside.move_to_end(c)
+        return self._inside[c]
+
+    def slots(self, k: int, units: np.ndarray) -> np.ndarray:
+        """The slots of a source's units, in any order."""
+        if k not in self._starts:
+            self._starts[k] = np.array([self._had(c, k) for c in range(len(self.cuts))], np.int64)
+        before = self._starts[k]
+        periods = np.searchsorted(before, units, "right") - 1
+        out = np.empty(len(units), np.int64)
+        for c in np.unique(periods):
+            here = periods == c
+            out[here] = self.start + self.cuts[c] + self._period(int(c))[k][units[here] - before[c]]
+        return out
+
+
+def phases(units: dict[str, int], weights: dict[str, float]) -> tuple[dict[str, tuple[Plan, int]], int]:
+    """Each source's plan and its number there, and the slots in all: sources with a weight, and after them, by size, the others."""
+    some = {s: n for s, n in sorted(units.items()) if n > 0}
     above = [s for s in some if weights.get(s, 0) > 0]
-    out, start = [], 0
-    for names, own in ((above, [weights[s] for s in above]), ([s for s in some if s not in set(above)], None)):
+    out, start = {}, 0
+    for names, own in ((above, weights), ([s for s in some if s not in set(above)], some)):
         if names:
-            total = sum(some[s] for s in names)
-            for s, t in zip(names, fluid([some[s] for s in names], own or [some[s] for s in names])):
-                out.append((s, 0, some[s], start, total, t))
-            start += total
-    return out
+            plan = Plan([some[s] for s in names], [own[s] for s in names], start)
+            out |= {s: (plan, k) for k, s in enumerate(names)}
+            start += plan.total
+    return out, start
 
 
 def target_weights(sizes: dict[str, int], given: dict[str, float] | None) -> dict[str, float]:
@@ -123,7 +164,7 @@ def target_weights(sizes: dict[str, int], given: dict[str, float] | None) -> dic
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> tuple[DataFrame, int]:
-    """Rows (row: the document, pool, offset, block, slot) and the slots in all. Their order is slot, offset, then the key."""
+    """Rows (row: the document, pool, offset, block, slot: its half block's) and the slots in all. Their order is slot, offset, then the key."""
     rows = docs.select(F.struct("*").alias("row")).withColumn("bytes", F.greatest(F.coalesce(F.octet_length("row.text"), F.lit(1)), F.lit(1)).cast("long"))
     name = F.col(f"row.{source}").cast("string")
     pool = F.coalesce(name, F.lit(POOL))
@@ -132,19 +173,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "do
     sums = rows.groupBy("pool", "chunk").agg(F.sum("bytes").alias("own"))
     before = sums.withColumn("before", F.sum("own").over(Window.partitionBy("pool").orderBy("chunk")) - F.col("own"))
     sizes = {r["pool"]: r["n"] for r in sums.groupBy("pool").agg(F.sum("own").alias("n")).collect()}  # one of each source
-    weights = target_weights(sizes, weights)
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, weights)
-    total = sum(p[2] for p in plan)
-    spark = docs.sparkSession
-    parts = [(s, a // PART, [start + t for t in slots[a : a + PART]]) for s, _, n, start, _, slots in plan for a in range(0, n, PART)]
-    table = spark.createDataFrame(parts, "p string, part long, slots array<long>")
+    unit = max(1, block // 2)
+    plans, total = phases({s: -(-n // unit) for s, n in sizes.items()}, target_weights(sizes, weights))
+
+    # sent to tasks: a bit for each period and source
+    @F.pandas_udf("long")
+    def slot(pools: pd.Series, units: pd.Series) -> pd.Series:
+        out = np.empty(len(pools), np.int64)
+        for name, at in pools.groupby(pools).indices.items():
+            plan, k = plans[name]
+            out[at] = plan.slots(k, units.to_numpy()[at])
+        return pd.Series(out)
+
     within = Window.partitionBy("pool", "chunk").orderBy(f"row.{key}", "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.join(before.select("pool", "chunk", "before"), ["pool", "chunk"])
-    placed = placed.withColumn("offset", F.col("before") + F.sum("bytes").over(within) - F.col("bytes")).withColumn("block", F.expr(f"offset div {block}"))
-    # broadcast: one number for each block of documents
-    met = placed.join(F.broadcast(table), (F.col("pool") == F.col("p")) & (F.expr(f"block div {PART}") == F.col("part")))
-    at = F.expr(f"element_at(slots, cast(block % {PART} as int) + 1)")
-    return met.withColumn("slot", at).select("row", "pool", "offset", "block", "slot"), total
+    placed = placed.withColumn("offset", F.col("before") + F.sum("bytes").over(within) - F.col("bytes"))
+    return placed.select("row", "pool", "offset", F.expr(f"offset div {block}").alias("block"), slot("pool", F.expr(f"offset div {unit}")).alias("slot")), total
 
 
 def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:

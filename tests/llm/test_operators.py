@@ -459,14 +459,13 @@ def test_langid(spark, docs, empty):
 # 2
 
 
-@pytest.mark.parametrize("weights", [[1], [1, 1], [5, 3, 2], [0.5, *[0.01] * 50], [0.9, 0.05, 0.03, 0.02]])
-def test_schedule_deviates_less_than_a_block(weights):
-    own = mixing.shares(weights)
+@pytest.mark.parametrize("own", [[1], [500, 500], [5, 3, 2], [0, 7, 0, 1], [490, *[10] * 51], [900, 50, 30, 20]])
+def test_schedule_deviates_less_than_a_unit(own):
     slots = mixing.schedule(own)
     period = sum(own)
     assert sorted(s for t in slots for s in t) == list(range(period))
     for a, t in zip(own, slots):
-        had = np.cumsum(np.bincount(t, minlength=period))
+        had = np.cumsum(np.bincount(np.array(t, int), minlength=period))
         assert np.abs(had - a * np.arange(1, period + 1) / period).max() < 1
 
 
@@ -484,17 +483,14 @@ def test_mixing(spark, rows, docs, empty):
     assert ordered.columns == docs.columns and ordered.count() == len(rows)
 
 
-def test_phases_place_every_block_once():
-    blocks = {"a": 1000, "b": 3, "c": 77, "d": 0}
-    plan = mixing.phases(blocks, {"a": 0.1, "b": 0.6, "c": 0.3, "d": 1})
-    seen = set()
-    for source, first, n, start, period, slots in plan:
-        for i in range(n):
-            slot = start + i // len(slots) * period + slots[i % len(slots)]
-            assert slot not in seen
-            seen.add(slot)
-    assert seen == set(range(1080))
-    assert all(sum(p[2] for p in plan if p[0] == s) == n for s, n in blocks.items())
+def test_phases_place_every_unit_once():
+    units = {"a": 1000, "b": 3, "c": 77, "d": 0, "e": 40, "f": 9}
+    plans, total = mixing.phases(units, {"a": 0.1, "b": 0.6, "c": 0.3, "d": 1, "e": 0, "f": -1})
+    assert set(plans) == set("abcef") and total == 1129
+    at = {s: plan.slots(k, np.arange(units[s])) for s, (plan, k) in plans.items()}
+    assert sorted(np.concatenate(list(at.values())).tolist()) == list(range(total))
+    assert min(at["e"].min(), at["f"].min()) == 1080
+    assert mixing.phases({"d": 0}, {}) == ({}, 0)
 
 
 # 1

@@ -77,22 +77,52 @@ def test_goings_on_against_brute_force(spark, monkeypatch):
     assert any(c > 1 for c in kinds.values()) and any(not counts[w] for own in words.values() for w in own)
 
 
-def test_mix_keeps_to_the_given_weights():
-    """Within one block of the exact weights at every slot, over many periods, for small weights and over 200 sources."""
+def lag(units, weights):
+    """The most that a source is before or after the fluid mix of the exact weights, in units; the fluid mix is made slot by slot."""
+    from fractions import Fraction
+
+    from siltstone.llm import mixing
+
+    plan = mixing.Plan(units, weights)
+    at = [plan.slots(k, np.arange(n)) for k, n in enumerate(units)]
+    assert (np.sort(np.concatenate(at)) == np.arange(sum(units))).all() and all((np.diff(a) > 0).all() for a in at)
+    had = [np.cumsum(np.bincount(a, minlength=sum(units))) for a in at]
+    own, left, most = [Fraction(w) for w in weights], [Fraction(n) for n in units], 0
+    for t in range(sum(units)):
+        room = Fraction(1)
+        while room:  # all that are left are served by weight until one ends
+            rate = sum(w for w, n in zip(own, left) if n)
+            time = min([room / rate, *(n / w for w, n in zip(own, left) if n)])
+            left = [n - w * time if n else n for w, n in zip(own, left)]
+            room -= time * rate
+        most = max(most, *(abs(int(h[t]) - (n - rest)) for h, n, rest in zip(had, units, left)))
+    return most
+
+
+def test_mix_keeps_to_the_given_weights(monkeypatch):
+    """Less than one block, two units, from the exact weights at every slot: with one period and with many, for small weights, ends of sources, and many sources."""
+    from siltstone.llm import mixing
+
+    rng = np.random.default_rng(11)
+    for period in (1, 3, 16, 1 << 12):
+        monkeypatch.setattr(mixing, "PERIOD", period)
+        for _ in range(12):
+            n = rng.integers(1, 9)
+            units = [int(x) for x in rng.integers(1, rng.choice([3, 60]), n)]
+            assert lag(units, [float(rng.choice([rng.random(), 1e-9 + 1e-4 * rng.random(), 1.0])) for _ in units]) < 2
+    monkeypatch.setattr(mixing, "PERIOD", 1)
+    assert lag([200, *[3] * 60], [0.5, 1e-5, *[0.49999 / 59] * 59]) < 2
+
+
+def test_mix_of_a_hundred_terabytes_is_planned_in_bounds():
+    """3.2 billion units: the plan's size is that of its periods, and units far in have their own slots, in order."""
     from siltstone.llm import mixing
 
-    for weights in ({"a": 0.9, "b": 0.1}, {"a": 0.5, "small": 1e-5, **{f"s{k:03}": 0.49999 / 298 for k in range(298)}}):
-        total = sum(weights.values())
-        blocks = {s: int(60_000 * w / total) + 1 for s, w in weights.items()}
-        plan = mixing.phases(blocks, weights)
-        assert {p[0] for p in plan} == set(blocks)
-        # all sources have blocks left up to here
-        upto = int(min((blocks[s] - 1) / (w / total) for s, w in weights.items() if blocks[s] > 1))
-        for source, _, n, start, period, slots in plan:
-            at = np.array([start + i // len(slots) * period + slots[i % len(slots)] for i in range(n)])
-            if n > 1:
-                had = np.searchsorted(at, np.arange(1, upto + 1))
-                assert np.abs(had - weights[source] / total * np.arange(1, upto + 1)).max() < 1 + 1e-6
+    units = [400_000_000 + 7 * k for k in range(8)]
+    plan = mixing.Plan(units, [0.5, 0.2, 0.1, 0.1, 0.05, 0.03, 0.019, 0.001])
+    assert len(plan.cuts) <= mixing.PERIODS + 1 + 2 * len(units) and plan.up.nbytes <= len(plan.cuts)
+    at = plan.slots(1, np.arange(100_000_000, 100_000_500))
+    assert (np.diff(at) > 0).all() and abs(at - (np.arange(100_000_000, 100_000_500) / 0.2)).max() < 2 / 0.2 + 2
 
 
 def test_every_source_is_mixed_by_itself(spark):
