@@ -121,9 +121,22 @@ def redirects(starts: DataFrame, hops: DataFrame, most: int = 3) -> DataFrame:
 
 
 def ledger(rows: DataFrame, by: str, order: list[str], amount: str, soft: float, hard: float) -> DataFrame:
-    """Running balance of reservations, and whether each crosses the soft limit or is beyond the hard one."""
+    """Running balance of reservations, and whether each crosses the soft limit or is beyond the hard one.
+
+    Amounts are added as decimals of ten places, so that a balance on a limit is on it whatever the order of adding; from the
+    first amount on that those can't hold, a group's balances are sums of doubles.
+    """
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("balance", F.sum(amount).over(w)).withColumn("warns", F.col("balance") > soft).withColumn("admitted", F.col("balance") <= hard)
+    exact = F.col(amount).try_cast("decimal(28,10)")
+    other = F.coalesce(F.bool_or(F.col(amount).isNotNull() & F.coalesce(exact.cast("double") != F.col(amount).cast("double"), F.lit(True))).over(w), F.lit(False))
+    out = rows.withColumn("_exact", F.sum(exact).over(w)).withColumn("_other", F.when(other, F.sum(F.col(amount).cast("double")).over(w)))
+
+    def either(f):
+        return F.when(F.col("_other").isNotNull(), f(F.col("_other"))).otherwise(f(F.col("_exact")))
+
+    limit = lambda x: F.lit(str(x)).cast("decimal(28,10)")
+    balance = F.coalesce("_other", F.col("_exact").cast("double"))
+    return out.withColumns({"balance": balance, "warns": either(lambda b: b > limit(soft)), "admitted": either(lambda b: b <= limit(hard))}).drop("_exact", "_other")
 
 
 def second_pass(sources: DataFrame, first: DataFrame, key: str) -> DataFrame:

@@ -134,3 +134,13 @@ def test_pages_by_attributes(spark):
     ]
     df = spark.createDataFrame([(r[0],) for r in rows], "h string")
     assert [tuple(r) for r in df.select(pages.title(F.col("h")), pages.visible_text(F.col("h"))).collect()] == [r[1:] for r in rows]
+
+
+def test_ledger_is_exact_on_its_limits(spark):
+    # doubles added in turn give 0.30000000000000004 and 0.9999999999999999
+    rows = [(1, k, 0.1) for k in range(10)] + [(2, 0, 0.5), (2, 1, None), (2, 2, float("inf")), (2, 3, 1.0), (3, 0, None)]
+    df = spark.createDataFrame(rows, "u long, k long, v double")
+    got = {(r["u"], r["k"]): (r["balance"], r["warns"], r["admitted"]) for r in acquisition.ledger(df, "u", ["k"], "v", 0.3, 0.7).collect()}
+    assert [got[1, k] for k in range(10)] == [((k + 1) / 10, k > 2, k < 7) for k in range(10)]
+    inf = float("inf")
+    assert [got[2, k] for k in range(4)] == [(0.5, True, True)] * 2 + [(inf, True, False)] * 2 and got[3, 0] == (None, None, None)
