@@ -150,3 +150,8 @@ def test_entities_end_at_a_semicolon(spark):
     page = "<title>a&amp;&amp;&amp</title><p>b &quot c &#39; &#x41; &lt;d&gt; &amp;lt; &nosuch; &notit;"
     row = spark.createDataFrame([(page, ["/?a=1&copy=2&amp;b", None])], "h string, l array<string>").select(pages.title(F.col("h")), pages.visible_text(F.col("h")), pages.each_unescaped(F.col("l"))).first()
     assert tuple(row) == ("a&&&amp", "a&&&amp b &quot c ' A <d> &lt; &nosuch; &notit;", ["/?a=1&copy=2&b", None])
+
+
+def test_entities_without_boilerplate(spark):
+    page = "<title>a&amp</title><nav>&amp;</nav><p>b&amp;&quot</p><footer>&copy;</footer>"
+    assert value(spark, pages.without_boilerplate(F.col("h")), h=page) == "a&amp b&&quot"
