@@ -142,11 +142,14 @@ def target_shape(url: Column, label: Column, seen: Column, threshold: float = 0.
 
 
 def near_hashes(hashes: DataFrame, column: str, most: int, blocks: list[tuple[int, int]]) -> DataFrame:
-    """Ordered pairs (column, other) of distinct hashes that differ in `most` bits at most. blocks: first bit and bits; what differs in `most` of them leaves the rest equal."""
+    """Ordered pairs (column, other) of distinct hashes that differ in `most` bits at most. blocks: first bit and bits; what differs in `most` of them leaves the rest equal.
+
+    Both sides are shuffled: a hash has a row for each key, which Spark's estimate leaves out, so that it would collect all of them for a broadcast.
+    """
     keys = []
     for k, kept in enumerate(combinations(blocks, len(blocks) - most)):
         value = sum((F.shiftleft(F.shiftright(column, low).bitwiseAND((1 << size) - 1), at * size) for at, (low, size) in enumerate(kept)), F.lit(0).cast("long"))
         keys.append(F.struct(F.lit(k).alias("k"), value.alias("v")))
     rows = hashes.select(column, F.explode(F.array(*keys)).alias("x")).select(column, "x.k", "x.v")
-    pairs = rows.join(rows.withColumnRenamed(column, "other"), ["k", "v"]).filter((F.col(column) != F.col("other")) & (hamming(F.col(column), F.col("other")) <= most))
+    pairs = rows.hint("merge").join(rows.withColumnRenamed(column, "other"), ["k", "v"]).filter((F.col(column) != F.col("other")) & (hamming(F.col(column), F.col("other")) <= most))
     return pairs.select(column, "other").distinct()

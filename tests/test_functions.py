@@ -155,3 +155,9 @@ def test_entities_end_at_a_semicolon(spark):
 def test_entities_without_boilerplate(spark):
     page = "<title>a&amp</title><nav>&amp;</nav><p>b&amp;&quot</p><footer>&copy;</footer>"
     assert value(spark, pages.without_boilerplate(F.col("h")), h=page) == "a&amp b&&quot"
+
+
+def test_near_hashes_are_not_collected_for_a_broadcast(spark):
+    df = spark.range(100).select(F.col("id").alias("h"))
+    plan = texts.near_hashes(df, "h", 3, [(10 * k, 10) for k in range(6)])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
