@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.functions import urls
+from siltstone.sources.tables import Folder
 
 #: Tokens that name no one.
 GENERIC = ["and", "app", "blog", "cloud", "com", "community", "data", "for", "forum", "io", "news", "online", "org", "platform", "site", "the", "tools", "web"]
@@ -85,14 +86,49 @@ def minhash(docs: DataFrame, key: str, text: Column, hashes: int = 8) -> DataFra
     return rows.groupBy(key).agg(*[F.min(F.expr(f"(h * {2 * k + 1} + {k * 7919}) % 2147483647")).alias(f"m{k}") for k in range(hashes)])
 
 
-def term_weights(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, term, tf, df, n, dl, avgdl. Counts by term are pre-aggregated; the corpus totals are one row."""
-    terms = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    totals = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return tf.join(dl, key).join(df, "term").join(F.broadcast(totals))
+#: A term is frequent from this share of the documents on; of those there are at most as many as a document has on average, times the reciprocal.
+FREQUENT = 1 / 1000
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+def counted(rows: DataFrame, text: Column, only: list[str] | None = None) -> DataFrame:
+    """Adds dl, the number of words, and terms, array<struct<term, tf>>, in order of terms (`only` some); a sorted text's runs are counted in its row, without a shuffle. Texts without words are left out."""
+    own = F.col("_w") if only is None else F.filter("_w", lambda w: w.isin(only))
+    rows = rows.withColumn("_w", words(text)).filter("size(_w) > 0").withColumn("dl", F.size("_w").cast("long")).withColumn("_s", F.sort_array(own)).drop("_w")
+    begins = F.filter(F.transform("_s", lambda w, i: F.when((i == 0) | (w != F.get("_s", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_at", begins)
+    runs = F.transform("_at", lambda p, j: F.struct(F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", j + 1), F.size("_s")) - p).cast("long").alias("tf")))
+    return rows.withColumn("terms", runs).drop("_s", "_at")
+
+
+def term_weights(docs: DataFrame, key: str, text: Column, folder: Folder, only: list[str] | None = None, frequent: float = FREQUENT) -> DataFrame:
+    """key, term, tf, df, n, dl, avgdl (of `only` some terms). Rows of one key are one document; null keys have no rows, but count.
+
+    Frequent terms, which most rows have, meet their counts where the documents are; only rows of the others are shuffled.
+    """
+    rows = docs.select(key, text.alias("_t"))
+    several = rows.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_k"))
+    if several.isEmpty():
+        own = counted(rows, F.col("_t"), only).select(key, "dl", "terms")
+    else:
+        same = F.col(key).eqNullSafe(F.col("_k"))
+        alone = counted(rows.join(several, same, "left_anti"), F.col("_t"), only).select(key, "dl", "terms")
+        parts = folder.save(counted(rows.join(several, same, "left_semi"), F.col("_t"), only).select(key, "dl", "terms"), "several")
+        merged = parts.select(key, F.explode("terms").alias("x")).groupBy(key, "x.term").agg(F.sum("x.tf").alias("tf")).groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+        length = parts.groupBy(F.col(key).alias("_k")).agg(F.sum("dl").alias("dl"))
+        own = alone.unionByName(length.join(merged, same, "left").select(F.col("_k").alias(key), "dl", "terms"))
+    own = folder.save(own, "counted")
+    n, total = own.agg(F.count("*"), F.sum("dl")).first()
+    tf = own.select(key, "dl", F.explode("terms").alias("x")).select(key, "dl", "x.term", "x.tf")
+    df = folder.save(tf.groupBy("term").agg(F.count("*").alias("df")), "df")
+    most = F.col("df") >= n * frequent
+    fit = tf.filter(F.col(key).isNotNull())
+    there = fit.join(F.broadcast(df.filter(most)), "term")
+    others = fit.join(F.broadcast(df.filter(most).select("term")), "term", "left_anti").join(df.filter(~most), "term")
+    return there.unionByName(others).select(key, "term", "tf", "df", F.lit(n).cast("long").alias("n"), "dl", F.lit(total / n if n else None).cast("double").alias("avgdl"))
 
 
 def bm25(weights: DataFrame, key: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:

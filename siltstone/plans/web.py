@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltstone.functions import pages, table_functions, texts, urls
 from siltstone.sources import stored
+from siltstone.sources.tables import Folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -185,14 +186,15 @@ def x33_minhash(spark, sf_dir):
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) term FROM documents), tf AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
  n AS (SELECT count(*) n, avg(dl) avgdl FROM dl) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) score FROM tf JOIN dl USING (doc_id) JOIN df USING (term), n WHERE term IN ('hand', 'then', 'mente') GROUP BY 1""")
 def x34_bm25(spark, sf_dir):
-    weights = texts.term_weights(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return texts.bm25(weights, "doc_id", ["hand", "then", "mente"]).select("doc_id", F.round("score", 6).alias("score"))
+    query = ["hand", "then", "mente"]
+    weights = texts.term_weights(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), Folder(spark, "bm25"), only=query)
+    return texts.bm25(weights, "doc_id", query).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) term FROM documents), tf AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) n FROM tf)
 SELECT doc_id, count(*) terms, round(max(tf * ln(n / df)), 6) top FROM tf JOIN df USING (term), n GROUP BY 1""")
 def x34_tfidf(spark, sf_dir):
-    w = texts.term_weights(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    w = texts.term_weights(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), Folder(spark, "tfidf"))
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max(F.col("tf") * F.log(F.col("n") / F.col("df"))), 6).alias("top"))
 
 
