@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import texts
+from siltstone.plans import registry
 from siltstone.sources.tables import Folder
 
 
@@ -32,3 +33,8 @@ def test_term_weights(spark, docs, frequent):
     assert len(got) == len({r[:2] for r in got}) and {tuple(r) for r in got} == weighed(docs)
     some = texts.term_weights(df, "k", F.col("t"), Folder(spark, "terms"), only=["w0", "a", "none"], frequent=frequent).collect()
     assert {tuple(r) for r in some} == {x for x in weighed(docs) if x[1] in ("w0", "a", "none")}
+
+
+@pytest.mark.parametrize("name", ["x34_bm25", "x34_tfidf"])
+def test_frequent_terms_meet_counts_where_documents_are(spark, sf, name):
+    assert "strategy=broadcast" in registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
