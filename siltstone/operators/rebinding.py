@@ -1,10 +1,10 @@
 """Quotes of one version of documents bound anew to the segments of the next.
 
 A quote is looked for word for word in the new segments of its own document. Its anchor is the hash of its document and its first
-bytes, ANCHOR or less. The anchors are put into a filter of fixed size that every task has; tasks go once over the new segments,
-hash each place for each length of anchor in use, and send only segments with a place that the filter lets through. These
-meet the quotes by anchor, and whole quotes are compared. So neither the documents' texts nor their places are shuffled but
-where a quote may stand, and a document with many quotes is spread by its anchors.
+bytes, ANCHOR or less. Anchors and segments are dealt by document, once each; a task has its documents' anchors, eight bytes
+each, before their segments come, which it goes over batch by batch: it hashes each place for each length of anchor in use and
+sends on only segments with a place that has a quote's anchor. These meet the quotes by anchor, and whole quotes are compared.
+So what is shuffled grows as the texts and quotes do, and no document is held whole.
 
 An old binding is never changed: what comes out are new rows. `valid` has the first place in the document's new segments
 and in how many segments the quote stands; `stale_binding` has none; `source_removed` has no segment of its document.
@@ -22,14 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.operators import filters
 from siltstone.operators.near import mixed
 from siltstone.sources.tables import Folder
 
 #: Bytes of a quote that its anchor has, at most; shorter ones have the greatest power of two that they reach.
 ANCHOR = 32
-#: Bits of the filter, 16 MB; where quotes fill it, it lets more through, and the comparison decides.
-BITS = 1 << 27
 _P, _PER_LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -77,13 +74,28 @@ def anchors(quotes: DataFrame, most: int = ANCHOR) -> DataFrame:
     return rows.mapInArrow(task, f"document_id {kind}, quote string, anchor long, length int")
 
 
-def places(segments: DataFrame, lengths: list[int], mask: np.ndarray) -> DataFrame:
-    """document_id, sequence, segment, anchor: each anchor that a segment may have, once."""
+def places(segments: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:
+    """document_id, sequence, segment, anchor: each anchor of a quote that a segment has, once. Anchors come to where their document's segments do, before them."""
     rows = segments.filter("segment is not null").select("document_id", "sequence", "segment", F.xxhash64("document_id").alias("d"))
-    sent = segments.sparkSession.sparkContext.broadcast(mask)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("document_id", "sequence", "segment")]
+    both = keyed.select(*none, F.xxhash64("document_id").alias("d"), "anchor").unionByName(rows.withColumn("anchor", F.lit(None).cast("long")))
+    both = both.repartition("d").sortWithinPartitions(F.col("anchor").isNull())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting = None, []
         for batch in batches:
+            is_anchor = batch.column("anchor").is_valid()
+            if is_anchor.true_count:
+                waiting.append(batch.column("anchor").drop_null().to_numpy())
+                batch = batch.filter(pc.invert(is_anchor))
+            if not batch.num_rows or not waiting:
+                continue
+            if known is None:
+                known = np.unique(np.concatenate(waiting))
+                size = 1 << int(64 * len(known) - 1).bit_length()
+                some = np.zeros(size, bool)  # tells most places apart without a search
+                some[known & (size - 1)] = True
             data, at = _bytes(batch.column("segment"))
             i = 0
             while i < batch.num_rows:
@@ -96,16 +108,16 @@ def places(segments: DataFrame, lengths: list[int], mask: np.ndarray) -> DataFra
                 rows_, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for n, h in _runs(own, lengths):
                     key = mixed(h ^ d[row[: len(h)]]).view(np.int64)
-                    hit = np.flatnonzero((left[: len(h)] >= n) & filters.has(sent.value, key))
+                    hit = np.flatnonzero((left[: len(h)] >= n) & some[key & (len(some) - 1)])
+                    hit = hit[known[np.minimum(np.searchsorted(known, key[hit]), len(known) - 1)] == key[hit]]
                     rows_.append(row[hit])
                     keys.append(key[hit])
-                both = np.unique(np.stack([np.concatenate(rows_), np.concatenate(keys)], 1), axis=0)
-                part = batch.slice(i, j - i).select(["document_id", "sequence", "segment"]).take(pa.array(both[:, 0]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(both[:, 1])], ["document_id", "sequence", "segment", "anchor"])
+                found = np.unique(np.stack([np.concatenate(rows_), np.concatenate(keys)], 1), axis=0)
+                part = batch.slice(i, j - i).select(["document_id", "sequence", "segment"]).take(pa.array(found[:, 0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found[:, 1])], ["document_id", "sequence", "segment", "anchor"])
                 i = j
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(task, f"document_id {kinds['document_id']}, sequence {kinds['sequence']}, segment string, anchor long")
+    return both.mapInArrow(task, f"document_id {kinds['document_id']}, sequence {kinds['sequence']}, segment string, anchor long")
 
 
 def rebound(bindings: DataFrame, segments: DataFrame, folder: Folder, version: str, most: int = ANCHOR) -> DataFrame:
@@ -117,7 +129,7 @@ def rebound(bindings: DataFrame, segments: DataFrame, folder: Folder, version: s
     fit = own.filter("document_id is not null and quote != ''").select("document_id", "quote").distinct()
     keyed = folder.save(anchors(fit, most), "anchors")
     lengths = sorted(r[0] for r in keyed.select("length").distinct().collect())  # powers of two up to `most`
-    held = places(segments, lengths, filters.of(keyed, "anchor", BITS))
+    held = places(segments, keyed, lengths)
     met = held.join(keyed.select(F.col("document_id").alias("of"), "anchor", "quote"), "anchor").filter("document_id = of")
     found = met.select("document_id", "quote", "sequence", F.instr(F.col("segment"), F.col("quote")).alias("at"), F.unhex(F.sha2("segment", 256)).alias("segment_hash")).filter("at > 0")
     best = found.groupBy("document_id", "quote").agg(F.min(F.struct("sequence", (F.col("at") - 1).alias("quote_start"), "segment_hash")).alias("first"), F.count("*").alias("places"))

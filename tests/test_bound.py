@@ -166,3 +166,14 @@ def test_without_each(spark):
 def test_registered_rows_vary(spark, sf):
     kinds = {name: {r[0] for r in registry.QUERIES[name](spark, sf).select(column).distinct().collect()} for name, column in (("j17_rebound_quotes", "binding_status"), ("r04_r06_jobs", "status"), ("g06_a22_counterfactuals", "decision"))}
     assert kinds["j17_rebound_quotes"] == {"valid", "stale_binding", "source_removed"} and len(kinds["r04_r06_jobs"]) >= 4
+
+
+def test_only_segments_with_an_anchor_are_sent(spark):
+    texts = [(k % 40, k, f"{k % 7} words of {k} " * (k % 5)) for k in range(400)] + [(None, 0, "of"), (3, 401, None)]
+    asked = sorted({(k % 50, t) for k in range(200) for t in (f"words of {k} ", "absent everywhere", "of")})
+    new = spark.createDataFrame(texts, "document_id long, sequence long, segment string")
+    keyed = rebinding.anchors(spark.createDataFrame(asked, "document_id long, quote string"), 8).localCheckpoint()
+    got = rebinding.places(new, keyed, sorted(r[0] for r in keyed.select("length").distinct().collect())).collect()
+    heads = {(d, q[: 1 << min(3, len(q).bit_length() - 1)]) for d, q in asked}
+    want = sorted((d, k) for d, k, t in texts if t for h in {h for of, h in heads if of == d} if h in t)
+    assert sorted((r["document_id"], r["sequence"]) for r in got) == want and want
