@@ -106,8 +106,9 @@ def feed_entries(feeds: DataFrame, key: str = "source_id", body: str = "body") -
     items = F.coalesce(F.col("x.channel.item"), F.col("x.item"))
     found = [F.when(F.col("x._corrupt_record").isNull(), F.transform(list_, each)) for list_, each in ((items, entry), (F.col("x.entry"), entry), (F.col("x.url"), located), (F.col("x.sitemap"), located))]
     form = F.when(F.col("x._corrupt_record").isNotNull(), "malformed").when(items.isNotNull(), "rss").when(F.col("x.entry").isNotNull(), "atom").when(F.col("x.url").isNotNull(), "sitemap").otherwise("sitemap_index")
-    rows = rows.select("key", form.alias("form"), F.coalesce(*found).alias("e")).filter("e is not null or form = 'malformed'")
-    return rows.select(F.col("key").alias(key), "form", F.posexplode_outer("e").alias("place", "e")).select(key, "form", "place", "e.id", "e.title", "e.link")
+    # filtered after it is exploded: a filter below would be moved under the reader, and read each body again for each name in it
+    rows = rows.select("key", form.alias("form"), F.coalesce(*found).alias("e")).select(F.col("key").alias(key), "form", F.posexplode_outer("e").alias("place", "e"))
+    return rows.filter("place is not null or form = 'malformed'").select(key, "form", "place", "e.id", "e.title", "e.link")
 
 
 def _text(c):

@@ -61,3 +61,8 @@ def test_table_function(spark):
     for call, why in (("TABLE(told), 'none', 'turn', 'text'", "no column none"), ("TABLE(told), 'turn', 'turn', 'turn'", "is no text"), ("1, 'a', 'a', 'a'", "must be a table")):
         with pytest.raises(Exception, match=why):
             spark.sql(f"SELECT * FROM text_segments({call})").collect()
+
+
+def test_each_body_is_read_once(spark):
+    plan = stored.feed_entries(spark.createDataFrame([("a", RSS)], "source_id string, body string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xmltostructs(") + plan.count("from_xml(") == 1
