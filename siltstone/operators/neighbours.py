@@ -4,7 +4,7 @@ Equal vectors are one class, of its least key; only classes are stored and looke
 crowd out other neighbours. Each table's code is the signs beside BITS hyperplanes, BITS by the number of classes. A query looks into
 the codes that differ where it stands nearest to a hyperplane; how many probes that takes is fitted on a sample of at most
 SAMPLE classes, so that the sample's own neighbours are found in a share of `recall`; the whole table's are nearer, and so
-easier. A bucket's vectors and queries meet in a task, which keeps the best k of each query; larger buckets are cut, and
+easier. Where probes of all tables would compare as many vectors as there are, there is one bucket, and the search is exact. A bucket's vectors and queries meet in a task, which keeps the best k of each query; larger buckets are cut, and
 each part meets the queries by itself. What comes out is exact in its cosines; neighbours are missed, never invented.
 
 Defined results: null vectors and those with null or not finite entries, without length, or not of the commonest number of
@@ -113,6 +113,8 @@ def fit(own: DataFrame, k: int, recall: float = 0.95, tables: int = TABLES, fill
         if not found.size or found.mean() >= recall:
             break
         index.probes *= 2
+    if tables * index.probes >= 1 << bits:  # as many would be compared as there are: each then goes to all parts, of which there are fewer
+        return Index(index.planes[:1, :0], 1)
     return index
 
 

@@ -271,3 +271,18 @@ def test_forest_is_minimal(spark):
             root[find(a)] = find(b)
             total, n = total + w, n + 1
     assert len(got) == len(set(got)) == n and sum(w for _, _, w in got) == total
+
+
+def test_vectors_without_structure_go_to_parts_once(spark):
+    """Where probing would compare all vectors, each goes to all parts instead: fewer rows, and exact."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 24))
+    own = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "rep long, vector array<double>, copies long")
+    index = neighbours.fit(own, 5, fill=128)
+    assert len(index.planes) * index.probes == 1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(like, -2)
+    want = {(a, int(b)) for a in range(0, 1200, 50) for b in np.argsort(-like[a], kind="stable")[:5]}
+    got = neighbours.nearest(own, Folder(spark, "n"), 5, F.col("key") % 50 == 0, key="rep", column="vector", index=index, part=500)
+    assert {(r["rep"], r["neighbour"]) for r in got.collect()} == want
