@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F
@@ -51,15 +50,22 @@ _TIMES, _PLUS = _STEPS[:HASHES] | U(1), _STEPS[HASHES:]
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], U)
 
 
+def hashed(words: pa.LargeStringArray) -> np.ndarray:
+    """A number for each word, of all its bytes and their places."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    at = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
+    return np.add.reduceat(np.r_[mixed(mixed(at.astype(U) + U(1)) + data), U(0)], offsets[:-1] - offsets[0])
+
+
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, sorted, where each text's begin (with an end), and the texts' numbers of words. Words are runs without ASCII blanks, in lower case."""
     parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     flat = parts.flatten().dictionary_encode()
-    kinds = flat.dictionary.to_pylist()
-    own = pd.util.hash_array(np.array([*kinds, None], object)[:-1], categorize=False) if kinds else np.zeros(0, U)
+    own = hashed(flat.dictionary) if len(flat.dictionary) else np.zeros(0, U)
     at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-    blank = np.array([not w for w in kinds], bool)
+    blank = pc.equal(pc.binary_length(flat.dictionary), 0).to_numpy(zero_copy_only=False)
     if blank.any():  # before the first and after the last word
         at, row = at[~blank[at]], row[~blank[at]]
     n = np.bincount(row, minlength=len(texts))
@@ -73,8 +79,8 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     for k in range(size):
         values += np.where(k < left, hashes[begin + k] * _POWERS[k], U(0))
     values = mixed(values + left.astype(U))
-    order = np.lexsort((values, of))
-    of, values = of[order], values[order]
+    for a, b in zip(np.cumsum(per) - per, np.cumsum(per)):
+        values[a:b].sort()
     keep = np.r_[True, (of[1:] != of[:-1]) | (values[1:] != values[:-1])][: len(of)]
     of, values = of[keep], values[keep]
     return values, np.searchsorted(of, np.arange(len(texts) + 1)), n
@@ -148,9 +154,9 @@ def sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
 
 def agreed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal places of signatures (rows of a by rows of b); 8 bits agree by chance once in 256."""
-    out = np.zeros((len(a), len(b)), np.int32)
+    out = np.zeros((len(a), len(b)), np.uint8)  # HASHES fit in it
     for k in range(HASHES):
-        out += a[:, k, None] == b[None, :, k]
+        out += (a[:, k, None] == b[None, :, k]).view(np.uint8)
     return (out / HASHES - 1 / 256) / (1 - 1 / 256)
 
 
@@ -169,22 +175,32 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: tuple[DataFrame, str, str
     kind = reps.schema["key"].dataType.simpleString()
     left = folder.save(both.select("a", "b", "sa", "sb").mapInArrow(near, f"a {kind}, b {kind}"), f"{name}-near")
     wide = folder.save(sets(*texts, left.select(F.col("a").alias("key")).union(left.select("b")).distinct()), f"{name}-sets")
-    # salted: the pairs of one text are dealt over tasks, and each has the text once
-    sent = left.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(16))).join(wide.toDF("b", "own"), "b")
+    # salted: the pairs of one text are dealt over tasks, and each has the text once, before what is compared with it
+    part = F.pmod(F.xxhash64("b"), F.lit(16)).alias("part")
+    sent = left.select("a", part, "b").join(wide.toDF("b", "own"), "b").select("a", "part", "b", "own")
+    once = left.select("a", part).distinct().join(wide.toDF("a", "own"), "a").select("a", "part", F.lit(None).cast(kind).alias("b"), "own")
+    rows = once.unionByName(sent).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # one, but for rows of one key
+        for batch in batches:
+            keep = []
+            for a, part, b, own in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "own"))):
+                y = np.frombuffer(own, U)
+                if b is None:
+                    held = [*held, y] if at == (a, part) else [y]
+                    at = a, part
+                    keep.append(False)
+                    continue
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x in held]
+                keep.append(any(c >= threshold * (len(x) + len(y) - c) for x, c in zip(held, common)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(exact, f"a {kind}, b {kind}")
 
-    def exact(one: pa.Table, many: pa.Table) -> pa.Table:
-        if not one.num_rows:
-            return pa.table({"a": many["a"][:0], "b": many["b"][:0]})
-        held = [np.frombuffer(own, U) for own in one["set"].to_pylist()]  # one, but for rows of one key
-        keep = []
-        for own in many["own"].to_pylist():
-            y = np.frombuffer(own, U)
-            common = [len(np.intersect1d(x, y, assume_unique=True)) for x in held]
-            keep.append(any(c >= threshold * (len(x) + len(y) - c) for x, c in zip(held, common)))
-        return pa.table({"a": many["a"], "b": many["b"]}).filter(pa.array(keep, pa.bool_()))
 
-    own = left.select("a", F.pmod(F.xxhash64("b"), F.lit(16)).alias("part")).distinct().join(wide.toDF("a", "own"), "a").toDF("x", "p", "set")
-    return own.groupBy("x", "p").cogroup(sent.select("a", "part", "b", "own").groupBy("a", "part")).applyInArrow(exact, f"a {kind}, b {kind}")
+def together(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []
 
 
 def across(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -194,8 +210,7 @@ def across(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     other = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     met = cut.withColumn("q", F.explode(other)).select("band", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "component", "short")
 
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+    def compare(group: pa.RecordBatch) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(group["short"].to_pylist()), np.uint8).reshape(-1, HASHES)
         component, p = group["component"].to_numpy(), group["p"].to_numpy()
         first, second = np.flatnonzero(p == group["i"][0].as_py()), np.flatnonzero(p == group["j"][0].as_py())
@@ -207,10 +222,24 @@ def across(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             a.append(part[at[0]])
             b.append(second[at[1]])
         node = group["node"]
-        return pa.table({"x": node.take(pa.array(np.concatenate(a))), "y": node.take(pa.array(np.concatenate(b)))})
+        return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(a))), node.take(pa.array(np.concatenate(b)))], ["x", "y"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Most keys have a few texts, so groups are cut from sorted rows; the last one of a batch may go on in the next."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks().to_batches()[0]
+            by = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")])
+            begin = np.r_[0, 1 + np.flatnonzero((by[:, 1:] != by[:, :-1]).any(0))]
+            yield from together([compare(batch.slice(a, b - a)) for a, b in zip(begin[:-1], begin[1:])])
+            held = batch.slice(begin[-1])
+        if held:
+            yield compare(held)
 
     kind = rows.schema["node"].dataType.simpleString()
-    found = met.groupBy("band", "i", "j").applyInArrow(compare, f"x {kind}, y {kind}")
+    found = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(task, f"x {kind}, y {kind}")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,10 @@ def test_vectors_without_structure_go_to_parts_once(spark):
     want = {(a, int(b)) for a in range(0, 1200, 50) for b in np.argsort(-like[a], kind="stable")[:5]}
     got = neighbours.nearest(own, Folder(spark, "n"), 5, F.col("key") % 50 == 0, key="rep", column="vector", index=index, part=500)
     assert {(r["rep"], r["neighbour"]) for r in got.collect()} == want
+
+
+def test_words_and_groups_cost_no_call_of_their_own(spark):
+    words = pa.array(["a", "b", "ab", "ba", "é", "aé", "", "x" * 5000, "x" * 5001, "a\x00"], pa.large_string())
+    assert len(set(near.hashed(words).tolist())) == len(words) and (near.hashed(words.slice(2, 3)) == near.hashed(words)[2:5]).all()
+    rows = spark.createDataFrame([(1, 1, 1, bytes(near.HASHES)), (1, 2, 2, bytes(near.HASHES))], "band long, node long, component long, short binary")
+    assert "FlatMapGroups" not in near.across(rows)._jdf.queryExecution().executedPlan().toString()
