@@ -242,40 +242,48 @@ class Attention:
 
     def forward(self, inputs: np.ndarray, live: np.ndarray, targets: np.ndarray):
         """Probabilities of targets (windows * STRIDE) and what the gradient needs. inputs, live: windows * WINDOW."""
-        e = self.profile[inputs]
+        e = np.take(self.profile, inputs, axis=0)
         k = e.shape[2]
-        q = e[:, -STRIDE:]
+        q = np.ascontiguousarray(e[:, -STRIDE:]).reshape(-1, k)  # one product for all windows
         gap = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         # exponents are clipped, so none needs its row's greatest taken off; sums are products with ones
-        weights = np.matmul(q @ self.pairs, e.transpose(0, 2, 1))
+        weights = np.matmul((q @ self.pairs).reshape(-1, STRIDE, k), e.transpose(0, 2, 1))
         weights += self.far[np.maximum(gap, 0)]
         np.exp(np.clip(weights, -60, 60, out=weights), out=weights)
         weights *= (gap >= 0).astype(np.float32)
-        weights *= live.astype(np.float32)[:, None, :]
+        if not live.all():
+            weights *= live.astype(np.float32)[:, None, :]
         weights /= np.maximum(weights @ np.ones(WINDOW, np.float32), np.float32(1e-30))[:, :, None]
         context = np.matmul(weights, e)
-        gate = q @ self.own + context @ self.context + self.bias
+        gate = q @ self.own
+        gate += context.reshape(-1, k) @ self.context
+        gate += self.bias
         np.exp(np.clip(gate, -60, 60, out=gate), out=gate)
         ones = np.ones(k, np.float32)
-        gate /= (gate @ ones)[:, :, None]
-        joint = gate * self.by_id[targets]
-        return joint @ ones, joint, gate, context, weights, e, gap
+        gate /= (gate @ ones)[:, None]
+        gate = gate.reshape(-1, STRIDE, k)
+        joint = np.take(self.by_id, targets, axis=0)
+        joint *= gate
+        return (joint.reshape(-1, k) @ ones).reshape(-1, STRIDE), joint, gate, context, weights, e, gap
 
     def gradient(self, inputs: np.ndarray, live: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ascent direction of the mean log probability of positions that count, and the experts' parts in each."""
         p, joint, gate, context, attention, e, gap = self.forward(inputs, live, targets)
         parts = joint / np.maximum(p, 1e-30)[:, :, None]
-        d = (parts - gate) * counts[:, :, None]
-        q = e[:, -STRIDE:]
+        d = parts - gate
+        if not counts.all():
+            d *= counts[:, :, None]
+        q = np.ascontiguousarray(e[:, -STRIDE:])
         k = e.shape[2]
-        d_context = d @ self.context.T
+        d_context = (d.reshape(-1, k) @ self.context.T).reshape(d.shape)
         d_attention = np.matmul(d_context, e.transpose(0, 2, 1))
         # the mean of d_attention under the attention is d_context by the context
-        d_logits = attention * (d_attention - (d_context * context).sum(2, keepdims=True))
-        d_pairs = np.einsum("bsk,bsl->kl", q, np.matmul(d_logits, e), optimize=True)
+        d_attention -= ((d_context * context).reshape(-1, k) @ np.ones(k, np.float32)).reshape(-1, STRIDE, 1)
+        d_logits = np.multiply(attention, d_attention, out=d_attention)
+        d_pairs = q.reshape(-1, k).T @ np.matmul(d_logits, e).reshape(-1, k)
         d_far = np.bincount(np.maximum(gap, 0).ravel(), d_logits.sum(0).ravel(), WINDOW)
         flat = lambda x: x.reshape(-1, k)
-        out = [d_pairs, d_far, flat(q).T @ flat(d), flat(context).T @ flat(d), flat(d).sum(0)]
+        out = [d_pairs, d_far, flat(q).T @ flat(d), flat(context).T @ flat(d), np.ones(d.size // k, np.float32) @ flat(d)]
         return np.concatenate([np.asarray(x).ravel() for x in out]) / max(counts.sum(), 1), parts
 
 
@@ -297,7 +305,7 @@ def blocks(ids: np.ndarray, counts: np.ndarray, size: int, most: int):
         at = m[a : a + most, None] * STRIDE + np.arange(STRIDE - WINDOW, STRIDE)[None, :]
         live = (at >= 0) & (at < length[r][:, None])
         place = np.where(live, begin[r][:, None] + at, 0)
-        yield x[place], live, y[place[:, -STRIDE:]], live[:, -STRIDE:], r
+        yield np.take(x, place), live, np.take(y, place[:, -STRIDE:]), live[:, -STRIDE:], r
 
 
 def windows(ids: np.ndarray, counts: np.ndarray, size: int):
@@ -355,7 +363,7 @@ def start(slices: DataFrame, size: int, unigram: np.ndarray, further: np.ndarray
                 for a in range(0, len(begin) - 1, 8192):
                     own = begin[a : a + 8193]
                     ids, n = y[own[0] : own[-1]], np.diff(own)
-                    score = np.add.reduceat(by_id[ids], own[:-1] - own[0]) + prior
+                    score = np.add.reduceat(np.take(by_id, ids, axis=0), own[:-1] - own[0]) + prior
                     parts = np.exp(0.5 * (score - score.max(1, keepdims=True)))
                     parts = (parts / parts.sum(1, keepdims=True)).astype(float)
                     for k in range(topics):
