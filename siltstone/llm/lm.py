@@ -40,6 +40,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 EXPERTS = 12
 WINDOW = 32
 STRIDE = 24
+#: How far each key (columns) of a window lies behind each scored position (rows); below 0: ahead of it.
+GAP = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+#: Exponents are clipped to this, either way.
+MOST = 60
 #: Rounds over all training windows in which the experts part.
 ROUNDS = 4
 #: A table keeps entries of at least a TABLE-th of all counts, so it has TABLE entries at most.
@@ -217,6 +221,8 @@ class Attention:
 
     def __post_init__(self):
         self.by_id = np.ascontiguousarray(self.experts.T, np.float32)
+        # profiles in order of ids (or each look-up copies the table), with a one beside them: products with it are sums
+        self.table = np.ascontiguousarray(np.pad(self.profile, ((0, 0), (0, 1)), constant_values=1))
 
     @staticmethod
     def start(experts: np.ndarray) -> Attention:
@@ -240,51 +246,59 @@ class Attention:
             at += x.size
         return out
 
+    def attend(self, logits: np.ndarray) -> np.ndarray:
+        """Shares of the attention, times any positive factor by position, in place of logits; what lies ahead has none."""
+        far = self.far[np.maximum(GAP, 0)]
+        # profiles add up to 1, so this bounds all exponents; they are clipped only where they can be beyond it
+        if np.abs(self.pairs).max() + np.abs(self.far).max() > MOST:
+            logits += far
+            np.exp(np.clip(logits, -MOST, MOST, out=logits), out=logits)
+            far = np.zeros_like(far)
+        else:
+            np.exp(logits, out=logits)
+        logits *= np.where(GAP >= 0, np.exp(far), np.float32(0))
+        return logits
+
     def forward(self, inputs: np.ndarray, live: np.ndarray, targets: np.ndarray):
-        """Probabilities of targets (windows * STRIDE) and what the gradient needs. inputs, live: windows * WINDOW."""
-        e = np.take(self.profile, inputs, axis=0)
-        k = e.shape[2]
-        q = np.ascontiguousarray(e[:, -STRIDE:]).reshape(-1, k)  # one product for all windows
-        gap = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        # exponents are clipped, so none needs its row's greatest taken off; sums are products with ones
-        weights = np.matmul((q @ self.pairs).reshape(-1, STRIDE, k), e.transpose(0, 2, 1))
-        weights += self.far[np.maximum(gap, 0)]
-        np.exp(np.clip(weights, -60, 60, out=weights), out=weights)
-        weights *= (gap >= 0).astype(np.float32)
-        if not live.all():
-            weights *= live.astype(np.float32)[:, None, :]
-        weights /= np.maximum(weights @ np.ones(WINDOW, np.float32), np.float32(1e-30))[:, :, None]
-        context = np.matmul(weights, e)
+        """Probabilities of targets (windows * STRIDE) and what the gradient needs. inputs, live (one run in each window): windows * WINDOW."""
+        e = np.take(self.table, inputs, axis=0)
+        k = e.shape[2] - 1
+        ones = np.ones(k, np.float32)  # products with it are sums
+        q = e[:, -STRIDE:, :k].reshape(-1, k)  # one product for all windows
+        if len(part := np.flatnonzero(~(live[:, 0] & live[:, -1]))):
+            e[part] *= live[part, :, None]  # without their one, they are in no sum
+        across = np.ascontiguousarray(e.transpose(0, 2, 1))
+        weights = self.attend(np.matmul((q @ self.pairs).reshape(-1, STRIDE, k), across[:, :k]))
+        context = np.matmul(weights, e).reshape(-1, k + 1)
+        scale = 1 / np.maximum(context[:, k:], np.float32(1e-30))
+        context *= scale  # and a one beside it, for the bias
         gate = q @ self.own
-        gate += context.reshape(-1, k) @ self.context
-        gate += self.bias
-        np.exp(np.clip(gate, -60, 60, out=gate), out=gate)
-        ones = np.ones(k, np.float32)
+        gate += context @ np.concatenate([self.context, self.bias[None]])
+        if sum(np.abs(x).max() for x in (self.own, self.context, self.bias)) > MOST:
+            np.clip(gate, -MOST, MOST, out=gate)
+        np.exp(gate, out=gate)
         gate /= (gate @ ones)[:, None]
-        gate = gate.reshape(-1, STRIDE, k)
-        joint = np.take(self.by_id, targets, axis=0)
+        joint = np.take(self.by_id, targets.ravel(), axis=0)
         joint *= gate
-        return (joint.reshape(-1, k) @ ones).reshape(-1, STRIDE), joint, gate, context, weights, e, gap
+        return (joint @ ones).reshape(-1, STRIDE), joint, gate, context, scale, weights, q, e, across
 
     def gradient(self, inputs: np.ndarray, live: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ascent direction of the mean log probability of positions that count, and the experts' parts in each."""
-        p, joint, gate, context, attention, e, gap = self.forward(inputs, live, targets)
-        parts = joint / np.maximum(p, 1e-30)[:, :, None]
-        d = parts - gate
-        if not counts.all():
-            d *= counts[:, :, None]
-        q = np.ascontiguousarray(e[:, -STRIDE:])
-        k = e.shape[2]
-        d_context = (d.reshape(-1, k) @ self.context.T).reshape(d.shape)
-        d_attention = np.matmul(d_context, e.transpose(0, 2, 1))
-        # the mean of d_attention under the attention is d_context by the context
-        d_attention -= ((d_context * context).reshape(-1, k) @ np.ones(k, np.float32)).reshape(-1, STRIDE, 1)
-        d_logits = np.multiply(attention, d_attention, out=d_attention)
-        d_pairs = q.reshape(-1, k).T @ np.matmul(d_logits, e).reshape(-1, k)
-        d_far = np.bincount(np.maximum(gap, 0).ravel(), d_logits.sum(0).ravel(), WINDOW)
-        flat = lambda x: x.reshape(-1, k)
-        out = [d_pairs, d_far, flat(q).T @ flat(d), flat(context).T @ flat(d), np.ones(d.size // k, np.float32) @ flat(d)]
-        return np.concatenate([np.asarray(x).ravel() for x in out]) / max(counts.sum(), 1), parts
+        p, joint, gate, context, scale, attention, q, e, across = self.forward(inputs, live, targets)
+        k = q.shape[1]
+        joint /= np.maximum(p, np.float32(1e-30)).reshape(-1, 1)
+        d = np.subtract(joint, gate, out=gate)
+        d[np.flatnonzero(~counts.ravel())] = 0
+        # the mean of d_attention under the attention is d_context by the context; the one beside the profiles takes it off
+        d_context = d @ np.concatenate([self.context.T, np.zeros((k, 1), np.float32)], 1)
+        d_context[:, k] = -((d_context * context) @ np.ones(k + 1, np.float32))
+        d_context *= scale
+        d_logits = np.matmul(d_context.reshape(-1, STRIDE, k + 1), across)
+        d_logits *= attention
+        d_pairs = q.T @ np.matmul(d_logits, e).reshape(-1, k + 1)[:, :k]
+        d_far = np.bincount(np.maximum(GAP, 0).ravel(), np.ones(len(d_logits), np.float32) @ d_logits.reshape(len(d_logits), -1), WINDOW)
+        out = [d_pairs, d_far, q.T @ d, context.T @ d]  # the last has the bias below
+        return np.concatenate([x.ravel() for x in out]) / max(counts.sum(), 1), joint.reshape(*p.shape, k)
 
 
 def blocks(ids: np.ndarray, counts: np.ndarray, size: int, most: int):
@@ -353,21 +367,23 @@ def start(slices: DataFrame, size: int, unigram: np.ndarray, further: np.ndarray
     experts /= experts.sum(1, keepdims=True)
     weight = np.full(topics, 1 / topics)
     for _ in range(ROUNDS):
-        sent = slices.sparkSession.sparkContext.broadcast((np.log(experts.T).astype(np.float32), np.log(weight + 1e-6).astype(np.float32)))
+        sent = slices.sparkSession.sparkContext.broadcast((np.concatenate([np.log(np.ascontiguousarray(experts.T)), np.zeros((1, topics))]).astype(np.float32), np.log(weight + 1e-6).astype(np.float32)))
 
         def run(batches, sent=sent):
             by_id, prior = sent.value
-            sums = np.zeros((topics, len(by_id)))
+            sums = np.zeros((topics, len(by_id) - 1))
             for ids, counts in _slices(batches):
                 y, begin = scored(ids, counts, size)
                 for a in range(0, len(begin) - 1, 8192):
                     own = begin[a : a + 8193]
-                    ids, n = y[own[0] : own[-1]], np.diff(own)
-                    score = np.add.reduceat(np.take(by_id, ids, axis=0), own[:-1] - own[0]) + prior
+                    # windows of one length, filled up with an id beyond the last, whose row is 0
+                    at = own[:-1, None] + np.arange(STRIDE)
+                    ids = np.where(at < own[1:, None], np.take(y, at, mode="clip"), len(by_id) - 1)
+                    score = np.ones(STRIDE, np.float32) @ np.take(by_id, ids, axis=0) + prior
                     parts = np.exp(0.5 * (score - score.max(1, keepdims=True)))
-                    parts = (parts / parts.sum(1, keepdims=True)).astype(float)
+                    parts = np.ascontiguousarray((parts / parts.sum(1, keepdims=True)).T, float)
                     for k in range(topics):
-                        sums[k] += np.bincount(ids, np.repeat(parts[:, k], n), sums.shape[1])
+                        sums[k] += np.bincount(ids.ravel(), np.repeat(parts[k], STRIDE), len(by_id))[:-1]
             at = np.flatnonzero(sums.any(0))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(sums[k, at]) for k in range(topics))], ["id", *names])
 
@@ -397,14 +413,12 @@ def refine(slices: DataFrame, model: Attention, size: int, unigram: np.ndarray)
     def run(batches):
         model = sent.value
         sums, own, seen, m, v, t = np.zeros((EXPERTS, len(model.experts[0]))), model, 0, 0.0, 0.0, 0
-        met = []
+        most = 16 * 512 * STRIDE
+        met, parts_of, n = np.zeros(most, np.int64), np.zeros((EXPERTS, most)), 0  # what is not yet in the sums
 
         def add():
-            if met:
-                at, parts = (np.concatenate(x) for x in zip(*met))
-                for k in range(EXPERTS):
-                    sums[k] += np.bincount(at, parts[:, k], sums.shape[1])
-                met.clear()
+            for k in range(EXPERTS):
+                sums[k] += np.bincount(met[:n], parts_of[k, :n], sums.shape[1] + 1)[:-1]
 
         for ids, per in _slices(batches):
             for x, live, y, counts, _ in blocks(ids, per, size, 512):
@@ -413,9 +427,12 @@ def refine(slices: DataFrame, model: Attention, size: int, unigram: np.ndarray)
                 m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
                 own = own.with_weights(own.weights() + 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
                 seen += len(x)
-                met.append((y[counts], parts[counts]))
-                if len(met) == 16:
+                if n + y.size > most:
                     add()
+                    n = 0
+                met[n : n + y.size] = np.where(counts, y, sums.shape[1]).ravel()  # what doesn't count goes beyond the last id
+                parts_of[:, n : n + y.size] = parts.reshape(-1, EXPERTS).T
+                n += y.size
         add()
         at = np.flatnonzero(sums.any(0))
         flat = own.weights()

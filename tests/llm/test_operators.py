@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -313,6 +314,37 @@ def test_gradient():
         assert g[k] == pytest.approx((mean(flat + step) - mean(flat - step)) / 2e-2, abs=2e-3)
 
 
+@pytest.mark.parametrize("times", [1, 30, 90])  # beyond 60, exponents are clipped
+def test_attention_against_loops(times):
+    rng = np.random.default_rng(6)
+    experts = rng.random((3, 8))
+    model = lm.Attention.start(experts / experts.sum(1, keepdims=True))
+    model = model.with_weights(rng.normal(0, 1, len(model.weights())) * times)
+    x, live, y, counts, _ = lm.windows(rng.integers(0, 7, 70), np.array([0, 3, 40, 27]), 7)
+    got = model.forward(x, live, y)[0]
+    clipped = lambda z: np.exp(np.clip(z, -60, 60))
+    for w, i in zip(*np.nonzero(counts)):
+        here = lm.WINDOW - lm.STRIDE + i
+        q, keys = model.profile[x[w, here]].astype(float), [j for j in range(here + 1) if live[w, j]]
+        share = np.array([clipped(q @ model.pairs @ model.profile[x[w, j]] + model.far[here - j]) for j in keys])
+        context = share @ model.profile[x[w, keys]] / share.sum()
+        gate = clipped(q @ model.own + context @ model.context + model.bias)
+        assert got[w, i] == pytest.approx(gate @ model.experts[:, y[w, i]] / gate.sum(), rel=1e-5 * times)
+
+
+def test_windows_do_not_copy_the_tables():
+    """What a few windows allocate follows them and not the vocabulary."""
+    experts = np.random.default_rng(3).random((lm.EXPERTS, 50_001))
+    model = lm.Attention.start(experts / experts.sum(1, keepdims=True))
+    x, live, y, counts, _ = lm.windows(np.arange(60), np.array([60]), 50_000)
+    model.gradient(x, live, y, counts)
+    tracemalloc.start()
+    model.gradient(x, live, y, counts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < model.profile.nbytes // 4
+
+
 def test_scored_are_the_windows_targets():
     rng = np.random.default_rng(4)
     counts = np.array([0, 1, 23, 24, 25, 100, 0, 48])
