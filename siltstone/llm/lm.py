@@ -44,6 +44,8 @@ STRIDE = 24
 GAP = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 #: Exponents are clipped to this, either way.
 MOST = 60
+#: So many windows at a time stay in a core's cache; which they are changes no result.
+PART = 256
 #: Rounds over all training windows in which the experts part.
 ROUNDS = 4
 #: A table keeps entries of at least a TABLE-th of all counts, so it has TABLE entries at most.
@@ -75,15 +77,18 @@ class Vocabulary:
 
     def words(self, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each has: as `word`, in one call for all."""
-        texts = [" " + f.decode("utf-8", "replace") for f in forms]
-        whole = "".join(texts)
-        if len(whole.split()) != len(forms):  # other spaces stand in words, and may be parted together with the next word's
-            each = [self.encode(t) for t in texts]
+        return self.joined(b"".join(b" " + f for f in forms), np.cumsum([1 + len(f) for f in forms], dtype=np.int64))
+
+    def joined(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `words`; raw: a space and a word each, ends: where each word ends in it."""
+        whole = raw.decode("utf-8", "replace")
+        # other spaces stand in words, and may be parted together with the next word's; what isn't UTF-8 has other lengths in ids
+        if len(whole.split()) != len(ends) or "\ufffd" in whole:
+            each = [self.word(raw[a + 1 : b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
             return np.array([x for own in each for x in own], np.int64), np.array([len(own) for own in each], np.int64)
         ids = np.array(self.encode(whole), np.int64)
-        ends = np.cumsum([len(t.encode()) for t in texts])
         begins = np.cumsum(self.bytes[ids]) - self.bytes[ids]
-        return ids, np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(forms))
+        return ids, np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(ends))
 
 
 def read_vocabulary(path: str = VOCABULARY) -> Vocabulary:
@@ -97,6 +102,16 @@ def _words(batch: pa.RecordBatch):
         yield i, j, tokens.words(data, offsets, i, j, tokens.BLANK_SPLIT, fold=True)
 
 
+def spaced(w: tokens.Words, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A space and a word (A-Z lower-cased) each, of the words at these places, and where each ends."""
+    size = w.end[at] - w.start[at] + 1
+    ends = np.cumsum(size)
+    place = np.arange(int(size.sum())) + np.repeat(w.start[at] - 1 - (ends - size), size)
+    raw = tokens._FOLD.astype(np.uint8)[w.data[place]]
+    raw[ends - size] = 32
+    return raw.tobytes(), ends
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (hash), form (bytes, A-Z lower-cased), c: how often each word occurs."""
 
@@ -108,7 +123,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, _, w in _words(batch):
-                own, first, n = np.unique(w.hash, return_index=True, return_counts=True)
+                order = np.argsort(w.hash)
+                begin = np.flatnonzero(np.r_[True, w.hash[order[1:]] != w.hash[order[:-1]]][: len(order)])
+                own, first, n = w.hash[order[begin]], order[begin], np.diff(np.r_[begin, len(order)])
                 at = np.searchsorted(ids, own)
                 known = ids[np.minimum(at, max(len(ids) - 1, 0))] == own if len(ids) else np.zeros(len(own), bool)
                 counts[at[known]] += n[known]
@@ -188,8 +205,7 @@ class Forms:
         at = np.searchsorted(self.hash, own)
         fresh = np.flatnonzero(self.hash[np.minimum(at, len(self.hash) - 1)] != own) if len(self.hash) else np.arange(len(own))
         if len(fresh):
-            raw = w.data.tobytes()
-            ids, n = self.vocabulary.words([raw[a:b].lower() for a, b in zip(w.start[one[fresh]].tolist(), w.end[one[fresh]].tolist())])
+            ids, n = self.vocabulary.joined(*spaced(w, one[fresh]))
             self.hash = np.insert(self.hash, at[fresh], own[fresh])
             self.begin = np.insert(self.begin, at[fresh], len(self.ids) + np.cumsum(n) - n)
             self.n = np.insert(self.n, at[fresh], n)
@@ -284,6 +300,11 @@ class Attention:
 
     def gradient(self, inputs: np.ndarray, live: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ascent direction of the mean log probability of positions that count, and the experts' parts in each."""
+        sums, parts = zip(*(self.ascent(*(x[a : a + PART] for x in (inputs, live, targets, counts))) for a in range(0, len(inputs), PART)))
+        return sum(sums) / max(counts.sum(), 1), np.concatenate(parts)
+
+    def ascent(self, inputs: np.ndarray, live: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `gradient`, but of the sum."""
         p, joint, gate, context, scale, attention, q, e, across = self.forward(inputs, live, targets)
         k = q.shape[1]
         joint /= np.maximum(p, np.float32(1e-30)).reshape(-1, 1)
@@ -298,7 +319,7 @@ class Attention:
         d_pairs = q.T @ np.matmul(d_logits, e).reshape(-1, k + 1)[:, :k]
         d_far = np.bincount(np.maximum(GAP, 0).ravel(), np.ones(len(d_logits), np.float32) @ d_logits.reshape(len(d_logits), -1), WINDOW)
         out = [d_pairs, d_far, q.T @ d, context.T @ d]  # the last has the bias below
-        return np.concatenate([x.ravel() for x in out]) / max(counts.sum(), 1), joint.reshape(*p.shape, k)
+        return np.concatenate([x.ravel() for x in out]), joint.reshape(*p.shape, k)
 
 
 def blocks(ids: np.ndarray, counts: np.ndarray, size: int, most: int):
@@ -374,16 +395,16 @@ def start(slices: DataFrame, size: int, unigram: np.ndarray, further: np.ndarray
             sums = np.zeros((topics, len(by_id) - 1))
             for ids, counts in _slices(batches):
                 y, begin = scored(ids, counts, size)
-                for a in range(0, len(begin) - 1, 8192):
-                    own = begin[a : a + 8193]
-                    # windows of one length, filled up with an id beyond the last, whose row is 0
-                    at = own[:-1, None] + np.arange(STRIDE)
-                    ids = np.where(at < own[1:, None], np.take(y, at, mode="clip"), len(by_id) - 1)
-                    score = np.ones(STRIDE, np.float32) @ np.take(by_id, ids, axis=0) + prior
-                    parts = np.exp(0.5 * (score - score.max(1, keepdims=True)))
-                    parts = np.ascontiguousarray((parts / parts.sum(1, keepdims=True)).T, float)
-                    for k in range(topics):
-                        sums[k] += np.bincount(ids.ravel(), np.repeat(parts[k], STRIDE), len(by_id))[:-1]
+                # windows of one length, filled up with an id beyond the last, whose row is 0
+                at = begin[:-1, None] + np.arange(STRIDE)
+                ids = np.where(at < begin[1:, None], np.take(y, at, mode="clip"), len(by_id) - 1)
+                parts = np.empty((topics, len(ids)))
+                for a in range(0, len(ids), 4096):
+                    score = np.ones(STRIDE, np.float32) @ np.take(by_id, ids[a : a + 4096], axis=0) + prior
+                    own = np.exp(0.5 * (score - score.max(1, keepdims=True)))
+                    parts[:, a : a + 4096] = (own / own.sum(1, keepdims=True)).T
+                for k in range(topics):
+                    sums[k] += np.bincount(ids.ravel(), np.repeat(parts[k], STRIDE), len(by_id))[:-1]
             at = np.flatnonzero(sums.any(0))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(sums[k, at]) for k in range(topics))], ["id", *names])
 
@@ -465,10 +486,20 @@ class Model:
     #: Counts below this are not in the table.
     least: float
 
+    def count(self, words: np.ndarray) -> np.ndarray:
+        """Training counts of words by their hashes; 0 where they are not in the table."""
+        if not len(self.frequent) or not len(words):
+            return np.zeros(len(words), np.int64)
+        order = np.argsort(words)  # in order, neighbours lie close in the table
+        at = np.minimum(np.searchsorted(self.frequent, words[order]), len(self.frequent) - 1)
+        out = np.empty(len(words), np.int64)
+        out[order] = np.where(self.frequent[at] == words[order], self.counts[at], 0)
+        return out
+
     def logs(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each id of each text, and of the text's end after them. counts: ids of each text."""
         got = [np.zeros(0)]
-        for x, live, y, scores, _ in blocks(ids, counts, self.vocabulary.size, 256):
+        for x, live, y, scores, _ in blocks(ids, counts, self.vocabulary.size, PART):
             got.append(np.log10(np.maximum(self.attention.forward(x, live, y)[0][scores], 1e-37)).astype(float))
         return np.concatenate(got)
 
@@ -532,9 +563,9 @@ def score(docs: DataFrame, training: Column, work: Work, key: str = "doc_id", vo
             for i, j, w in _words(batch):
                 row = w.row
                 texts, first, spelled = model.score(w, *forms.of(w))
-                at = np.minimum(np.searchsorted(model.frequent, w.hash), max(len(model.frequent) - 1, 0))
-                known = model.frequent[at] == w.hash if len(model.frequent) else np.zeros(len(w.hash), bool)
-                c = model.counts[at[known]] if len(model.counts) else np.zeros(0, np.int64)
+                c = model.count(w.hash)
+                known = c > 0
+                c = c[known]
                 logs = np.bincount(row[known], np.log10(c + 0.5), j - i)
                 goes_on = np.bincount(row[known], model.spelling.log10(first[known], spelled[known], c), j - i)
                 parts.append(np.stack([w.counts, np.bincount(row[known], minlength=j - i), logs, texts, goes_on]))
