@@ -120,16 +120,18 @@ def redirects(starts: DataFrame, hops: DataFrame, most: int = 3) -> DataFrame:
     return out
 
 
-def ledger(rows: DataFrame, by: str, order: list[str], amount: str, soft: float, hard: float) -> DataFrame:
+def ledger(rows: DataFrame, by: str, order: list[str], amount: str, soft: float, hard: float, exact: bool = True) -> DataFrame:
     """Running balance of reservations, and whether each crosses the soft limit or is beyond the hard one.
 
     Amounts are added as decimals of ten places, so that a balance on a limit is on it whatever the order of adding; from the
-    first amount on that those can't hold, a group's balances are sums of doubles.
+    first amount on that those can't hold, a group's balances are sums of doubles. Unless `exact`, amounts are added in turn as they are.
     """
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    exact = F.col(amount).try_cast("decimal(28,10)")
-    other = F.coalesce(F.bool_or(F.col(amount).isNotNull() & F.coalesce(exact.cast("double") != F.col(amount).cast("double"), F.lit(True))).over(w), F.lit(False))
-    out = rows.withColumn("_exact", F.sum(exact).over(w)).withColumn("_other", F.when(other, F.sum(F.col(amount).cast("double")).over(w)))
+    if not exact:
+        return rows.withColumn("balance", F.sum(amount).over(w)).withColumns({"warns": F.col("balance") > soft, "admitted": F.col("balance") <= hard})
+    whole = F.col(amount).try_cast("decimal(28,10)")
+    other = F.coalesce(F.bool_or(F.col(amount).isNotNull() & F.coalesce(whole.cast("double") != F.col(amount).cast("double"), F.lit(True))).over(w), F.lit(False))
+    out = rows.withColumn("_exact", F.sum(whole).over(w)).withColumn("_other", F.when(other, F.sum(F.col(amount).cast("double")).over(w)))
 
     def either(f):
         return F.when(F.col("_other").isNotNull(), f(F.col("_other"))).otherwise(f(F.col("_exact")))

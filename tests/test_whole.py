@@ -5,6 +5,7 @@ from datetime import datetime
 import pandas as pd
 
 from siltstone.plans import registry
+from tests import oracle
 
 
 def stored(spark, folder, **tables):
@@ -52,3 +53,17 @@ def test_names_against_brute_force(spark, tmp_path):
     assert {(r.name_, r.other): r.similarity for r in pairs.rename(columns={"name": "name_"}).itertuples()} == want and len(want) > 20 and len(pairs) == len(want)
     members = got[pd.isna(got["other"])]
     assert sorted(zip(members["p_partkey"], members["name"])) == sorted((k, n.lower()) for k, n in rows if n is not None)
+
+
+def test_balances_on_a_limit_are_those_of_sql(spark, tmp_path):
+    """Amounts that are 500 or 1000 together, but a bit more or less as doubles; an amount that is infinite, and none."""
+    own = [
+        [70.98, 138.32, 9.52, 72.65, 143.49, 65.04, 500.0], [162.47, 76.38, 113.28, 75.66, 71.7, 0.51, 0.0], [245.57, 56.67, 287.68, 333.21, 70.74, 6.13], [282.89, 13.65, 147.71, 11.71, 260.39, 283.65],
+        [None, 250.0, None, 250.0, 500.0], [1.0, float("inf"), 2.0],
+    ]
+    rows = [(10 * u + k, datetime(2024, 1, 1), u, "view", v) for u, amounts in enumerate(own) for k, v in enumerate(amounts)]
+    sf = stored(spark, tmp_path, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
+    name = "w08_ledger_balance"
+    assert oracle.differences(spark, oracle.connect(sf), registry.QUERIES[name], registry.SQL[name], sf) == ""
+    got = {r["event_id"]: (r["warns"], r["admitted"]) for r in registry.QUERIES[name](spark, sf).collect()}
+    assert (got[5], got[15], got[25], got[35]) == ((True, True), (False, True), (True, False), (True, True))
