@@ -294,3 +294,78 @@ def test_words_and_groups_cost_no_call_of_their_own(spark):
     assert len(set(near.hashed(words).tolist())) == len(words) and (near.hashed(words.slice(2, 3)) == near.hashed(words)[2:5]).all()
     rows = spark.createDataFrame([(1, 1, 1, bytes(near.HASHES)), (1, 2, 2, bytes(near.HASHES))], "band long, node long, component long, short binary")
     assert "FlatMapGroups" not in near.across(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def clusters_by(got) -> dict:
+    groups = {}
+    for r in got:
+        if r["cluster"] is not None:
+            groups.setdefault(r["cluster"], set()).add(r["node"])
+    return groups
+
+
+@pytest.mark.parametrize("seed", [3, 5])
+def test_every_weight_is_a_level(spark, seed):
+    """More weights than are looked at at once, with nothing set apart, against cutting at each weight."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=(1, 6)) * 3 + rng.normal(0, s, (14, 6)) for s in (0.1, 0.5, 0.2, 0.4)] + [rng.normal(size=(14, 6)) * 3])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = np.round(u @ u.T, 12)
+    rows = [(i, r + 1, int(j), float(max(1 - like[i, j], 0))) for i in range(len(x)) for r, j in enumerate([j for j in np.argsort(-like[i], kind="stable") if j != i])]
+    graph = spark.createDataFrame(rows, "node long, rank int, other long, distance double")
+    nodes = spark.createDataFrame([(i, 1) for i in range(len(x))], "node long, copies long")
+    groups = clusters_by(dense.clusters_of(graph, nodes, Folder(spark, "t"), least=3).collect())
+    assert {frozenset(g) for g in groups.values()} == plain(x, 3, 5) and all(min(g) == c for c, g in groups.items())
+
+
+def test_bands_lose_no_level(spark):
+    """Bands of few edges, and one weight with more edges than a band has, give what one band gives; copies from 0 on, ties, a vector alone."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4, 4))[rng.integers(0, 4, 60)] * 2 + rng.normal(0, 0.4, (60, 4)) * rng.choice([0.2, 1, 2], 60)[:, None]
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) * 4) / 4 + 0.25
+    np.fill_diagonal(d, np.inf)
+    graph = spark.createDataFrame([(i, r + 1, int(j), float(d[i, j])) for i in range(60) for r, j in enumerate(np.argsort(d[i], kind="stable")[:6])], "node long, rank int, other long, distance double")
+    nodes = spark.createDataFrame([(i, int(c)) for i, c in enumerate(rng.choice([0, 1, 1, 1, 2, 7], 60))] + [(99, 9)], "node long, copies long")
+    folder = Folder(spark, "t")
+    tree = folder.save(dense.forest(dense.edges(graph, 3), folder), "tree")
+    first, most = tree.selectExpr("min(weight)").first()[0], max(r["count"] for r in tree.groupBy("weight").count().collect())
+    seen, given = set(), []
+    for part, at_once in ((2048, 24), (4, 2)):
+        own = Folder(spark, "t")
+        rows, ports, single = dense.bands(tree, nodes, at_once, part, own)
+        sizes = {r["band"]: (r["n"], r["kinds"]) for r in rows.groupBy("band").agg(F.count("*").alias("n"), F.countDistinct("weight").alias("kinds")).collect()}
+        assert all(n <= part or kinds == 1 for n, kinds in sizes.values()) and {b for b, (n, _) in sizes.items() if n > part} == set(single)
+        seen.add((len(sizes) > 1, len(single) > 0))
+        points, found = dense.condensed(rows, ports, single, 4, first, own)
+        named = {r["node"]: r["cluster"] for r in points.collect()}
+        groups = {}
+        for node, cluster in named.items():
+            groups.setdefault(cluster, set()).add(node)
+        known = {r["cluster"]: r for r in found.collect()}
+        given.append({frozenset(groups[c]): (frozenset(groups.get(r["parent"], ())), r["shut"], r["shut"] and round(r["stability"], 9)) for c, r in known.items() if c in groups})
+    assert most > 4 and seen == {(False, False), (True, True)} and given[0] == given[1] and len(given[0]) > 3
+
+
+def test_long_chains_of_clusters_are_folded(spark):
+    """A tree of clusters that no task may hold, as deep as it is long, against adding up from below."""
+    rng = random.Random(2)
+    parent = {f"c{k}": f"c{k + 1}" for k in range(14)} | {"c14": None} | {f"l{k}": f"c{k}" for k in range(0, 15, 3)} | {"a": None}
+    stability = {c: float(rng.randint(0, 9)) for c in parent}
+
+    def best(c):
+        return max(stability[c], below(c))
+
+    def below(c):
+        return sum(best(p) for p in parent if parent[p] == c)
+
+    clusters = spark.createDataFrame([(c, p, stability[c], 1.0) for c, p in parent.items()], "cluster string, parent string, stability double, shut double")
+    assert dict(dense.excess(clusters, 2, Folder(spark, "t")).select("cluster", "best").collect()) == {c: best(c) for c in parent}
+
+    def outermost(c):
+        up = [c]
+        while parent[up[-1]]:
+            up.append(parent[up[-1]])
+        return next((x for x in reversed(up) if parent[x] and stability[x] >= below(x)), None)
+
+    want = {c: outermost(c) for c in parent if outermost(c)}
+    assert dict(dense.chosen(clusters, 100, Folder(spark, "t")).collect()) == want and len(set(want.values())) > 1
