@@ -30,7 +30,7 @@ LEAST = 5
 #: Cuts between bands that are looked at at once.
 LEVELS = 24
 #: Edges of a band, and clusters, that meet in one task.
-PART = 2048
+PART = 16384
 _TINY = 1e-12
 
 
@@ -317,7 +317,7 @@ def excess(clusters: DataFrame, part: int, folder: Folder) -> DataFrame:
     best = waiting.groupBy(F.lit(0).alias("all")).applyInArrow(_settled, "cluster string, best double")
     for some in done:
         best = best.unionByName(some)
-    best = folder.save(best, "best")
+    best = folder.save(best, "excess")
     for k, some in reversed([*enumerate(folded)]):
         more = some.join(best.select(F.col("cluster").alias("below"), F.col("best").alias("under")), "below")
         best = best.unionByName(folder.save(more.select("cluster", F.greatest(F.col("a"), F.col("b") + F.col("under")).alias("best")), f"unfolded-{k}"))
